@@ -6,11 +6,13 @@ read back; everything else stays a plan until it is used.
 
 from __future__ import annotations
 
-from functools import cached_property
+import datetime as dt
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 
-from ..operators import keys as K, profile as P, quality as Q, relations as R, rows, semantics as S
+from ..operators import (anomalies as A, digest as D, keys as K, profile as P, quality as Q, reconcile as C, relations as R, rows,
+                         semantics as S)
 from ..operators.frequencies import value_frequencies
 from ..session import materialize
 from ..tables import TableSet
@@ -81,3 +83,25 @@ class Facts:
     @cached_property
     def relationships(self) -> DataFrame:
         return R.relationships(self.tables, self.profiles, self.frequencies, self.keys, self.declared_relations)
+
+    # ---- key numbers ----------------------------------------------------------------------------------------
+    @cached_property
+    def choices(self) -> list[D.Choice]:
+        return D.choose(self.tables, self.roles, self.kinds)
+
+    @cached_property
+    def all_flags(self) -> DataFrame:
+        """Rows labelled as totals, and rows that equal the sum of all others."""
+        by_value = [D.sum_rows(c, self.flags) for c in self.choices if not c.skipped and c.measures]
+        return materialize(reduce(DataFrame.unionByName, by_value, self.flags), "all-flags")
+
+    @cached_property
+    def digest(self) -> DataFrame:
+        return materialize(D.digest(self.choices, self.all_flags), "digest")
+
+    def anomalies(self, as_of: dt.date) -> DataFrame:
+        return A.anomalies(self.tables, self.choices, self.digest, self.all_flags, as_of)
+
+    def reconciliation(self, lineage: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
+        computed = [c.table.table_id for c in self.choices if not c.skipped]
+        return C.reconcile(self.tables, self.profiles, self.frequencies, self.roles, computed, self.all_flags, lineage, regions)
