@@ -14,6 +14,7 @@ from ..functions import fixed_values as V
 from ..functions.dates import clock, format_class, serial_to_iso
 from ..functions.names import clean_header
 from ..functions.numbers import plain_number
+from ..session import materialize
 
 CELL = ("source_id string, sheet string, row int, col int, kind string, num double, txt string, format string, formula string")
 S = ["source_id", "sheet"]
@@ -64,8 +65,8 @@ def sheets(cells: DataFrame) -> DataFrame:
     here = present(cells)
     top = here.join(ext.select(*S, "first_row"), S).filter(F.col("row") < F.col("first_row") + WIDTH_ROWS)
     width = top.groupBy(*S).agg(F.count_distinct("col").alias("width"))
-    boxes = ext.join(width, S, "left").fillna(0, ["width"])
-    found = boxes.join(find_headers(here, boxes, S), S, "left")
+    boxes = materialize(ext.join(width, S, "left").fillna(0, ["width"]), "boxes")
+    found = materialize(boxes.join(find_headers(here, boxes, S), S, "left"), "headers")
     at = found.select(*S, F.col("header_row").alias("row"), "first_row", "width", "header_row")
     shape = row_shape(here.join(at.select(*S, "row"), [*S, "row"], "left_semi"), S)
     below = here.join(found.select(*S, (F.col("header_row") + 1).alias("row")), [*S, "row"], "left_semi").select(*S).distinct()
@@ -157,9 +158,12 @@ def column_types(body: DataFrame) -> DataFrame:
 
 
 def build(cells: DataFrame) -> Built:
-    """Rebuild one table per sheet. Nothing is dropped: preamble and error cells are kept beside the values."""
+    """Rebuild one table per sheet. Nothing is dropped: preamble and error cells are kept beside the values.
+
+    `cells` is read several times: hand over a stored cell table. Sheets and columns are small and are written once.
+    """
     cells = cells.filter("kind <> 'text' OR txt <> ''")
-    sheet_rows = sheets(cells)
+    sheet_rows = materialize(sheets(cells), "sheets")
     placed = cells.join(sheet_rows.select(*S, "header_row", "data_first"), S)
     body = placed.filter(F.col("row") >= F.col("data_first")).drop("header_row", "data_first")
     shown = shown_text(F.col("kind"), F.col("num"), F.col("txt"), F.col("format"))
@@ -170,7 +174,9 @@ def build(cells: DataFrame) -> Built:
         named.join(types, [*S, "col"], "left_anti").select(
             *S, "col", F.lit("text").alias("column_kind"), F.lit(None).cast("string").alias("date_kind"),
             F.lit(0).cast("long").alias("non_null"), F.lit(0).cast("long").alias("error_cells"), "header"))
+    kept = materialize(kept, "column-types")
     columns = unique_names(kept.select(*S, "col", "header"), S).join(kept.drop("header"), [*S, "col"])
+    columns = materialize(columns, "columns")
 
     kind, num, txt, ck = F.col("kind"), F.col("num"), F.col("txt"), F.col("column_kind")
     truth = F.when(num == 1, "TRUE").otherwise("FALSE")

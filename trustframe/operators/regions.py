@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
+from ..session import materialize
 from .grid import S, find_headers, header_like, row_shape
 
 CHUNK = 1 << 16
@@ -38,6 +39,7 @@ def column_bands(cells: DataFrame) -> DataFrame:
     """(source_id, sheet, band, lo, hi): columns between fully empty ones; row-aligned neighbours are one band."""
     used = cells.select(*S, "col").distinct()
     raw = runs(used, S, "col", 1).withColumn("piece", F.row_number().over(Window.partitionBy(*S).orderBy("start")))
+    raw = materialize(raw, "column-runs")
     of_column = raw.select(*S, "piece", F.explode(F.sequence("start", "end")).alias("col"))
     per_row = cells.select(*S, "row", "col").join(of_column, [*S, "col"]).groupBy(*S, "row").agg(
         F.array_sort(F.collect_set("piece")).alias("pattern"))
@@ -66,14 +68,15 @@ def regions(cells: DataFrame, min_gap_rows: int = V.MIN_GAP_ROWS) -> DataFrame:
     """(source_id, sheet, region_no, kind, first_row, first_col, last_row, last_col, header_row, cells).
 
     A new block starts after at least two blank rows, and only if its first row looks like a header; otherwise the
-    table continues. A block of one row or one column is a note.
+    table continues. A block of one row or one column is a note. `cells` is read several times: hand over a stored cell
+    table; what is written in between (bands, segments, boxes) is a few rows per sheet.
     """
     here = cells.filter("kind <> 'error' AND (kind <> 'text' OR trim(txt) <> '')")
-    bands = column_bands(here)
+    bands = materialize(column_bands(here), "bands")
     of_column = bands.select(*S, "band", F.explode(F.sequence("lo", "hi")).alias("col"))
     placed = here.select(*S, "row", "col", "kind", "txt").join(of_column, [*S, "col"])
     keys = [*S, "band"]
-    segments = runs(placed.select(*keys, "row").distinct(), keys, "row", min_gap_rows)
+    segments = materialize(runs(placed.select(*keys, "row").distinct(), keys, "row", min_gap_rows), "segments")
 
     in_segment = _within(placed, segments.withColumn("segment", F.col("start")), keys, "segment")
     width = in_segment.groupBy(*keys, "segment").agg(F.count_distinct("col").alias("width"))
@@ -84,12 +87,13 @@ def regions(cells: DataFrame, min_gap_rows: int = V.MIN_GAP_ROWS) -> DataFrame:
     starts = starts.withColumn("is_block", F.col("opens") | (F.row_number().over(by_start) == 1))
     starts = starts.withColumn("block", F.max(F.when(F.col("is_block"), F.col("start"))).over(by_start))
 
-    block_of = starts.select(*keys, F.col("start").alias("segment"), "block")
+    block_of = materialize(starts.select(*keys, F.col("start").alias("segment"), "block"), "row-blocks")
     inside = in_segment.join(block_of, [*keys, "segment"])
     key = [*keys, "block"]
     boxes = inside.groupBy(*key).agg(
         F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"),
         F.count(F.lit(1)).alias("cells"), F.count_distinct("col").alias("width"), F.count_distinct("row").alias("used_rows"))
+    boxes = materialize(boxes, "region-boxes")
     found = boxes.join(find_headers(inside.drop("segment"), boxes, key), key, "left")
     order = Window.partitionBy(*S).orderBy("first_row", "first_col")
     kind = F.when((F.col("used_rows") >= 2) & (F.col("width") >= 2), "table").otherwise("note")

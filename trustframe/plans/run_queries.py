@@ -280,14 +280,15 @@ def _sql_views(spark, sf):
     """Free SQL: the plain name leaves out total rows, the qualified name keeps them."""
     tables = TableSet(spark, [Table("sales", sales_with_totals(spark, sf), "row_no", source="reports"), *star(spark, sf, ["nation"]).tables])
     views = Views(tables, Q.totals_rows(tables))
-    return views.sql("""SELECT n.n_name AS nation, sum(s.orders) AS clean_orders, (SELECT sum(orders) FROM reports__sales r WHERE r.region LIKE n.n_name || '%') AS all_orders,
+    return views.sql("""WITH everything AS (SELECT regexp_replace(region, ' Total$', '') AS nation, sum(orders) AS all_orders FROM reports__sales GROUP BY 1)
+                        SELECT n.n_name AS nation, sum(s.orders) AS clean_orders, max(e.all_orders) AS all_orders,
                         rank() OVER (ORDER BY sum(s.orders) DESC, n.n_name) AS place
-                        FROM nation n JOIN sales s ON s.region = n.n_name GROUP BY n.n_name""").select(
+                        FROM nation n JOIN sales s ON s.region = n.n_name JOIN everything e ON e.nation = n.n_name GROUP BY n.n_name""").select(
         "nation", "clean_orders", "all_orders", F.col("place").cast("long").alias("place"))
 
 
 SQL_VIEWS_SQL = f"""WITH s AS ({SALES_WITH_TOTALS_SQL}) SELECT n_name AS nation, CAST(sum(orders) AS BIGINT) AS clean_orders,
-  CAST((SELECT sum(orders) FROM s r WHERE starts_with(r.region, n_name)) AS BIGINT) AS all_orders,
+  CAST((SELECT sum(orders) FROM s r WHERE regexp_replace(r.region, ' Total$', '') = n_name) AS BIGINT) AS all_orders,
   CAST(rank() OVER (ORDER BY sum(orders) DESC, n_name) AS BIGINT) AS place FROM nation JOIN s ON region = n_name GROUP BY n_name"""
 
 
