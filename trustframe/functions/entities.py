@@ -76,6 +76,16 @@ def find_entities(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [dict(zip(("kind", "value", "normalized", "start", "end"), e)) for e in entities_of(t)])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def stated_values(texts: pd.Series) -> pd.Series:
+    """Dates and amounts of a text in normal form, amounts also without their currency."""
+    def one(text):
+        norms = [e[2] for e in entities_of(text) if e[0] in ("date", "money")]
+        return norms + [n.split(" ")[0] for n in norms]
+
+    return texts.map(one)
+
+
 def may_hold_entities(c: Column) -> Column:
     """Every kind needs a digit or an @: texts without either never leave the JVM."""
     return c.rlike("[0-9@٠-٩۰-۹]")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -68,19 +69,19 @@ def arabic_stem(word: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Words of the search form, split on spaces."""
-    return F.filter(F.split(search_form(c), " "), lambda w: w != "")
+    return F.array_remove(F.split(search_form(c), " "), "")
 
 
 def index_text(c: Column) -> Column:
-    """The search form followed by the stems it does not already contain."""
-    base = words(c)
+    """The search form followed by the stems it does not already contain (only Arabic words have stems)."""
+    form, base = search_form(c), words(c)
     extra = F.array_sort(F.array_except(F.transform(base, arabic_stem), base))
-    return F.concat_ws(" ", F.concat(base, extra))
+    return F.when(form.rlike("[ء-ي]"), F.concat_ws(" ", F.concat(base, extra))).otherwise(form)
 
 
 def index_tokens(c: Column) -> Column:
     """Letter and digit runs of the index text without accents: what a full-text index stores."""
-    return F.filter(F.split(strip_accents(index_text(c)), r"[^\p{L}\p{N}\p{Co}]+"), lambda w: w != "")
+    return F.array_remove(F.split(strip_accents(index_text(c)), r"[^\p{L}\p{N}\p{Co}]+"), "")
 
 
 def is_null_token(c: Column) -> Column:
@@ -88,11 +89,10 @@ def is_null_token(c: Column) -> Column:
 
 
 def is_totals_label(c: Column) -> Column:
-    label = F.lower(F.trim(c))
-    at_an_end = F.lit(False)
-    for word in V.TOTALS_AFFIXES:
-        at_an_end = at_an_end | label.startswith(word + " ") | label.endswith(" " + word)
-    return label.isin(V.TOTALS_LABELS) | ((F.length(label) <= V.TOTALS_MAX_LENGTH) & at_an_end)
+    """A total label on its own, or at either end of a short text. Every label is short, so one pattern decides."""
+    whole, ends = ("|".join(re.escape(w) for w in words_) for words_ in (V.TOTALS_LABELS, V.TOTALS_AFFIXES))
+    label = F.trim(c)
+    return (F.length(label) <= V.TOTALS_MAX_LENGTH) & F.lower(label).rlike(rf"^(?:{whole})\z|^(?:{ends}) | (?:{ends})\z")
 
 
 def category_form(c: Column) -> Column:

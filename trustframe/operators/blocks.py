@@ -7,8 +7,9 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.entities import find_entities, may_hold_entities
+from ..functions.entities import entities_of, may_hold_entities
 from ..functions.numbers import parse_number
+from ..session import spread
 
 BLOCK = "source_id string, part string, kind string, page int, section string, level int, ord int, text string"
 CELL = "source_id string, table_no int, section string, row int, col int, text string"
@@ -183,7 +184,7 @@ def html_parts(pages: DataFrame, source_id: Column, html: Column) -> DataFrame:
                 frame[name] = frame[name].astype("Int32")
             yield frame
 
-    return pages.select(source_id.cast("string").alias("source_id"), html.alias("html")).mapInPandas(read, schema)
+    return spread(pages.select(source_id.cast("string").alias("source_id"), html.alias("html"))).mapInPandas(read, schema)
 
 
 def html_blocks(parts: DataFrame) -> DataFrame:
@@ -229,5 +230,10 @@ def typed_document_values(cells: DataFrame) -> DataFrame:
 
 def entities(blocks: DataFrame) -> DataFrame:
     """(source_id, block_id, kind, value, normalized, start, end) for every entity of every block."""
-    rows = blocks.filter(may_hold_entities(F.col("text"))).select("source_id", "block_id", find_entities("text").alias("e"))
-    return rows.select("source_id", "block_id", F.explode("e").alias("e")).select("source_id", "block_id", "e.*")
+    def read(batches):
+        for batch in batches:
+            rows = [(sid, bid, *e) for sid, bid, text in zip(batch["source_id"], batch["block_id"], batch["text"]) for e in entities_of(text)]
+            yield pd.DataFrame(rows, columns=["source_id", "block_id", "kind", "value", "normalized", "start", "end"])
+
+    candidates = spread(blocks.select("source_id", "block_id", "text")).filter(may_hold_entities(F.col("text")))
+    return candidates.mapInPandas(read, "source_id string, block_id string, kind string, value string, normalized string, start int, `end` int")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import arabic_stem, index_text, index_tokens, location, search_form, snippet, strip_accents
+from ..session import materialize, spread
 
 
 def _searched(blocks: DataFrame) -> Column:
@@ -14,7 +15,7 @@ def _searched(blocks: DataFrame) -> Column:
 
 def postings(blocks: DataFrame) -> DataFrame:
     """(token, block_id, tf). Counting combines before the shuffle; a token found everywhere is spread by block."""
-    tokens = blocks.select("block_id", F.explode(index_tokens(_searched(blocks))).alias("token"))
+    tokens = spread(blocks).select("block_id", F.explode(index_tokens(_searched(blocks))).alias("token"))
     return tokens.groupBy("token", "block_id").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -42,45 +43,65 @@ def query_tokens(blocks: DataFrame, text: str) -> list[str]:
     return tokens
 
 
-def search(blocks: DataFrame, text: str, limit: int = 20, kind: str | None = None, document: str | None = None,
-           posting_rows: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """Ranked hits (block_id, source_id, kind, location, snippet, score, total_hits).
+def _matches(blocks: DataFrame, tokens: list[str]) -> DataFrame:
+    """(block_id, length, f): block length and how often each query word occurs as a word or prefix, by one scan.
 
-    Every query word must match as a word or as a prefix; rank is BM25 with a prefix counted as one term. Only postings
-    of the query words are read, and two scalars (number and mean length of blocks) come from one aggregate.
+    Only these numbers are kept; the texts are tokenised once and never shuffled.
     """
-    tokens = query_tokens(blocks, text)
-    posting_rows = postings(blocks) if posting_rows is None else posting_rows
-    lengths = block_lengths(blocks) if lengths is None else lengths
+    words = spread(blocks).select("block_id", index_tokens(_searched(blocks)).alias("w"))
+    def occurrences(prefix: str) -> Column:
+        return F.size(F.filter("w", lambda x: x.startswith(prefix)))
+
+    counts = [occurrences(t) for t in tokens]
+    return materialize(words.select("block_id", F.size("w").alias("length"), F.array(*counts).alias("f")), "matches")
+
+
+def _indexed_matches(posting_rows: DataFrame, lengths: DataFrame, tokens: list[str]) -> DataFrame:
+    """The same from a stored index: a prefix filter on sorted postings reads only the row groups of the query words."""
     wanted = F.lit(False)
-    options = [F.when(F.col("token").startswith(t), F.lit(t)) for t in tokens]
     for t in tokens:
         wanted = wanted | F.col("token").startswith(t)
-    matches = F.array_compact(F.array(*options))
-    hits = (posting_rows.filter(wanted).select("block_id", "tf", F.explode(matches).alias("q"))
-            .groupBy("block_id", "q").agg(F.sum("tf").alias("f")))
-    per_word = hits.groupBy("q").agg(F.count(F.lit(1)).alias("df"))                  # one row per query word
-    stats = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).alias("s"))
-    n, mean = stats.scalar()["n"], stats.scalar()["mean"]
-    idf = F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.when(idf <= 0, 1e-6).otherwise(idf)
-    norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / mean)
-    scored = (hits.join(F.broadcast(per_word), "q").join(lengths, "block_id")
-              .withColumn("s", weight * F.col("f") * (V.BM25_K1 + 1) / (F.col("f") + norm))
-              .groupBy("block_id").agg(F.count(F.lit(1)).alias("words"), F.sum("s").alias("score"))
-              .filter(F.col("words") == len(tokens)).drop("words"))
-    found = blocks.join(scored, "block_id")
+    counts = [F.coalesce(F.sum(F.when(F.col("token").startswith(t), F.col("tf"))), F.lit(0)).cast("int") for t in tokens]
+    hits = posting_rows.filter(wanted).groupBy("block_id").agg(F.array(*counts).alias("f"))
+    return lengths.join(hits, "block_id", "left").select("block_id", "length", F.coalesce("f", F.array(*[F.lit(0)] * len(tokens))).alias("f"))
+
+
+def search(blocks: DataFrame, text: str, limit: int = 20, kind: str | None = None, document: str | None = None,
+           posting_rows: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """Ranked hits (block_id, source_id, kind, location, snippet, score).
+
+    Every query word must match as a word or as a prefix; rank is BM25 with a prefix counted as one term. The number of
+    blocks, their mean length and the block frequency of each word come from one aggregate, used as scalars.
+    """
+    tokens = query_tokens(blocks, text)
+    if posting_rows is None or lengths is None:
+        matches = _matches(blocks, tokens)
+    else:
+        matches = _indexed_matches(posting_rows, lengths, tokens)
+    found = [F.col("f")[i] > 0 for i in range(len(tokens))]
+    stats = matches.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"),
+                                 F.array(*[F.count_if(c) for c in found]).alias("df")).alias("s")).scalar()
+    norm = V.BM25_K1 * (1 - V.BM25_B + V.BM25_B * F.col("length") / stats["mean"])
+    score, every = F.lit(0.0), F.lit(True)
+    for i, c in enumerate(found):
+        idf = F.ln((stats["n"] - stats["df"][i] + 0.5) / (stats["df"][i] + 0.5))
+        f = F.col("f")[i]
+        score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * f * (V.BM25_K1 + 1) / (f + norm)
+        every = every & c
+    scored = matches.filter(every).select("block_id", score.alias("score"))
+    hits = blocks.join(scored, "block_id")
     if kind:
-        found = found.filter(F.col("kind") == kind)
+        hits = hits.filter(F.col("kind") == kind)
     if document:
-        found = found.filter(F.col("source_id") == document)
-    top = found.orderBy(F.desc("score"), "block_id").limit(limit)
+        hits = hits.filter(F.col("source_id") == document)
+    top = hits.orderBy(F.desc("score"), "block_id").limit(limit)
     return top.select("block_id", "source_id", "kind", location(F.col("part"), F.col("page"), F.col("section"), F.col("kind")).alias("location"),
                       snippet(F.col("text"), F.array(*[F.lit(t) for t in tokens])).alias("snippet"), "score")
 
 
 def scan_search(blocks: DataFrame, text: str) -> DataFrame:
     """Without an index: blocks whose index text contains every query word (a map-only scan)."""
+    blocks = spread(blocks)
     haystack = index_text(_searched(blocks))
     condition = F.lit(True)
     for t in query_tokens(blocks, text):

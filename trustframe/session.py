@@ -64,3 +64,13 @@ def local_frame(spark: SparkSession, rows: list[tuple], schema: str | StructType
     columns = list(zip(*rows)) if rows else [[] for _ in struct]
     table = pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow)], schema=arrow)
     return spark.createDataFrame(table, struct)
+
+
+def spread(df: DataFrame, small_bytes: int = 256 << 20) -> DataFrame:
+    """Use all cores for costly per-row work on a small input, which often sits in one file split.
+
+    Only inputs that Catalyst estimates below `small_bytes` are redistributed; larger ones already come in many splits
+    and are never shuffled for this.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small_bytes else df

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import fixed_values as V
 from ..functions.names import file_extension
 from ..operators.blocks import html_blocks, html_parts, markdown_blocks, text_blocks, with_block_id
+from ..session import materialize, spread
 
 SNIFF_CHARS = 20_000
 DELIMITERS = [",", ";", "\t", "|"]
@@ -98,7 +99,7 @@ def read_mail(files: DataFrame) -> DataFrame:
             rows = [(sid, part, *_message(data)) for sid, part, data in zip(batch["source_id"], batch["part"], batch["content"])]
             yield pd.DataFrame(rows, columns=["source_id", "part", "headers", "plain", "html", "attachments"])
 
-    return files.select("source_id", "part", "content").mapInPandas(read, MAIL)
+    return spread(files.select("source_id", "part", "content")).mapInPandas(read, MAIL)
 
 
 def mail_blocks(messages: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def read_documents(files: DataFrame, depth: int = V.ATTACHMENT_DEPTH) -> tuple[D
         blocks += [_restore(text_blocks(texts.filter("kind = 'txt'"), key, F.col("text"))),
                    _restore(markdown_blocks(texts.filter("kind = 'md'"), key, F.col("text"))),
                    _restore(html_blocks(html_parts(texts.filter("kind IN ('html', 'htm')"), key, F.col("text"))))]
-        messages = read_mail(level.filter("kind = 'eml'"))
+        messages = materialize(read_mail(level.filter("kind = 'eml'")), "messages")
         blocks.append(mail_blocks(messages))
         label = F.concat(F.when(F.col("part") != "", F.concat("part", F.lit(" > "))).otherwise(""), "a.name")
         found = messages.select("source_id", "part", F.explode("attachments").alias("a")).select(
@@ -147,4 +148,6 @@ def read_documents(files: DataFrame, depth: int = V.ATTACHMENT_DEPTH) -> tuple[D
             status == "stored", "a table: read it with the workbook or CSV scan").otherwise("")
         listed.append(found.select("source_id", "part", "name", "kind", F.length("content").alias("size"), status.alias("status"), note.alias("note")))
         level = found
+        if messages.isEmpty():
+            break
     return reduce(DataFrame.unionByName, blocks), reduce(DataFrame.unionByName, listed)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.dates import format_class
+from ..session import spread
 
 PART = ("source_id string, what string, sheet string, row int, col int, kind string, num double, txt string, format string, "
         "formula string, row2 int, col2 int, epoch1904 boolean")
@@ -144,7 +145,7 @@ def workbook_parts(files: DataFrame) -> DataFrame:
                                 None, None, False))
         yield _frame(out)
 
-    return files.select("source_id", "content").mapInPandas(read, PART)
+    return spread(files.select("source_id", "content")).mapInPandas(read, PART)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
