@@ -86,6 +86,10 @@ def stated_values(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+# a filter on the result must not be pushed below the call, or the texts would be read twice
+stated_values = stated_values.asNondeterministic()
+
+
 def may_hold_entities(c: Column) -> Column:
     """Every kind needs a digit or an @: texts without either never leave the JVM."""
     return c.rlike("[0-9@٠-٩۰-۹]")

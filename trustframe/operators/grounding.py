@@ -38,10 +38,10 @@ def check_fields(fields: DataFrame, blocks: DataFrame) -> DataFrame:
     kept = ["record_no", "field", "value", "block_id", "source_id", "quote"]
     written = written_in_quote(F.col("value"), F.col("quote"), F.col("quote_form"))
     rows = rows.select(*kept, plain.alias("reason"), F.when(plain.isNull(), written).otherwise(True).alias("written"))
-    decided = rows.filter("written").select(*kept, "reason")
-    open_rows = rows.filter("NOT written").withColumn("stated", stated_values("quote"))
-    reason = F.when(~F.array_contains("stated", F.col("value")), "value does not appear in the quote")
-    return decided.unionByName(open_rows.select(*kept, reason.alias("reason")))
+    rows = rows.withColumn("stated", stated_values(F.when(~F.col("written"), F.col("quote"))))
+    reason = F.when(F.col("reason").isNull() & ~F.col("written") & ~F.array_contains("stated", F.col("value")),
+                    "value does not appear in the quote")
+    return rows.select(*kept, F.coalesce("reason", reason).alias("reason"))
 
 
 def accepted(checked: DataFrame) -> DataFrame:

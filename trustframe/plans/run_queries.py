@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from ..operators import (audit as U, changes as H, lineage as G, profile as P, quality as Q, readiness as Y, repair as E,
@@ -13,6 +15,7 @@ from ..tables import Table, TableSet
 from .facts import Facts
 from .inputs import (DIRTY_ORDERS_SQL, SALES_WITH_TOTALS_SQL, dirty_orders, load, renamed_orders, sales_with_totals, star)
 from .read_api import Reader, capped
+from .refresh import refresh, snapshot
 
 PACK = {
     "pack": {"name": "sales", "version": "1"},
@@ -107,17 +110,6 @@ REPAIRED_SQL = f"""WITH d AS ({DIRTY_ORDERS_SQL}) SELECT d.o_orderkey, CASE WHEN
 
 
 # ---- changes ----------------------------------------------------------------------------------------------------
-def snapshot(facts: Facts, kpis, label: str) -> H.Snapshot:
-    """The facts of one run; source content is fingerprinted by its tables."""
-    counts = facts.profiles.groupBy("table_id").agg(F.max("row_count").alias("row_count"))
-    catalog = facts.tables.catalog().select("table_id", "source_id", "table_name", "schema_fingerprint").join(counts, "table_id").join(
-        facts.fingerprints.select("table_id", "fingerprint"), "table_id", "left")
-    catalog = materialize(catalog, f"tables-{label}")
-    sources = catalog.groupBy("source_id").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list("fingerprint"))), 256).alias("sha256"))
-    columns = P.profile_with_examples(facts.tables, 5, 0, facts.frequencies).select("table_id", "column_name", "distinct_count", "top_k")
-    return H.Snapshot(sources, catalog, facts.hash_counts, columns, kpis)
-
-
 def _two_runs(spark, sf):
     """Run two drops some orders, gains others, renames a table, drops one, adds one and moves a KPI."""
     o = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
@@ -129,7 +121,7 @@ def _two_runs(spark, sf):
                            Table("extra", load(spark, sf, "benchmark"), "item_id")])
     kpi = o.agg(F.lit("sales").alias("pack"), F.lit("orders").alias("kpi_id"), F.count(F.lit(1)).cast("string").alias("value"))
     kpi2 = o.filter("o_orderkey > 0").agg(F.lit("sales").alias("pack"), F.lit("orders").alias("kpi_id"), F.count(F.lit(1)).cast("string").alias("value"))
-    return snapshot(Facts(one), kpi, "one"), snapshot(Facts(two), kpi2, "two")
+    return snapshot(Facts(one), kpi), snapshot(Facts(two), kpi2)
 
 
 def _changes(spark, sf):
@@ -275,6 +267,28 @@ PUBLISH_SQL = " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) AS n,
                                  for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
 
 
+def _refresh(spark, sf):
+    """Two whole runs over renamed orders and customers; the second misses some orders. What the last one published."""
+    store = RunStore(spark, new_folder(spark, "store"))
+    c = load(spark, sf, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"))
+    pack = {"pack": {"name": "p", "version": "1"}, "key": [{"table": "orders", "columns": ["order_id"]}],
+            "kpi": [{"id": "orders", "sql": "SELECT count(*) FROM {{table:local/orders}}"}]}
+    for run_id, cut in (("r1", 0), ("r2", 10)):
+        o = renamed_orders(spark, sf).filter(f"order_id >= {cut}")
+        tables = TableSet(spark, [Table("orders", o, "order_id"), Table("customers", c, "customer_id")])
+        refresh(tables, store, run_id, dt.date(2024, 6, 30), [pack])
+    kinds = store.read("changes").groupBy(F.concat(F.lit("change "), "kind").alias("fact")).agg(F.count(F.lit(1)).alias("rows"))
+    links = store.read("relationships").groupBy(F.concat(F.lit("link "), "from_name").alias("fact")).agg(F.count(F.lit(1)).alias("rows"))
+    keys = store.read("keys").filter("status = 'confirmed'").groupBy(F.concat(F.lit("key "), F.array_join("column_names", ",")).alias("fact")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    kpi = store.read("kpis").select(F.lit("kpi").alias("fact"), F.col("value").cast("long").alias("rows"))
+    return kinds.filter("fact IN ('change volume', 'change row', 'change kpi', 'change value')").unionByName(links).unionByName(keys).unionByName(kpi)
+
+
+REFRESH_SQL = """SELECT * FROM (VALUES ('change volume', CAST(1 AS BIGINT)), ('change row', 1), ('change kpi', 1), ('change value', 1), ('link customer_id', 1),
+  ('key order_id', 1)) v(fact, "rows") UNION ALL SELECT 'kpi', count(*) FROM orders WHERE o_orderkey >= 10"""
+
+
 # ---- views and read tools ---------------------------------------------------------------------------------------
 def _sql_views(spark, sf):
     """Free SQL: the plain name leaves out total rows, the qualified name keeps them."""
@@ -340,13 +354,13 @@ QUERIES = {
     "rules_pack": _rules, "kpis_pack": _kpis, "count_rules_lineitem": _count_rules, "repairs_planted": _repairs,
     "repaired_view_planted": _repaired, "changes_two_runs": _changes, "change_counts": _change_counts, "row_difference_lineitem": _row_difference,
     "lineage_formulas": _lineage, "readiness": _readiness, "gaps": _gaps, "catalog_report": _report, "audit_tables": _audit,
-    "publish_runs": _publish, "sql_views": _sql_views, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
+    "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
     "trace_tool": _trace_tool,
 }
 ORACLE = {
     "rules_pack": RULES_SQL, "kpis_pack": KPIS_SQL, "count_rules_lineitem": COUNT_RULES_SQL, "repairs_planted": REPAIRS_SQL,
     "repaired_view_planted": REPAIRED_SQL, "changes_two_runs": CHANGES_SQL, "row_difference_lineitem": ROW_DIFFERENCE_SQL,
     "lineage_formulas": LINEAGE_SQL, "readiness": READINESS_SQL, "gaps": GAPS_SQL, "catalog_report": REPORT_SQL, "audit_tables": AUDIT_SQL,
-    "publish_runs": PUBLISH_SQL, "sql_views": SQL_VIEWS_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
+    "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
     "describe_tool": DESCRIBE_SQL, "trace_tool": TRACE_SQL,
 }

@@ -30,6 +30,9 @@ def build_session(app: str = "trustframe", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in `spark.checkpoint.dir`.
 
@@ -40,9 +43,10 @@ def work_dir(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="trustframe-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="trustframe-")
+    return _LOCAL[app]
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
