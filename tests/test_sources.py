@@ -212,3 +212,32 @@ def test_stream_equals_batch(spark, tmp_path):
     from trustframe.operators.frequencies import value_frequencies
     want = {tuple(r) for r in value_frequencies(TableSet(spark, [make(df)])).collect()}
     assert {tuple(r) for r in ingest.stored_frequencies(spark, store).collect()} == want
+
+
+def test_region_read_back_and_checks_per_region(spark):
+    grid = [["city", "sales"], ["Cairo", 30], ["Giza", 12], [N, N], [N, N], ["kind", "number"], ["big", 25], ["small", 17]]
+    c = cells(spark, {"rep": grid})
+    regions = R.regions(c)
+    second = R.region_table(c, regions, "s", "rep", 2).collect()
+    assert [(r["_row_id"], r.kind, r.number) for r in second] == [(7, "big", "25.0"), (8, "small", "17.0")]
+    assert R.table_regions(regions).first().tables == 2
+
+    report = G.wide_table(G.build(c), "s", "rep")
+    data = [(1, "Cairo", "big", 25.0), (2, "Cairo", "small", 5.0), (3, "Giza", "small", 12.0), (4, "Giza", "small", 0.0), (5, "Giza", "big", 0.0),
+            (6, "Cairo", "big", 0.0), (7, "Giza", "small", 0.0), (8, "Cairo", "small", 0.0)]
+    orders = Table("orders", spark.createDataFrame(data, "order_id long, city string, kind string, amount double"), "order_id", source="data")
+    sheet = Table("rep", report, "_row_id", source="s", hide_row_id=True)
+    boxes = regions.withColumn("table_id", F.lit(sheet.table_id))
+    got = Facts(TableSet(spark, [orders, sheet])).reconciliation(regions=boxes).collect()
+    assert {(r.region_no, r.dim, r.matched, r.status) for r in got} == {(1, "city", 2, "reconciled"), (2, "kind", 2, "reconciled")}
+
+
+def test_lineage_narrows_the_sources(spark):
+    rows = [(i, ["x", "y"][i % 2], float(i)) for i in range(10)]
+    schema = "order_id long, label string, amount double"
+    one = Table("one", spark.createDataFrame(rows, schema), "order_id", source="a")
+    two = Table("two", spark.createDataFrame(rows, schema), "order_id", source="b")
+    rep = Table("rep", spark.createDataFrame([(1, "x", 20.0), (2, "y", 25.0)], "n long, label string, total double"), "n", source="c", hide_row_id=True)
+    facts = Facts(TableSet(spark, [one, two, rep]))
+    link = spark.createDataFrame([(rep.table_id, two.table_id)], "table_id string, target_table_id string")
+    assert [r.source_id for r in facts.reconciliation(link).collect()] == [two.table_id]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from . import fixed_values as V
 
@@ -130,3 +130,14 @@ def location(part: Column, page: Column, section: Column, kind: Column) -> Colum
     path = F.concat_ws(" > ", empty_to_null(part), F.when(page > 0, F.concat(F.lit("p"), page.cast("string"))),
                        empty_to_null(section))
     return F.when(path == "", kind).otherwise(path)
+
+
+def register_sql_functions(spark: SparkSession) -> None:
+    """`fold` and `search_form` for free SQL, as SQL functions: they are inlined and stay inside code generation."""
+    letters, targets = V.LETTER_FORMS
+    digits, plain = V.ARABIC_DIGITS
+    marks = V.DIACRITICS
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION fold(t STRING) RETURNS STRING RETURN
+        coalesce(trim(regexp_replace(translate(regexp_replace(replace(replace(lower(t), 'ß', 'ss'), 'ς', 'σ'), '{marks}', ''),
+                 '{letters}', '{targets}'), '(?U)\\\\s+', ' ')), '')""")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION search_form(t STRING) RETURNS STRING RETURN fold(translate(t, '{digits}', '{plain}'))")

@@ -41,9 +41,10 @@ def outliers(values: DataFrame, fence: float = V.OUTLIER_FENCE) -> DataFrame:
     q = order_statistics(values).select("column_no", "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
                                         F.col("q")[2].alias("q3"))
     spread = F.col("q3") - F.col("q1")
+    # one row per measure column: bounded by the columns
     q = q.filter((F.col("n") >= V.MIN_OUTLIER_ROWS) & (spread > 0)).select(
         "*", (F.col("q1") - fence * spread).alias("low"), (F.col("q3") + fence * spread).alias("high"))
-    beyond = values.join(q, "column_no").filter("v < low OR v > high")
+    beyond = values.join(F.broadcast(q), "column_no").filter("v < low OR v > high")
     counts = beyond.groupBy("column_no", "n", "q1", "median", "q3", "low", "high").agg(F.count(F.lit(1)).alias("count"))
     worst = _examples(beyond, [F.desc(F.abs(F.col("v") - F.col("median"))), F.col("row_id")], F.col("v").cast("string"), ["column_no"])
     share = F.col("count") / F.col("n")
@@ -124,11 +125,11 @@ def anomalies(tables: TableSet, choices: list[Choice], digest: DataFrame, flags:
     dates = dates_out_of_range(choices, flags, as_of)
     if dates is not None:
         keys = ["table_id", "column_name"]
-        counts = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"))
-        first = _examples(dates, [F.col("d"), F.col("row_id")], F.col("d").cast("string"), keys)
-        parts.append(counts.join(first, keys).select(*keys, F.lit("date_out_of_range").alias("kind"), F.lit("warn").alias("severity"),
-                                                     "count", F.format_string("%d date(s) before 1990 or far ahead", "count").alias("detail"),
-                                                     "examples"))
+        counts = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).withColumn("examples", F.lit(None).cast("array<string>"))
+        first = _examples(dates, [F.col("d"), F.col("row_id")], F.col("d").cast("string"), keys).withColumn("count", F.lit(None).cast("long"))
+        both = counts.unionByName(first).groupBy(*keys).agg(F.max("count").alias("count"), F.first("examples", ignorenulls=True).alias("examples"))
+        parts.append(both.select(*keys, F.lit("date_out_of_range").alias("kind"), F.lit("warn").alias("severity"), "count",
+                                 F.format_string("%d date(s) before 1990 or far ahead", "count").alias("detail"), "examples"))
     return reduce(DataFrame.unionByName, parts).withColumn("status", F.lit("inferred"))
 
 

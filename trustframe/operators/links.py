@@ -17,9 +17,10 @@ def mentions(tables: TableSet, entity_rows: DataFrame, frequencies: DataFrame) -
     """
     columns = tables.columns().filter(F.col("sql_type").isin("TEXT", "BLOB") | (F.col("kind") == "mixed"))
     columns = columns.select("column_no", "table_id", "table_name", "column_name")
+    # one row per column: bounded by the columns of the tables
     sizes = frequencies.groupBy("column_no").agg(F.count(F.lit(1)).alias("d")).filter("d >= 2").drop("d")
     key = F.upper(F.trim("value_s"))
-    values = (frequencies.filter("value_s IS NOT NULL").join(columns, "column_no").join(sizes, "column_no", "left_semi")
+    values = (frequencies.filter("value_s IS NOT NULL").join(columns, "column_no").join(F.broadcast(sizes), "column_no", "left_semi")
               .groupBy("table_id", "table_name", "column_name", key.alias("key")).agg(F.sum("cnt").alias("rows"), F.min("first_row").alias("first_row")))
     linkable = entity_rows.filter(F.col("kind").isin(LINK_KINDS)).withColumn("key", F.upper("normalized"))
     matched = values.join(linkable.select("key").distinct(), "key", "left_semi")

@@ -39,11 +39,12 @@ def order_statistics(values: DataFrame, fractions: tuple[float, ...] = (0.25, 0.
     for i in range(k):
         inside = inside | ((v >= F.col("low")[i]) & (v <= F.col("high")[i]))
         zone = zone + (v > F.col("high")[i]).cast("int")
-    located = (values.filter(v.isNotNull()).join(brackets.select(group, "low", "high"), group)
+    # one row per group (a measure column): small by construction, so the values themselves are not shuffled here
+    located = (values.filter(v.isNotNull()).join(F.broadcast(brackets.select(group, "low", "high")), group)
                .select(group, zone.alias("zone"), F.when(inside, v).alias("x")))
     counted = located.groupBy(group, "zone", "x").agg(F.count(F.lit(1)).alias("c"))
     order = Window.partitionBy(group).orderBy("zone", F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0)
-    running = counted.withColumn("upto", F.sum("c").over(order)).join(brackets.select(group, "n", "ranks"), group)
+    running = counted.withColumn("upto", F.sum("c").over(order)).join(F.broadcast(brackets.select(group, "n", "ranks")), group)
     picks = []
     for i in range(k):
         hit = (F.col("upto") > F.col("ranks")[i]) & (F.col("upto") - F.col("c") <= F.col("ranks")[i])

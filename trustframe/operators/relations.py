@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions.names import compact_name, source_alias, stable_id, type_family
-from ..session import local_frame
+from ..session import local_frame, materialize
 from ..tables import TableSet
 from .frequencies import value_frequencies
 from .keys import keys as find_keys, with_confirmed
@@ -97,7 +97,8 @@ def relationships(tables: TableSet, profiles: DataFrame | None = None, frequenci
     frequencies = value_frequencies(tables) if frequencies is None else frequencies
     profiles = profile(tables, frequencies) if profiles is None else profiles
     keys = find_keys(tables, profiles) if keys is None else keys
-    pairs = candidate_pairs(tables, profiles, keys)
+    # a few rows per column: written once, so that its size is known where it meets the frequencies
+    pairs = materialize(candidate_pairs(tables, profiles, keys), "column-pairs")
     found = pairs.join(containment(pairs, frequencies), ["child_column_no", "parent_column_no"])
     found = found.withColumn("containment", F.col("matched") / F.col("child_distinct_count")).filter(
         F.col("containment") >= V.CONTAINMENT)

@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.names import stable_id
 from ..functions.numbers import number_repair
 from ..functions.text import category_form, is_null_token
+from ..session import materialize
 from ..tables import Table, TableSet
 from .frequencies import LONG_TEXT
 from .quality import text_columns
 
-REPAIR = ["column_no", "row_id", "original_value", "repaired_value", "rule"]
 RULES = ("null_token", "category_consolidation", "text_as_number")       # where several apply to a cell, the last one shows
 
 
@@ -53,32 +53,37 @@ def spelling_map(cells: DataFrame) -> DataFrame:
 
 
 def repairs(tables: TableSet, enabled: tuple[str, ...] = RULES) -> DataFrame:
-    """(repair_id, table_id, column_id, row_id, original_value, repaired_value, rule); rules left out suggest nothing."""
-    cells = text_cells(tables)
-    txt, parts = F.col("txt"), []
+    """(repair_id, table_id, column_id, row_id, original_value, repaired_value, rule); rules left out suggest nothing.
+
+    One pass finds the spelling variants, one more tests every cell against all rules. The map of variants is written
+    once: it joins as a broadcast while it is small and as a (skew-aware) shuffle join beyond that.
+    """
+    cells, txt = text_cells(tables), F.col("txt")
+
+    def suggestion(rule: str, applies: Column, repaired: Column) -> Column:
+        return F.when(applies, F.struct(F.lit(rule).alias("rule"), repaired.cast("string").alias("repaired_value")))
+
+    options = []
     if "null_token" in enabled:
-        parts.append(cells.filter(is_null_token(txt)).select("column_no", "row_id", txt.alias("original_value"),
-                                                             F.lit(None).cast("string").alias("repaired_value"),
-                                                             F.lit("null_token").alias("rule")))
+        options.append(suggestion("null_token", is_null_token(txt), F.lit(None)))
     if "category_consolidation" in enabled:
         mapping = spelling_map(cells)
-        hits = cells.withColumn("value", _key(txt)).join(mapping, ["column_no", "value"])
         wanted = mapping.filter("canonical_long").select("column_no", "canonical_row").distinct()
         full = cells.withColumnRenamed("row_id", "canonical_row").join(wanted, ["column_no", "canonical_row"]).select(
             "column_no", "canonical_row", F.col("txt").alias("full_text"))
-        hits = hits.join(full, ["column_no", "canonical_row"], "left")
-        parts.append(hits.select("column_no", "row_id", txt.alias("original_value"),
-                                 F.when(F.col("canonical_long"), F.col("full_text")).otherwise(F.col("canonical")).alias("repaired_value"),
-                                 F.lit("category_consolidation").alias("rule")))
+        mapping = mapping.join(full, ["column_no", "canonical_row"], "left")
+        target = F.when(F.col("canonical_long"), F.col("full_text")).otherwise(F.col("canonical"))
+        mapping = materialize(mapping.select("column_no", "value", target.alias("target")), "spellings")
+        cells = cells.withColumn("value", _key(txt)).join(mapping, ["column_no", "value"], "left")
+        options.append(suggestion("category_consolidation", F.col("target").isNotNull(), F.col("target")))
     if "text_as_number" in enabled:
-        fixed = cells.withColumn("repaired_value", number_repair(txt)).filter("repaired_value IS NOT NULL")
-        parts.append(fixed.select("column_no", "row_id", txt.alias("original_value"), "repaired_value",
-                                  F.lit("text_as_number").alias("rule")))
+        options.append(suggestion("text_as_number", number_repair(txt).isNotNull(), number_repair(txt)))
     named = tables.columns().select("column_no", "column_id", "column_name", "table_id")
-    if not parts:
+    if not options:
         return tables.spark.createDataFrame([], "repair_id string, table_id string, column_id string, column_name string, row_id long, "
                                                 "original_value string, repaired_value string, rule string")
-    found = reduce(DataFrame.unionByName, parts).join(named, "column_no")
+    found = cells.select("column_no", "row_id", txt.alias("original_value"), F.explode(F.array_compact(F.array(*options))).alias("s")).select(
+        "column_no", "row_id", "original_value", "s.*").join(named, "column_no")
     return found.select(stable_id(F.col("table_id"), F.col("column_id"), F.col("row_id"), F.col("rule")).alias("repair_id"),
                         "table_id", "column_id", "column_name", "row_id", "original_value", "repaired_value", "rule")
 

@@ -89,12 +89,11 @@ def search(blocks: DataFrame, text: str, limit: int = 20, kind: str | None = Non
         score = score + F.when(idf <= 0, 1e-6).otherwise(idf) * f * (V.BM25_K1 + 1) / (f + norm)
         every = every & c
     scored = matches.filter(every).select("block_id", score.alias("score"))
-    hits = blocks.join(scored, "block_id")
-    if kind:
-        hits = hits.filter(F.col("kind") == kind)
-    if document:
-        hits = hits.filter(F.col("source_id") == document)
-    top = hits.orderBy(F.desc("score"), "block_id").limit(limit)
+    if kind or document:
+        wanted = blocks.filter((F.col("kind") == kind) if kind else F.lit(True)).filter((F.col("source_id") == document) if document else F.lit(True))
+        scored = scored.join(wanted.select("block_id"), "block_id", "left_semi")
+    best = scored.orderBy(F.desc("score"), "block_id").limit(limit)             # ranked before any text is read
+    top = blocks.join(best, "block_id").orderBy(F.desc("score"), "block_id")
     return top.select("block_id", "source_id", "kind", location(F.col("part"), F.col("page"), F.col("section"), F.col("kind")).alias("location"),
                       snippet(F.col("text"), F.array(*[F.lit(t) for t in tokens])).alias("snippet"), "score")
 

@@ -121,7 +121,7 @@ def _two_runs(spark, sf):
                            Table("extra", load(spark, sf, "benchmark"), "item_id")])
     kpi = o.agg(F.lit("sales").alias("pack"), F.lit("orders").alias("kpi_id"), F.count(F.lit(1)).cast("string").alias("value"))
     kpi2 = o.filter("o_orderkey > 0").agg(F.lit("sales").alias("pack"), F.lit("orders").alias("kpi_id"), F.count(F.lit(1)).cast("string").alias("value"))
-    return snapshot(Facts(one), kpi), snapshot(Facts(two), kpi2)
+    return snapshot(Facts(one), materialize(kpi, "kpis")), snapshot(Facts(two), materialize(kpi2, "kpis"))
 
 
 def _changes(spark, sf):
@@ -173,7 +173,7 @@ def _lineage(spark, sf):
     catalog = local_frame(spark, [("t-raw", "own", "Raw Data"), ("t-report", "own", "Report"), ("t-feb", "sales-1", "feb")],
                           "table_id string, source_id string, table_name string")
     sources = local_frame(spark, [("own", "/data/Own.xlsx"), ("sales-1", "/data/Sales.xlsx")], "source_id string, path string")
-    found = G.lineage(G.reference_counts(_formulas(spark, sf)), catalog, sources)
+    found = G.lineage(materialize(G.reference_counts(_formulas(spark, sf)), "references"), catalog, sources)
     return found.select("column_id", "ref_kind", "book", "sheet", "target_table_id", "status", "cells")
 
 
@@ -306,6 +306,17 @@ SQL_VIEWS_SQL = f"""WITH s AS ({SALES_WITH_TOTALS_SQL}) SELECT n_name AS nation,
   CAST(rank() OVER (ORDER BY sum(orders) DESC, n_name) AS BIGINT) AS place FROM nation JOIN s ON region = n_name GROUP BY n_name"""
 
 
+def _sql_functions(spark, sf):
+    """Text normal forms inside free SQL."""
+    views = Views(star(spark, sf, ["orders", "part"]))
+    return views.sql("""SELECT fold(o_orderpriority) AS form, count(*) AS n FROM orders GROUP BY 1
+                        UNION ALL SELECT search_form(concat('Größe_', p_type, '  ٣')), count(*) FROM part GROUP BY 1""")
+
+
+SQL_FUNCTIONS_SQL = """SELECT replace(lower(o_orderpriority), '-', ' ') AS form, count(*) AS n FROM orders GROUP BY 1
+UNION ALL SELECT 'grösse ' || lower(p_type) || ' 3', count(*) FROM part GROUP BY 1"""
+
+
 def _capped(spark, sf):
     """A bounded read of the ten cheapest parts within 400 bytes."""
     p = load(spark, sf, "part").select("p_partkey", "p_name").orderBy("p_partkey")
@@ -354,13 +365,13 @@ QUERIES = {
     "rules_pack": _rules, "kpis_pack": _kpis, "count_rules_lineitem": _count_rules, "repairs_planted": _repairs,
     "repaired_view_planted": _repaired, "changes_two_runs": _changes, "change_counts": _change_counts, "row_difference_lineitem": _row_difference,
     "lineage_formulas": _lineage, "readiness": _readiness, "gaps": _gaps, "catalog_report": _report, "audit_tables": _audit,
-    "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
+    "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "sql_functions": _sql_functions, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
     "trace_tool": _trace_tool,
 }
 ORACLE = {
     "rules_pack": RULES_SQL, "kpis_pack": KPIS_SQL, "count_rules_lineitem": COUNT_RULES_SQL, "repairs_planted": REPAIRS_SQL,
     "repaired_view_planted": REPAIRED_SQL, "changes_two_runs": CHANGES_SQL, "row_difference_lineitem": ROW_DIFFERENCE_SQL,
     "lineage_formulas": LINEAGE_SQL, "readiness": READINESS_SQL, "gaps": GAPS_SQL, "catalog_report": REPORT_SQL, "audit_tables": AUDIT_SQL,
-    "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
+    "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "sql_functions": SQL_FUNCTIONS_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
     "describe_tool": DESCRIBE_SQL, "trace_tool": TRACE_SQL,
 }

@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import DataFrame
 
+from ..functions.text import register_sql_functions
 from ..operators.quality import without_flagged
 from ..operators.rules import single_select
 from ..tables import TableSet
@@ -24,6 +25,7 @@ class Views:
 
     def __init__(self, tables: TableSet, flags: DataFrame | None = None):
         self.tables, self.spark = tables, tables.spark
+        register_sql_functions(self.spark)
         names: dict[str, list] = {}
         for t in tables.tables:
             names.setdefault(t.name.lower(), []).append(t)
