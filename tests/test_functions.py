@@ -97,3 +97,18 @@ def test_snippet_and_location(spark):
 
 def test_token_estimate(spark):
     assert each(spark, ["abcdefg", "", "مرحبا"], X.token_estimate) == [2, 0, 5]
+
+
+def test_displays_and_addresses(spark):
+    assert each(spark, [5.0, 1234567.891, None], M.display_number, "double") == ["5", "1,234,567.89", "-"]
+    assert each(spark, [float("nan"), float("inf"), 2.0, 2.5], M.printable, "double") == ["nan", "inf", "2", "2.5"]
+    assert one(spark, N.cell_address(F.lit(3), F.lit(28))) == "AB3"
+    stamps = ["1899-12-30 06:30:00", "2024-01-02 00:00:00", "2024-01-02 03:04:05"]
+    assert each(spark, stamps, lambda c: D.stamp_to_iso(c.cast("timestamp"))) == ["06:30:00", "2024-01-02", "2024-01-02 03:04:05"]
+
+
+def test_sql_functions_equal_the_columns(spark):
+    X.register_sql_functions(spark)
+    frame = spark.createDataFrame([("Order_ID  ـ القَاهرة ٣",), (None,)], "t string")
+    got = frame.select(F.expr("fold(t)").alias("a"), X.fold(F.col("t")).alias("b"), F.expr("search_form(t)").alias("c"), X.search_form(F.col("t")).alias("d"))
+    assert all(r.a == r.b and r.c == r.d for r in got.collect())

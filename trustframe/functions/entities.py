@@ -10,8 +10,6 @@ from pyspark.sql import Column, functions as F, types as T
 
 from . import fixed_values as V
 
-ENTITY = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "value", "normalized")]
-                                  + [T.StructField(n, T.IntegerType()) for n in ("start", "end")]))
 _DIGITS = str.maketrans(*V.ARABIC_DIGITS)
 _MONTH = "|".join(V.ENGLISH_MONTHS)
 _CURRENCY = "|".join(re.escape(c) for c in sorted(V.TEXT_CURRENCIES, key=len, reverse=True))
@@ -71,11 +69,6 @@ def entities_of(text: str | None) -> list[tuple]:
     return sorted(found, key=lambda e: e[3])
 
 
-@F.pandas_udf(ENTITY)
-def find_entities(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [dict(zip(("kind", "value", "normalized", "start", "end"), e)) for e in entities_of(t)])
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stated_values(texts: pd.Series) -> pd.Series:
     """Dates and amounts of a text in normal form, amounts also without their currency."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.numbers import printable
 from ..tables import Table, TableSet
-from .frequencies import micros, value_frequencies, value_number, value_text
+from .frequencies import value_frequencies, value_number, value_text
 
 STATS = "column_no int, n long, min_num double, max_num double, mean double, min_text string, max_text string"
 
@@ -114,7 +114,3 @@ def resolve_long_values(table: Table, column: str, found: DataFrame) -> DataFram
     source = table.df.select(table.row_column.alias("first_row"), F.col(f"`{column}`").alias("full_text"))
     return found.join(source, "first_row", "left")
 
-
-def datetime_range(table: Table, column: str) -> DataFrame:
-    c = F.col(f"`{column}`")
-    return table.df.agg(F.min(micros(c)).alias("min_micros"), F.max(micros(c)).alias("max_micros"))

@@ -22,6 +22,10 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+# a filter on the score must not be pushed below the call, or every pair would be compared twice
+name_ratio = name_ratio.asNondeterministic()
+
+
 def similar_names(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(child_name, parent_name, name_score) with a score of at least 0.82, without comparing every pair.
 

@@ -28,8 +28,12 @@ def document_frequencies(posting_rows: DataFrame) -> DataFrame:
 
 
 def write_index(blocks: DataFrame, path: str) -> None:
-    """Postings sorted by token inside each file, so a prefix filter skips row groups by their token range."""
-    postings(blocks).repartitionByRange("token").sortWithinPartitions("token").write.mode("overwrite").parquet(f"{path}/postings")
+    """Postings in token order, so a prefix filter skips files and row groups by their token range.
+
+    The block id takes part in the ranges: the postings of a word that is everywhere are spread over many files.
+    """
+    ranged = postings(blocks).repartitionByRange("token", "block_id").sortWithinPartitions("token", "block_id")
+    ranged.write.mode("overwrite").parquet(f"{path}/postings")
     block_lengths(blocks).write.mode("overwrite").parquet(f"{path}/lengths")
 
 

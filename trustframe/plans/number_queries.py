@@ -214,6 +214,20 @@ def _anomalies(spark, sf):
     return _orders_facts(spark, o).anomalies(AS_OF).select("column_name", "kind", "severity", "count", "status")
 
 
+ANOMALIES_SQL = f"""WITH s AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m') AS month,
+  (CASE WHEN o_orderkey % 100 = 0 THEN -1 ELSE 1 END) * (CASE WHEN strftime(o_orderdate, '%Y-%m') = '2000-03' THEN 50 ELSE 1 END) * o_totalprice AS value
+  FROM orders WHERE strftime(o_orderdate, '%Y-%m') NOT IN ('1999-05', '2000-12')),
+q AS ({_kth_sql('s', 'value', 0)}), b AS (SELECT count(*) AS c, max(n) AS n FROM s, q WHERE value < q1 - 3 * (q3 - q1) OR value > q3 + 3 * (q3 - q1)),
+m AS (SELECT * FROM (SELECT month, sum(value) AS v FROM s GROUP BY 1) ORDER BY month DESC LIMIT 60),
+c AS (SELECT median(v) AS med FROM m), d AS (SELECT median(abs(v - med)) AS mad FROM m, c),
+j AS (SELECT count(*) AS c FROM m, c, d WHERE mad > 0 AND abs(0.6745 * (v - med) / mad) >= 3.5),
+g AS (SELECT date_diff('month', CAST(min(month) || '-01' AS DATE), CAST(max(month) || '-01' AS DATE)) + 1 - count(*) AS c FROM m)
+SELECT 'amount' AS column_name, 'outlier' AS kind, CASE WHEN c / n < 0.01 THEN 'warn' ELSE 'info' END AS severity, c AS count, 'inferred' AS status FROM b WHERE c > 0
+UNION ALL SELECT 'amount', 'negative', 'info', count(*) FILTER (value < 0), 'inferred' FROM s HAVING count(*) FILTER (value < 0) BETWEEN 1 AND 0.02 * count(*)
+UNION ALL SELECT 'order_date', 'missing_period', 'warn', c, 'inferred' FROM g WHERE c > 0
+UNION ALL SELECT 'order_date', 'trend_jump', 'info', c, 'inferred' FROM j WHERE c > 0"""
+
+
 def _aggregate(spark, sf):
     t = star(spark, sf, ["orders"]).table("orders")
     return D.aggregate(t, "o_totalprice", "max", "o_orderpriority").withColumnRenamed("o_orderpriority", "grp").unionByName(
@@ -261,6 +275,6 @@ ORACLE = {
     "digest_customer": _digest_sql(CUSTOMER_SQL, [("balance", True)], ["segment", "nation"], None, "balance"),
     "digest_choices": CHOICES_SQL, "sum_rows_planted": SUM_ROWS_SQL, "quantiles_lineitem": QUANTILES_SQL,
     "outliers_events": OUTLIERS_SQL, "negatives_planted": NEGATIVES_SQL, "missing_months_planted": MISSING_SQL,
-    "trend_jump_planted": TREND_SQL, "dates_out_of_range_planted": BAD_DATES_SQL, "aggregate_tool": AGGREGATE_SQL,
+    "trend_jump_planted": TREND_SQL, "dates_out_of_range_planted": BAD_DATES_SQL, "anomalies_planted": ANOMALIES_SQL, "aggregate_tool": AGGREGATE_SQL,
     "reconcile_priority_report": RECONCILE_SQL,
 }

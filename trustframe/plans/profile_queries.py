@@ -367,6 +367,14 @@ def _definitions(spark, sf):
     return Facts(tables).definitions.select("term", "meaning", "unit", "status", "origin")
 
 
+DEFINITIONS_SQL = """SELECT 'orders' AS term, chr(39) || 'orders' || chr(39) || ' (local): ' || count(*) || ' row(s). one row per orders, identified by order_id (inferred, ' ||
+  CAST(round(100 * count(DISTINCT o_orderkey) / count(*)) AS INT) || '% unique). time coverage: ' || strftime(min(o_orderdate), '%Y-%m-%d') || ' to ' ||
+  strftime(max(o_orderdate), '%Y-%m-%d') || '.' AS meaning, NULL AS unit, 'inferred' AS status, 'auto' AS origin FROM orders
+UNION ALL SELECT 'customers', chr(39) || 'customers' || chr(39) || ' (local): ' || count(*) || ' row(s). one row per customers, identified by customer_id (inferred, ' ||
+  CAST(round(100 * count(DISTINCT c_custkey) / count(*)) AS INT) || '% unique).', NULL, 'inferred', 'auto' FROM customer
+UNION ALL SELECT 'balance_usd', 'money column in USD', 'USD', 'inferred', 'auto'"""
+
+
 def _samples(spark, sf):
     s = P.sample_values(star(spark, sf, ["nation", "customer", "orders", "events"]), 5)
     return s.groupBy("column_id").agg(F.count(F.lit(1)).alias("shown")).groupBy("shown").agg(F.count(F.lit(1)).alias("columns"))
@@ -416,5 +424,5 @@ ORACLE = {
     "dq_planted": _findings_sql(), "totals_rows_planted": TOTALS_SQL, "clean_sums_planted": CLEAN_SUMS_SQL,
     "keys_all": _keys_sql(), "composite_keys": COMPOSITE_SQL, "relationships_all": _relations_sql(), "join_recipes": RECIPES_SQL,
     "roles_renamed": _roles_sql(), "grain": GRAIN_SQL, "time_coverage": COVERAGE_SQL, "duplicates_split_orders": DUPLICATES_SQL,
-    "table_kinds": KINDS_SQL,
+    "table_kinds": KINDS_SQL, "definitions": DEFINITIONS_SQL,
 }

@@ -60,7 +60,7 @@ def inventory(files: DataFrame, wrapper_prefixes: list[bytes] = (), quick_above:
         alias = F.try_element_at(F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]), path)
     kept = files.filter(~file_name(path).startswith("~$"))
     return kept.select(source_id(path, alias).alias("source_id"), "path", file_extension(path).alias("kind"), F.col("length").alias("size"),
-                       F.date_format("modificationTime", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("mtime"),
+                       F.date_format(F.to_utc_timestamp("modificationTime", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("mtime"),
                        content_hash(content, F.col("length"), quick_above).alias("sha256"),
                        (F.lit("full") if quick_above is None else F.when(F.col("length") <= quick_above, "full").otherwise("quick")).alias("hash_mode"),
                        container(path, content, list(wrapper_prefixes)).alias("wrapper"))
