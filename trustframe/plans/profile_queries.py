@@ -180,6 +180,12 @@ def _keys_sql():
                          f"round((count(*) - count({c})) / count(*), 6) AS null_rate, 'inferred' AS status, "
                          f"'single_column_uniqueness' AS method FROM {t} HAVING count(DISTINCT {c}) / count(*) >= 0.98 "
                          f"AND (count(*) - count({c})) / count(*) <= 0.02")
+    # a table without a single key gets its first qualifying pair; of the given tables only line items can need one
+    singles = " OR ".join(f"count(DISTINCT {c}) / count(*) >= 0.98" for c in NUMBERS["lineitem"] + TEXTS["lineitem"] + TIMES["lineitem"])
+    parts.append("SELECT 'lineitem', 'l_orderkey,l_extendedprice', round((SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_extendedprice FROM lineitem)) / count(*), 6), "
+                 f"0, 'inferred', 'composite_uniqueness' FROM lineitem HAVING NOT ({singles}) AND count(DISTINCT l_orderkey) / count(*) >= 0.1 "
+                 "AND count(DISTINCT l_extendedprice) / count(*) >= 0.1 "
+                 "AND (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_extendedprice FROM lineitem)) / count(*) >= 0.98")
     return " UNION ALL ".join(parts)
 
 
