@@ -9,9 +9,10 @@ Two sets link when 100 * |A and B| >= percent * |A or B|. A pair is found by the
   serve as well, but a passage that a third of all documents share would make lists of that length.
 
 The boundary is the largest size at which enumerating costs no more than list entries, of which each counts LIST_COST
-subsets. Every candidate is verified on the shingles themselves. Groups, not pairs, are the result, so a list first tests its
-members against its smallest one only; other pairs are tested if the list still spans more than one group. No pair that
-may link is left out.
+subsets. Candidates pass a test of sizes and of parity bitmaps, whose distance never exceeds that of the sets, and are then
+verified on the shingles themselves. Groups, not pairs, are the result: a few rounds test the members of a list against one
+member of another group, and only lists that still span more than one group test all pairs across groups. No pair that may
+link is left out.
 
 Rows with a null doc_id get no group; texts without words have the empty set and link with nothing; exact copies of a set
 within a task link at once and send no entries.
@@ -33,6 +34,8 @@ from .words import mix, shingles, text_slices
 
 LIST_COST = 4
 MOST_COPIES = 300_000
+ROUNDS = 3
+BITS = ["bits0", "bits1", "bits2", "bits3"]
 
 
 class Scheme:
@@ -101,18 +104,34 @@ def scheme(percent: int) -> Scheme:
     return Scheme(percent)
 
 
+def _bitmap(s: np.ndarray) -> np.ndarray:
+    """256 parities: bit i tells whether an odd number of elements falls on i."""
+    odd = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(percent: int):
+    """Holds for every pair (columns of x_ and y_) that links: two sets of n and m elements that link differ in at most
+    (n + m) * (100 - percent) / (100 + percent), and their bitmaps in no more."""
+    n, m = F.col("x_n"), F.col("y_n")
+    distance = sum((F.bit_count(F.col(f"x_{b}").bitwiseXOR(F.col(f"y_{b}"))) for b in BITS), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (distance * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, same (an earlier document of the task with the same set, or null) and signatures, written once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), ("signatures", pa.list_(pa.int64()))])
+    """doc_id, n_shingles, same (an earlier document of the task with the same set, or null), the parity bitmap and the
+    signatures, written once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), *[(b, pa.int64()) for b in BITS], ("signatures", pa.list_(pa.int64()))])
 
     def run(batches):
         seen: dict[tuple, int] = {}
         rule, none = scheme(percent), np.empty(0, np.int64)
         for part in text_slices(batches):
-            ids, sizes, same, found = part.column("doc_id").to_pylist(), [], [], []
+            ids, sizes, same, found, bits = part.column("doc_id").to_pylist(), [], [], [], []
             for doc_id, text in zip(ids, part.column("text").to_pylist()):
                 s = shingles(text, words)
                 sizes.append(len(s))
+                bits.append(_bitmap(s))
                 if doc_id is None or not len(s):
                     same.append(None)
                     found.append(none)
@@ -125,10 +144,11 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     if len(seen) >= MOST_COPIES:
                         seen.clear()
                     seen[key] = doc_id
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), *[pa.array(b, pa.int64()) for b in np.array(bits).T],
+                                              pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, n_shingles long, same long, signatures array<long>"), "jaccard-signatures")
+    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, signatures array<long>"), "jaccard-signatures")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -166,24 +186,48 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     table = signature_table(docs, words, percent)
     entries = table.select("doc_id", F.explode("signatures").alias("signature"))
     own = Window.partitionBy("signature")
-    lists = entries.select("signature", "doc_id", F.min("doc_id").over(own).alias("hub"), F.max("doc_id").over(own).alias("top")).filter("hub < top").drop("top")
-    lists = materialize(lists.distinct(), "jaccard-lists")
+    shared = entries.select("signature", "doc_id", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high")).filter("low < high")
+    lists = materialize(shared.select("signature", "doc_id"), "jaccard-lists")
     members = materialize(lists.select("doc_id").distinct(), "jaccard-members")
     # a doc_id with several texts has several sets; each may link
     sets = materialize(shingle_sets(docs.join(members, docs["doc_id"].cast("long") == members["doc_id"], "left_semi"), words), "jaccard-sets")
-
-    stars = lists.filter("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), *BITS), "jaccard-facts")
+
+    def of(side: str) -> DataFrame:
+        return facts.select(F.col("doc_id").alias("a" if side == "x" else "b"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITS)])
+
+    links, parts = None, None
+    for turn in range(ROUNDS):
+        stars = star_pairs(spanning(lists, parts), turn).join(of("x"), "a").join(of("y"), "b").filter(may_link(percent)).select("a", "b")
+        found = materialize(verified(stars, sets, percent), "jaccard-links")
+        if turn and found.isEmpty():
+            break
+        links = found if links is None else links.unionByName(found)
+        parts = materialize(connected_components(links), "jaccard-parts")
+    left = spanning(lists, parts).join(facts, "doc_id")
+    one = left.select("signature", F.col("doc_id").alias("a"), F.col("part").alias("part_a"), *[F.col(c).alias(f"x_{c}") for c in ("n", *BITS)])
+    two = left.select("signature", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), *[F.col(c).alias(f"y_{c}") for c in ("n", *BITS)])
+    across = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may_link(percent)
+    rest = materialize(verified(one.join(two, across).select("a", "b").distinct(), sets, percent), "jaccard-links")
     copies = table.filter(F.col("same").isNotNull()).select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
-    links = materialize(verified(stars, sets, percent), "jaccard-links")
-    parts = connected_components(links)
-
-    named = lists.join(parts, lists["doc_id"] == parts["node"], "left").select("signature", "doc_id", "hub", F.coalesce("component", "doc_id").alias("part"))
-    split = named.select("*", F.min("part").over(own).alias("low"), F.max("part").over(own).alias("high")).filter("low < high AND doc_id != hub")
-    split = materialize(split.select("signature", "doc_id", "part"), "jaccard-open-lists")
-    one = split.select("signature", F.col("doc_id").alias("a"), F.col("part").alias("part_a"))
-    two = split.select("signature", F.col("doc_id").alias("b"), F.col("part").alias("part_b"))
-    rest = one.join(two, "signature").filter("a < b AND part_a != part_b").select("a", "b").distinct()
-    more = materialize(verified(rest, sets, percent), "jaccard-more-links")
-    final = connected_components(links.unionByName(more).unionByName(copies))
+    final = connected_components(links.unionByName(rest).unionByName(copies))
     joined = table.join(final, table["doc_id"] == final["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def spanning(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """signature, doc_id and part (the group so far) of the lists that span more than one group."""
+    if parts is None:
+        return lists.withColumn("part", F.col("doc_id"))
+    named = lists.join(parts, lists["doc_id"] == parts["node"], "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    own = Window.partitionBy("signature")
+    return named.select("*", F.min("part").over(own).alias("low"), F.max("part").over(own).alias("high")).filter("low < high").drop("low", "high")
+
+
+def star_pairs(named: DataFrame, turn: int) -> DataFrame:
+    """Pairs of a document and the hub of one of its lists, another hub each turn. Of all its hubs a document takes the one it
+    shares most lists with: one in the first turn, later one of each group that is not its own."""
+    hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))).over(Window.partitionBy("signature"))
+    met = named.withColumn("s", hub).filter("part != s.hub_part").groupBy("doc_id", F.col("s.hub").alias("hub"), F.col("s.hub_part").alias("hub_part")).count()
+    best = met.groupBy("doc_id", *(["hub_part"] if turn else [])).agg(F.max(F.struct("count", "hub")).alias("s"))
+    return best.select(F.least("doc_id", "s.hub").alias("a"), F.greatest("doc_id", "s.hub").alias("b")).distinct()
