@@ -20,12 +20,14 @@ within a task link at once and send no entries.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -34,8 +36,12 @@ from .words import mix, shingles, text_slices
 
 LIST_COST = 4
 MOST_COPIES = 300_000
+TRIPLES_FROM = 1000
+WIDE_FROM = 800
+WIDE = 4096
 ROUNDS = 3
-BITS = ["bits0", "bits1", "bits2", "bits3"]
+BITMAP = 1024
+BITS = [f"bits{i}" for i in range(BITMAP // 64)]
 
 
 class Scheme:
@@ -44,10 +50,11 @@ class Scheme:
     def __init__(self, percent: int):
         self.percent = percent
         n = 1
-        while self.n_subsets(n + 1) <= LIST_COST * self._parts(2 * (n + 1)):
+        while self.n_subsets(n + 1) <= LIST_COST * self._parts((n + 1) * 5 // 4 + 1):
             n += 1
         self.boundary = n
-        self.classes: dict[int, tuple[int, int, np.ndarray, np.ndarray]] = {}
+        self.starts = [n + 1]
+        self.classes: dict[int, tuple] = {}
 
     def missing(self, n: int) -> int:
         """Elements of a set of n that a linking set may lack."""
@@ -64,15 +71,24 @@ class Scheme:
         return -(-(self._differ(high) + 1) * 21 // 20) + 2
 
     def size_class(self, n: int) -> int:
-        """0 for small sets; class c > 0 holds sizes from (boundary + 1) * 2^(c-1)."""
-        return 0 if n <= self.boundary else (n // (self.boundary + 1)).bit_length()
+        """0 for small sets; a class spans a quarter of its least size, so that its parts hold about as much for all its sets."""
+        while self.starts[-1] <= n:
+            self.starts.append(self.starts[-1] * 5 // 4 + 1)
+        return bisect.bisect_right(self.starts, n)
 
     def _class(self, c: int):
+        """Most differing elements, number of parts, their bounds, their salts, and whether parts are used by twos.
+
+        In large sets every three parts make a triple: some triple holds one difference at most, so two of its parts agree,
+        and an entry stands for two parts. Entries are then more and less likely to meet by chance.
+        """
         if c not in self.classes:
-            high = (self.boundary + 1) << c
-            m = self._parts(high)
+            self.size_class(self.starts[c - 1])
+            high = self.starts[c]
+            differ, twos = self._differ(high), high > TRIPLES_FROM
+            m = 3 * (-(-(differ + 1) * 21 // 40) + 1) if twos else self._parts(high)
             bounds = np.array([(i << 64) // m for i in range(1, m)], np.uint64)
-            self.classes[c] = self._differ(high), m, bounds, mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32))
+            self.classes[c] = differ, m, bounds, mix(np.arange(m, dtype=np.uint64) + np.uint64(c << 32)), twos
         return self.classes[c]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
@@ -89,13 +105,21 @@ class Scheme:
                 sums = [total - sum(gone) for j in range(self.missing(n) + 1) for gone in combinations(g.tolist(), j)]
                 out.append(mix(np.array([x & 0xFFFFFFFFFFFFFFFF for x in sums], np.uint64)))
             else:
-                differ, m, bounds, salt = self._class(c)
+                differ, m, bounds, salt, twos = self._class(c)
                 at = np.concatenate([[0], np.searchsorted(s, bounds), [n]])
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(g)])
                 content = mix(sums[at[1:]] - sums[at[:-1]] + salt)
                 full = at[1:] > at[:-1]
-                # parts that are empty say little; they are needed only where so many are empty that they may be all a pair agrees on
-                out.append(content if (~full).sum() + differ >= m else content[full])
+                if twos:
+                    x, y = content.reshape(-1, 3), full.reshape(-1, 3)
+                    content = np.concatenate([mix(x[:, i] + mix(x[:, j])) for i, j in ((0, 1), (0, 2), (1, 2))])
+                    full = np.concatenate([y[:, i] | y[:, j] for i, j in ((0, 1), (0, 2), (1, 2))])
+                    # a triple with an entry of two empty parts may agree on that alone
+                    enough = 2 * int((y.sum(1) >= 2).sum()) > differ
+                else:
+                    enough = int(full.sum()) > differ
+                # empty parts say little; they are needed only where so many are empty that they may be all a pair agrees on
+                out.append(content[full] if enough else content)
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
@@ -104,9 +128,9 @@ def scheme(percent: int) -> Scheme:
     return Scheme(percent)
 
 
-def _bitmap(s: np.ndarray) -> np.ndarray:
-    """256 parities: bit i tells whether an odd number of elements falls on i."""
-    odd = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+def _bitmap(s: np.ndarray, size: int = BITMAP) -> np.ndarray:
+    """Parities: bit i tells whether an odd number of elements falls on i. `size` is a power of two."""
+    odd = np.bincount((mix(s ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -121,17 +145,18 @@ def may_link(percent: int):
 def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, same (an earlier document of the task with the same set, or null), the parity bitmap and the
     signatures, written once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), *[(b, pa.int64()) for b in BITS], ("signatures", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
 
     def run(batches):
         seen: dict[tuple, int] = {}
         rule, none = scheme(percent), np.empty(0, np.int64)
         for part in text_slices(batches):
-            ids, sizes, same, found, bits = part.column("doc_id").to_pylist(), [], [], [], []
+            ids, sizes, same, found, bits, wide = part.column("doc_id").to_pylist(), [], [], [], [], []
             for doc_id, text in zip(ids, part.column("text").to_pylist()):
                 s = shingles(text, words)
                 sizes.append(len(s))
                 bits.append(_bitmap(s))
+                wide.append(_bitmap(s, WIDE) if len(s) >= WIDE_FROM else None)
                 if doc_id is None or not len(s):
                     same.append(None)
                     found.append(none)
@@ -145,10 +170,10 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen[key] = doc_id
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), *[pa.array(b, pa.int64()) for b in np.array(bits).T],
-                                              pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                                              pa.array(wide, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, signatures array<long>"), "jaccard-signatures")
+    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, signatures array<long>"), "jaccard-signatures")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -188,33 +213,71 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     own = Window.partitionBy("signature")
     shared = entries.select("signature", "doc_id", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high")).filter("low < high")
     lists = materialize(shared.select("signature", "doc_id"), "jaccard-lists")
-    members = materialize(lists.select("doc_id").distinct(), "jaccard-members")
-    # a doc_id with several texts has several sets; each may link
-    sets = materialize(shingle_sets(docs.join(members, docs["doc_id"].cast("long") == members["doc_id"], "left_semi"), words), "jaccard-sets")
-    facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), *BITS), "jaccard-facts")
-
-    def of(side: str) -> DataFrame:
-        return facts.select(F.col("doc_id").alias("a" if side == "x" else "b"), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITS)])
-
-    links, parts = None, None
-    for turn in range(ROUNDS):
-        stars = star_pairs(spanning(lists, parts), turn).join(of("x"), "a").join(of("y"), "b").filter(may_link(percent)).select("a", "b")
-        found = materialize(verified(stars, sets, percent), "jaccard-links")
-        if turn and found.isEmpty():
+    members = lists.select("doc_id").distinct()
+    facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
+
+    # groups by the bitmaps alone say whose shingles are needed: two documents that link are in one such group or meet across two
+    likely = materialize(stars(lists, None, facts, percent, 0), "jaccard-likely")
+    guess = materialize(connected_components(likely), "jaccard-guess")
+    for turn in range(1, ROUNDS):
+        more = materialize(stars(lists, guess, facts, percent, turn), "jaccard-likely")
+        if more.isEmpty():
+            break
+        likely = likely.unionByName(more)
+        guess = materialize(connected_components(likely), "jaccard-guess")
+    across = materialize(crossing(lists, guess, facts, percent), "jaccard-across")
+    pairs = likely.unionByName(across)
+    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-needed")
+    # a doc_id with several texts has several sets; each may link. Kept by doc_id, the sets are dealt out once for all rounds
+    mine = docs.join(needed, docs["doc_id"].cast("long") == needed["doc_id"], "left_semi")
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = materialize(shingle_sets(mine, words), "jaccard-sets").repartition(n_parts, "doc_id").persist(StorageLevel.DISK_ONLY)
+
+    links = materialize(verified(pairs.distinct(), sets, percent), "jaccard-links")
+    parts = materialize(connected_components(links), "jaccard-parts")
+    for turn in range(1, ROUNDS):
+        found = materialize(verified(stars(lists, parts, facts, percent, turn), sets, percent), "jaccard-links")
+        if found.isEmpty():
             break
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         parts = materialize(connected_components(links), "jaccard-parts")
-    left = spanning(lists, parts).join(facts, "doc_id")
-    one = left.select("signature", F.col("doc_id").alias("a"), F.col("part").alias("part_a"), *[F.col(c).alias(f"x_{c}") for c in ("n", *BITS)])
-    two = left.select("signature", F.col("doc_id").alias("b"), F.col("part").alias("part_b"), *[F.col(c).alias(f"y_{c}") for c in ("n", *BITS)])
-    across = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may_link(percent)
-    rest = materialize(verified(one.join(two, across).select("a", "b").distinct(), sets, percent), "jaccard-links")
+    rest = materialize(verified(crossing(lists, parts, facts, percent).join(across, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
+    sets.unpersist()
     copies = table.filter(F.col("same").isNotNull()).select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
     final = connected_components(links.unionByName(rest).unionByName(copies))
     joined = table.join(final, table["doc_id"] == final["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def stars(lists: DataFrame, parts: DataFrame | None, facts: DataFrame, percent: int, turn: int) -> DataFrame:
+    """The star pairs (a, b) of the lists that may link."""
+    pairs = star_pairs(spanning(lists, parts), turn)
+    near = pairs.join(_facts_of(facts, "x", "a"), "a").join(_facts_of(facts, "y", "b"), "b").filter(may_link(percent)).select("a", "b")
+    return wide_test(near.distinct(), facts, percent)
+
+
+def crossing(lists: DataFrame, parts: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of one list and of two groups that may link."""
+    open_lists = spanning(lists, parts).select("signature", F.col("doc_id").alias("a"), "part")
+    one = open_lists.join(_facts_of(facts, "x", "a"), "a").withColumnRenamed("part", "part_a")
+    two = open_lists.withColumnRenamed("a", "b").join(_facts_of(facts, "y", "b"), "b").withColumnRenamed("part", "part_b")
+    test = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may_link(percent)
+    return wide_test(one.join(two, test).select("a", "b").distinct(), facts, percent)
+
+
+def wide_test(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose wider bitmaps, where both sets are large, do not rule a link out."""
+    wide = facts.filter(F.col("wide").isNotNull())
+    x, y = wide.select(F.col("doc_id").alias("a"), F.col("n").alias("x_n"), F.col("wide").alias("x")), wide.select(F.col("doc_id").alias("b"), F.col("n").alias("y_n"), F.col("wide").alias("y"))
+    distance = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, v: acc + v)
+    may = distance * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce(may, F.lit(True))).select("a", "b").distinct()
+
+
+def _facts_of(facts: DataFrame, side: str, key: str) -> DataFrame:
+    return facts.select(F.col("doc_id").alias(key), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *BITS)])
+
+
 def spanning(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
     """signature, doc_id and part (the group so far) of the lists that span more than one group."""
     if parts is None:
@@ -226,7 +289,7 @@ def spanning(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
 
 def star_pairs(named: DataFrame, turn: int) -> DataFrame:
     """Pairs of a document and the hub of one of its lists, another hub each turn. Of all its hubs a document takes the one it
-    shares most lists with: one in the first turn, later one of each group that is not its own."""
+    shares most lists with: one in turn 0, later one of each group that is not its own."""
     hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))).over(Window.partitionBy("signature"))
     met = named.withColumn("s", hub).filter("part != s.hub_part").groupBy("doc_id", F.col("s.hub").alias("hub"), F.col("s.hub_part").alias("hub_part")).count()
     best = met.groupBy("doc_id", *(["hub_part"] if turn else [])).agg(F.max(F.struct("count", "hub")).alias("s"))
