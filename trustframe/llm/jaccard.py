@@ -211,8 +211,10 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     table = signature_table(docs, words, percent)
     entries = table.select("doc_id", F.explode("signatures").alias("signature"))
     own = Window.partitionBy("signature")
-    shared = entries.select("signature", "doc_id", F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high")).filter("low < high")
-    lists = materialize(shared.select("signature", "doc_id"), "jaccard-lists")
+    # lists of the same documents are one list from here on, with a weight; should two others fall together, they only grow
+    ends = [F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high"), F.bit_xor(F.xxhash64("doc_id")).over(own).alias("mark")]
+    shared = entries.select("doc_id", *ends).filter("low < high")
+    lists = materialize(shared.groupBy(F.xxhash64("low", "high", "mark").alias("signature"), "doc_id").agg(F.count(F.lit(1)).alias("weight")), "jaccard-lists")
     members = lists.select("doc_id").distinct()
     facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
 
@@ -282,7 +284,7 @@ def spanning(lists: DataFrame, parts: DataFrame | None) -> DataFrame:
     """signature, doc_id and part (the group so far) of the lists that span more than one group."""
     if parts is None:
         return lists.withColumn("part", F.col("doc_id"))
-    named = lists.join(parts, lists["doc_id"] == parts["node"], "left").select("signature", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+    named = lists.join(parts, lists["doc_id"] == parts["node"], "left").select("signature", "doc_id", "weight", F.coalesce("component", "doc_id").alias("part"))
     own = Window.partitionBy("signature")
     return named.select("*", F.min("part").over(own).alias("low"), F.max("part").over(own).alias("high")).filter("low < high").drop("low", "high")
 
@@ -291,6 +293,6 @@ def star_pairs(named: DataFrame, turn: int) -> DataFrame:
     """Pairs of a document and the hub of one of its lists, another hub each turn. Of all its hubs a document takes the one it
     shares most lists with: one in turn 0, later one of each group that is not its own."""
     hub = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("h"), F.col("doc_id").alias("hub"), F.col("part").alias("hub_part"))).over(Window.partitionBy("signature"))
-    met = named.withColumn("s", hub).filter("part != s.hub_part").groupBy("doc_id", F.col("s.hub").alias("hub"), F.col("s.hub_part").alias("hub_part")).count()
+    met = named.withColumn("s", hub).filter("part != s.hub_part").groupBy("doc_id", F.col("s.hub").alias("hub"), F.col("s.hub_part").alias("hub_part")).agg(F.sum("weight").alias("count"))
     best = met.groupBy("doc_id", *(["hub_part"] if turn else [])).agg(F.max(F.struct("count", "hub")).alias("s"))
     return best.select(F.least("doc_id", "s.hub").alias("a"), F.greatest("doc_id", "s.hub").alias("b")).distinct()
