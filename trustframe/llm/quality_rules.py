@@ -75,7 +75,7 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     for c in CLASSES:
         rest = F.regexp_replace(rest, c, "")
         sizes.append(F.char_length(rest))
-    word_chars = F.greatest(F.char_length("spaced") - 2 * F.col("n_words"), F.lit(0)).cast("long")
+    word_chars = F.when(F.col("n_words") > 0, F.char_length("spaced") - 2 * F.col("n_words")).otherwise(0).cast("long")
     rows = rows.select("doc", "language", "n_words", "length", "n_dup_lines", word_chars.alias("word_chars"), F.array(*sizes).alias("sizes"), commons.alias("commons"),
                        _pairs(F.col("h"), 2).alias("h"))
     rows = rows.withColumn("windows", _pairs(F.col("h"), 4)).drop("h")
