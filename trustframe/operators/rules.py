@@ -31,11 +31,27 @@ class PackError(ValueError):
     """A pack that cannot be used as written."""
 
 
+# what a statement that starts with SELECT or WITH could still do besides reading the registered views
+QUOTED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|--[^\n]*|/\*.*?\*/", re.S)
+WRITES = re.compile(r"\b(?:insert\s+(?:into|overwrite)|merge\s+(?:with\s+schema\s+evolution\s+)?into|delete\s+from|update\s+\S+\s+set)\b", re.I)
+CALLS = re.compile(r"`?\b(?:reflect|try_reflect|java_method)\b`?\s*\(|\busing\s+''", re.I)
+FORMATS = "`?(?:parquet|csv|json|orc|text|binaryfile|avro|xml|delta|image|libsvm|jdbc)`?"
+FILES = re.compile(rf"(?:\bfrom|\bjoin)\s*{FORMATS}\s*\.|,\s*{FORMATS}\s*\.\s*`", re.I)
+
+
 def single_select(sql: str) -> str:
-    """Exactly one SELECT or WITH statement, without its final semicolon."""
+    """Exactly one SELECT or WITH statement, without its final semicolon, that only reads named relations.
+
+    Statements that insert, merge, update or delete behind a WITH, that run scripts or JVM methods, or that name files as
+    relations are refused; words inside string literals and comments do not count.
+    """
     text = sql.strip().rstrip(";").strip()
     if not text.lower().startswith(("select", "with")) or ";" in text:
         raise PackError("SQL must be exactly one SELECT or WITH statement")
+    bare = QUOTED.sub(lambda m: " " if m[0][0] in "-/" else "''", text)
+    for pattern, why in ((WRITES, "SQL must not write"), (CALLS, "SQL must not run scripts or JVM methods"), (FILES, "SQL must not read files, only registered views")):
+        if pattern.search(bare):
+            raise PackError(why)
     return text
 
 

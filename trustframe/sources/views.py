@@ -43,11 +43,12 @@ class Views:
         """One read-only SELECT or WITH over all sources; joins, windows and set operations are Spark's own."""
         text = single_select(statement)
         for name, choices in self.ambiguous.items():
-            if re.search(rf"(?i)\b(?:from|join)\s+`?{re.escape(name)}`?(?![\w`])", text):
+            if re.search(rf"(?i)(?:\b(?:from|join)\s+|\bfrom\b[^()]*,\s*)`?{re.escape(name)}`?(?![\w`.])", text):
                 raise ValueError(f"{name} exists in several sources: write {' or '.join(choices)}")
         try:
             return self.spark.sql(text)
         except Exception as e:
             if "TABLE_OR_VIEW_NOT_FOUND" in str(e):
-                raise ValueError("table not found; tables to use: " + ", ".join(sorted(self.plain)[:30])) from e
+                more = f" and {len(self.plain) - 30} more" if len(self.plain) > 30 else ""
+                raise ValueError("table not found; tables to use: " + ", ".join(sorted(self.plain)[:30]) + more) from e
             raise
