@@ -22,7 +22,7 @@ from ..session import materialize
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 20_000
-LEAF = 256
+LEAF = 1024
 BATCH = 512
 SLACK = 1e-9
 
@@ -82,7 +82,11 @@ class Tree:
         return tree
 
     def search(self, ids: np.ndarray, q: np.ndarray, k: int, relax: float = 1.0):
-        """(query row, id, score) of the k best per query, the query's own id aside."""
+        """(query row, id, score) of the k best per query, the query's own id aside. Batches are searched one by one, so the
+        running best that each leaf is merged into stays small."""
+        if len(q) > BATCH:
+            found = [self.search(ids[a:a + BATCH], q[a:a + BATCH], k, relax) for a in range(0, len(q), BATCH)]
+            return np.concatenate([r + i * BATCH for i, (r, _, _) in enumerate(found)]), np.concatenate([x for _, x, _ in found]), np.concatenate([s for _, _, s in found])
         square = (q * q).sum(1)
         best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]      # query row, index of x, score
         kth = np.full(len(q), -np.inf)
@@ -131,9 +135,8 @@ class Tree:
                     open_ = rows[flag][bound * relax <= limit + SLACK * (1 + limit)]
                     if len(open_):
                         visit((left, right)[side], open_)
-        if len(self.ids):
-            for a in range(0, len(q), BATCH):
-                visit(0, np.arange(a, min(a + BATCH, len(q))))
+        if len(self.ids) and len(q):
+            visit(0, np.arange(len(q)))
         return best[0], self.ids[best[1]], best[2]
 
 
