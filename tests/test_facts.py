@@ -226,3 +226,25 @@ def test_file_row_ids_are_unique_and_stable(spark, tmp_path):
     df = with_file_row_id(spark.read.parquet(str(tmp_path / "t")))
     ids = [r["_row_id"] for r in df.collect()]
     assert len(set(ids)) == 100 and sorted(ids) == sorted(r["_row_id"] for r in df.repartition(2).collect())
+
+
+def test_composite_key_of_late_columns(spark):
+    """Among thirteen candidates only the eighth and ninth column together identify rows."""
+    other = [f"c{i}" for i in range(13)]
+    data = []
+    for k in range(100):
+        row = [k // 20 * 2 + k % 10 // 5] * 13
+        row[7], row[8] = k // 10, k % 10
+        data.append(tuple(row))
+    facts = Facts(TableSet(spark, [table(spark, "wide", ", ".join(f"{c} long" for c in other), data)]))
+    assert [r.column_names for r in facts.keys.collect()] == [["c7", "c8"]]
+
+
+def test_gap_before_the_newest_sixty_months(spark):
+    """A month missing ten years back is found, though the digest shows sixty months."""
+    months = [dt.date(2010 + m // 12, m % 12 + 1, d) for m in range(150) if m != 20 for d in (3, 17)]
+    sales = table(spark, "sales", "sale_date date, region string, amount double", [(d, "ab"[i % 2], 10.0 + i % 7) for i, d in enumerate(months)])
+    facts = Facts(TableSet(spark, [sales]))
+    assert facts.digest.filter("section = 'by_month'").count() == 60
+    gone = facts.anomalies(dt.date(2024, 6, 30)).filter("kind = 'missing_period'").collect()
+    assert [(r["count"], r.examples) for r in gone] == [(1, ["2011-09"])]

@@ -62,7 +62,6 @@ KEY_NULL_RATE = 0.02
 COMPOSITE_UNIQUENESS = 0.10
 COMPOSITE_NULL_RATE = 0.10
 COMPOSITE_COLUMNS = 6
-COMPOSITE_MAX_CANDIDATES = 12
 GRAIN_UNIQUENESS = 0.9
 NAME_SIMILARITY = 0.82
 CONTAINMENT = 0.90

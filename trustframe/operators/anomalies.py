@@ -60,7 +60,7 @@ def rare_negatives(values: DataFrame) -> DataFrame:
 
 
 def missing_months(series: DataFrame) -> DataFrame:
-    """(table_id, dim, month): months without rows inside the covered range (series: the digest's by_month rows)."""
+    """(table_id, dim, month): months without rows inside the covered range (series: by_month rows of all months)."""
     span = series.groupBy("table_id", "dim").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     first, last = (F.to_date(F.concat(c, F.lit("-01"))) for c in ("first", "last"))
     every = span.select("table_id", "dim", F.explode(F.sequence(first, last, F.expr("interval 1 month"))).alias("d"))
@@ -71,7 +71,7 @@ def missing_months(series: DataFrame) -> DataFrame:
 def trend_jumps(series: DataFrame) -> DataFrame:
     """Months whose robust z-score (median and median absolute deviation) reaches 3.5; at least six months are needed.
 
-    A series has at most sixty months, so the grouped medians are small.
+    A series has one row per month, so the grouped medians are small.
     """
     v = F.coalesce("value", F.lit(0.0))
     rows = series.select("table_id", "dim", "measure", "key", v.alias("v"))

@@ -126,11 +126,11 @@ def _text(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("(blank)"))
 
 
-def table_digest(choice: Choice, flags: DataFrame) -> DataFrame:
+def table_digest(choice: Choice, flags: DataFrame, months: int | None = V.MAX_MONTHS) -> DataFrame:
     """All numbers of one table from one pass: GROUPING SETS over nothing, each dimension and the month.
 
     Every set has few groups (a dimension has at most fifty values), so partial aggregation leaves almost nothing to
-    shuffle and the ranking windows see a few hundred rows.
+    shuffle and the ranking windows see a few hundred rows. `months` newest months are shown, all if None.
     """
     t, primary = choice.table, choice.primary
     rows = without_flagged(t, flags)
@@ -200,7 +200,8 @@ def table_digest(choice: Choice, flags: DataFrame) -> DataFrame:
                                 F.lit(choice.date).alias("dim"), F.col("month").alias("key"), value.alias("value"), "rows")
         newest = Window.partitionBy("section").orderBy(F.desc("key"))
         oldest = Window.partitionBy("section").orderBy("key")
-        series = series.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= V.MAX_MONTHS)
+        if months is not None:
+            series = series.withColumn("back", F.row_number().over(newest)).filter(F.col("back") <= months)
         month_sql = f"SELECT date_format(`{choice.date}`, 'yyyy-MM') AS month, {agg_sql}, count(*) FROM {view} GROUP BY month ORDER BY month"
         out = out.unionByName(series.withColumn("rank", F.row_number().over(oldest)).select(
             "section", "measure", "dim", "key", "value", "rows", F.lit(None).cast("double").alias("share"), "rank",
@@ -208,8 +209,8 @@ def table_digest(choice: Choice, flags: DataFrame) -> DataFrame:
     return out.select(F.lit(t.table_id).alias("table_id"), "*")
 
 
-def digest(choices: list[Choice], flags: DataFrame) -> DataFrame:
-    parts = [table_digest(c, flags) for c in choices if not c.skipped]
+def digest(choices: list[Choice], flags: DataFrame, months: int | None = V.MAX_MONTHS) -> DataFrame:
+    parts = [table_digest(c, flags, months) for c in choices if not c.skipped]
     if not parts:
         return flags.sparkSession.createDataFrame([], DIGEST)
     return reduce(DataFrame.unionByName, parts)

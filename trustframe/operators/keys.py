@@ -15,6 +15,8 @@ from .frequencies import LONG_TEXT
 from .profile import profile
 from .rows import canonical
 
+#: Pairs of columns counted in one scan, each of which multiplies the rows that are shuffled.
+PAIRS_PER_SCAN = 15
 KEY_SCHEMA = ("key_id string, table_id string, columns array<string>, column_names array<string>, uniqueness double, "
               "null_rate double, status string, method string, score double")
 
@@ -48,11 +50,30 @@ def pair_counts(table: Table, pairs: list[tuple[int, str, str]]) -> DataFrame:
             .groupBy("pair_no").agg(F.count(F.lit(1)).alias("distinct_pairs"), F.sum("c").alias("filled")))
 
 
+def best_pair(tables: TableSet, table: Table, pairs: list[tuple]) -> DataFrame:
+    """The first of these pairs of candidate columns that identifies rows; no row if none does."""
+    rows = pairs[0][0].row_count
+    counts = pair_counts(table, [(i, a.column_name, b.column_name) for i, (a, b) in enumerate(pairs)])
+    names = local_frame(tables.spark, [(i, [a.column_id, b.column_id], [a.column_name, b.column_name])
+                                       for i, (a, b) in enumerate(pairs)],
+                        "pair_no int, columns array<string>, column_names array<string>")
+    good = counts.withColumn("uniqueness", F.col("distinct_pairs") / F.lit(rows)).filter(
+        F.col("uniqueness") >= V.KEY_UNIQUENESS)
+    best = good.join(names, "pair_no").agg(*[F.min_by(c, "pair_no").alias(c) for c in
+                                             ("columns", "column_names", "uniqueness", "filled")])
+    return best.filter("columns IS NOT NULL").select(
+        stable_id(F.lit(table.table_id), F.col("columns")[0], F.col("columns")[1]).alias("key_id"),
+        F.lit(table.table_id).alias("table_id"), "columns", "column_names", "uniqueness",
+        (1 - F.col("filled") / F.lit(rows)).alias("null_rate"), F.lit("inferred").alias("status"),
+        F.lit("composite_uniqueness").alias("method"), F.least(F.lit(1.0), "uniqueness").alias("score"))
+
+
 def composite_keys(tables: TableSet, profiles: DataFrame, singles: DataFrame | None = None) -> DataFrame:
     """First pair of columns that identifies rows, for tables without a single-column key.
 
-    The candidate list is metadata (at most six columns per table), so it is read to the driver to build the scans.
-    A pair whose distinct counts multiply to fewer than the rows needed cannot qualify and is not counted.
+    The candidate list is metadata, so it is read to the driver to build the scans. All candidate columns take part: pairs
+    of the first columns come first, the others follow in scans of a few pairs each, until one scan has found a key. A pair
+    whose distinct counts multiply to fewer than the rows needed cannot qualify and is not counted.
     """
     singles = single_keys(profiles) if singles is None else singles
     uniq, nulls = F.col("distinct_count") / F.col("row_count"), F.col("nulls") / F.col("row_count")
@@ -63,26 +84,17 @@ def composite_keys(tables: TableSet, profiles: DataFrame, singles: DataFrame | N
     parts = []
     for table in tables.tables:
         columns = sorted((r for r in wanted if r.table_id == table.table_id), key=lambda r: r.position)
-        if not 1 < len(columns) <= V.COMPOSITE_MAX_CANDIDATES:
-            continue
-        rows = columns[0].row_count
-        pairs = [(i, a, b) for i, (a, b) in enumerate(combinations(columns[:V.COMPOSITE_COLUMNS], 2))
-                 if a.distinct_count * b.distinct_count >= V.KEY_UNIQUENESS * rows]
-        if not pairs:
-            continue
-        counts = pair_counts(table, [(i, a.column_name, b.column_name) for i, a, b in pairs])
-        names = local_frame(tables.spark, [(i, [a.column_id, b.column_id], [a.column_name, b.column_name])
-                                           for i, a, b in pairs],
-                            "pair_no int, columns array<string>, column_names array<string>")
-        good = counts.withColumn("uniqueness", F.col("distinct_pairs") / F.lit(rows)).filter(
-            F.col("uniqueness") >= V.KEY_UNIQUENESS)
-        best = good.join(names, "pair_no").agg(*[F.min_by(c, "pair_no").alias(c) for c in
-                                                 ("columns", "column_names", "uniqueness", "filled")])
-        parts.append(best.filter("columns IS NOT NULL").select(
-            stable_id(F.lit(table.table_id), F.col("columns")[0], F.col("columns")[1]).alias("key_id"),
-            F.lit(table.table_id).alias("table_id"), "columns", "column_names", "uniqueness",
-            (1 - F.col("filled") / F.lit(rows)).alias("null_rate"), F.lit("inferred").alias("status"),
-            F.lit("composite_uniqueness").alias("method"), F.least(F.lit(1.0), "uniqueness").alias("score")))
+        first = list(combinations(columns[:V.COMPOSITE_COLUMNS], 2))
+        later = [(a, b) for a, b in combinations(columns, 2) if b in columns[V.COMPOSITE_COLUMNS:]]
+        scans = [first] + [later[i:i + PAIRS_PER_SCAN] for i in range(0, len(later), PAIRS_PER_SCAN)]
+        scans = [kept for scan in scans if (kept := [(a, b) for a, b in scan if a.distinct_count * b.distinct_count >= V.KEY_UNIQUENESS * a.row_count])]
+        for number, scan in enumerate(scans, 1):
+            best = best_pair(tables, table, scan)
+            if number == len(scans):
+                parts.append(best)
+            elif found := best.collect():       # one row at most
+                parts.append(local_frame(tables.spark, [tuple(r) for r in found], KEY_SCHEMA))
+                break
     return reduce(DataFrame.unionByName, parts) if parts else local_frame(tables.spark, [], KEY_SCHEMA)
 
 

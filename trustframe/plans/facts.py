@@ -99,8 +99,14 @@ class Facts:
     def digest(self) -> DataFrame:
         return materialize(D.digest(self.choices, self.all_flags), "digest")
 
+    @cached_property
+    def month_series(self) -> DataFrame:
+        """The by_month rows of all months; the digest shows the newest."""
+        dated = [c for c in self.choices if c.date]
+        return materialize(D.digest(dated, self.all_flags, months=None).filter("section = 'by_month'"), "months")
+
     def anomalies(self, as_of: dt.date) -> DataFrame:
-        return A.anomalies(self.tables, self.choices, self.digest, self.all_flags, as_of)
+        return A.anomalies(self.tables, self.choices, self.month_series, self.all_flags, as_of)
 
     def reconciliation(self, lineage: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
         computed = [c.table.table_id for c in self.choices if not c.skipped]
