@@ -1,4 +1,4 @@
-"""The pipeline's rows against a brute-force version of its last three stages on the smallest tables."""
+"""The pipeline's rows on the smallest tables: near-duplicate groups and packing by brute force, verdicts and redaction by their operators."""
 
 import collections
 
