@@ -101,6 +101,20 @@ def test_quality_rules_base(docs):
     same_rows([tuple(r) for r in got], want)
 
 
+def test_quality_rules_junk_is_no_reference(spark):
+    """A third of all rows and most characters are junk; one junk row is all there is of its language."""
+    rng = random.Random(5)
+    vocab = [*quality_rules.COMMON_WORDS["en"], *["plain" + chr(97 + i) for i in range(26)]]
+    clean = [" ".join(rng.choice(vocab) for _ in range(rng.randint(60, 90))) + "." for _ in range(60)]
+    junk = [" ".join(f"word{'$$$' if k % 2 else '###'}{i * 300 + k}" for k in range(300)) for i in range(31)]
+    spanish = " ".join(rng.choice(quality_rules.COMMON_WORDS["es"]) for _ in range(80))
+    rows = [(i, t, "en") for i, t in enumerate(clean)] + [(1000 + i, t, "en") for i, t in enumerate(junk[:30])] + [(2000, junk[30], "xx"), (3000, spanish, "es"), (3001, None, None)]
+    got = {r.doc_id: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ["doc_id"]).select("doc.doc_id", "base_failed", "word_distance", "kept").collect()}
+    assert len(got) == len(rows) and not any(r.base_failed for d, r in got.items() if d != 3001)
+    assert all(got[i].kept for i in range(60)) and not any(r.kept for d, r in got.items() if 1000 <= d <= 2000)
+    assert got[3000].kept and got[3000].word_distance > 0 and not got[3001].kept
+
+
 def test_jensen_shannon(spark):
     row = spark.range(1).select(*[quality_rules.jensen_shannon(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))).alias(n) for n, a, b in (
         ("same", [1, 3], [2, 6]), ("apart", [1, 0], [0, 5]), ("none", [0, 0], [1, 1]))]).first()

@@ -1,8 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-A document's histogram of character classes and its histogram of common words are compared with those of its language
-(all documents with the same `lang`) by Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). Below the
-minimum lengths a histogram says little, and its distance is null and fails nothing.
+A document's histogram of character classes and its histogram of common words are compared with the reference of its
+language by Jensen-Shannon distance (square root of the divergence in bits, 0 to 1). The reference is the median share of
+each class among the documents of the language that pass the base rules: each document counts once, and junk below half of
+them does not become the norm. A language with few such documents is compared with all languages (common words by their
+place in the lists, which run from frequent to rare). Below the minimum lengths a histogram says little, and its distance
+is null and fails nothing.
 
 Base rules come first: a document with under 20 words, or with over 30 % of its words in 8-word windows that occur twice or
 more in it, is rejected. Null and empty texts have no words and so are rejected. A null `lang` is a language of its own; a
@@ -38,6 +41,8 @@ MAX_WORD_DISTANCE = 0.62
 MIN_WORDS = 20
 MAX_REPEATED = 30          # per cent of the words
 WINDOW = 8
+MIN_REFERENCE = 30         # judged documents of a language, for a reference of its own
+STEPS = 10_000             # of a share, in the references
 
 
 def _total(a: Column) -> Column:
@@ -105,27 +110,58 @@ def jensen_shannon(a: Column, b: Column) -> Column:
     return F.when((_total(a) > 0) & (_total(b) > 0), F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x), F.lit(0.0))))
 
 
+def judged_chars(chars: Column) -> Column:
+    """Whether a text is long enough for its character classes to be judged."""
+    return _total(chars) >= MIN_CHARS
+
+
+def judged_commons(commons: Column) -> Column:
+    return _total(commons) >= MIN_COMMON
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
+
+
 def references(measured: DataFrame) -> DataFrame:
-    """One row per language: the summed histograms of all its documents."""
-    def summed(name: str, n: int) -> Column:
-        return F.array(*[F.coalesce(F.sum(F.get(F.col(name), F.lit(i))), F.lit(0)) for i in range(n)])
-    return measured.groupBy("language").agg(summed("chars", N_CLASSES).alias("ref_chars"),
-                                            summed("commons", max(map(len, COMMON_WORDS.values()))).alias("ref_commons"))
+    """One row per language, and one with a null language for all: `kind` (chars or commons), n_docs and twice the medians, `ref`.
+
+    Only rows that pass the base rules and are long enough count, each once, whatever its length. Shares are counted in
+    steps of 1/STEPS, so that at most STEPS + 1 counts per class meet in a median, and sums are whole and free of order.
+    """
+    def shares(name: str) -> Column:
+        a = F.col(name)
+        steps = F.transform(a, lambda x, i: F.struct(F.lit(name).alias("kind"), i.alias("i"), F.round(x * STEPS / F.nullif(_total(a), F.lit(0))).cast("int").alias("step")))
+        return F.when(judged_chars(a) if name == "chars" else judged_commons(a), steps)
+    places = F.explode(F.flatten(F.array_compact(F.array(shares("chars"), shares("commons")))))
+    counts = measured.filter(~base_failed()).select("language", places.alias("p")).groupBy("language", "p.kind", "p.i", "p.step").agg(F.count(F.lit(1)).alias("n"))
+    median = F.percentile("step", F.lit(0.5), F.col("n"))
+    counts = materialize(counts, "quality-shares")
+    medians = counts.groupBy("language", "kind", "i").agg(median.alias("m"), F.sum("n").alias("n"))
+    every = counts.groupBy("kind", "i").agg(median.alias("m"), F.sum("n").alias("n")).withColumn("language", F.lit(None).cast("string"))
+    ordered = F.sort_array(F.collect_list(F.struct("i", "m")))
+    return medians.unionByName(every).groupBy("language", "kind").agg(F.max("n").alias("n_docs"), F.transform(ordered, lambda x: (2 * x["m"]).cast("long")).alias("ref"))
 
 
 def judge(docs: DataFrame, keep: list[str] | None = None, max_char_distance: float = MAX_CHAR_DISTANCE,
           max_word_distance: float = MAX_WORD_DISTANCE) -> DataFrame:
     """`doc` (struct of the kept columns), the measures, base_failed, char_distance, word_distance and kept, one row per row.
 
-    The measures are written once; the references are one row per language, joined by Spark's own choice.
+    The measures are written once; the references are a row per language and kind, joined by Spark's own choice. A language
+    with under MIN_REFERENCE documents is compared with all languages: one row, read to the driver.
     """
     measured = materialize(measures(docs, docs.columns if keep is None else keep), "quality-measures")
     refs = materialize(references(measured), "quality-references")
-    rows = measured.join(refs, "language")
-    chars = F.when(_total(F.col("chars")) >= MIN_CHARS, jensen_shannon(F.col("chars"), F.col("ref_chars")))
+    every = {r.kind: r.ref for r in refs.filter("language IS NULL").collect()}
+    rows = measured
+    for kind in ("chars", "commons"):
+        mine = refs.filter((F.col("kind") == kind) & F.col("language").isNotNull() & (F.col("n_docs") >= MIN_REFERENCE))
+        rows = rows.join(mine.select("language", F.col("ref").alias(f"ref_{kind}")), "language", "left")
+        common = F.array(*map(F.lit, every[kind])).cast("array<long>") if kind in every else F.lit(None).cast("array<long>")
+        rows = rows.withColumn(f"ref_{kind}", F.coalesce(f"ref_{kind}", common))
+    chars = F.when(judged_chars(F.col("chars")), jensen_shannon(F.col("chars"), F.col("ref_chars")))
     ref = F.slice("ref_commons", 1, F.greatest(F.size("commons"), F.lit(1)))
-    commons = F.when(_total(F.col("commons")) >= MIN_COMMON, jensen_shannon(F.col("commons"), ref))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    rows = rows.withColumn("char_distance", chars).withColumn("word_distance", commons).withColumn("base_failed", failed)
+    commons = F.when(judged_commons(F.col("commons")), jensen_shannon(F.col("commons"), ref))
+    rows = rows.withColumn("char_distance", chars).withColumn("word_distance", commons).withColumn("base_failed", base_failed())
     odd = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > max_char_distance) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > max_word_distance)
     return rows.withColumn("kept", ~F.col("base_failed") & ~odd).drop("ref_chars", "ref_commons")
