@@ -217,6 +217,24 @@ def test_disguised_spans():
     assert pii.redacted("x a@b.co y") == "x <email> y" and pii.redacted(None) is None
 
 
+@pytest.mark.parametrize("kind, text", [
+    ("ip", "192 dot 168 dot 0 dot 17"), ("ip", "10(dot)0(dot)0(dot)5"), ("ip", "10[.]0[.]0[.]5"), ("ip", "192.168.one.17"), ("ip", "zehn 192 punkt 168 punkt null punkt 17"),
+    ("phone", "+49 30 1234567 five"), ("phone", "+49 301234567 five"), ("phone", "plus four nine (three zero) one two three four five six seven"),
+    ("phone", "plus vier neun drei null eins zwei drei vier fünf sechs"), ("phone", "plus trois trois un deux trois quatre cinq six sept huit"),
+    ("phone", "más tres cuatro nueve uno dos tres cuatro cinco seis siete"), ("card", "4111 1111 1111 111 one"), ("phone", "+๔๙ ๓๐ ๑๒๓๔๕๖๗"), ("ip", "𝟏𝟎.𝟎.𝟎.𝟓"),
+    ("email", "jane.doe at example.com"), ("email", "jane @ example . com"), ("email", "jane @ example.com"), ("email", "jane (punkt) doe (at) example (punkt) de"),
+    ("email", "juan arroba ejemplo punto es"), ("email", "jean point dupont arobase exemple point fr")])
+def test_disguises(kind, text):
+    found = pii.spans(f"so {text}, yes")[1]
+    start = 3 + 5 * text.startswith("zehn")
+    assert (start, 3 + len(text)) in found[kind], found
+
+
+def test_prose_is_no_disguise():
+    for text in ("at this point in time one of two", "the site is available at example.com now", "3 apples @ 3.50 each", "see you at 10.30 on Sept 12", "from one to nine. dot the i", "one " * 50_000, "1" * 50_000 + "a"):
+        assert pii.listed(pii.spans(text)[1]) == "", text[:60]
+
+
 def test_pii_keeps_rows(docs):
     assert pii.find(docs).count() == docs.count()
     assert pii.redact(docs).columns == docs.columns

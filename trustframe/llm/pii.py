@@ -3,7 +3,8 @@
 Plain (base) spans are the leftmost non-overlapping matches of each kind; matches that fail their test (octets up to 255,
 13-19 digits with a Luhn sum, 9-15 digits) are dropped without another try. Disguises are undone by transducers that
 write a normal form in segments, each knowing the source characters it came from: lookalike letters, full-width forms,
-other scripts' digits and invisible characters; "at" / "dot" in brackets or as words; digits spelled out. Matches in the
+other scripts' digits and invisible characters; "at" / "dot" in brackets, spaced or as words; digits spelled out, in four
+languages, wholly or in part. Matches in the
 normal form are mapped back to source characters and added if no base span of their kind already covers them; base spans
 stay as they are. Offsets count code points, ends are exclusive. Null and empty texts hold nothing.
 """
@@ -31,20 +32,39 @@ DIGIT_BYTES = b"0123456789"
 LOOKALIKES = dict(zip("аеорсухіјѕһԁԛԝАВЕКМНОРСТУХІЈЅαοικνρτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijshdqwABEKMHOPCTYXIJSaoikvptuxABEZHIKMNOPTYX"))
 LOOKALIKES |= {"‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", "．": ".", "＠": "@", "﹫": "@", " ": " ", " ": " ", " ": " "}
 INVISIBLE = "​‌‍⁠﻿­"
-# Words for digits.
-SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six seven eight nine".split())}
-NOT_ONE = [w for w in SPELLED if w != "one"]
-
-DISGUISED = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}！-～٠-٩۰-۹०-९]")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|[ \t]+dot[ \t]+)"
-MAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?:"
-                  rf"(?:@|{_AT})[A-Za-z0-9-]{{1,63}}(?:(?:\.|{_DOT})[A-Za-z0-9-]{{1,63}}){{1,8}}"
-                  rf"|[ \t]+at[ \t]+[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I)
-MAIL_AT, MAIL_DOT = re.compile(rf"{_AT}|[ \t]+at[ \t]+", re.I), re.compile(_DOT, re.I)
-_NUMBER_WORD = r"(?:" + "|".join(SPELLED) + r")"
-NUMBERS = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus[ \t]+|\+[ \t]?)?(?:{_NUMBER_WORD}|[0-9]{{1,19}})(?:[ \t]*[,.-]?[ \t]*(?:(?:dot|point)[ \t]+)?(?:{_NUMBER_WORD}|[0-9]{{1,19}})){{3,40}})(?![A-Za-z0-9])", re.I)
-NUMBER_PART = re.compile(rf"plus|\+|dot|point|\.|{_NUMBER_WORD}|[0-9]|[ \t,-]+", re.I)
+# Words for digits in English, German, French and Spanish.
+SPELLED = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun", "null eins zwo drei vier fuenf sechs sieben acht neun",
+                                   "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve") for i, w in enumerate(words.split())}
+# Words before "at" in prose, where "word at host.tld" names a place and no address.
+PROSE = frozenset("""available hosted found find look looking looked see visit online us me you him her them it site website page here there is are was were be more read
+arrive arrived live lives work works working meet register download join order ask sign posted published listed starts start begins one all not only""".split())
+OTHER_DIGITS = "".join(f"{chr(i)}-{chr(i + 9)}" for i in range(128, 0x110000) if unicodedata.decimal(chr(i), None) == 0 and unicodedata.decimal(chr(i + 9), None) == 9)
+
+DISGUISED = re.compile(f"[{''.join(LOOKALIKES)}{INVISIBLE}！-～𝐀-𝟿{OTHER_DIGITS}]")
+_AT_WORDS, _DOT_WORDS = r"(?:at|ät|arroba|arobase|arobas|klammeraffe)", r"(?:dot|punkt|punto|point)"
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*)"
+_DOT_SIGN = rf"\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*"
+
+
+def _mail(at: str, dot: str) -> re.Pattern:
+    """Addresses with the given words beside the bracketed and spaced signs."""
+    at, local = rf"(?:{_AT}|[ \t]+{at}[ \t]+|[ \t]*@[ \t]*)", rf"(?:{_DOT_SIGN}|[ \t]+{dot}[ \t]+|\.)"
+    return re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{local}[A-Za-z0-9_%+-]{{1,64}}){{0,8}})(?P<at>{at})"
+                      rf"(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:{local}|[ \t]+\.[ \t]+)[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I)
+
+
+# "point" is a word of English prose ("at this point in"): it is a dot only beside the French word for the sign, or in brackets.
+MAIL, MAIL_FR = _mail("(?:at|ät|arroba|klammeraffe)", "(?:dot|punkt|punto)"), _mail("arobase?", _DOT_WORDS)
+MAIL_HINT = re.compile(rf"[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]|[ \t](?:dot|punkt|punto)[ \t]|(?:[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|[ \t](?:at|ät|arroba|klammeraffe)[ \t]+|[ \t]@[ \t]*|@[ \t]+)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9]|[ \t]+\.)|@[A-Za-z0-9-]{{1,63}}[ \t]+\.", re.I)
+MAIL_DOT = re.compile(rf"{_DOT_SIGN}|[ \t]+{_DOT_WORDS}[ \t]+|[ \t]+\.[ \t]+", re.I)
+_NUMBER_WORD = r"(?>" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")"
+_ENDS = rf"(?={_NUMBER_WORD}|[\W\d_]|\Z|{_DOT_WORDS})"
+_ITEM = rf"(?:{_NUMBER_WORD}{_ENDS}|[0-9]{{1,19}}+(?={_NUMBER_WORD}|[\W_]|\Z|{_DOT_WORDS}))"
+_NUMBER_DOT = rf"[ \t]*[\[({{<]?[ \t]*(?:{_DOT_WORDS}|\.)[ \t]*[\])}}>]?[ \t]*"
+# Every step is possessive: a run is read once, however long.
+NUMBERS = re.compile(rf"(?<![A-Za-z0-9])(?:(?:plus|más|mas)[ \t]+|\+[ \t]?)?\(?{_ITEM}(?:(?:{_NUMBER_DOT}|[ \t]*(?:[-,/()][ \t]*){{0,3}}+){_ITEM})++", re.I)
+NUMBER_PART = re.compile(rf"plus|más|mas|\+|{_NUMBER_DOT}|{_NUMBER_WORD}|[0-9]|[ \t,/()-]+", re.I)
+DISGUISED_NUMBER = re.compile(rf"{_NUMBER_WORD}|{_DOT_WORDS}|[\[({{<][ \t]*\.|[ \t]\.[ \t]", re.I)
 
 
 def _luhn(digits: str) -> bool:
@@ -146,21 +166,49 @@ def _rewritten(text: str, match: re.Match, rules) -> Normal:
     pattern, write = rules
     for m in pattern.finditer(text, at, end):
         form.add(text[at:m.start()], at, m.start(), True)
-        form.add(write(m[0]), m.start(), m.end(), False)
+        form.add(write(m), m.start(), m.end(), False)
         at = m.end()
     form.add(text[at:end], at, end, True)
     return form
 
 
-MAIL_RULES = (re.compile(f"(?:{MAIL_AT.pattern})|(?:{MAIL_DOT.pattern})", re.I), lambda x: "@" if "at" in x.lower() or "@" in x else ".")
-
-
-def _digits(part: str) -> str:
-    low = part.lower()
-    return SPELLED.get(low) or {"plus": "+", "+": "+", "dot": ".", "point": ".", ".": "."}.get(low) or (low if low.isdigit() else "")
-
-
-NUMBER_RULES = (NUMBER_PART, _digits)
+def _digits(m: re.Match) -> str:
+    low = m[0].lower()
+    if low in SPELLED:
+        return SPELLED[low]
+    if low in ("plus", "más", "mas", "+"):
+        return "+"
+    return low if low.isdigit() else "." if "." in low or any(c.isalpha() for c in low) else ""
+
+
+def _spaced_digits(m: re.Match) -> str:
+    """As _digits, but separators beside digits stay: a number before an address is not part of it."""
+    out = _digits(m)
+    beside = m.string[max(m.start() - 1, 0):m.start()] + m.string[m.end():m.end() + 1]
+    return out or (" " if any(c in "0123456789" for c in beside) else "")
+
+
+NUMBER_RULES, SPACED_RULES = (NUMBER_PART, _digits), (NUMBER_PART, _spaced_digits)
+
+
+def _mail_form(text: str, m: re.Match) -> Normal | None:
+    """The plain address of a match; None for prose: spaced signs and a bare "at" need a host that ends in letters."""
+    form = Normal()
+    host = MAIL_DOT.sub(".", m["host"])
+    if m["at"] != "@" and host == m["host"] or " ." in m["host"]:
+        top = host.rpartition(".")[2]
+        if not (top.isalpha() and len(top) > 1) or m["at"].strip().lower() == "at" and m["local"].lower() in PROSE:
+            return None
+    for name in ("local", "host"):
+        at = m.start(name)
+        for d in MAIL_DOT.finditer(text, at, m.end(name)):
+            form.add(text[at:d.start()], at, d.start(), True)
+            form.add(".", d.start(), d.end(), False)
+            at = d.end()
+        form.add(text[at:m.end(name)], at, m.end(name), True)
+        if name == "local":
+            form.add("@", m.start("at"), m.end("at"), False)
+    return form
 
 
 def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
@@ -173,17 +221,20 @@ def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
         for kind, spans in plain_spans(plain).items():
             found[kind] += [back(*s) for s in spans]
     low = plain.lower()
-    if "dot" in low or "at" in low and any(b + s + "at" in low for b in "[({<" for s in ("", " ")) or "@" in plain and any(x in plain for x in ("[.]", "(.)", "[@]", "(@)", "{@}", "<@>", "{.}", "<.>")):
-        for m in MAIL.finditer(plain):
-            form = _rewritten(plain, m, MAIL_RULES)
-            found["email"] += [back(*form.back(*s)) for s in _emails(form.text)]
-    if sum(low.count(w) for w in NOT_ONE) >= 2 or "one one" in low or "one-one" in low:
-        for m in NUMBERS.finditer(plain):
-            if not any(w in m[0].lower() for w in SPELLED):
-                continue
-            form = _rewritten(plain, m, NUMBER_RULES)
-            for kind, spans in plain_spans(form.text).items():
-                found[kind] += [back(*form.back(*s)) for s in spans]
+    for pattern, hinted in ((MAIL, MAIL_HINT.search(plain)), (MAIL_FR, "arobas" in low)):
+        for m in pattern.finditer(plain) if hinted else ():
+            form = _mail_form(plain, m)
+            if form:
+                found["email"] += [back(*form.back(*s)) for s in _emails(form.text)]
+    for m in NUMBERS.finditer(plain):
+        if not DISGUISED_NUMBER.search(m[0]):
+            continue
+        form = _rewritten(plain, m, NUMBER_RULES)
+        for kind, spans in plain_spans(form.text).items():
+            found[kind] += [back(*form.back(*s)) for s in spans]
+        if "." in form.text:
+            form = _rewritten(plain, m, SPACED_RULES)
+            found["ip"] += [back(*form.back(*s)) for s in plain_spans(form.text)["ip"]]
     return found
 
 
