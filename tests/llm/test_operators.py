@@ -2,8 +2,10 @@
 
 import collections
 import math
+import os
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -247,6 +249,24 @@ def test_license_scan(spark):
     assert sorted((r.doc_id, r.license_id or "", r.notices) for r in got) == [(1, "MIT", ""), (2, "", ""), (2, "", "MIT"), (3, "", ""), (4, "", ""), (5, "", "")]
 
 
+def test_known_licenses_at_any_width(spark):
+    """Each known text, wrapped at several widths below a notice of its own, and each one-line notice among other lines."""
+    head = ["", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n", "Copyright The Authors\n\n", "  © 2019 Someone\n"]
+    cases = [(name, head[i % 4] + "\n".join(textwrap.fill(part, width, break_long_words=False, break_on_hyphens=False) for part in text.split("\n")))
+             for name, text in license_scan.KNOWN for i, width in enumerate([9, 25, 40, 60, 66, 72, 76, 79, 80, 100])]
+    for name in ("Apache-2.0", "MPL-2.0", "CC0-1.0"):      # texts of the system, if it has them
+        path = f"/usr/share/common-licenses/{name}"
+        whole = open(path, encoding="utf-8").read() if os.path.exists(path) else ""
+        cases += [(name, "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) if "Copyright [" not in p else p for p in re.split(r"\n[ \t]*\n", whole))) for width in (60, 79, 200) if whole]
+    isc = next(t for n, t in license_scan.KNOWN if n == "ISC")
+    cases.append(("ISC", isc.replace("that the above copyright", "that the above\ncopyright")))
+    lines = [(n, f"prose\n{t}\nmore") for n, t in license_scan.KNOWN if len(t) < 100]
+    rows = [(i, t) for i, (_, t) in enumerate(cases + lines)]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.known_digests(spark)).collect()}
+    assert [got[i].license_id for i in range(len(cases))] == [n for n, _ in cases]
+    assert [got[len(cases) + i].notices for i in range(len(lines))] == [n for n, _ in lines]
+
+
 def test_classifiers(spark):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choice(["good", "plain", "words", "here"]) for _ in range(60)) + (" *** ### $$$" * 20 if i % 3 == 0 else "") + (" idiot moron" if i % 5 == 0 else ""), 100)

@@ -1,6 +1,6 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
-A text's canonical form drops copyright lines, turns punctuation and white space into single spaces, folds case and writes
+A text's canonical form drops copyright notices and "All rights reserved." lines, turns punctuation and white space into single spaces, folds case and writes
 equivalent spellings one way. Its SHA-256 is joined with the digests of known licence texts, which pass through the same
 form. Whole texts are looked up; so is each line that mentions a licence, as notices such as "Released under the MIT
 License." stand alone in a document. Null and empty texts match nothing; repeated rows are each looked up.
@@ -17,9 +17,13 @@ EQUIVALENT = [("licence", "license"), ("licences", "licenses"), ("licenced", "li
               ("copyright holders", "copyright owners"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"), ("favour", "favor"),
               ("behaviour", "behavior"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("per cent", "percent"),
               ("gpl", "general public license"), ("version 2 0", "version 2"), ("version 3 0", "version 3")]
-COPYRIGHT_LINE = r"(?im)^[ \t/*#;-]*(?:copyright\b|\(c\)|©)[^\n]*$"
+# Lines that are notices: copyright with a sign or year, or with a name; licence prose wrapped before the word stays.
+COPYRIGHT_LINE = (r"(?im)^[ \t/*#;-]*(?:copyright\b[^\n]*(?:\(c\)|©|\b(?:19|20)[0-9]{2}\b)[^\n]*"
+                  r"|copyright[,:]?[ \t]+(?:by[ \t]+)?(?!(?:notices?|holders?|owners?|laws?|licen[cs]e[sd]?|statements?|and|or|on|in|is|of|to|as)\b)(?-i:[A-Z<\[{]|[^\x00-\x7F])[^\n]*"
+                  r"|©[^\n]*|\(c\)[ \t]*(?:copyright\b|[^\n]*\b(?:19|20)[0-9]{2}\b)[^\n]*|\(c\)(?:[ \t]+(?:(?-i:[A-Z])\S*|and|the|of|by|contributors|&))+[ \t*/#]*"
+                  r"|all[ \t]+rights[ \t]+reserved\.?[ \t*/#]*)$")
 PUNCTUATION = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”–—…©•·\u00A0]+"
-NOTICE = r"(?i)licen[cs]e|creative commons|public domain|spdx|\bcc[ -]by\b"
+NOTICE = r"(?i)licen[cs]e|creative commons|public domain|spdx|\bcc[ -]by\b|\bcc[ -]?0\b"
 
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -50,6 +54,23 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."), ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+# Digests of the canonical forms of longer licence texts, as published, with their appendices. They hold for
+# canonical() as it is: after a change there they have to be made again.
+KNOWN_DIGESTS = [
+    ("Apache-2.0", "c8d2aa544a47107a1313326d08631799d7732b4ea61f56a31a3092142a95dd37"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GPL-1.0", "37f380f152339f34a15db620545eb53f0b5c7d9e6a9542aa09ed0d22f186920f"),
+    ("GPL-2.0", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-3.0", "50d8b0a9c1269d769a3055a9f07c2cc1380d7c0b5419a26e55aff1a3839cfafd"),
+    ("LGPL-2.0", "548b377baab9abc6db389c5cb4f0a23dd569f7a693c975a404d5236cb931778a"),
+    ("LGPL-2.1", "b46de8959b6f2dc5b6059998870dfa1cc3154e4462202209195f3b933d67559d"),
+    ("LGPL-3.0", "af4f466bab5554afad60c219ff8bf29eddb00df6ef0f1fcf73fa05ad4b3289f5"),
+    ("MPL-1.1", "9c38a92c43b96c05d7c74eae14658e08f767c6c8865f2bf2143a1fb58853f1f0"),
+    ("MPL-2.0", "22c9324e5634aa07c32060365e6191d4f9ec61fafc6091ce7394333c6d7db95e"),
+    ("GFDL-1.2", "bd8e32052e49e6b79fccbdd5dc03f7d40e45a8e895e3ecb79394b97961ffb127"),
+    ("GFDL-1.3", "e7579a53c7b8214f091590d94bfe39deb978a080895ca5506448b8baf4f77985"),
+    ("Artistic-1.0", "bc4d0c00d493021b9f3b1041689fa28b4bf980cf2e37601f7cb475a7265e3b93"),
+]
 
 
 def canonical(text: Column) -> Column:
@@ -62,9 +83,9 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """license_id and digest of each known text: as many rows as the list has."""
-    rows = local_frame(spark, known, "license_id string, known string")
-    return rows.select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest")).dropDuplicates(["digest"])
+    """license_id and digest of each known text and digest: as many rows as the lists have."""
+    rows = local_frame(spark, known, "license_id string, known string").select("license_id", F.sha2(canonical(F.col("known")), 256).alias("digest"))
+    return rows.unionByName(local_frame(spark, KNOWN_DIGESTS, "license_id string, digest string")).dropDuplicates(["digest"])
 
 
 def scan(docs: DataFrame, digests: DataFrame) -> DataFrame:
