@@ -170,6 +170,21 @@ def test_report_regions_and_totals_are_reconciled(spark):
         ("SUM", "amount", 4, 3, "partial", ["Giza"])]
 
 
+def test_long_reports_and_long_labels_are_reconciled(spark):
+    """A report of 5,100 rows, and one whose labels mostly have 300 characters."""
+    data = [(i, f"c{i % 5100}", float(i)) for i in range(20_400)]
+    sums = [sum(float(i) for i in range(k, 20_400, 5100)) + (k >= 5080) for k in range(5100)]
+    orders = table(spark, "orders", "order_id long, city string, amount double", data, source="a")
+    report = table(spark, "report", "city string, sales double", [(f"C{k}", s) for k, s in enumerate(sums)], source="b")
+    got = Facts(TableSet(spark, [orders, report])).reconciliation().filter("number_column = 'sales'").collect()
+    assert [(r.agg, r.measure, r.compared, r.matched, r.status, len(r.mismatches)) for r in got] == [("SUM", "amount", 5100, 5080, "partial", 10)]
+    names = [x * 300 for x in "abc"] + ["d"]
+    orders = table(spark, "orders", "order_id long, city string, amount double", [(i, names[i % 4], float(i)) for i in range(40)], source="a")
+    report = table(spark, "report", "city string, sales double", [(n.upper(), float(sum(range(k, 40, 4)))) for k, n in enumerate(names)], source="b")
+    got = Facts(TableSet(spark, [orders, report])).reconciliation().filter("number_column = 'sales'").collect()
+    assert [(r.agg, r.measure, r.compared, r.matched, r.status) for r in got] == [("SUM", "amount", 4, 4, "reconciled")]
+
+
 def test_repairs(spark):
     t = table(spark, "dirty", "city string, quantity_text string",
               [("Cairo", "1"), ("Cairo", "1,234"), ("cairo", "not a number"), (" CAIRO ", "4"), ("N/A", "5")])

@@ -79,8 +79,8 @@ OUTLIER_FENCE = 3.0
 NEGATIVE_SHARE = 0.02
 TREND_Z = 3.5
 EXAMPLES = 5
-REPORT_ROWS = (2, 1000)
-REPORT_DIM_DISTINCT = (2, 5000)
+MIN_REPORT_ROWS = 2
+MIN_REPORT_DIM_DISTINCT = 2
 LABEL_OVERLAP = 0.6
 MATCH_SHARE = 0.5
 VOLUME_WARNING = 0.2

@@ -5,14 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.numbers import close_to
 from ..functions.text import fold
-from ..session import local_frame
+from ..session import local_frame, materialize
 from ..tables import Table, TableSet, kind_of
-from .frequencies import value_text
+from .frequencies import LONG_TEXT, value_text
 from .quality import text_columns, without_flagged
 
 ALL = "__all__"
@@ -73,6 +73,13 @@ def source_series(table: Table, dims: list[tuple[int, str]], measures: list[str]
         "source_id", "dim", "dim_at", "label", "s.*")
 
 
+def long_labels(table: Table, dim: str, dim_at: int) -> DataFrame:
+    """(source_id, dim, dim_at, folded) of the labels whose frequencies hold a digest instead."""
+    c = F.col(f"`{dim}`").cast("string")
+    return table.df.filter(F.length(c) > LONG_TEXT).select(F.lit(table.table_id).alias("source_id"), F.lit(dim).alias("dim"),
+                                                           F.lit(dim_at).cast("int").alias("dim_at"), fold(c).alias("folded"))
+
+
 def reconcile(tables: TableSet, profiles: DataFrame, frequencies: DataFrame, roles: DataFrame, sources: list[str],
               flags: DataFrame, lineage: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Best explanation per report column: which sum or count of which source it repeats, and where it differs.
@@ -81,8 +88,8 @@ def reconcile(tables: TableSet, profiles: DataFrame, frequencies: DataFrame, rol
     `sources` are the table ids with computed key numbers; `lineage` (table_id, target_table_id) narrows them.
     """
     counts = {r.table_id: r.row_count for r in profiles.groupBy("table_id").agg(F.max("row_count").alias("row_count")).collect()}
-    low, high = V.REPORT_ROWS
-    parts = [report_cells(t, regions) for t in tables.tables if low <= counts.get(t.table_id, 0) <= high]
+    longest = max((counts.get(t, 0) for t in sources), default=0)
+    parts = [report_cells(t, regions) for t in tables.tables if V.MIN_REPORT_ROWS <= counts.get(t.table_id, 0) < longest]
     cells = [p for p in parts if p is not None]
     if not cells:
         return _empty(tables)
@@ -96,11 +103,14 @@ def reconcile(tables: TableSet, profiles: DataFrame, frequencies: DataFrame, rol
 
     # which dimensions hold the labels?
     dims = (roles.filter(~F.col("role").isin("money", "quantity", "percentage", "date", "free_text"))
-            .filter(F.col("distinct_count").between(*V.REPORT_DIM_DISTINCT) & F.col("table_id").isin(sources))
+            .filter((F.col("distinct_count") >= V.MIN_REPORT_DIM_DISTINCT) & F.col("table_id").isin(sources))
             .select("column_no", F.col("table_id").alias("source_id"), F.col("column_name").alias("dim"),
                     F.col("position").alias("dim_at"), "kind"))
-    values = (frequencies.join(dims, "column_no").select("source_id", "dim", "dim_at", fold(value_text(F.col("kind"))).alias("folded"))
-              .distinct())
+    held = frequencies.join(dims, "column_no")
+    values = held.select("source_id", "dim", "dim_at", fold(value_text(F.col("kind"))).alias("folded"))
+    for r in held.filter("digest IS NOT NULL").select("source_id", "dim", "dim_at").distinct().collect():      # columns with long labels
+        values = values.unionByName(long_labels(tables.table(r.source_id), r.dim, r.dim_at))
+    values = values.distinct()
     sizes = local_frame(tables.spark, [(t, n) for t, n in counts.items()], "table_id string, rows long")
     pairs = report.select("report_id").distinct().join(sizes.toDF("report_id", "report_rows"), "report_id")
     labels = report.filter("NOT is_total").select(*columns, "folded").distinct()
@@ -129,19 +139,23 @@ def reconcile(tables: TableSet, profiles: DataFrame, frequencies: DataFrame, rol
     match = local_frame(tables.spark, [tuple(r) for r in chosen], "report_id string, region_no int, label_column string, label_at int, "
                                                                 "source_id string, dim string, dim_at int")
     wanted_label = F.when(F.col("is_total"), F.lit(ALL)).otherwise(F.col("folded"))
-    compared = (report.join(match, columns).withColumn("wanted", wanted_label)
-                .join(series.withColumnRenamed("label", "wanted"), ["source_id", "dim", "dim_at", "wanted"])
-                .withColumn("ok", close_to(F.col("value"), F.col("expected"))))
+    compared = materialize(report.join(match, columns).withColumn("wanted", wanted_label)
+                           .join(series.withColumnRenamed("label", "wanted"), ["source_id", "dim", "dim_at", "wanted"])
+                           .withColumn("ok", close_to(F.col("value"), F.col("expected"))), "compared")
     best_keys = ["report_id", "region_no", "number_column"]
     option = [*columns, "number_column", "source_id", "dim", "dim_at", "agg_at", "agg", "measure"]
     miss = F.struct("row_id", "label", F.col("value").alias("report"), F.round("expected", 6).alias("data"))
-    scored = compared.groupBy(*option).agg(
-        F.count(F.lit(1)).alias("compared"), F.count_if("ok").alias("matched"),
-        F.slice(F.array_sort(F.collect_list(F.when(~F.col("ok"), miss))), 1, 10).alias("mismatches"))
+    scored = compared.groupBy(*option).agg(F.count(F.lit(1)).alias("compared"), F.count_if("ok").alias("matched"))
     good = scored.filter((F.col("compared") >= 2) & (F.col("matched") >= V.MATCH_SHARE * F.col("compared")))
     order = F.struct((-F.col("matched")).alias("a"), "source_id", "dim_at", "label_at", "agg_at")
-    details = ["label_column", "source_id", "dim", "agg", "measure", "compared", "matched", "mismatches"]
-    best = good.groupBy(*best_keys).agg(F.min_by(F.struct(*details), order).alias("b")).select(*best_keys, "b.*")
+    chosen_by = ["label_column", "label_at", "source_id", "dim", "dim_at", "agg_at", "agg", "measure"]
+    best = good.groupBy(*best_keys).agg(F.min_by(F.struct(*chosen_by, "compared", "matched"), order).alias("b")).select(*best_keys, "b.*")
+    # of a report of any length the first ten differences, cut per task before they meet
+    missed = compared.filter("NOT ok").join(best.select(*best_keys, *chosen_by), [*best_keys, *chosen_by], "left_semi").select(*best_keys, miss.alias("m"))
+    first = missed.withColumn("_n", F.row_number().over(Window.partitionBy(*best_keys).orderBy("m"))).filter("_n <= 10")
+    shown = first.groupBy(*best_keys).agg(F.array_sort(F.collect_list("m")).alias("mismatches"))
+    best = best.join(shown, best_keys, "left").withColumn("mismatches", F.coalesce("mismatches", F.array().cast(shown.schema["mismatches"].dataType)))
+    best = best.select(*best_keys, "label_column", "source_id", "dim", "agg", "measure", "compared", "matched", "mismatches")
     return best.withColumn("status", F.when(F.col("matched") == F.col("compared"), "reconciled").otherwise("partial"))
 
 
