@@ -7,11 +7,13 @@ import os
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, jaccard, license_scan, lm_scoring, neighbours, packing, pii, quality, quality_rules, toxicity
+from . import bpe, jaccard, license_scan, lm_scoring, neighbours, packing, periodic_runs, pii, quality, quality_rules, sharding, toxicity, whitening
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 WINDOW = 1024
+SHARDS = 24
+COMPONENTS = 8
 KEEP_SCORE = 0.7
 
 
@@ -84,6 +86,63 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def repeating_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where one document in ten repeats a stretch of its words to its end (chosen by the CRC of its id)."""
+    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    chosen = chosen.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    chosen = chosen.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    period = (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, period), F.ceil((F.col("n") - F.col("a")) / period).cast("int")))
+    rebuilt = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a")))
+    return chosen.select("doc_id", F.when(F.col("n") > 0, rebuilt).otherwise(F.col("text")).alias("text"))
+
+
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(repeating_tails(table(spark, sf_dir, "documents")))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))))
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, r: F.when(r["length"] * x["period"] > x["length"] * r["period"], r).otherwise(x))
+    rows = found.select("doc.doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.report(table(spark, sf_dir, "embeddings"), "embedding", COMPONENTS, keep=["vec_id"])
+    return rows.select("doc.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.slots(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_quality, op4_bpe, op5_packing, op6_quality_rules, op7_neighbours, op8_pii,
-                                   op9_lm_scoring, op10_jaccard)}
-ORACLE: dict[str, str] = {}
+                                   op9_lm_scoring, op10_jaccard, op11_runs, op12_whitening, op13_sharding)}
+
+
+#: CRC-32 from its table, jumps as a fold over a struct that keeps the last shard below the count.
+SHARDING_SQL = """
+WITH crc_table AS (
+  SELECT list(v ORDER BY b) AS t
+  FROM (SELECT b, list_reduce(range(0, 8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, b) AS v
+        FROM (SELECT unnest(range(0, 256)) AS b))),
+measured AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size,
+         xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT),
+                         lambda a, b: xor(a // 256, t[xor(a % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+  FROM documents, crc_table),
+grown AS (
+  SELECT *, {jump_now} AS shard, {jump_grown} AS grown_shard
+  FROM measured)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws(':', coalesce(doc_id::VARCHAR, '\\N'), text_crc32::VARCHAR, size::VARCHAR)),
+                          doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+       grown_shard
+FROM grown
+"""
+JUMP_SQL = """CAST(list_reduce(range(0, {n}), lambda s, i: CASE WHEN s.done THEN s ELSE
+    CASE WHEN floor((s.shard + 1) * (2147483648.0 / (((s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE)) < {n}
+         THEN {{'k': (s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT, 'done': false,
+               'shard': floor((s.shard + 1) * (2147483648.0 / (((s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE))::BIGINT}}
+         ELSE {{'k': s.k, 'done': true, 'shard': s.shard}} END END,
+    {{'k': ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 16))::UBIGINT::HUGEINT, 'done': false, 'shard': 0::BIGINT}}).shard AS INTEGER)"""
+ORACLE: dict[str, str] = {"op13_sharding": SHARDING_SQL.format(jump_now=JUMP_SQL.format(n=SHARDS), jump_grown=JUMP_SQL.format(n=SHARDS + 1))}
