@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from trustframe import Table, TableSet
 from trustframe.operators import grid as G, regions as R, rules, runlog as L
 from trustframe.plans.grid_queries import make_workbook
-from trustframe.plans.read_api import Reader, result
+from trustframe.plans.read_api import Reader, TimedOut, envelopes, result
 from trustframe.plans.facts import Facts
 from trustframe.sources import documents as D, inventory as I, journal as J, workbook as W
 from trustframe.sources.publish import NotPublished, RunStore
@@ -175,6 +175,15 @@ def test_views_and_bounded_reads(spark):
         views.sql("SELECT 1; SELECT 2")
     r = result("sample", Reader(facts).sample("sales"), rows=1)
     assert len(r.rows) == 1 and r.truncated
+    reader = Reader(facts, views)
+    whole, cut = reader.query("SELECT * FROM a__sales ORDER BY i"), reader.query("SELECT i, r FROM a__sales ORDER BY i", rows=1)
+    assert (whole.rows, whole.total, whole.truncated) == ([[1, "N", 1], [2, "Total", 1]], 2, False)
+    assert (cut.rows, cut.total, cut.truncated) == ([[1, "N"]], 2, True) and "left out of: sales" in cut.hint and "qualify these" in cut.hint
+    assert [(e.row_count, e.total_rows, e.truncated, e.rows) for e in envelopes(spark, [cut]).collect()] == [(1, 2, True, ['[1, "N"]'])]
+    with pytest.raises(rules.PackError, match="different names"):
+        reader.query("SELECT i, i FROM sales")
+    with pytest.raises(TimedOut):
+        reader.query("SELECT count(*) AS n FROM range(100000000) a, range(100000) b WHERE a.id % 7 = b.id % 11", seconds=1.5)
     for section in ("quality", "keys", "column_roles", "grain", "row_flags", "table_kind", "definitions", "digest"):
         assert Reader(facts).meta(section).columns
     with pytest.raises(ValueError):

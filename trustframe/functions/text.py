@@ -132,6 +132,10 @@ def location(part: Column, page: Column, section: Column, kind: Column) -> Colum
     return F.when(path == "", kind).otherwise(path)
 
 
+#: What `register_sql_functions` adds to free SQL.
+SQL_FUNCTIONS = frozenset(["fold", "search_form"])
+
+
 def register_sql_functions(spark: SparkSession) -> None:
     """`fold` and `search_form` for free SQL, as SQL functions: they are inlined and stay inside code generation."""
     letters, targets = V.LETTER_FORMS

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
+import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators import digest as D, find as W, repair
+from ..operators.admission import SqlRefused
 from ..operators.profile import profile_with_examples
 from ..operators.quality import severity_rank
+from ..session import local_frame
 from ..sources.views import Views
 from .facts import Facts
 
@@ -23,6 +29,7 @@ class Result:
     columns: list[str]
     rows: list[list]
     truncated: bool
+    total: int | None
     bytes: int
     elapsed_ms: float
     hint: str = ""
@@ -43,15 +50,59 @@ def capped(df: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES) -> DataFr
     return sized_rows(df, rows).filter((F.col("_no") <= rows) & (F.col("_bytes") <= size)).select(*df.columns)
 
 
-def result(tool: str, df: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES, hint: str = "", **evidence) -> Result:
+class TimedOut(RuntimeError):
+    """A bounded read took longer than it may."""
+
+
+def _within(spark: SparkSession, seconds: float | None, read):
+    """What `read` returns; its jobs are cancelled, and TimedOut raised, after `seconds`."""
+    if seconds is None:
+        return read()
+    tag, late = f"bounded-read-{uuid.uuid4().hex}", threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    spark.addTag(tag)
+    timer.start()
+    try:
+        return read()
+    except Exception as e:
+        if late.is_set():
+            raise TimedOut(f"stopped after {seconds:g} seconds") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
+def result(tool: str, df: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES, hint: str = "", total: bool = False, seconds: float | None = None,
+           **evidence) -> Result:
+    """The envelope of a bounded read. `total`: also count what was cut (a second run of the plan, only if rows were cut);
+    `seconds`: how long it may take."""
     started = time.perf_counter()
-    got = sized_rows(df, rows).orderBy("_no").collect()
+
+    def read() -> tuple:
+        got = sized_rows(df, rows).orderBy("_no").collect()
+        return got, len(got) if len(got) <= rows else df.count() if total else None
+
+    got, count = _within(df.sparkSession, seconds, read)
     kept = [r for r in got if r["_no"] <= rows and r["_bytes"] <= size]
     values = [[r[c] for c in df.columns] for r in kept]
-    return Result(tool, df.columns, values, len(kept) < len(got), kept[-1]["_bytes"] if kept else 0,
+    return Result(tool, df.columns, values, len(kept) < len(got), count, kept[-1]["_bytes"] if kept else 0,
                   round((time.perf_counter() - started) * 1000, 2), hint, evidence)
 
 
+def envelopes(spark: SparkSession, results: list[Result]) -> DataFrame:
+    """One row per result: tool, columns, rows as JSON, row_count, total_rows, truncated, bytes, hint and evidence."""
+    return local_frame(spark, [(r.tool, r.columns, [json.dumps(v, ensure_ascii=False, default=str) for v in r.rows], len(r.rows), r.total, r.truncated,
+                                r.bytes, r.hint, [(k, str(v)) for k, v in r.evidence.items()]) for r in results],
+                       "tool string, columns array<string>, rows array<string>, row_count long, total_rows long, truncated boolean, bytes long, hint string, "
+                       "evidence map<string,string>")
+
+
 class Reader:
     """Read tools over the facts of one set of tables."""
 
@@ -105,6 +156,14 @@ class Reader:
             self.views = Views(self.facts.tables, self.facts.flags)
         return self.views.sql(statement)
 
+    def query(self, statement: str, rows: int = MAX_ROWS, size: int = MAX_BYTES, seconds: float | None = None) -> Result:
+        """The envelope of one read-only statement, with the number of all its rows."""
+        df = self.sql(statement)
+        doubled = sorted(c for c, n in Counter(df.columns).items() if n > 1)
+        if doubled:
+            raise SqlRefused("columns need different names: " + ", ".join(doubled))
+        return result("sql", df, rows, size, hint=self.views.hint(), total=True, seconds=seconds, statement=statement)
+
     def table(self, name: str) -> dict[str, DataFrame]:
         """Columns with roles, grain, key numbers and a sample of one table."""
         t = self.facts.tables.table(name)

@@ -14,7 +14,7 @@ from ..sources.views import Views
 from ..tables import Table, TableSet
 from .facts import Facts
 from .inputs import (DIRTY_ORDERS_SQL, SALES_WITH_TOTALS_SQL, dirty_orders, load, renamed_orders, sales_with_totals, star)
-from .read_api import Reader, capped
+from .read_api import Reader, capped, envelopes
 from .refresh import refresh, snapshot
 
 PACK = {
@@ -317,6 +317,47 @@ SQL_FUNCTIONS_SQL = """SELECT replace(lower(o_orderpriority), '-', ' ') AS form,
 UNION ALL SELECT 'grösse ' || lower(p_type) || ' 3', count(*) FROM part GROUP BY 1"""
 
 
+def _sql_set_operations(spark, sf):
+    """INTERSECT, EXCEPT and UNION, with and without ALL, over several tables in free SQL."""
+    views = Views(star(spark, sf, ["orders", "customer", "supplier", "nation"]))
+    return views.sql("""WITH customers AS (SELECT c_nationkey AS nation, c_acctbal > 0 AS pays FROM customer),
+                             suppliers AS (SELECT s_nationkey AS nation, s_acctbal > 0 AS pays FROM supplier)
+        SELECT 'both' AS part, nation, count(*) AS n FROM (SELECT * FROM customers INTERSECT ALL SELECT * FROM suppliers) GROUP BY nation
+        UNION ALL SELECT 'customers only', nation, count(*) FROM (SELECT * FROM customers EXCEPT ALL SELECT * FROM suppliers) GROUP BY nation
+        UNION SELECT 'without orders', c_nationkey, count(*) FROM customer
+              WHERE c_custkey IN (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) GROUP BY c_nationkey
+        UNION SELECT 'unused nation', nation, 1 FROM (SELECT n_nationkey AS nation FROM nation EXCEPT (SELECT nation FROM customers INTERSECT SELECT nation FROM suppliers))""")
+
+
+SET_OPERATIONS_SQL = """WITH customers AS (SELECT c_nationkey AS nation, c_acctbal > 0 AS pays FROM customer),
+  suppliers AS (SELECT s_nationkey AS nation, s_acctbal > 0 AS pays FROM supplier)
+SELECT 'both' AS part, nation, count(*) AS n FROM (SELECT * FROM customers INTERSECT ALL SELECT * FROM suppliers) GROUP BY nation
+UNION ALL SELECT 'customers only', nation, count(*) FROM (SELECT * FROM customers EXCEPT ALL SELECT * FROM suppliers) GROUP BY nation
+UNION ALL SELECT 'without orders', c_nationkey, count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_nationkey
+UNION ALL SELECT 'unused nation', n_nationkey, 1 FROM nation WHERE n_nationkey NOT IN (SELECT nation FROM customers INTERSECT SELECT nation FROM suppliers)"""
+
+
+def _sql_envelopes(spark, sf):
+    """What the bounded SQL tool says of a whole, a row-capped and a byte-capped answer."""
+    reader = Reader(Facts(star(spark, sf, ["orders", "nation"])))
+    asked = ["SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey ORDER BY n_regionkey",
+             "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey", "SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey"]
+    shown = envelopes(spark, [reader.query(asked[0]), reader.query(asked[1], rows=20), reader.query(asked[2], size=100)])
+    return shown.select("tool", F.array_join("columns", ",").alias("columns"), F.concat(F.lit("["), F.array_join("rows", ", "), F.lit("]")).alias("rows"), "row_count", "total_rows",
+                        "truncated", F.col("evidence")["statement"].alias("statement"))
+
+
+SQL_ENVELOPES_SQL = """WITH a AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1),
+o AS (SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 20),
+c AS (SELECT n_nationkey, n_name, sum(length('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}') + 2) OVER (ORDER BY n_nationkey) AS b FROM nation)
+SELECT 'sql' AS tool, 'n_regionkey,n' AS columns, '[' || string_agg('[' || n_regionkey || ', ' || n || ']', ', ' ORDER BY n_regionkey) || ']' AS "rows", count(*) AS row_count, count(*) AS total_rows,
+  false AS truncated, 'SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey ORDER BY n_regionkey' AS statement FROM a
+UNION ALL SELECT 'sql', 'o_orderkey,o_orderstatus', '[' || string_agg('[' || o_orderkey || ', "' || o_orderstatus || '"]', ', ' ORDER BY o_orderkey) || ']', count(*), (SELECT count(*) FROM orders),
+  true, 'SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey' FROM o
+UNION ALL SELECT 'sql', 'n_nationkey,n_name', '[' || string_agg('[' || n_nationkey || ', "' || n_name || '"]', ', ' ORDER BY n_nationkey) || ']', count(*), (SELECT count(*) FROM nation),
+  true, 'SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey' FROM c WHERE b <= 100"""
+
+
 def _capped(spark, sf):
     """A bounded read of the ten cheapest parts within 400 bytes."""
     p = load(spark, sf, "part").select("p_partkey", "p_name").orderBy("p_partkey")
@@ -365,13 +406,13 @@ QUERIES = {
     "rules_pack": _rules, "kpis_pack": _kpis, "count_rules_lineitem": _count_rules, "repairs_planted": _repairs,
     "repaired_view_planted": _repaired, "changes_two_runs": _changes, "change_counts": _change_counts, "row_difference_lineitem": _row_difference,
     "lineage_formulas": _lineage, "readiness": _readiness, "gaps": _gaps, "catalog_report": _report, "audit_tables": _audit,
-    "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "sql_functions": _sql_functions, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
+    "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "sql_functions": _sql_functions, "sql_set_operations": _sql_set_operations, "sql_envelopes": _sql_envelopes, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
     "trace_tool": _trace_tool,
 }
 ORACLE = {
     "rules_pack": RULES_SQL, "kpis_pack": KPIS_SQL, "count_rules_lineitem": COUNT_RULES_SQL, "repairs_planted": REPAIRS_SQL,
     "repaired_view_planted": REPAIRED_SQL, "changes_two_runs": CHANGES_SQL, "row_difference_lineitem": ROW_DIFFERENCE_SQL,
     "lineage_formulas": LINEAGE_SQL, "readiness": READINESS_SQL, "gaps": GAPS_SQL, "catalog_report": REPORT_SQL, "audit_tables": AUDIT_SQL,
-    "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "sql_functions": SQL_FUNCTIONS_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
+    "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "sql_functions": SQL_FUNCTIONS_SQL, "sql_set_operations": SET_OPERATIONS_SQL, "sql_envelopes": SQL_ENVELOPES_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
     "describe_tool": DESCRIBE_SQL, "trace_tool": TRACE_SQL,
 }
