@@ -1,12 +1,13 @@
 import datetime as dt
 import itertools
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from trustframe import Table, TableSet
-from trustframe.operators import audit, changes as H, digest as D, profile as P, quality as Q, relations as R, repair as E, rows, semantics as S
+from trustframe.operators import audit, changes as H, digest as D, profile as P, quality as Q, reconcile as C, relations as R, repair as E, rows, semantics as S
 from trustframe.operators.anomalies import rare_negatives
 from trustframe.operators.frequencies import merge_frequencies, value_frequencies
 from trustframe.operators.quantiles import order_statistics
@@ -185,6 +186,41 @@ def test_long_reports_and_long_labels_are_reconciled(spark):
     assert [(r.agg, r.measure, r.compared, r.matched, r.status) for r in got] == [("SUM", "amount", 4, 4, "reconciled")]
 
 
+def test_reports_without_a_match_are_never_read(spark):
+    """Labels meet in the value frequencies: a report that shares none is not scanned, and of one that does only its label columns that match."""
+    data = [(i, f"c{i % 40}", float(i)) for i in range(400)]
+    orders = table(spark, "orders", "order_id long, city string, amount double", data, source="a")
+    report = table(spark, "report", "city string, remark string, sales double", [(f"C{k}", f"r{k}", float(sum(range(k, 400, 40)))) for k in range(40)], source="b")
+    other = table(spark, "other", "word string, size double", [(f"w{k}", float(k)) for k in range(30)], source="c")
+    long = table(spark, "long", "word string, size double", [("x" * 300 + str(k), float(k)) for k in range(30)], source="d")
+    facts = Facts(TableSet(spark, [orders, report, other, long]))
+    facts.frequencies, facts.profiles, facts.roles
+
+    def unreadable(t, names):
+        broken = [F.raise_error(F.concat(F.lit("read "), F.col(c).cast("string"))).cast(kind).alias(c) if c in names else F.col(c) for c, kind in t.df.dtypes]
+        return replace(t, df=t.df.select(*broken))
+
+    safe = TableSet(spark, [orders, unreadable(report, ["remark"]), unreadable(other, ["word", "size"]), unreadable(long, ["word", "size"])])
+    got = C.reconcile(safe, facts.profiles, facts.frequencies, facts.roles, [orders.table_id], facts.all_flags).collect()
+    assert [(r.label_column, r.number_column, r.compared, r.matched, r.status) for r in got] == [("city", "sales", 40, 40, "reconciled")]
+
+
+def test_a_report_of_a_million_rows(spark):
+    n = 1_000_000
+    orders = Table("orders", spark.range(2 * n).select(F.col("id").alias("order_id"), F.concat(F.lit("c"), F.col("id") % n).alias("city"), F.col("id").cast("double").alias("amount")), "order_id", source="a")
+    sold = (2 * F.col("id") + n).cast("double") + F.when(F.col("id") % 4 == 0, 1000.0).otherwise(0.0)
+    report = Table("report", spark.range(n).select(F.col("id").alias("row_no"), F.concat(F.lit("C"), F.col("id")).alias("city"), sold.alias("sales")), "row_no", source="b", hide_row_id=True)
+    tables = TableSet(spark, [orders, report])
+    schema = "column_no int, table_id string, column_name string, position int, role string, distinct_count long, kind string, sql_type string"
+    roles = spark.createDataFrame([(tables.number(orders, "city"), orders.table_id, "city", 1, "dimension", n, "text", "TEXT"),
+                                   (tables.number(orders, "amount"), orders.table_id, "amount", 2, "money", 2 * n, "real", "REAL")], schema)
+    counts = spark.createDataFrame([(orders.table_id, 2 * n), (report.table_id, n)], "table_id string, row_count long")
+    flags = spark.createDataFrame([], "table_id string, row_id long, flag string, detail string")
+    got = C.reconcile(tables, counts, value_frequencies(tables), roles, [orders.table_id], flags).collect()
+    assert [(r.agg, r.measure, r.compared, r.matched, r.status, [m.row_id for m in r.mismatches]) for r in got] == [
+        ("SUM", "amount", n, 3 * n // 4, "partial", [4 * k for k in range(10)])]
+
+
 def test_repairs(spark):
     t = table(spark, "dirty", "city string, quantity_text string",
               [("Cairo", "1"), ("Cairo", "1,234"), ("cairo", "not a number"), (" CAIRO ", "4"), ("N/A", "5")])

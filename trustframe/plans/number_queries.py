@@ -10,7 +10,7 @@ from ..operators import anomalies as A, digest as D
 from ..operators.quantiles import order_statistics
 from ..tables import Table, TableSet
 from .facts import Facts
-from .inputs import load, renamed_orders, star
+from .inputs import base_table, load, renamed_orders, star
 
 AS_OF = dt.date(2024, 6, 30)
 
@@ -261,12 +261,37 @@ RECONCILE_SQL = """SELECT 'sales' AS number_column, 'priority name' AS label_col
 UNION ALL SELECT 'order_count', 'priority name', 'priority', 'COUNT', '*', count(DISTINCT o_orderpriority) + 1,
   count(DISTINCT o_orderpriority) + 1, 'reconciled', '' FROM orders"""
 
+
+def _customer_report(spark, sf):
+    """A report of every customer with orders: names in capitals, one sum in fifty drifted."""
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    sums = o.join(c, o.o_custkey == c.c_custkey).groupBy("c_custkey", "c_name").agg(F.round(F.sum("o_totalprice"), 2).alias("spent"), F.count(F.lit(1)).alias("orders"))
+    drift = F.when(F.col("c_custkey") % 50 == 0, F.col("spent") + 10).otherwise(F.col("spent"))
+    return sums.select(F.col("c_custkey").alias("row_no"), F.upper("c_name").alias("client"), F.lit("checked").alias("remark"), drift.alias("spent"), "orders")
+
+
+def _reconcile_customers(spark, sf):
+    o, c = load(spark, sf, "orders"), load(spark, sf, "customer")
+    named = o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", F.col("c_name").alias("customer"), "o_orderpriority", F.col("o_totalprice").alias("total_price"), "o_orderdate")
+    tables = TableSet(spark, [Table("sales", named, "o_orderkey", source="data"), Table("clients", _customer_report(spark, sf), "row_no", source="reports", hide_row_id=True),
+                              base_table(spark, sf, "part"), base_table(spark, sf, "supplier")])
+    found = Facts(tables).reconciliation().filter(F.col("report_id") == tables.table("clients").table_id)
+    return found.select("number_column", "label_column", "dim", "agg", "measure", "compared", "matched", "status",
+                        F.array_join(F.transform("mismatches", lambda m: m["label"]), ",").alias("mismatch_labels"))
+
+
+RECONCILE_CUSTOMERS_SQL = """WITH r AS (SELECT DISTINCT c_custkey, upper(c_name) AS name FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT 'spent' AS number_column, 'client' AS label_column, 'customer' AS dim, 'SUM' AS agg, 'total_price' AS measure, count(*) AS compared,
+  count(*) FILTER (c_custkey % 50 <> 0) AS matched, CASE WHEN bool_or(c_custkey % 50 = 0) THEN 'partial' ELSE 'reconciled' END AS status,
+  coalesce((SELECT string_agg(name, ',' ORDER BY c_custkey) FROM (SELECT * FROM r WHERE c_custkey % 50 = 0 ORDER BY c_custkey LIMIT 10)), '') AS mismatch_labels FROM r
+UNION ALL SELECT 'orders', 'client', 'customer', 'COUNT', '*', count(*), count(*), 'reconciled', '' FROM r"""
+
 QUERIES = {
     "digest_orders": _digest_orders, "digest_lineitem": _digest_lineitem, "digest_customer": _digest_customer,
     "digest_choices": _choices, "sum_rows_planted": _sum_rows, "quantiles_lineitem": _quantiles, "outliers_events": _outliers,
     "negatives_planted": _negatives, "missing_months_planted": _missing_months, "trend_jump_planted": _trend_jump,
     "dates_out_of_range_planted": _bad_dates, "anomalies_planted": _anomalies, "aggregate_tool": _aggregate,
-    "reconcile_priority_report": _reconcile,
+    "reconcile_priority_report": _reconcile, "reconcile_customer_report": _reconcile_customers,
 }
 ORACLE = {
     "digest_orders": _digest_sql(RENAMED_SQL, [("amount", True)], ["priority", "status"], "order_date", "amount"),
@@ -276,5 +301,5 @@ ORACLE = {
     "digest_choices": CHOICES_SQL, "sum_rows_planted": SUM_ROWS_SQL, "quantiles_lineitem": QUANTILES_SQL,
     "outliers_events": OUTLIERS_SQL, "negatives_planted": NEGATIVES_SQL, "missing_months_planted": MISSING_SQL,
     "trend_jump_planted": TREND_SQL, "dates_out_of_range_planted": BAD_DATES_SQL, "anomalies_planted": ANOMALIES_SQL, "aggregate_tool": AGGREGATE_SQL,
-    "reconcile_priority_report": RECONCILE_SQL,
+    "reconcile_priority_report": RECONCILE_SQL, "reconcile_customer_report": RECONCILE_CUSTOMERS_SQL,
 }
