@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import itertools
 import random
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trustframe import Table, TableSet
-from trustframe.operators import audit, changes as H, digest as D, profile as P, quality as Q, reconcile as C, relations as R, repair as E, rows, semantics as S
+from trustframe.operators import audit, changes as H, digest as D, keys as K, profile as P, quality as Q, reconcile as C, relations as R, repair as E, rows, semantics as S
 from trustframe.operators.anomalies import rare_negatives
 from trustframe.operators.frequencies import merge_frequencies, value_frequencies
 from trustframe.operators.quantiles import order_statistics
@@ -291,6 +292,33 @@ def test_composite_key_of_late_columns(spark):
     assert [r.column_names for r in facts.keys.collect()] == [["c7", "c8"]]
 
 
+def test_composite_key_among_forty_columns_takes_three_scans(spark, monkeypatch):
+    """780 pairs over 30,000 rows: a sample and sketches leave so few that one exact scan finds the only key."""
+    n, names = 30_000, [f"c{i:02d}" for i in range(40)]
+    k = F.col("id")
+    nearly = (k % 8) * 1_000_000 + F.floor(k / 64)                              # with blocks of eight, the key; else repeats in a tenth of the rows
+    columns = [F.floor((k + i) / 9).alias(c) for i, c in enumerate(names)]
+    columns[30], columns[35] = F.floor(k / 8).alias(names[30]), nearly.alias(names[35])
+    wide = Table("wide", spark.range(n).select("id", *columns), "id", hide_row_id=True)
+    tables = TableSet(spark, [wide])
+    counted, refuted, sketched = [], K.refuted_by_sample, K.sketched_counts
+    monkeypatch.setattr(K, "pair_counts", lambda t, pairs, f=K.pair_counts: counted.append(("exact", len(pairs))) or f(t, pairs))
+    monkeypatch.setattr(K, "refuted_by_sample", lambda s, pairs: counted.append(("sample", len(pairs))) or refuted(s, pairs))
+    monkeypatch.setattr(K, "sketched_counts", lambda t, pairs: counted.append(("sketch", len(pairs))) or sketched(t, pairs))
+    found = [r.asDict() for r in wide.df.agg(*[F.count_distinct(c).alias(c) for c in names]).collect()][0]
+    Candidate = collections.namedtuple("Candidate", "table_id position column_id column_name distinct_count row_count")
+    got = K.first_pair(tables, wide, [Candidate(wide.table_id, i, c, c, found[c], n) for i, c in enumerate(names)]).collect()
+    assert [(r.column_names, r.uniqueness, r.null_rate) for r in got] == [([names[30], names[35]], 1.0, 0.0)]
+    assert len(counted) <= 3 and counted[0][0] == "sample" and counted[-1][0] == "exact" and counted[-1][1] <= K.PAIRS_PER_SCAN
+
+
+def test_sketches_only_refute_what_repeats(spark):
+    t = Table("t", spark.range(40_000).select("id", F.floor(F.col("id") / 2).alias("half"), (F.col("id") % 1000).alias("low"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("gaps")), "id", hide_row_id=True)
+    got = K.sketched_counts(t, [(3, "half", "low"), (5, "half", "gaps"), (6, "low", "low")])
+    for number, true in ((3, 40_000), (5, 20_000), (6, 1000)):
+        assert abs(got[number] - true) < K.SIGMAS * 0.0163 * true
+
+
 def test_gap_before_the_newest_sixty_months(spark):
     """A month missing ten years back is found, though the digest shows sixty months."""
     months = [dt.date(2010 + m // 12, m % 12 + 1, d) for m in range(150) if m != 20 for d in (3, 17)]

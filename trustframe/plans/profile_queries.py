@@ -205,6 +205,22 @@ def _composite(spark, sf):
         F.round("null_rate", 6).alias("null_rate"), "status", "method")
 
 
+def _composite_late(spark, sf):
+    """Nine candidate columns over every order, of which only the eighth and ninth together are a key."""
+    k = F.col("o_orderkey")
+    columns = [F.floor((k + i) / 9).alias(f"c{i + 1}") for i in range(7)]
+    o = load(spark, sf, "orders").select(k, *columns, F.floor(k / 8).alias("c8"), ((k % 8) * 1_000_000_000 + F.floor(k / 64)).alias("c9"), "o_orderpriority")
+    tables = TableSet(spark, [Table("late", o, "o_orderkey", hide_row_id=True)])
+    return Facts(tables).keys.select(F.array_join("column_names", ",").alias("columns"), F.round("uniqueness", 6).alias("uniqueness"),
+                                     F.round("null_rate", 6).alias("null_rate"), "status", "method")
+
+
+COMPOSITE_LATE_SQL = """
+WITH d AS (SELECT o_orderkey // 8 AS c8, (o_orderkey % 8) * 1000000000 + o_orderkey // 64 AS c9 FROM orders)
+SELECT 'c8,c9' AS columns, round((SELECT count(*) FROM (SELECT DISTINCT c8, c9 FROM d)) / count(*), 6) AS uniqueness, CAST(0 AS DOUBLE) AS null_rate,
+       'inferred' AS status, 'composite_uniqueness' AS method FROM d"""
+
+
 COMPOSITE_SQL = """
 WITH d AS (SELECT o_orderkey // 3 AS block, (o_orderkey % 3) * 10000000 + o_orderkey // 6 AS slot FROM orders)
 SELECT 'slots' AS table_name, 'block,slot' AS columns,
@@ -419,7 +435,7 @@ QUERIES = {
     "topk_all": _topk(CORE[:7]), "samples": _samples, "profile_approximate": _approximate, "long_values_documents": _long_values,
     "row_hash_multiset_orders": _hash_orders, "table_fingerprints": _fingerprints,
     "dq_planted": _findings, "totals_rows_planted": _totals, "clean_sums_planted": _clean_sums,
-    "keys_all": _keys, "composite_keys": _composite, "relationships_all": _relations, "join_recipes": _recipes,
+    "keys_all": _keys, "composite_keys": _composite, "composite_keys_late": _composite_late, "relationships_all": _relations, "join_recipes": _recipes,
     "roles_renamed": _roles, "grain": _grain, "time_coverage": _coverage, "duplicates_split_orders": _duplicates,
     "table_kinds": _kinds, "definitions": _definitions,
 }
@@ -428,7 +444,7 @@ ORACLE = {
     "topk_all": _topk_sql(CORE[:7]), "samples": _samples_sql(), "profile_approximate": APPROXIMATE_SQL,
     "long_values_documents": LONG_VALUES_SQL, "row_hash_multiset_orders": HASH_ORDERS_SQL, "table_fingerprints": _fingerprint_sql(),
     "dq_planted": _findings_sql(), "totals_rows_planted": TOTALS_SQL, "clean_sums_planted": CLEAN_SUMS_SQL,
-    "keys_all": _keys_sql(), "composite_keys": COMPOSITE_SQL, "relationships_all": _relations_sql(), "join_recipes": RECIPES_SQL,
+    "keys_all": _keys_sql(), "composite_keys": COMPOSITE_SQL, "composite_keys_late": COMPOSITE_LATE_SQL, "relationships_all": _relations_sql(), "join_recipes": RECIPES_SQL,
     "roles_renamed": _roles_sql(), "grain": GRAIN_SQL, "time_coverage": COVERAGE_SQL, "duplicates_split_orders": DUPLICATES_SQL,
     "table_kinds": KINDS_SQL, "definitions": DEFINITIONS_SQL,
 }
