@@ -136,10 +136,22 @@ def test_quantiles_match_sorting(spark):
     data = {0: [rng.choice([1.0, 2.0, 2.0, 3.0]) for _ in range(501)], 1: [rng.gauss(0, 1) for _ in range(5000)], 2: [7.0],
             3: [5.0] * 3000 + [rng.random() for _ in range(2500)]}
     frame = spark.createDataFrame([(k, v) for k, vs in data.items() for v in vs], "column_no int, v double")
-    for accuracy in (100, 10_000):
-        for r in order_statistics(frame, accuracy=accuracy).collect():
+    for accuracy, bound, fractions in ((100, 10, (0.25, 0.5, 0.75)), (1000, 200, (0.0, 0.001, 0.5, 0.999, 1.0)), (10_000, 1_000_000, (0.25, 0.5, 0.75))):
+        for r in order_statistics(frame, fractions, accuracy=accuracy, bound=bound).collect():
             vs = sorted(data[r.column_no])
-            assert r.q == [vs[round(f * (len(vs) - 1))] for f in (0.25, 0.5, 0.75)]
+            assert (r.n, r.q) == (len(vs), [vs[round(f * (len(vs) - 1))] for f in fractions])
+    assert order_statistics(frame.filter("false")).collect() == []
+
+
+def test_ranks_of_ten_million_distinct_values(spark):
+    """A pseudo-random order of 0..n-1: the value at a rank is the rank, and no task sorts more than the bound."""
+    n = 10_000_019
+    values = spark.range(n).select(F.lit(3).alias("column_no"), ((F.col("id") * 7_654_321) % n).alias("v"))
+    got = order_statistics(values, (0.001, 0.5, 0.9), accuracy=2000, bound=50_000).collect()
+    assert [(r.n, r.q) for r in got] == [(n, [round(f * (n - 1)) for f in (0.001, 0.5, 0.9)])]
+    hot = values.select("column_no", F.when(F.col("v") < 9_900_000, 0).otherwise(F.col("v")).alias("v"))
+    got = order_statistics(hot, (0.5, 0.995, 1.0), accuracy=2000, bound=20_000).collect()
+    assert [r.q for r in got] == [[0, round(0.995 * (n - 1)), n - 1]]
 
 
 def test_rare_negatives_need_to_be_rare(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import fixed_values as V
 from ..functions.names import compact_name, source_alias, stable_id, type_family
@@ -16,6 +16,12 @@ from .keys import keys as find_keys, with_confirmed
 from .profile import profile
 
 
+#: Values of a child column that are looked up first, and the standard deviations by which they must miss to refute a pair.
+SKETCH, SIGMAS = 256, 6
+#: Values of all candidate pairs from which it pays to look up sketches first; the result is the same either way.
+SKETCH_FROM = 5_000_000
+
+
 @F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of characters in matching blocks of two names."""
@@ -77,21 +83,51 @@ def candidate_pairs(tables: TableSet, profiles: DataFrame, keys: DataFrame) -> D
             .filter("child_family = parent_family AND child_table_id <> parent_table_id"))
 
 
+def value_hashes() -> list[Column]:
+    """128 bits of a frequency value, in two longs. Whole numbers and doubles compare as numbers."""
+    number = F.coalesce(F.when(F.abs(F.col("value_i")) < V.MAX_EXACT_INTEGER, F.col("value_i").cast("double")), F.col("value_d")) + F.lit(0.0)
+    kind = F.when(number.isNotNull(), 0).when(F.col("value_i").isNotNull(), 1).when(F.col("value_s").isNotNull(), 2).otherwise(3)
+    parts = [kind, number, F.when(number.isNull(), F.col("value_i")), F.col("value_s"), F.col("digest")]
+    return [F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(7), *parts).alias("h2")]
+
+
+def hashed_values(frequencies: DataFrame, columns: list[int]) -> DataFrame:
+    """(column_no, h1, h2) of some columns. The literal list reaches the scan, which skips the pages of other columns."""
+    return frequencies.filter(F.col("column_no").isin(columns)).select("column_no", *value_hashes())
+
+
+def not_refuted(pairs: DataFrame, frequencies: DataFrame, columns: list[tuple[int, int]]) -> DataFrame:
+    """The pairs whose child may lie in its parent: of the SKETCH values of a child with the smallest hashes, a uniform draw of its
+    distinct values, as many are found in the parent as CONTAINMENT leaves room for, less SIGMAS standard deviations.
+
+    Sketches are small and meet the parents' values where these are read; no full column is shuffled for a pair that fails.
+    """
+    order = Window.partitionBy("column_no").orderBy("h1", "h2")
+    drawn = hashed_values(frequencies, sorted({c for c, _ in columns})).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= SKETCH).drop("rank")
+    asked = drawn.withColumnRenamed("column_no", "child_column_no").join(pairs.select("child_column_no", "parent_column_no"), "child_column_no")
+    parents = hashed_values(frequencies, sorted({p for _, p in columns})).withColumnRenamed("column_no", "parent_column_no")
+    found = asked.join(parents.withColumn("hit", F.lit(1)), ["parent_column_no", "h1", "h2"], "left")
+    counts = found.groupBy("child_column_no", "parent_column_no").agg(F.count(F.lit(1)).alias("asked"), F.count("hit").alias("hits"))
+    least = V.CONTAINMENT * F.col("asked") - SIGMAS * F.sqrt(F.col("asked") * V.CONTAINMENT * (1 - V.CONTAINMENT))
+    return pairs.join(counts.filter(F.col("hits") >= least).select("child_column_no", "parent_column_no"), ["child_column_no", "parent_column_no"], "left_semi")
+
+
 def containment(pairs: DataFrame, frequencies: DataFrame) -> DataFrame:
     """(child_column_no, parent_column_no, matched): child values also found in the parent, over all values.
 
-    Whole numbers and doubles compare as numbers. Values are distinct per column, so no key is hot.
+    Values are distinct per column, so no key is hot; they meet as 128-bit hashes. Many pairs are first cut by sketches.
     """
-    number = F.coalesce(F.col("value_i").cast("double"), F.col("value_d"))
-    exact = F.col("value_i").cast("string")
-    value = F.coalesce(F.when(F.abs(F.col("value_i")) < V.MAX_EXACT_INTEGER, number.cast("string")), exact,
-                       number.cast("string"), F.concat(F.lit("t:"), "value_s"), F.concat(F.lit("h:"), "digest"))
-    values = frequencies.select("column_no", value.alias("value"))
+    found = pairs.select("child_column_no", "parent_column_no", "child_distinct_count").collect()           # candidate columns: metadata
+    columns = [(c, p) for c, p, _ in found]
+    if not columns:
+        return pairs.sparkSession.createDataFrame([], "child_column_no int, parent_column_no int, matched long")
+    if sum(n for *_, n in found) > SKETCH_FROM:             # sketches cost two jobs, and save a shuffle of the values
+        pairs = materialize(not_refuted(pairs, frequencies, columns), "likely-pairs")
+        columns = [tuple(r) for r in pairs.select("child_column_no", "parent_column_no").collect()] or [(-1, -1)]
     wanted = pairs.select("child_column_no", "parent_column_no")
-    child = values.withColumnRenamed("column_no", "child_column_no").join(wanted, "child_column_no")
-    parent = values.withColumnRenamed("column_no", "parent_column_no").join(
-        wanted.select("parent_column_no").distinct(), "parent_column_no", "left_semi")
-    return (child.join(parent, ["parent_column_no", "value"], "left_semi")
+    child = hashed_values(frequencies, sorted({c for c, _ in columns})).withColumnRenamed("column_no", "child_column_no").join(wanted, "child_column_no")
+    parent = hashed_values(frequencies, sorted({p for _, p in columns})).withColumnRenamed("column_no", "parent_column_no")
+    return (child.join(parent, ["parent_column_no", "h1", "h2"], "left_semi")
             .groupBy("child_column_no", "parent_column_no").agg(F.count(F.lit(1)).alias("matched")))
 
 

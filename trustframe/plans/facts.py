@@ -30,7 +30,8 @@ class Facts:
 
     @cached_property
     def frequencies(self) -> DataFrame:
-        return materialize(value_frequencies(self.tables), "frequencies")
+        """Written in the order of the columns, so that a read of some columns skips the pages of the others."""
+        return materialize(value_frequencies(self.tables).sortWithinPartitions("column_no"), "frequencies")
 
     @cached_property
     def profiles(self) -> DataFrame:
