@@ -15,6 +15,7 @@ from ..functions.dates import clock, format_class, serial_to_iso
 from ..functions.names import clean_header
 from ..functions.numbers import plain_number
 from ..session import materialize
+from .naming import unique_names
 
 CELL = ("source_id string, sheet string, row int, col int, kind string, num double, txt string, format string, formula string")
 S = ["source_id", "sheet"]
@@ -102,31 +103,6 @@ def date_text(num: Column, fmt: Column) -> Column:
         whole, serial_to_iso(num, F.lit("date"), F.lit(False))).otherwise(serial_to_iso(num, F.lit("datetime"), F.lit(False)))
 
 
-def unique_names(headers: DataFrame, keys: list[str], reserved: str = RESERVED) -> DataFrame:
-    """(keys, col, position, name, header): cleaned, blanks become col_N, repeats get _2, _3 ... (case-insensitive).
-
-    A name depends on all names before it, so the columns of one table are folded in order; a table's column list is
-    metadata (at most 16,384 entries in a spreadsheet).
-    """
-    listed = headers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("col", clean_header(F.col("header")).alias("clean"),
-                                                                             "header"))).alias("c"))
-    numbered = F.transform("c", lambda x, i: F.struct(
-        x["col"].alias("col"), (i + 1).alias("position"), x["header"].alias("header"),
-        F.when(x["clean"] == "", F.concat(F.lit("col_"), (i + 1).cast("string"))).otherwise(x["clean"]).alias("base")))
-
-    def add(names: Column, x: Column) -> Column:
-        taken = F.concat(F.array(F.lit(reserved)), F.transform(names, F.lower))
-        base = x["base"]
-        suffix = F.element_at(F.filter(F.sequence(F.lit(2), F.size(names) + 3), lambda k: ~F.array_contains(
-            taken, F.lower(F.concat(base, F.lit("_"), k.cast("string"))))), 1)
-        free = ~F.array_contains(taken, F.lower(base))
-        return F.concat(names, F.array(F.when(free, base).otherwise(F.concat(base, F.lit("_"), suffix.cast("string")))))
-
-    folded = listed.withColumn("n", numbered).withColumn("names", F.aggregate("n", F.array().cast("array<string>"), add))
-    return folded.select(*keys, F.explode(F.arrays_zip("n", "names")).alias("z")).select(
-        *keys, "z.n.col", "z.n.position", F.col("z.names").alias("name"), "z.n.header")
-
-
 @dataclass
 class Built:
     """The parts of rebuilt tables, all keyed by (source_id, sheet)."""
@@ -175,7 +151,7 @@ def build(cells: DataFrame) -> Built:
             *S, "col", F.lit("text").alias("column_kind"), F.lit(None).cast("string").alias("date_kind"),
             F.lit(0).cast("long").alias("non_null"), F.lit(0).cast("long").alias("error_cells"), "header"))
     kept = materialize(kept, "column-types")
-    columns = unique_names(kept.select(*S, "col", "header"), S).join(kept.drop("header"), [*S, "col"])
+    columns = unique_names(kept.select(*S, "col", "header"), S, RESERVED).join(kept.drop("header"), [*S, "col"])
     columns = materialize(columns, "columns")
 
     kind, num, txt, ck = F.col("kind"), F.col("num"), F.col("txt"), F.col("column_kind")

@@ -8,7 +8,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import grid as G, regions as R
+from ..operators import grid as G, naming as N, regions as R
 from ..session import materialize
 from ..sources import workbook as W
 from .inputs import load
@@ -229,11 +229,39 @@ UNION ALL SELECT sheet, 'Customers', row, 'name', 'text', NULL, c_name FROM b
 UNION ALL SELECT b.sheet, 'Customers', row, 'balance', kind, c_acctbal, NULL FROM b JOIN k ON b.sheet = k.sheet
 UNION ALL SELECT sheet, 'Customers', row, 'opened', 'date', NULL, strftime(DATE '1899-12-30' + CAST(45000 + c_custkey % 365 AS INT), '%Y-%m-%d') FROM b"""
 
+def _unique_columns(spark, sf):
+    """Every word of every document as a header of its own column: blanks are numbered, repeats get a number behind."""
+    words = load(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+|[-]+"), F.lit(0))).alias("col", "header"))
+    named = N.unique_names(words, ["doc_id"], "the")
+    return named.select("doc_id", F.col("position").cast("long").alias("position"), "name", "header")
+
+
+UNIQUE_COLUMNS_SQL = """WITH w AS (SELECT doc_id, unnest(h) AS header, generate_subscripts(h, 1) AS position FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+|[-]+') AS h FROM documents)),
+b AS (SELECT *, CASE WHEN header[1] = '-' THEN 'col_' || position ELSE header END AS base FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(base) ORDER BY position) + CASE WHEN lower(base) = 'the' THEN 1 ELSE 0 END AS k FROM b)
+SELECT doc_id, position, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS name, header FROM n"""
+
+
+def _unique_tables(spark, sf):
+    """Table names for sheets that are called like parts: size first for the smaller ones, one store per brand."""
+    sheet = F.when(F.col("p_size") < 25, F.concat_ws(" ", "p_size", "p_type")).otherwise(F.concat(F.lit("  "), F.col("p_type"), F.lit("!")))
+    sheets = load(spark, sf, "part").select("p_brand", "p_partkey", sheet.alias("sheet"))
+    return N.unique_tables(sheets, ["p_brand"], "p_partkey").select("p_brand", "p_partkey", "sheet", "table_name")
+
+
+UNIQUE_TABLES_SQL = """WITH s AS (SELECT p_brand, p_partkey, CASE WHEN p_size < 25 THEN p_size || ' ' || p_type ELSE '  ' || p_type || '!' END AS sheet,
+  CASE WHEN p_size < 25 THEN 't_' || p_size || '_' ELSE '' END || replace(p_type, ' ', '_') AS base FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY p_brand, lower(base) ORDER BY p_partkey) AS k FROM s)
+SELECT p_brand, p_partkey, sheet, CASE WHEN k = 1 THEN base ELSE base || '_' || k END AS table_name FROM n"""
+
+
 QUERIES = {
+    "unique_columns_documents": _unique_columns, "unique_tables_parts": _unique_tables,
     "grid_sheets": _sheets, "grid_columns": _columns, "grid_values": _values, "grid_errors": _errors, "grid_verify": _verify,
     "grid_regions": _regions, "grid_region_cells": _region_cells, "grid_header_groups": _header_groups, "workbook_scan": _workbooks,
 }
 ORACLE = {
+    "unique_columns_documents": UNIQUE_COLUMNS_SQL, "unique_tables_parts": UNIQUE_TABLES_SQL,
     "grid_sheets": SHEETS_SQL, "grid_columns": _columns_sql(), "grid_values": VALUES_SQL, "grid_errors": ERRORS_SQL, "grid_verify": _verify_sql(),
     "grid_regions": REGIONS_SQL, "grid_region_cells": REGION_CELLS_SQL, "grid_header_groups": HEADER_GROUPS_SQL, "workbook_scan": WORKBOOKS_SQL,
 }
