@@ -1,7 +1,7 @@
 """Several tables on one sheet: column bands, row blocks and what each region holds.
 
 Rows of one sheet are cut into chunks, gaps are found inside chunks and across their borders, so even a sheet with a
-third of all rows is never sorted in one task. Bands are merged on counts of row patterns, not on rows.
+third of all rows is never sorted in one task. Bands are merged on counts of neighbouring pieces, not on rows.
 """
 
 from __future__ import annotations
@@ -42,28 +42,30 @@ def column_bands(cells: DataFrame) -> DataFrame:
     raw = materialize(raw, "column-runs")
     of_column = raw.select(*S, "piece", F.explode(F.sequence("start", "end")).alias("col"))
     per_row = cells.select(*S, "row", "col").join(of_column, [*S, "col"]).groupBy(*S, "row").agg(
-        F.array_sort(F.collect_set("piece")).alias("pattern"))
-    patterns = per_row.groupBy(*S, "pattern").agg(F.count(F.lit(1)).alias("rows"))
-    pieces = raw.groupBy(*S).agg(F.max("piece").alias("pieces"))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        """Fold the pieces left to right; a piece joins the band so far when both use nearly the same rows."""
-        n = int(group["pieces"].iloc[0])
-        rows = [(set(p), int(k)) for p, k in zip(group["pattern"], group["rows"])]
-        band, first, out = 1, 1, [1]
-        for piece in range(2, n + 1):
-            before = set(range(first, piece))
-            both = sum(k for p, k in rows if piece in p and p & before)
-            either = sum(k for p, k in rows if piece in p or p & before)
-            if not both or both / either < V.BAND_OVERLAP:
-                band, first = band + 1, piece
-            out.append(band)
-        return pd.DataFrame({"source_id": group["source_id"].iloc[0], "sheet": group["sheet"].iloc[0], "piece": range(1, n + 1), "band": out})
-
-    bands = patterns.join(pieces, S).groupBy(*S).applyInPandas(merge, "source_id string, sheet string, piece int, band int")
+        F.array_sort(F.collect_set("piece")).alias("pieces"))
+    before = F.transform("pieces", lambda p, i: F.struct(p.alias("piece"), F.when(i > 0, F.get("pieces", i - 1)).otherwise(0).alias("before")))
+    pairs = per_row.select(*S, F.explode(before).alias("p")).groupBy(*S, "p.piece", "p.before").agg(F.count(F.lit(1)).alias("rows"))
+    bands = pairs.groupBy(*S).applyInPandas(fold_pieces, "source_id string, sheet string, piece int, band int")
     return raw.join(bands, [*S, "piece"]).groupBy(*S, "band").agg(F.min("start").alias("lo"), F.max("end").alias("hi"))
 
 
+def fold_pieces(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Bands of one sheet from its (piece, before, rows): rows that use a piece and, as the nearest one to its left, `before` (0: none).
+
+    Pieces are folded left to right: one joins the band so far when both use nearly the same rows. A row uses the band and
+    the piece if its nearest piece to the left lies in the band, so these counts decide, whatever the number of rows: at most
+    one for two pieces of a sheet.
+    """
+    first, band, used, out = 1, 1, 0, []
+    for piece, here in pairs.sort_values("piece").groupby("piece"):
+        both, rows = int(here["rows"][here["before"] >= first].sum()), int(here["rows"].sum())
+        if out and (not both or both / (used + rows - both) < V.BAND_OVERLAP):
+            first, band, used, both = piece, band + 1, 0, 0
+        used += rows - both
+        out.append((piece, band))
+    return pd.DataFrame({"source_id": pairs["source_id"].iloc[0], "sheet": pairs["sheet"].iloc[0], "piece": [p for p, _ in out], "band": [b for _, b in out]})
+
+
 def regions(cells: DataFrame, min_gap_rows: int = V.MIN_GAP_ROWS) -> DataFrame:
     """(source_id, sheet, region_no, kind, first_row, first_col, last_row, last_col, header_row, cells).
 

@@ -229,6 +229,31 @@ UNION ALL SELECT sheet, 'Customers', row, 'name', 'text', NULL, c_name FROM b
 UNION ALL SELECT b.sheet, 'Customers', row, 'balance', kind, c_acctbal, NULL FROM b JOIN k ON b.sheet = k.sheet
 UNION ALL SELECT sheet, 'Customers', row, 'opened', 'date', NULL, strftime(DATE '1899-12-30' + CAST(45000 + c_custkey % 365 AS INT), '%Y-%m-%d') FROM b"""
 
+WIDE = 17
+
+
+def _large_sheet(spark, sf):
+    """One sheet with every order line, a row apart for each line number, and the orders beside them: bands, blocks and boxes."""
+    lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders")
+    at = 2 + F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    left = lines.select(at.alias("at"), *[F.pmod(F.col("l_partkey") * (i + 1) + F.col("l_orderkey"), F.lit(97 + i)).alias(f"v{i}") for i in range(WIDE)])
+    one = left.select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"),
+                      F.explode(F.array(*[_cell(F.col("at"), i + 1, "num", num=F.col(f"v{i}")) for i in range(WIDE)])).alias("c")).select("source_id", "sheet", "c.*")
+    row = 3 + F.col("o_orderkey") * 8
+    two = orders.select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"), F.explode(F.array(
+        _cell(row, 20, "num", num=F.col("o_orderkey")), _cell(row, 21, "text", txt=F.col("o_orderpriority")), _cell(row, 22, "num", num=F.col("o_totalprice")))).alias("c")).select("source_id", "sheet", "c.*")
+    names = [(i + 1, f"measure {i}") for i in range(WIDE)] + [(20, "order"), (21, "priority"), (22, "price")]
+    head = spark.range(1).select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"),
+                                 F.explode(F.array(*[_cell(F.lit(2), c, "text", txt=F.lit(n)) for c, n in names])).alias("c")).select("source_id", "sheet", "c.*")
+    cells = materialize(one.unionByName(two).unionByName(head), "large-sheet")
+    return R.regions(cells).select("sheet", "kind", *[F.col(c).cast("long").alias(c) for c in ("region_no", "first_row", "first_col", "last_row", "last_col", "header_row", "cells")])
+
+
+LARGE_SHEET_SQL = f"""SELECT 'all' AS sheet, 'table' AS kind, 1 AS region_no, 2 AS first_row, 1 AS first_col, max(2 + l_orderkey * 8 + l_linenumber) AS last_row, {WIDE} AS last_col,
+  2 AS header_row, {WIDE} * (count(*) + 1) AS cells FROM lineitem
+UNION ALL SELECT 'all', 'table', 2, 2, 20, max(3 + o_orderkey * 8), 22, 2, 3 * (count(*) + 1) FROM orders"""
+
+
 def _unique_columns(spark, sf):
     """Every word of every document as a header of its own column: blanks are numbered, repeats get a number behind."""
     words = load(spark, sf, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+|[-]+"), F.lit(0))).alias("col", "header"))
@@ -256,12 +281,12 @@ SELECT p_brand, p_partkey, sheet, CASE WHEN k = 1 THEN base ELSE base || '_' ||
 
 
 QUERIES = {
-    "unique_columns_documents": _unique_columns, "unique_tables_parts": _unique_tables,
+    "grid_large_sheet": _large_sheet, "unique_columns_documents": _unique_columns, "unique_tables_parts": _unique_tables,
     "grid_sheets": _sheets, "grid_columns": _columns, "grid_values": _values, "grid_errors": _errors, "grid_verify": _verify,
     "grid_regions": _regions, "grid_region_cells": _region_cells, "grid_header_groups": _header_groups, "workbook_scan": _workbooks,
 }
 ORACLE = {
-    "unique_columns_documents": UNIQUE_COLUMNS_SQL, "unique_tables_parts": UNIQUE_TABLES_SQL,
+    "grid_large_sheet": LARGE_SHEET_SQL, "unique_columns_documents": UNIQUE_COLUMNS_SQL, "unique_tables_parts": UNIQUE_TABLES_SQL,
     "grid_sheets": SHEETS_SQL, "grid_columns": _columns_sql(), "grid_values": VALUES_SQL, "grid_errors": ERRORS_SQL, "grid_verify": _verify_sql(),
     "grid_regions": REGIONS_SQL, "grid_region_cells": REGION_CELLS_SQL, "grid_header_groups": HEADER_GROUPS_SQL, "workbook_scan": WORKBOOKS_SQL,
 }
