@@ -292,6 +292,18 @@ def test_file_row_ids_are_unique_and_stable(spark, tmp_path):
     assert len(set(ids)) == 100 and sorted(ids) == sorted(r["_row_id"] for r in df.repartition(2).collect())
 
 
+def test_row_ids_stay_when_files_arrive(spark, tmp_path):
+    folder, registry = str(tmp_path / "t"), str(tmp_path / "numbers")
+    spark.range(40).coalesce(1).write.parquet(f"{folder}/m")
+    read = lambda: with_file_row_id(spark.read.option("recursiveFileLookup", True).parquet(folder), registry=registry)
+    before = {r.id: r["_row_id"] for r in read().collect()}
+    spark.range(100, 140).coalesce(1).write.parquet(f"{folder}/a")              # sorts before the first file
+    spark.range(200, 240).coalesce(1).write.parquet(f"{folder}/z")
+    after = {r.id: r["_row_id"] for r in read().collect()}
+    assert len(set(after.values())) == 120 and all(after[k] == v for k, v in before.items())
+    assert after == {r.id: r["_row_id"] for r in read().collect()}
+
+
 def test_composite_key_of_late_columns(spark):
     """Among thirteen candidates only the eighth and ninth column together identify rows."""
     other = [f"c{i}" for i in range(13)]

@@ -223,6 +223,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in ingest.stored_frequencies(spark, store).collect()} == want
 
 
+def test_run_log_stream_keeps_no_state_and_takes_late_files(spark, tmp_path):
+    folder, out = tmp_path / "logs", []
+    folder.mkdir()
+
+    def put(name, *events):
+        base = {"run_id": "r", "level": "info", "message": "", "scope": {}, "data": {}}
+        (folder / name).write_text("\n".join(json.dumps(base | e) for e in events))
+
+    def sink(batch, batch_id):
+        out.append([tuple(r) for r in batch.orderBy("stage").collect()])
+
+    schema = "run_id string, stage string, started double, ended double, status string, error string"
+    put("a.jsonl", dict(t=1, kind="stage.start", data={"name": "read"}), dict(t=2, kind="stage.start", data={"name": "check"}))
+    put("b.jsonl", dict(t=9, kind="stage.end", data={"name": "check", "status": "failed", "error": "E1"}))
+    query = ingest.follow_runs(J.stream_events(spark, str(folder), files_per_batch=1), sink, str(tmp_path / "mark"))
+    assert len(out) == 2 and not query.lastProgress["stateOperators"]
+    put("late.jsonl", dict(t=5, kind="stage.end", data={"name": "read", "status": "passed"}), dict(t=0.5, kind="stage.start", data={"name": "read"}))
+    ingest.follow_runs(J.stream_events(spark, str(folder), files_per_batch=1), sink, str(tmp_path / "mark"))
+    got = ingest.merge_records(spark.createDataFrame([r for b in out for r in b], schema)).orderBy("stage").collect()
+    assert [(r.stage, r.started, r.ended, r.seconds, r.status, r.error) for r in got] == [("check", 2.0, 9.0, 7.0, "failed", "E1"), ("read", 0.5, 5.0, 4.5, "passed", None)]
+
+
+def test_event_numbers_depend_on_the_files_alone(spark, tmp_path):
+    for name in ("a.jsonl", "b.jsonl"):
+        lines = [json.dumps({"run_id": name, "t": 0, "kind": "note", "message": str(i)}) for i in range(400)]
+        (tmp_path / name).write_text("\n".join(lines[:200] + ['{"run_id": "r", "t"'] + lines[200:]))
+    numbers = []
+    for size in ("128m", "3k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        numbers.append(sorted((r.run_id, r.seq, int(r.message)) for r in J.read_events(spark, str(tmp_path)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert numbers[0] == numbers[1] and len({seq for _, seq, _ in numbers[0]}) == 800
+    assert [m for r, _, m in numbers[0] if r == "a.jsonl"] == list(range(400))
+
+
+def test_runs_that_finish_together_get_two_numbers(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    store = RunStore(spark, str(tmp_path / "store"))
+    store.finish("r0")
+    slow = store.published()
+    seen = []
+
+    class Late(RunStore):
+        def published(self):
+            return slow                                     # what a run sees that looked before the other appended
+
+        def _claim(self, name, frame, run_id):
+            seen.append(super()._claim(name, frame, run_id))
+            return seen[-1]
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(lambda r: Late(spark, str(tmp_path / "store")).finish(r), ["r1", "r2"]))
+    assert sorted(r.seq for r in store.published().collect()) == [1, 2, 3] and sorted(r.seq for r in store.runs().collect()) == [1, 2, 3]
+
+
 def test_region_read_back_and_checks_per_region(spark):
     grid = [["city", "sales"], ["Cairo", 30], ["Giza", 12], [N, N], [N, N], ["kind", "number"], ["big", 25], ["small", 17]]
     c = cells(spark, {"rep": grid})

@@ -21,13 +21,22 @@ def _stage_name() -> Column:
 
 
 def stages(events: DataFrame) -> DataFrame:
-    """(run_id, stage, started, ended, seconds, status, error): one aggregate, also valid on a stream."""
+    """(run_id, stage, started, ended, seconds, status, error): one aggregate."""
+    return stage_columns(stage_parts(events))
+
+
+def stage_parts(events: DataFrame) -> DataFrame:
+    """(run_id, stage, started, ended, status, error) as these events tell it; parts of a stage can be merged."""
     rows = events.filter(F.col("kind").isin("stage.start", "stage.end")).withColumn("stage", _stage_name())
     end = F.col("kind") == "stage.end"
-    folded = rows.groupBy("run_id", "stage").agg(
+    return rows.groupBy("run_id", "stage").agg(
         F.min(F.when(~end, F.col("t"))).alias("started"), F.max(F.when(end, F.col("t"))).alias("ended"),
         F.max_by(F.when(end, F.coalesce(data("status"), F.lit("passed"))), F.when(end, F.col("t"))).alias("status"),
         F.max(F.when(end, data("error"))).alias("error"))
+
+
+def stage_columns(folded: DataFrame) -> DataFrame:
+    """Duration and state of folded stages; a stage whose start was not seen starts at its end."""
     started = F.coalesce("started", "ended")
     return folded.select("run_id", "stage", started.alias("started"), "ended",
                          F.when(F.col("ended").isNotNull(), F.greatest(F.lit(0.0), F.col("ended") - started)).alias("seconds"),

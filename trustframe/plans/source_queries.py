@@ -229,19 +229,60 @@ def _stream_stages(spark, sf):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     ingest.follow_runs(J.stream_events(spark, folder), sink, checkpoint)
-    latest = spark.read.parquet(out).groupBy("run_id", "stage").agg(F.max_by(F.struct("started", "seconds", "status"), "batch").alias("s"))
-    return latest.select("run_id", "stage", "s.started", "s.seconds", "s.status")
+    return ingest.merge_records(spark.read.parquet(out)).select("run_id", "stage", "started", "seconds", "status")
+
+
+def _stream_late_files(spark, sf):
+    """Run logs in four files, a batch each; the last one, which holds the ends of every seventh stage, comes when the stream has
+    long read the others. The merged records equal those of one batch."""
+    folder, checkpoint, out = new_folder(spark, "journal"), new_folder(spark, "stream-checkpoint"), new_folder(spark, "stages")
+    order = F.floor(F.col("t") / 100)
+    part = F.when((F.col("kind") == "stage.end") & (order % 7 == 0), 3).otherwise(F.floor(order / 1000) % 3)
+    events = run_events(spark, sf).withColumn("part", part)
+
+    def sink(batch, batch_id):
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    for numbers in ([0, 1, 2], [3]):
+        for n in numbers:
+            events.filter(F.col("part") == n).drop("part").coalesce(1).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+        ingest.follow_runs(J.stream_events(spark, folder, files_per_batch=1), sink, checkpoint)
+    return ingest.merge_records(spark.read.parquet(out)).select("run_id", "stage", "started", "seconds", "status")
+
+
+def _stream_all_columns(spark, sf):
+    """Frequencies of all columns of orders, kept over three files of which the last comes late: equal to one pass."""
+    folder, store, checkpoint = new_folder(spark, "arriving"), new_folder(spark, "stream-store"), new_folder(spark, "stream-checkpoint")
+    orders = load(spark, sf, "orders")
+
+    def make(df):
+        return Table("orders", df, "o_orderkey")
+
+    for n in range(3):
+        orders.filter(F.col("o_orderkey") % 3 == n).coalesce(1).write.mode("append").parquet(folder)
+        if n:
+            ingest.keep_frequencies(ingest.watch_parquet(spark, folder, orders.schema, files_per_batch=1), make, store, checkpoint)
+    named = TableSet(spark, [make(orders)]).columns().select("column_no", "column_name", "kind")
+    f = ingest.stored_frequencies(spark, store).join(named, "column_no")
+    day = F.when(F.col("kind").isin("date", "datetime"), F.substring(value_text(F.col("kind")), 1, 10))
+    return f.select("column_name", value_number(F.col("kind")).alias("value_num"), F.when(F.col("kind") == "text", value_text(F.col("kind"))).otherwise(day).alias("value_text"), "cnt", "first_row")
+
+
+STREAM_ALL_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, {number} AS value_num, {text} AS value_text, count(*) AS cnt, min(o_orderkey) AS first_row FROM orders GROUP BY {c}"
+    for c, number, text in [(c, f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)") for c in ("o_orderkey", "o_custkey", "o_totalprice")]
+    + [(c, "CAST(NULL AS DOUBLE)", c) for c in ("o_orderstatus", "o_orderpriority")] + [("o_orderdate", "CAST(NULL AS DOUBLE)", "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)")])
 
 
 QUERIES = {
     "inventory_documents": _inventory, "identical_content": _identical, "incremental_reuse": _incremental, "freshness": _freshness,
     "decode_documents": _decode, "csv_scan": _csv, "mail_blocks": _mail_blocks, "mail_attachments": _attachments, "runlog_stages": _stages,
     "runlog_totals": _run_totals, "runlog_root_cause": _root_cause, "runlog_context": _context, "stream_frequencies": _stream_frequencies,
-    "stream_runlog_stages": _stream_stages,
+    "stream_runlog_stages": _stream_stages, "stream_runlog_late": _stream_late_files, "stream_frequencies_all": _stream_all_columns,
 }
 ORACLE = {
     "inventory_documents": INVENTORY_SQL, "identical_content": IDENTICAL_SQL, "incremental_reuse": INCREMENTAL_SQL, "freshness": FRESHNESS_SQL,
     "decode_documents": DECODE_SQL, "csv_scan": CSV_SQL, "mail_blocks": MAIL_SQL, "mail_attachments": ATTACHMENTS_SQL, "runlog_stages": STAGES_SQL,
     "runlog_totals": TOTALS_SQL, "runlog_root_cause": ROOT_CAUSE_SQL, "runlog_context": CONTEXT_SQL, "stream_frequencies": STREAM_SQL,
-    "stream_runlog_stages": STAGES_SQL,
+    "stream_runlog_stages": STAGES_SQL, "stream_runlog_late": STAGES_SQL, "stream_frequencies_all": STREAM_ALL_SQL,
 }

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
@@ -61,6 +63,30 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_CLAIMS = threading.Lock()
+
+
+def create_once(spark: SparkSession, path: str, text: str = "") -> bool:
+    """Create a small file; False if it is there already. Who gets True owns what the name stands for.
+
+    The file system decides (create without overwrite); local folders check and create in two steps, so within one process
+    claims also take turns.
+    """
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    with _CLAIMS:
+        try:
+            out = fs.create(target, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        out.write(bytearray(text, "utf-8"))
+        out.close()
+    return True
+
+
 def local_frame(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """Driver-side metadata as a frame whose size Catalyst knows, so joins to it broadcast only while it is small."""
     struct = _parse_datatype_string(schema) if isinstance(schema, str) else schema

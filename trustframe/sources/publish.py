@@ -1,8 +1,8 @@
 """Write, audit, publish: facts of a run become visible only when the run passed.
 
 Layout below one shared folder: `facts/<name>/run_id=<id>/` holds parquet, `runs/` the run log, `published/` one small
-record per publication. The newest record is the current run, so publishing is one atomic append and readers never
-see a half-written run.
+record per publication, `claims/` a file per sequence number given out. The newest record is the current run, so publishing
+is one atomic append and readers never see a half-written run.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
-from ..session import local_frame
+from ..session import create_once, local_frame
 
 POINTER = "seq long, run_id string, previous string, published_at string"
 RUN = "seq long, run_id string, status string, started string"
@@ -35,8 +35,12 @@ class RunStore:
     def _append(self, name: str, row: tuple, schema: str) -> None:
         local_frame(self.spark, [row], schema).coalesce(1).write.mode("append").json(f"{self.root}/{name}")
 
-    def _next(self, frame: DataFrame) -> int:
-        return (frame.agg(F.max("seq")).first()[0] or 0) + 1
+    def _claim(self, name: str, frame: DataFrame, run_id: str) -> int:
+        """The next sequence number, owned by this run: one claim file per number, so two runs that finish together get two."""
+        seq = (frame.agg(F.max("seq")).first()[0] or 0) + 1
+        while not create_once(self.spark, f"{self.root}/claims/{name}-{seq:012d}", run_id):
+            seq += 1
+        return seq
 
     # ---- writing ------------------------------------------------------------------------------------------------
     def write(self, run_id: str, name: str, facts: DataFrame, partitions: list[str] | None = None) -> DataFrame:
@@ -50,10 +54,10 @@ class RunStore:
         problems = [f"audit: {r.code} {r.subject}" for r in issues.limit(5).collect()] if issues is not None else []
         problems += [f"rule: {r.rule_id} {r.status}" for r in blockers.limit(5).collect()] if blockers is not None else []
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        self._append("runs", (self._next(self.runs()), run_id, "failed" if problems else "passed", now), RUN)
+        self._append("runs", (self._claim("runs", self.runs(), run_id), run_id, "failed" if problems else "passed", now), RUN)
         if problems:
             raise NotPublished("; ".join(problems))
-        self._append("published", (self._next(self.published()), run_id, self.current(), now), POINTER)
+        self._append("published", (self._claim("published", self.published(), run_id), run_id, self.current(), now), POINTER)
 
     # ---- reading ------------------------------------------------------------------------------------------------
     def runs(self) -> DataFrame:

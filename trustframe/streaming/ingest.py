@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators import runlog
@@ -42,8 +43,22 @@ def compact(spark: SparkSession, store: str) -> str:
     return target
 
 
-def follow_runs(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Stage records of growing run logs: the batch aggregate in update mode, each batch carrying the changed stages."""
-    query = (runlog.stages(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
+def merge_records(records: DataFrame) -> DataFrame:
+    """(run_id, stage, started, ended, seconds, status, error) from all records of a stage, in whatever order they were made."""
+    folded = records.groupBy("run_id", "stage").agg(F.min("started").alias("started"), F.max("ended").alias("ended"), F.max_by("status", "ended").alias("status"),
+                                                    F.max("error").alias("error"))
+    return runlog.stage_columns(folded)
+
+
+def follow_runs(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """What each batch of growing run logs says of its stages: (run_id, stage, started, ended, status, error).
+
+    The stream keeps no state, so nothing grows and nothing comes too late: a stage whose end arrives in a later batch, or in
+    a file found days after, has a record there, and merge_records puts the records of a stage together. Returns the ended query.
+    """
+    def one(batch: DataFrame, batch_id: int) -> None:
+        sink(runlog.stage_parts(batch), batch_id)
+
+    query = events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query

@@ -6,10 +6,11 @@ import hashlib
 import json
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .functions.names import column_identity, table_identity
-from .session import local_frame
+from .session import create_once, local_frame
 
 MIXED = T.StructType([T.StructField("num", T.DoubleType()), T.StructField("txt", T.StringType())])
 
@@ -116,14 +117,41 @@ class TableSet:
         return local_frame(self.spark, rows, TABLE_SCHEMA)
 
 
-def with_file_row_id(df: DataFrame, name: str = "_row_id") -> DataFrame:
-    """A stable BIGINT row id for file tables: file number (by path order) and row position inside the file."""
-    def plain(c: Column) -> Column:
-        return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
-
-    files = local_frame(df.sparkSession, [(p, i) for i, p in enumerate(sorted(df.inputFiles()))], "file string, no long")
-    files = files.select(plain(F.col("file")).alias("file"), "no")
-    located = df.select("*", plain(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at"))
+def _plain_path(c: Column) -> Column:
+    return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+
+
+def file_numbers(spark: SparkSession, files: list[str], registry: str) -> dict[str, int]:
+    """A number for each file that it keeps for good: numbers are claimed in the folder `registry`, one small file each, which
+    holds the path; files that arrive later get numbers of their own."""
+    def known() -> dict[str, int]:
+        try:
+            rows = spark.read.option("wholetext", True).text(registry).select("value", F.col("_metadata.file_name").alias("n")).collect()
+        except AnalysisException:
+            return {}
+        return {r["value"]: int(r["n"]) for r in sorted(rows, key=lambda r: -int(r["n"]))}      # the first claim of a path counts
+
+    numbers = known()
+    following = max(numbers.values(), default=-1) + 1
+    for path in sorted(set(files) - set(numbers)):
+        while not create_once(spark, f"{registry}/{following:09d}", path):
+            following += 1
+        following += 1
+    numbers = known()
+    return {f: numbers[f] for f in files}
+
+
+def with_file_row_id(df: DataFrame, name: str = "_row_id", registry: str | None = None) -> DataFrame:
+    """A BIGINT row id for file tables: the file's number above 40 bits of the row's position inside the file.
+
+    With a `registry` folder files keep their numbers when others arrive, so what was stored about rows still finds them;
+    without one they are numbered in the order of their paths, which holds while the files stay the same.
+    """
+    listed = sorted(df.inputFiles())
+    numbers = {p: i for i, p in enumerate(listed)} if registry is None else file_numbers(df.sparkSession, listed, registry)
+    files = local_frame(df.sparkSession, list(numbers.items()), "file string, no long")
+    files = files.select(_plain_path(F.col("file")).alias("file"), "no")
+    located = df.select("*", _plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.row_index").alias("at"))
     number = F.coalesce("no", F.raise_error(F.concat(F.lit("file is not in the listing: "), "file")).cast("long"))
     return located.join(files, "file", "left").select(*[F.col(c) for c in df.columns],
                                                       (F.shiftleft(number, 40) + F.col("at")).alias(name))
