@@ -11,7 +11,7 @@ from ..operators import (audit as U, changes as H, lineage as G, profile as P, q
 from ..session import materialize, new_folder
 from ..sources.publish import NotPublished, RunStore
 from ..sources.views import Views
-from ..tables import Table, TableSet
+from ..tables import Table, TableSet, with_file_row_id
 from .facts import Facts
 from .inputs import (DIRTY_ORDERS_SQL, SALES_WITH_TOTALS_SQL, dirty_orders, load, renamed_orders, sales_with_totals, star)
 from .read_api import Reader, capped, envelopes
@@ -109,6 +109,26 @@ REPAIRED_SQL = f"""WITH d AS ({DIRTY_ORDERS_SQL}) SELECT d.o_orderkey, CASE WHEN
   o_orderpriority AS priority, amount_text, currency FROM d JOIN orders USING (o_orderkey)"""
 
 
+def _repairs_after_second_file(spark, sf):
+    """Repairs found in a first file and stored by row id are shown after a second file arrived whose path sorts first: they
+    still change the rows they were found in, and no other."""
+    folder, registry = new_folder(spark, "orders-files"), new_folder(spark, "file-numbers")
+    dirty = dirty_orders(spark, sf).select("o_orderkey", "status", "priority")
+
+    def arrived():
+        files = with_file_row_id(spark.read.option("recursiveFileLookup", True).schema(dirty.schema).parquet(folder), registry=registry)
+        return Table("dirty", files, "_row_id", hide_row_id=True)
+
+    dirty.filter("o_orderkey % 2 = 0").coalesce(1).write.parquet(f"{folder}/m")
+    stored = materialize(E.repairs(TableSet(spark, [arrived()]), ("null_token", "category_consolidation")), "stored-repairs")
+    dirty.filter("o_orderkey % 2 = 1").coalesce(1).write.parquet(f"{folder}/a")
+    return E.repaired_view(arrived(), stored).select("o_orderkey", "status", "priority")
+
+
+REPAIRS_AFTER_SQL = f"""WITH d AS ({DIRTY_ORDERS_SQL}) SELECT d.o_orderkey, CASE WHEN lower(trim(status)) IN {TOKENS} AND d.o_orderkey % 2 = 0 THEN NULL ELSE status END AS status,
+  CASE WHEN d.o_orderkey % 2 = 0 THEN o_orderpriority ELSE priority END AS priority FROM d JOIN orders USING (o_orderkey)"""
+
+
 # ---- changes ----------------------------------------------------------------------------------------------------
 def _two_runs(spark, sf):
     """Run two drops some orders, gains others, renames a table, drops one, adds one and moves a KPI."""
@@ -404,14 +424,14 @@ TRACE_SQL = """SELECT o_orderkey, o_totalprice, true AS known FROM orders
 
 QUERIES = {
     "rules_pack": _rules, "kpis_pack": _kpis, "count_rules_lineitem": _count_rules, "repairs_planted": _repairs,
-    "repaired_view_planted": _repaired, "changes_two_runs": _changes, "change_counts": _change_counts, "row_difference_lineitem": _row_difference,
+    "repaired_view_planted": _repaired, "repairs_after_second_file": _repairs_after_second_file, "changes_two_runs": _changes, "change_counts": _change_counts, "row_difference_lineitem": _row_difference,
     "lineage_formulas": _lineage, "readiness": _readiness, "gaps": _gaps, "catalog_report": _report, "audit_tables": _audit,
     "publish_runs": _publish, "refresh_two_runs": _refresh, "sql_views": _sql_views, "sql_functions": _sql_functions, "sql_set_operations": _sql_set_operations, "sql_envelopes": _sql_envelopes, "capped_read": _capped, "schema_tool": _schema_tool, "describe_tool": _describe_tool,
     "trace_tool": _trace_tool,
 }
 ORACLE = {
     "rules_pack": RULES_SQL, "kpis_pack": KPIS_SQL, "count_rules_lineitem": COUNT_RULES_SQL, "repairs_planted": REPAIRS_SQL,
-    "repaired_view_planted": REPAIRED_SQL, "changes_two_runs": CHANGES_SQL, "row_difference_lineitem": ROW_DIFFERENCE_SQL,
+    "repaired_view_planted": REPAIRED_SQL, "repairs_after_second_file": REPAIRS_AFTER_SQL, "changes_two_runs": CHANGES_SQL, "row_difference_lineitem": ROW_DIFFERENCE_SQL,
     "lineage_formulas": LINEAGE_SQL, "readiness": READINESS_SQL, "gaps": GAPS_SQL, "catalog_report": REPORT_SQL, "audit_tables": AUDIT_SQL,
     "publish_runs": PUBLISH_SQL, "refresh_two_runs": REFRESH_SQL, "sql_views": SQL_VIEWS_SQL, "sql_functions": SQL_FUNCTIONS_SQL, "sql_set_operations": SET_OPERATIONS_SQL, "sql_envelopes": SQL_ENVELOPES_SQL, "capped_read": CAPPED_SQL, "schema_tool": SCHEMA_SQL,
     "describe_tool": DESCRIBE_SQL, "trace_tool": TRACE_SQL,
