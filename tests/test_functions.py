@@ -73,18 +73,27 @@ def test_names(spark):
     assert each(spark, ["notes", "order_no", "unit price"], lambda c: N.has_word(c, ["no", "price"])) == [False, True, True]
 
 
-def test_entities_of_an_arabic_sentence():
+def found_in(spark, *texts):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", entities_of(F.col("text")).alias("e")).orderBy("i").collect()
+    return [[(e.kind, e.value, e.normalized, e.start, e.end) for e in r.e or []] for r in rows]
+
+
+def test_entities_of_an_arabic_sentence(spark):
     text = "الفاتورة INV-000123 بتاريخ ١٥/٠٣/٢٠٢٤ بمبلغ 4,250.50 جنيه وخصم 12.5% راسل a.b@Example.com أو 01001234567"
-    found = [(k, n) for k, _, n, _, _ in entities_of(text)]
+    found = [(k, n) for k, _, n, _, _ in found_in(spark, text)[0]]
     assert found == [("code", "INV-000123"), ("date", "2024-03-15"), ("money", "4250.50 EGP"), ("percent", "12.5%"),
                      ("email", "a.b@example.com"), ("phone", "01001234567")]
 
 
-def test_entities_month_names_and_overlaps():
-    assert [(k, n) for k, _, n, _, _ in entities_of("due 5 March 2024, Apr 6, 2023 and 7 يناير 2022")] == [
+def test_entities_month_names_and_overlaps(spark):
+    assert [(k, n) for k, _, n, _, _ in found_in(spark, "due 5 March 2024, Apr 6, 2023 and 7 يناير 2022")[0]] == [
         ("date", "2024-03-05"), ("date", "2023-04-06"), ("date", "2022-01-07")]
-    assert [k for k, *_ in entities_of("INV-2024@mail.example.com")] == ["email"]
-    assert entities_of("99/99/2024") == [] and entities_of(None) == []
+    mail, bad, none, empty, many = found_in(spark, "INV-2024@mail.example.com", "99/99/2024", None, "", "🙂 $1,250.5 is 12 usd, 31.02.2024; USD 7 on 01/02/2023 or 2023-2-1 +20 1001234567 A12/3; le 5")
+    assert [k for k, *_ in mail] == ["email"] and bad == none == empty == []
+    assert [(k, v, n) for k, v, n, _, _ in many] == [
+        ("money", "$1,250.5", "1250.50 USD"), ("money", "12 usd", "12.00 USD"), ("money", "USD 7", "7.00 USD"), ("date", "01/02/2023", "2023-02-01"),
+        ("date", "2023-2-1", "2023-02-01"), ("phone", "+20 1001234567", "+201001234567"), ("code", "A12/3", "A12/3"), ("money", "le 5", "5.00 EGP")]
+    assert all("🙂 $1,250.5 is 12 usd, 31.02.2024; USD 7 on 01/02/2023 or 2023-2-1 +20 1001234567 A12/3; le 5"[s:e] == v for _, v, _, s, e in many)
 
 
 def test_snippet_and_location(spark):

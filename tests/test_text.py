@@ -23,12 +23,36 @@ def test_markdown(spark):
         (2, "a", "text", None, "x"), (2, "b", "int", 1.0, None), (3, "a", "text", None, "y"), (3, "b", "int", 2.0, None)]
 
 
-def test_html_blocks_and_tables():
-    blocks, cells = B.read_page("<html><head><title>t</title></head><body><h1>Top</h1><p>a &amp; b<ul><li>one</li></ul>"
-                                "<table><tr><th>x</th><th>y</th></tr><tr><td>1</td><td>2</td></tr></table><h2>Sub</h2>tail</body></html>")
-    assert blocks == [("heading", 1, "", "Top"), ("paragraph", None, "Top", "a & b"), ("list_item", None, "Top", "one"),
-                      ("heading", 2, "Top", "Sub"), ("paragraph", None, "Top > Sub", "tail")]
-    assert [c[2:] for c in cells] == [(1, 1, "x"), (1, 2, "y"), (2, 1, "1"), (2, 2, "2")]
+def page_parts(spark, *pages):
+    frame = spark.createDataFrame(list(enumerate(pages)), "id int, html string")
+    parts = B.html_parts(frame, F.col("id"), F.col("html")).collect()
+    blocks = [(int(r.source_id), r.kind, r.level, r.section, r.text) for r in sorted(parts, key=lambda r: (int(r.source_id), r.ord)) if r.what == "block"]
+    cells = [(int(r.source_id), r.table_no, r.section, r.row, r.col, r.text) for r in sorted(parts, key=lambda r: (int(r.source_id), r.ord)) if r.what == "cell"]
+    return blocks, cells
+
+
+def test_html_blocks_and_tables(spark):
+    blocks, cells = page_parts(spark, "<html><head><title>t</title></head><body><h1>Top</h1><p>a &amp; b<ul><li>one</li></ul>"
+                               "<table><tr><th>x</th><th>y</th></tr><tr><td>1</td><td>2</td></tr></table><h2>Sub</h2>tail</body></html>")
+    assert [b[1:] for b in blocks] == [("heading", 1, "", "Top"), ("paragraph", None, "Top", "a & b"), ("list_item", None, "Top", "one"),
+                                       ("heading", 2, "Top", "Sub"), ("paragraph", None, "Top > Sub", "tail")]
+    assert [c[3:] for c in cells] == [(1, 1, "x"), (1, 2, "y"), (2, 1, "1"), (2, 2, "2")]
+
+
+def test_html_corner_cases(spark):
+    blocks, cells = page_parts(
+        spark, None, "", "plain &lt;p&gt; text &eacute;&#33;", "<script>var a = '<p>no</p>';</script>a<b>b</b>c<!-- <p>no</p> --><style>p{}</style> d",
+        "<li><p>inner</p></li><li></li>after", "<P CLASS='a>b'>one<BR/>two<hr>three", "<h3>deep</h3><h2>up</h2><h3>down</h3>x<header>y</header>",
+        "<p>cut <script>never closed", "1 < 2 and <em>3 > 2</em>",
+        "<h1>t</h1><table><tr><td>lost<td>a</td><td><p>b</p> &amp; c</td></tr><tr><td>open row</td></table>mid<table><tr><td>z</td></tr></table><TABLE><tr><td>open table</td></tr>")
+    got = {}
+    for i, *block in blocks:
+        got.setdefault(i, []).append(tuple(block))
+    par = lambda *texts: [("paragraph", None, "", t) for t in texts]
+    assert got == {2: par("plain <p> text é!"), 3: par("abc d"), 4: par("inner") + [("list_item", None, "", "after")], 5: par("one", "twothree"),
+                   6: [("heading", 3, "", "deep"), ("heading", 2, "deep", "up"), ("heading", 3, "deep > up", "down"), ("paragraph", None, "deep > up > down", "xy")],
+                   7: par("cut"), 8: par("1 < 2 and 3 > 2"), 9: [("heading", 1, "", "t"), ("paragraph", None, "t", "mid")]}
+    assert cells == [(9, 1, "t", 1, 1, "a"), (9, 1, "t", 1, 2, "b & c"), (9, 2, "t", 1, 1, "z")]
 
 
 def test_document_tables_need_two_rows_and_columns(spark):

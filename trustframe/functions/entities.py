@@ -1,88 +1,87 @@
-"""Entities in free text: the values that link a document to data, each with its character span."""
+"""Entities in free text: the values that link a document to data, each with its character span.
+
+Expressions only: where a pattern matches follows from the pieces between its matches, so nothing leaves the JVM.
+"""
 
 from __future__ import annotations
 
-import datetime as dt
-import re
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from . import fixed_values as V
 
-_DIGITS = str.maketrans(*V.ARABIC_DIGITS)
-_MONTH = "|".join(V.ENGLISH_MONTHS)
-_CURRENCY = "|".join(re.escape(c) for c in sorted(V.TEXT_CURRENCIES, key=len, reverse=True))
+ENTITY = "array<struct<start:int,end:int,kind:string,value:string,normalized:string>>"
 
 
-def _day(year: str, month: int, day: str) -> str | None:
-    try:
-        return dt.date(int(year), month, int(day)).isoformat()
-    except ValueError:
-        return None
+def _iso_date(year: Column, month: Column, day: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", year, month.cast("string"), day), "yyyy-M-d").cast("string")
 
 
-def _numeric_date(m: re.Match) -> str | None:
-    y, mo, d, d2, mo2, y2 = m.groups()
-    return _day(y, int(mo), d) if y else _day(y2, int(mo2), d2)
+def _numeric_date(value: Column) -> Column:
+    parts = F.split(value, "[-/.]")
+    ymd = _iso_date(parts[0], F.regexp_replace(parts[1], "^0", ""), F.regexp_replace(parts[2], "^0", ""))
+    dmy = _iso_date(parts[2], F.regexp_replace(parts[1], "^0", ""), F.regexp_replace(parts[0], "^0", ""))
+    return F.when(F.length(parts[0]) == 4, ymd).otherwise(dmy)
 
 
-def _named_date(m: re.Match) -> str | None:
-    """Three layouts: day month year, month day year, and an Arabic month name."""
-    d1, m1, y1, m2, d2, y2, d3, m3, y3 = m.groups()
-    if m3:
-        return _day(y3, V.ARABIC_MONTHS.get(m3, 0), d3)
-    day, month, year = (d1, m1, y1) if m1 else (d2, m2, y2)
-    return _day(year, V.ENGLISH_MONTHS.index(month.lower()) + 1, day)
+def _named_date(value: Column) -> Column:
+    """The year stands last, the day is the other number, the month the word."""
+    numbers, word = F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), F.lower(F.regexp_extract(value, r"(?U)\p{L}+", 0))
+    months = F.create_map(*[F.lit(x) for m, n in V.ARABIC_MONTHS.items() for x in (m, n)])
+    english = F.array_position(F.array(*[F.lit(m) for m in V.ENGLISH_MONTHS]), F.substring(word, 1, 3)).cast("int")
+    month = F.coalesce(F.try_element_at(months, word), english)
+    return _iso_date(F.get(numbers, F.lit(1)), month, F.regexp_replace(F.get(numbers, F.lit(0)), "^0", ""))
 
 
-def _money(m: re.Match) -> str:
-    before, n1, n2, after = m.groups()
-    amount = float((n1 or n2).replace(",", "").replace("٬", ""))
-    return f"{amount:.2f} {V.TEXT_CURRENCIES.get((before or after).lower())}"
+def _money(value: Column) -> Column:
+    codes = F.create_map(*[F.lit(x) for pair in V.TEXT_CURRENCIES.items() for x in pair])
+    number = F.regexp_extract(value, V.NUMBER_PATTERN, 0)
+    sign = F.lower(F.regexp_replace(F.replace(value, number, F.lit("")), r"(?U)\s", ""))
+    amount = F.regexp_replace(number, "[,٬]", "").try_cast("double")
+    return F.concat(F.format_string("%.2f", F.bround(amount, 2)), F.lit(" "), F.try_element_at(codes, sign))
 
 
-# kinds in priority order: where two matches overlap, the earlier kind keeps the text
-FINDERS = [
-    ("email", re.compile(V.EMAIL_PATTERN), lambda m: m.group().lower()),
-    ("money", re.compile(rf"(?:({_CURRENCY})\s?({V.NUMBER_PATTERN})|({V.NUMBER_PATTERN})\s?({_CURRENCY}))(?![\w])", re.I), _money),
-    ("date", re.compile(V.NUMERIC_DATE_PATTERN), _numeric_date),
-    ("date", re.compile(rf"\b(\d{{1,2}})\s+({_MONTH})[a-z]*\.?,?\s+(\d{{4}})\b|\b({_MONTH})[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
-                        rf"|(\d{{1,2}})\s+({'|'.join(V.ARABIC_MONTHS)})\s+(\d{{4}})", re.I), _named_date),
-    ("percent", re.compile(rf"(?:{V.NUMBER_PATTERN})\s?%"), lambda m: m.group().replace(" ", "")),
-    ("phone", re.compile(V.PHONE_PATTERN), lambda m: re.sub(r"[\s-]", "", m.group())),
-    ("code", re.compile(V.CODE_PATTERN), lambda m: m.group().upper()),
-]
+#: Kinds in priority order: where two matches overlap, the earlier kind keeps the text; without a normal form there is no entity.
+FINDERS: list[tuple[str, str, Callable[[Column], Column]]] = [
+    ("email", V.EMAIL_PATTERN, F.lower), ("money", V.MONEY_PATTERN, _money), ("date", V.NUMERIC_DATE_PATTERN, _numeric_date),
+    ("date", V.NAMED_DATE_PATTERN, _named_date), ("percent", V.PERCENT_PATTERN, lambda v: F.replace(v, F.lit(" "), F.lit(""))),
+    ("phone", V.PHONE_PATTERN, lambda v: F.regexp_replace(v, r"(?U)[\s-]", "")), ("code", V.CODE_PATTERN, F.upper)]
 
 
-def entities_of(text: str | None) -> list[tuple]:
-    """[(kind, value as written, normalized, start, end)] in text order."""
-    text = (text or "").translate(_DIGITS)
-    used, found = bytearray(len(text)), []
-    for kind, pattern, normal_form in FINDERS:
-        for m in pattern.finditer(text):
-            start, end = m.span()
-            value = None if any(used[start:end]) else normal_form(m)
-            if value is not None:
-                used[start:end] = b"\x01" * (end - start)
-                found.append((kind, m.group(), value, start, end))
-    return sorted(found, key=lambda e: e[3])
+def _matches(text: Column, kind: str, pattern: str, normal: Callable[[Column], Column]) -> Column:
+    """All matches of one pattern: each starts where the piece before it ends."""
+    pattern = "(?U)" + pattern
+    pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(ENTITY).alias("found"))
 
+    def step(done: Column, piece: Column) -> Column:
+        start, value = done["at"] + F.length(piece["0"]), piece["1"]
+        end = start + F.length(value)
+        one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"), normal(value).alias("normalized"))
+        return F.when(value.isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["found"], F.array(one)).alias("found")))
+
+    return F.aggregate(pieces, empty, step, lambda done: done["found"])
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stated_values(texts: pd.Series) -> pd.Series:
-    """Dates and amounts of a text in normal form, amounts also without their currency."""
-    def one(text):
-        norms = [e[2] for e in entities_of(text) if e[0] in ("date", "money")]
-        return norms + [n.split(" ")[0] for n in norms]
 
-    return texts.map(one)
+def entities_of(text: Column) -> Column:
+    """[(start, end, kind, value as written, normalized)] of a text in text order; Arabic-Indic digits are read as digits."""
+    plain = F.translate(text, *V.ARABIC_DIGITS)
+    by_kind = F.array(*[_matches(plain, *finder) for finder in FINDERS])
 
+    def add(found: Column, more: Column) -> Column:
+        free = F.filter(more, lambda m: m["normalized"].isNotNull() & ~F.exists(found, lambda f: (f["start"] < m["end"]) & (f["end"] > m["start"])))
+        return F.concat(found, free)
 
-# a filter on the result must not be pushed below the call, or the texts would be read twice
-stated_values = stated_values.asNondeterministic()
+    return F.array_sort(F.aggregate(by_kind, F.array().cast(ENTITY), add))
+
+
+def stated_values(text: Column) -> Column:
+    """Dates and amounts of a text in normal form, amounts also without their currency."""
+    norms = F.transform(F.filter(entities_of(text), lambda e: e["kind"].isin("date", "money")), lambda e: e["normalized"])
+    return F.flatten(F.transform(norms, lambda n: F.array(n, F.substring_index(n, " ", 1))))
 
 
 def may_hold_entities(c: Column) -> Column:
-    """Every kind needs a digit or an @: texts without either never leave the JVM."""
+    """Every kind needs a digit or an @: other texts are passed over."""
     return c.rlike("[0-9@٠-٩۰-۹]")

@@ -50,6 +50,12 @@ TEXT_ENCODINGS = ["utf-8-sig", "cp1256", "latin-1"]
 NUMBER_PATTERN = r"\d{1,3}(?:[,٬]\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
 EMAIL_PATTERN = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 NUMERIC_DATE_PATTERN = r"\b(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\b|\b(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})\b"
+CURRENCY_PATTERN = r"جنيهات|دولار|جنيها|جنيه|يورو|ريال|درهم|ج\.م|egp|usd|eur|sar|aed|le|\$|€"
+MONEY_PATTERN = rf"(?i)(?:(?:{CURRENCY_PATTERN})\s?(?:{NUMBER_PATTERN})|(?:{NUMBER_PATTERN})\s?(?:{CURRENCY_PATTERN}))(?![\w])"
+NAMED_DATE_PATTERN = (r"(?i)\b(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,?\s+(\d{4})\b"
+                      r"|\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{1,2}),?\s+(\d{4})\b"
+                      r"|(\d{1,2})\s+(يناير|فبراير|مارس|أبريل|ابريل|مايو|يونيو|يوليو|أغسطس|اغسطس|سبتمبر|أكتوبر|اكتوبر|نوفمبر|ديسمبر)\s+(\d{4})")
+PERCENT_PATTERN = rf"(?:{NUMBER_PATTERN})\s?%"
 PHONE_PATTERN = (r"(?<![\w.])(?:\+20\s?|0)1[0125]\d{8}(?!\d)"
                  r"|(?<![\w.])\+\d{1,3}[\s-]?\d{2,4}[\s-]?\d{3,4}[\s-]?\d{3,4}")
 CODE_PATTERN = r"\b[A-Z]{1,6}[-_/]?\d{2,}(?:[-/]\d+)?\b"

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import html as html_module
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.entities import entities_of, may_hold_entities
 from ..functions.numbers import parse_number
-from ..session import spread
 
 BLOCK = "source_id string, part string, kind string, page int, section string, level int, ord int, text string"
 CELL = "source_id string, table_no int, section string, row int, col int, text string"
@@ -32,6 +32,13 @@ def text_blocks(docs: DataFrame, source_id: Column, text: Column, kind: str = "p
                                      (F.col("ord") + 1).alias("ord"), "text"))
 
 
+def push_heading(stack: Column, heading: Column) -> Column:
+    """The heading stack with one more entry: where it stands, and the titles from the top down to it."""
+    before = F.when(F.size(stack) > 0, F.element_at(stack, -1)["path"]).otherwise(F.array().cast("array<string>"))
+    path = F.concat(F.slice(before, 1, heading["level"] - 1), F.array(heading["title"]))
+    return F.concat(stack, F.array(F.struct(heading["at"].alias("at"), path.alias("path"))))
+
+
 def _markdown_chunks(docs: DataFrame, source_id: Column, text: Column) -> DataFrame:
     """(source_id, at, chunk, lines, is_table, level, title, path): path is the heading stack after this chunk.
 
@@ -53,13 +60,8 @@ def _markdown_chunks(docs: DataFrame, source_id: Column, text: Column) -> DataFr
         F.trim(F.regexp_extract(lines_of(c)[0], r"^#{1,6}\s+(.*)", 1)).alias("title")))
     empty = F.array().cast("array<struct<at: int, path: array<string>>>")
 
-    def push(stack: Column, h: Column) -> Column:
-        before = F.when(F.size(stack) > 0, F.element_at(stack, -1)["path"]).otherwise(F.array().cast("array<string>"))
-        path = F.concat(F.slice(before, 1, h["level"] - 1), F.array(h["title"]))
-        return F.concat(stack, F.array(F.struct(h["at"].alias("at"), path.alias("path"))))
-
     rows = docs.select(source_id.cast("string").alias("source_id"), described.alias("d")).filter(F.size("d") > 0)
-    rows = rows.withColumn("stack", F.aggregate(F.filter("d", lambda d: d["level"] > 0), empty, push))
+    rows = rows.withColumn("stack", F.aggregate(F.filter("d", lambda d: d["level"] > 0), empty, push_heading))
     rows = rows.withColumn("paths", F.map_from_entries("stack"))
     flat = rows.select("source_id", "paths", F.explode("d").alias("c")).select("source_id", "c.*", F.try_element_at("paths", "c.at").alias("own"))
     order = Window.partitionBy("source_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,94 +99,91 @@ def markdown_cells(docs: DataFrame, source_id: Column, text: Column) -> DataFram
         "source_id", "table_no", "section", "row", (F.col("col") + 1).alias("col"), F.trim("text").alias("text"))
 
 
-class _PageReader(HTMLParser):
-    """Collects (kind, level, section, text) blocks and (table, section, row, col, text) cells of one page."""
-
-    HIDDEN = {"script", "style", "head"}
-    BREAKS = {"p", "div", "li", "h1", "h2", "h3", "h4", "h5", "h6", "br", "tr", "section", "article", "blockquote"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.blocks, self.cells = [], []
-        self.hidden, self.open_tag, self.loose, self.path = 0, None, [], []
-        self.tables = self.row = self.col = 0
-        self.in_table = self.in_row = False
-        self.cell = None
-
-    def end_block(self):
-        text, tag = " ".join("".join(self.loose).split()), self.open_tag
-        self.loose = []
-        if not text:
-            return
-        self.open_tag = None
-        if tag and tag[0] == "h":
-            level = int(tag[1])
-            self.path = self.path[:level - 1] + [text]
-            self.blocks.append(("heading", level, " > ".join(self.path[:-1]), text))
-        else:
-            self.blocks.append(("list_item" if tag == "li" else "paragraph", None, " > ".join(self.path), text))
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.HIDDEN:
-            self.hidden += 1
-        elif tag == "table":
-            self.end_block()
-            self.in_table, self.row, self.tables = True, 0, self.tables + 1
-        elif tag == "tr" and self.in_table:
-            self.in_row, self.row, self.col = True, self.row + 1, 0
-        elif tag in ("td", "th") and self.in_row:
-            self.cell, self.col = [], self.col + 1
-        elif tag in self.BREAKS:
-            self.end_block()
-            self.open_tag = tag
-
-    def handle_endtag(self, tag):
-        if tag in self.HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in ("td", "th") and self.cell is not None:
-            self.cells.append((self.tables, " > ".join(self.path), self.row, self.col, " ".join("".join(self.cell).split())))
-            self.cell = None
-        elif tag == "tr" and self.in_row:
-            self.in_row = False
-        elif tag == "table":
-            self.in_table = False
-        elif tag in self.BREAKS:
-            self.end_block()
-
-    def handle_data(self, data):
-        if self.hidden:
-            return
-        if self.cell is not None:
-            self.cell.append(data)
-        elif not self.in_table:
-            self.loose.append(data)
-
-
-def read_page(html: str | None) -> tuple[list, list]:
-    reader = _PageReader()
-    reader.feed(html or "")
-    reader.end_block()
-    reader.close()
-    return reader.blocks, reader.cells
+# ---- web pages --------------------------------------------------------------------------------------------------
+# Markup is turned into marked text by regular expressions: MARK name END opens a piece, CUT parts tables from the rest,
+# and HELD stands for `<` inside tables until their cells are read.
+MARK, END, CUT, HELD = "\x01", "\x02", "\x04", "\x05"
+INSIDE_TAG = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+UNSEEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style|head)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\z)"
+BREAKS = "p|div|li|h[1-6]|br|tr|section|article|blockquote"
+ANY_TAG = rf"</?[A-Za-z]{INSIDE_TAG}>|<[!?][^>]*>"
 
 
-def html_parts(pages: DataFrame, source_id: Column, html: Column) -> DataFrame:
-    """Blocks and table cells of web pages in one pass; `what` tells them apart. Pages are read where they lie."""
-    schema = "source_id string, what string, kind string, level int, section string, ord int, table_no int, row int, col int, text string"
+@F.pandas_udf(StringType())
+def _without_references(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None else html_module.unescape(t))
+
+
+def _characters(c: Column) -> Column:
+    """Character references become characters; texts without any never leave the JVM."""
+    some = F.when(F.contains(c, F.lit("&")), c)
+    return F.coalesce(_without_references(some), c)
+
+
+def _one_line(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), "^ | $", "")
+
 
-    def read(batches):
-        for batch in batches:
-            out = []
-            for sid, page in zip(batch["source_id"], batch["html"]):
-                blocks, cells = read_page(page)
-                out += [(sid, "block", k, lv, sec, i, None, None, None, t) for i, (k, lv, sec, t) in enumerate(blocks, 1)]
-                out += [(sid, "cell", None, None, sec, i, n, r, c, t) for i, (n, sec, r, c, t) in enumerate(cells, 1)]
-            frame = pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
-            for name in ("level", "ord", "table_no", "row", "col"):
-                frame[name] = frame[name].astype("Int32")
-            yield frame
+def _marked(html: Column) -> Column:
+    """A page as marked text: MARK name END text, where an unnamed piece follows a closing tag; pieces hold text, but for the first."""
+    seen = F.regexp_replace(F.translate(F.coalesce(html, F.lit("")), MARK + END + CUT + HELD, ""), UNSEEN, "")
+    parted = F.regexp_replace(F.regexp_replace(seen, r"(?i)(<table(?=[\s/>]))", CUT + "$1"), r"(?i)(</table\s*>)", "$1" + CUT)
+    whole = F.transform(F.split(parted, CUT), lambda p: F.when(
+        p.rlike(r"(?i)^<table(?=[\s/>])"), F.concat(F.lit(MARK + "table" + END), F.translate(p, "<", HELD), F.lit(MARK + END))).otherwise(p))
+    opened = F.regexp_replace(F.array_join(whole, ""), rf"(?i)<({BREAKS})(?=[\s/>]){INSIDE_TAG}>", f"{MARK}$1{END}")
+    closed = F.regexp_replace(opened, rf"(?i)</(?:{BREAKS})\s*>", MARK + END)
+    text = _characters(F.regexp_replace(closed, ANY_TAG, ""))
+    # of a run of pieces without text the last name counts
+    named = F.regexp_replace(text, rf"(?U)(?:{MARK}\w*{END}\s*)*{MARK}(\w+){END}\s*(?:{MARK}{END}\s*)*", f"{MARK}$1{END}")
+    return F.regexp_replace(named, rf"(?U)(?:{MARK}{END}\s*)+", MARK + END)
 
-    return spread(pages.select(source_id.cast("string").alias("source_id"), html.alias("html"))).mapInPandas(read, schema)
+
+def _table_rows(table: Column) -> Column:
+    """The closed rows of a table's markup, each an array of the texts of its closed cells."""
+    def after(c: Column, tag: str, closing: str) -> Column:
+        parts = F.slice(F.split(c, rf"(?i)<{tag}(?=[\s/>]){INSIDE_TAG}>"), 2, 1 << 30)
+        return F.transform(F.filter(parts, lambda x: x.rlike(f"(?i)</{closing}")), lambda x: F.regexp_replace(x, rf"(?is)</{closing}\s*>.*", ""))
+
+    return F.transform(after(table, "tr", "tr"), lambda r: F.transform(after(r, "t[dh]", "t[dh]"), lambda x: _one_line(F.regexp_replace(x, ANY_TAG, ""))))
+
+
+def html_parts(pages: DataFrame, source_id: Column, html: Column) -> DataFrame:
+    """(source_id, what, kind, level, section, ord, table_no, row, col, text): blocks and table cells of web pages; `what` tells them
+    apart. Pages are read where they lie, by expressions on the whole page; only character references need Python.
+
+    Headings, list items and paragraphs end at block tags; scripts, styles, comments and the head are not shown. A cell counts
+    if its tag, its row and its table are closed.
+    """
+    rows = pages.select(source_id.cast("string").alias("source_id"), _marked(html).alias("marked"))
+    split = F.transform(F.split("marked", MARK), lambda p: F.struct(
+        F.when(F.contains(p, F.lit(END)), F.lower(F.substring_index(p, END, 1))).otherwise("").alias("tag"), F.substring_index(p, END, -1).alias("body")))
+    shown = F.transform("split", lambda p: F.struct(
+        p["tag"].alias("tag"), F.when(p["tag"] == "table", F.translate(p["body"], HELD, "<")).otherwise(_one_line(p["body"])).alias("text")))
+    kept = F.filter("shown", lambda p: F.when(p["tag"] == "table", p["text"].rlike("(?i)</table")).otherwise(p["text"] != ""))
+    rows = rows.withColumn("split", split).withColumn("shown", shown).withColumn("kept", kept)
+    is_heading = lambda p: p["tag"].rlike("^h[1-6]$")
+    heads = F.filter(F.transform("kept", lambda p, i: F.struct(i.alias("at"), p["tag"].alias("tag"), F.substring(p["tag"], 2, 1).try_cast("int").alias("level"), p["text"].alias("title"))), is_heading)
+    empty = F.array().cast("array<struct<at: int, path: array<string>>>")
+    rows = rows.select("source_id", "kept", F.aggregate(heads, empty, push_heading).alias("stack"))
+
+    def path(i: Column) -> Column:
+        above = F.filter("stack", lambda s: s["at"] <= i)
+        return F.when(F.size(above) > 0, F.element_at(above, -1)["path"]).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.transform("kept", lambda p, i: F.struct(p["tag"].alias("tag"), p["text"].alias("text"), path(i).alias("path"), is_heading(p).alias("heading")))
+    rows = rows.select("source_id", pieces.alias("pieces"))
+    nothing = [F.lit(None).cast("int").alias(c) for c in ("table_no", "row", "col")]
+    blocks = rows.select("source_id", F.posexplode(F.filter("pieces", lambda p: p["tag"] != "table")).alias("ord", "p"))
+    parent = F.slice("p.path", 1, F.greatest(F.size("p.path") - 1, F.lit(0)))
+    blocks = blocks.select("source_id", F.lit("block").alias("what"), F.when(F.col("p.heading"), "heading").when(F.col("p.tag") == "li", "list_item").otherwise("paragraph").alias("kind"),
+                           F.when(F.col("p.heading"), F.substring("p.tag", 2, 1).try_cast("int")).alias("level"),
+                           _section(F.when(F.col("p.heading"), parent).otherwise(F.col("p.path"))).alias("section"), (F.col("ord") + 1).alias("ord"), *nothing, F.col("p.text").alias("text"))
+    numbered = F.transform(F.filter("pieces", lambda p: p["tag"] == "table"), lambda p, i: F.transform(_table_rows(p["text"]), lambda r, j: F.transform(
+        r, lambda c, k: F.struct((i + 1).alias("table_no"), (j + 1).alias("row"), (k + 1).alias("col"), c.alias("text"), _section(p["path"]).alias("section")))))
+    cells = rows.filter(F.exists("pieces", lambda p: p["tag"] == "table")).select("source_id", F.posexplode(F.flatten(F.flatten(numbered))).alias("ord", "c"))
+    cells = cells.select("source_id", F.lit("cell").alias("what"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("int").alias("level"), "c.section", (F.col("ord") + 1).alias("ord"),
+                         "c.table_no", "c.row", "c.col", "c.text")
+    return blocks.unionByName(cells)
 
 
 def html_blocks(parts: DataFrame) -> DataFrame:
@@ -230,10 +229,5 @@ def typed_document_values(cells: DataFrame) -> DataFrame:
 
 def entities(blocks: DataFrame) -> DataFrame:
     """(source_id, block_id, kind, value, normalized, start, end) for every entity of every block."""
-    def read(batches):
-        for batch in batches:
-            rows = [(sid, bid, *e) for sid, bid, text in zip(batch["source_id"], batch["block_id"], batch["text"]) for e in entities_of(text)]
-            yield pd.DataFrame(rows, columns=["source_id", "block_id", "kind", "value", "normalized", "start", "end"])
-
-    candidates = spread(blocks.select("source_id", "block_id", "text")).filter(may_hold_entities(F.col("text")))
-    return candidates.mapInPandas(read, "source_id string, block_id string, kind string, value string, normalized string, start int, `end` int")
+    found = blocks.filter(may_hold_entities(F.col("text"))).select("source_id", "block_id", F.explode(entities_of(F.col("text"))).alias("e"))
+    return found.select("source_id", "block_id", "e.kind", "e.value", "e.normalized", "e.start", "e.end")

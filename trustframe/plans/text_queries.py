@@ -129,6 +129,18 @@ def _html_kinds(spark, sf):
     return B.html_blocks(parts).groupBy("kind").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("text")).alias("chars"))
 
 
+HTML_BREAKS = "p|div|li|h[1-6]|br|tr|section|article|blockquote"
+HTML_KINDS_SQL = rf"""WITH seen AS (SELECT page_id, regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<head[ >].*?</head>|<script[ >].*?</script>|<style[ >].*?</style>', '', 'gs') AS h FROM pages),
+marked AS (SELECT page_id, replace(regexp_replace(regexp_replace(regexp_replace(h, '<({HTML_BREAKS})( [^>]*)?/?>', chr(1) || '\1' || chr(2), 'g'),
+  '</({HTML_BREAKS})>', chr(1) || chr(2), 'g'), '<[^>]*>', '', 'g'), '&quot;', '"') AS m FROM seen),
+named AS (SELECT page_id, regexp_replace(m, '(\x01\w*\x02\s*)*\x01(\w+)\x02\s*(\x01\x02\s*)*', chr(1) || '\2' || chr(2), 'g') AS m FROM marked),
+pieces AS (SELECT unnest(string_split(replace(replace(replace(m, '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1))) AS p FROM named),
+texts AS (SELECT CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 1) ELSE '' END AS tag,
+  trim(regexp_replace(CASE WHEN contains(p, chr(2)) THEN split_part(p, chr(2), 2) ELSE p END, '\s+', ' ', 'g')) AS text FROM pieces)
+SELECT CASE WHEN regexp_full_match(tag, 'h[1-6]') THEN 'heading' WHEN tag = 'li' THEN 'list_item' ELSE 'paragraph' END AS kind, count(*) AS blocks,
+  CAST(sum(length(text)) AS BIGINT) AS chars FROM texts WHERE text <> '' GROUP BY 1"""
+
+
 # ---- entities ---------------------------------------------------------------------------------------------------
 def _document_blocks(spark, sf):
     d = load(spark, sf, "documents")
@@ -373,7 +385,7 @@ QUERIES = {
 }
 ORACLE = {
     "text_forms_documents": TEXT_FORMS_SQL, "scalars_orders": SCALARS_SQL, "line_blocks_documents": PARAGRAPHS_SQL,
-    "markdown_blocks": MARKDOWN_SQL, "markdown_tables": MARKDOWN_TABLES_SQL, "html_headings_pages": HTML_SQL, "emails_documents": EMAILS_SQL,
+    "markdown_blocks": MARKDOWN_SQL, "markdown_tables": MARKDOWN_TABLES_SQL, "html_headings_pages": HTML_SQL, "html_kinds_pages": HTML_KINDS_SQL, "emails_documents": EMAILS_SQL,
     "entities_planted": _entities_sql(), "postings_documents": POSTINGS_SQL, "search_bm25": _search_sql(), "search_scan": SCAN_SQL,
     "read_window": READ_SQL, "read_around_hits": AROUND_SQL, "budgeted_conversations": BUDGET_SQL, "budgeted_sources": BUDGET_SOURCES_SQL,
     "grounded_rejects_planted": GROUNDED_SQL, "grounded_records_planted": GROUNDED_RECORDS_SQL, "mentions_planted": MENTIONS_SQL,

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import email
 import email.policy
-import email.utils
 from functools import reduce
 
 import pandas as pd
@@ -13,11 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..functions import fixed_values as V
 from ..functions.names import file_extension
 from ..operators.blocks import html_blocks, html_parts, markdown_blocks, text_blocks, with_block_id
-from ..session import materialize, spread
+from ..session import materialize
 
 SNIFF_CHARS = 20_000
 DELIMITERS = [",", ";", "\t", "|"]
-MAIL = "source_id string, part string, headers map<string,string>, plain string, html string, attachments array<struct<name: string, data: binary>>"
 TEXT_KINDS = ["txt", "md", "html", "htm"]
 
 
@@ -68,38 +66,77 @@ def read_csv(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
 
 
 # ---- e-mail -----------------------------------------------------------------------------------------------------
-HEADERS = {"from": "From", "to": "To", "cc": "Cc", "subject": "Subject", "date": "Date", "message_id": "Message-ID"}
-
-
-def _message(data: bytes) -> tuple[dict, str | None, str | None, list]:
-    msg = email.message_from_bytes(data, policy=email.policy.default)
-    headers = {k: str(msg[h]) for k, h in HEADERS.items() if msg[h]}
-    try:
-        headers["sent"] = email.utils.parsedate_to_datetime(headers["date"]).isoformat()
-    except (KeyError, TypeError, ValueError):
-        pass
-    body = msg.get_body(preferencelist=("plain", "html"))
-    text = None if body is None else body.get_content()
-    is_html = body is not None and body.get_content_subtype() == "html"
-    files = []
-    for part in msg.iter_attachments():
-        payload = part.get_payload(decode=True)
-        if payload is None and part.get_content_type() == "message/rfc822":
-            payload = part.get_content().as_bytes()
-        if payload:
-            name = (part.get_filename() or "attachment.eml" if part.get_content_type() == "message/rfc822" else part.get_filename()) or "attachment"
-            files.append({"name": name.replace("\\", "/").rsplit("/", 1)[-1], "data": payload})
-    return headers, None if is_html else text, text if is_html else None, files
+#: Headers that are kept, by their names in the result.
+HEADERS = ["from", "to", "cc", "subject", "date", "message_id"]
+PARTS = "array<struct<at: int, type: string, inline: boolean, name: string, text: string, data: binary>>"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 
-def read_mail(files: DataFrame) -> DataFrame:
-    """files(source_id, part, content) -> one row per message: headers, body (plain preferred) and attachments."""
+def _leaves(message, depth: int = 0):
+    """The parts of a message that hold something, with their depth: its containers are left out, messages in it are not opened."""
+    if message.get_content_maintype() != "multipart":
+        yield depth, message
+        return
+    for part in message.iter_parts():
+        yield from _leaves(part, depth + 1)
+
+
+def _part(depth: int, part) -> dict:
+    kind = part.get_content_type()
+    whole = kind == "message/rfc822"
+    data = part.get_content().as_bytes() if whole else part.get_payload(decode=True)
+    text = part.get_content() if kind in ("text/plain", "text/html") else None
+    return {"at": depth, "type": kind, "inline": not part.is_attachment(), "name": part.get_filename() or ("attachment.eml" if whole else None), "text": text, "data": data}
+
+
+def mail_parts(files: DataFrame) -> DataFrame:
+    """files(source_id, part, content) -> source_id, part, headers, parts: Python only takes the MIME envelope apart."""
     def read(batches):
         for batch in batches:
-            rows = [(sid, part, *_message(data)) for sid, part, data in zip(batch["source_id"], batch["part"], batch["content"])]
-            yield pd.DataFrame(rows, columns=["source_id", "part", "headers", "plain", "html", "attachments"])
+            rows = []
+            for sid, part, data in zip(batch["source_id"], batch["part"], batch["content"]):
+                message = email.message_from_bytes(data, policy=email.policy.default)
+                headers = {h: str(message[h.replace("_", "-")]) for h in HEADERS if message[h.replace("_", "-")]}
+                rows.append((sid, part, headers, [_part(*leaf) for leaf in _leaves(message)]))
+            yield pd.DataFrame(rows, columns=["source_id", "part", "headers", "parts"])
+
+    return files.select("source_id", "part", "content").mapInPandas(read, f"source_id string, part string, headers map<string,string>, parts {PARTS}")
 
-    return spread(files.select("source_id", "part", "content")).mapInPandas(read, MAIL)
+
+def iso_time(header: Column) -> Column:
+    """A date header in ISO form with its offset; null where it is none."""
+    pattern = r"(?i)(\d{1,2})\s+([a-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}:\d{2})(:\d{2})?\s*([+-]\d{4}|gmt|utc?|z)?"
+    day, month, year, clock, second, zone = [F.regexp_extract(header, pattern, i) for i in range(1, 7)]
+    number = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(month))
+    offset = F.when(zone.rlike("^[+-]"), F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).when(zone != "", "+00:00").otherwise("")
+    text = F.concat(year, F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), F.lpad(clock, 5, "0"),
+                    F.when(second == "", ":00").otherwise(second), F.when(zone == "-0000", "").otherwise(offset))
+    real = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
+    return F.when((number > 0) & real, text)
+
+
+def read_mail(files: DataFrame) -> DataFrame:
+    """files(source_id, part, content) -> one row per message: headers, plain, html (only without plain) and attachments.
+
+    The body is the first text shown inline, plain before HTML. What stands beside it at the top is attached, but for the first
+    inline text of either kind.
+    """
+    rows = mail_parts(files)
+
+    def first(kind: str) -> Column:
+        return F.get(F.filter("parts", lambda p: (p["type"] == kind) & p["inline"]), F.lit(0))
+
+    def first_at(kind: str) -> Column:
+        return F.array_position(F.transform("parts", lambda p: (p["type"] == kind) & p["inline"] & (p["at"] == 1)), True)
+
+    plain, html = first("text/plain")["text"], first("text/html")["text"]
+    beside = F.filter(F.transform("parts", lambda p, i: F.struct(
+        (p["at"] == 1).alias("top"), ((i + 1 == first_at("text/plain")) | (i + 1 == first_at("text/html"))).alias("body"), p["name"].alias("name"), p["data"].alias("data"))),
+        lambda p: p["top"] & ~p["body"] & (F.coalesce(F.octet_length(p["data"]), F.lit(0)) > 0))
+    attached = F.transform(beside, lambda p: F.struct(F.element_at(F.split(F.coalesce(p["name"], F.lit("attachment")), r"[\\/]"), -1).alias("name"), p["data"].alias("data")))
+    sent = iso_time(F.try_element_at("headers", F.lit("date")))
+    headers = F.when(sent.isNotNull(), F.map_concat("headers", F.create_map(F.lit("sent"), sent))).otherwise(F.col("headers"))
+    return rows.select("source_id", "part", headers.alias("headers"), plain.alias("plain"), F.when(plain.isNull(), html).alias("html"), attached.alias("attachments"))
 
 
 def mail_blocks(messages: DataFrame) -> DataFrame:
