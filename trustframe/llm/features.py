@@ -76,7 +76,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most_rows: i
     """
     one = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     few = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return docs.join(F.broadcast(few), "doc_id")
+    texts = docs.select("doc_id", "text", *[c for c in ("n_chars",) if c in docs.columns])         # other columns may be called label
+    return texts.join(F.broadcast(few), "doc_id")
 
 
 def featurise(rows: DataFrame, columns: list[str], features, value_type: str = "array<int>") -> DataFrame:

@@ -4,7 +4,8 @@ The score of features x is sigmoid(b + <w, x> + sum over pairs <v_i, v_j> x_i x_
 it equals half of (sum of v x) squared less the sum of squares, summed over the factors. Words are hashed to a fixed number
 of ids and weigh 1 / sqrt(count); structure statistics and the length given with the text are binned and weigh 1.
 
-Null and empty texts are scored by their structure bins. Without labelled rows every score is 0.5; if all labels agree, the
+Null, empty and very long texts are scored whole, empty ones by their structure bins; repeated rows get the same score, an
+empty table none, and columns of any name may come along. Without labelled rows every score is 0.5; if all labels agree, the
 score is near that label.
 """
 
@@ -91,18 +92,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     return FactorisationMachine().fit(rows, np.array(table.column("label").to_pylist(), float))
 
 
-def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """All columns of docs and `score`, one row per row. The broadcast model has a fixed size (under 5 MB)."""
+def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
+    """All columns of docs and the score as `name`, which none of them may have, one row per row. The broadcast model has a
+    fixed size (under 5 MB)."""
     small = FactorisationMachine(1, 1)
     small.bias, small.w, small.v = model.bias, model.w.astype(np.float32), model.v.astype(np.float32)
     shared = docs.sparkSession.sparkContext.broadcast(small)
     source = docs.withColumn("text", F.col("text").cast("string"))
     from .features import pa_fields
-    schema = pa.schema([*pa_fields(source, source.columns), ("score", pa.float64())])
+    schema = pa.schema([*pa_fields(source, source.columns), (name, pa.float64())])
 
     def run(part):
         sizes = part.column("n_chars").to_pylist() if "n_chars" in part.schema.names else [None] * part.num_rows
         rows = [feature_ids(t, n) for t, n in zip(part.column("text").to_pylist(), sizes)]
-        return {c: part.column(c) for c in part.schema.names} | {"score": shared.value.score(rows)}
+        return {c: part.column(c) for c in part.schema.names} | {name: shared.value.score(rows)}
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(arrow_rows(run, schema), f"{ddl}, score double")
+    return source.mapInArrow(arrow_rows(run, schema), f"{ddl}, `{name}` double")
