@@ -36,3 +36,39 @@ def test_run_equals_brute_force(spark):
     for held in sequences.values():
         ends = [0, *(o + n for o, n in sorted(held))]
         assert [o for o, _ in sorted(held)] == ends[:-1] and ends[-1] <= queries.WINDOW
+
+
+TEXTS = {k: " ".join(f"{k}{i % 37}x{i}" for i in range(60)) for k in "abcde"}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id with several texts keeps those of its own: a near copy of a smaller row goes, unrelated texts and one of equal rows stay."""
+    rows = [(1, TEXTS["a"]), (5, TEXTS["a"] + " z"), (5, TEXTS["b"]), (7, TEXTS["c"]), (7, TEXTS["c"] + " y"), (9, TEXTS["d"]), (9, TEXTS["d"]), (None, TEXTS["a"]), (3, None), (2, "")]
+    docs = spark.createDataFrame([(d, t, "s", 1, 2, "k") for d, t in rows], "doc_id long, text string, score string, first int, _id int, component_id string")
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    sure = [(1, TEXTS["a"]), (5, TEXTS["b"]), (9, TEXTS["d"]), (None, TEXTS["a"]), (3, None), (2, "")]
+    assert len(kept) == len(sure) + 1 and all(x in kept for x in sure)
+    assert sum(x in kept for x in ((7, TEXTS["c"]), (7, TEXTS["c"] + " y"))) == 1
+    single = docs.filter("doc_id IS NULL OR doc_id IN (1, 2, 3)")
+    assert sorted(map(repr, corpus_pipeline.near_duplicates(spark, single, SF).collect())) == sorted(map(repr, single.collect()))
+
+
+def test_stages_take_clashing_missing_and_empty_columns(spark):
+    docs = queries.table(spark, SF, "documents").select("doc_id", "text", "lang", "source", F.lit("x").alias("score"), F.lit(1).alias("label"), F.lit("y").alias("Score_0"))
+    kept = corpus_pipeline.quality_classifier(spark, docs, SF)
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
+    hidden = corpus_pipeline.personal_data(spark, docs.limit(5), SF)
+    assert hidden.columns == docs.columns and hidden.count() == 5
+    empty = queries.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, SF).collect() == [], name
+
+
+def test_classifiers_train_beside_columns_named_label(spark):
+    from trustframe.llm import toxicity
+    docs = queries.table(spark, SF, "documents").withColumn("label", F.lit("other"))
+    labels = queries.table(spark, SF, "labels")
+    assert quality.score(docs.limit(3), quality.train(docs, labels)).count() == 3
+    assert toxicity.score(docs.limit(3), toxicity.train(docs, labels)).count() == 3

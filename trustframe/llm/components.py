@@ -6,30 +6,32 @@ to the shared folder, so lost executors cost one step. Hubs are joined, never ga
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..session import materialize
+from .stored import discard
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row["n"], row["h"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, and their number and a sum of their hashes, observed on the way."""
+    seen = Observation()
+    stored = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return stored, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
     """node and component (its smallest node) of every node of the edges (columns a, b). Loops and repeats are allowed;
     null ends are no nodes."""
     clean = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    now = materialize(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = _digest(now)
+    now, before = _written(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(most_steps if before[0] else 0):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
         low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
         large = both.filter("y > x").join(low, "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _digest(now)
+        last, (now, after) = now, _written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(last)
         if after == before:
             break
         before = after

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from .components import connected_components
+from .stored import discard
 from .words import mix, shingles, text_slices
 
 LIST_COST = 4
@@ -217,6 +218,8 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     lists = materialize(shared.groupBy(F.xxhash64("low", "high", "mark").alias("signature"), "doc_id").agg(F.count(F.lit(1)).alias("weight")), "jaccard-lists")
     members = lists.select("doc_id").distinct()
     facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
+    signed, table = table, materialize(table.select("doc_id", "n_shingles", "same"), "jaccard-sizes")
+    discard(signed)                                     # the signatures are the bulk of all that is written
 
     # groups by the bitmaps alone say whose shingles are needed: two documents that link are in one such group or meet across two
     likely = materialize(stars(lists, None, facts, percent, 0), "jaccard-likely")
@@ -226,8 +229,10 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         if more.isEmpty():
             break
         likely = likely.unionByName(more)
-        guess = materialize(connected_components(likely), "jaccard-guess")
+        old, guess = guess, materialize(connected_components(likely), "jaccard-guess")
+        discard(old)
     across = materialize(crossing(lists, guess, facts, percent), "jaccard-across")
+    discard(guess)
     pairs = likely.unionByName(across)
     needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-needed")
     # a doc_id with several texts has several sets; each may link. Kept by doc_id, the sets are dealt out once for all rounds
