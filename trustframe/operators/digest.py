@@ -19,27 +19,40 @@ DIGEST = ("table_id string, section string, measure string, dim string, key stri
 DIM_ORDER = {"category": 0, "geo": 1, "code": 2, "boolean": 3}
 
 
+@dataclass(frozen=True)
+class Limits:
+    """How much of a table is summarised; None: all of it. A dimension has between `groups` distinct values."""
+
+    measures: int | None = V.MAX_MEASURES
+    dimensions: int | None = V.MAX_DIMENSIONS
+    groups: tuple[int, int | None] = (2, 50)
+
+
 @dataclass(frozen=True)
 class Choice:
-    """What is summarised for one table, or why nothing is."""
+    """What is summarised for one table, or why nothing is, and which columns its limits leave out."""
 
     table: Table
     measures: list[tuple[str, bool, str | None]]      # name, additive, unit
     dims: list[str]
     date: str | None
     skipped: str | None
+    left_out: tuple[str, ...] = ()
 
     @property
     def primary(self) -> str | None:
         return next((name for name, additive, _ in self.measures if additive), None)
 
 
-def ranked_columns(roles: DataFrame) -> DataFrame:
-    """(table_id, use, place, column_name, additive, unit): at most four measures, three dimensions and one date."""
+def ranked_columns(roles: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(table_id, use, place, column_name, additive, unit, why): measures, dimensions and dates in order of use; `why` says which
+    limit leaves a column out."""
     name, role = F.col("column_name"), F.col("role")
     numeric = F.col("sql_type").isin("INTEGER", "REAL")
     measure = numeric & role.isin("money", "quantity")
-    dim = ~measure & role.isin(*DIM_ORDER) & F.col("distinct_count").between(2, 50) & (F.col("n") > 0)
+    least, most = limits.groups
+    dim = ~measure & role.isin(*DIM_ORDER) & (F.col("distinct_count") >= least) & (F.col("n") > 0)
+    many = dim & (F.col("distinct_count") > most) if most else F.lit(False)
     date = (role == "date") & F.col("kind").isin("date", "datetime")
     rank = F.when(role == "money", 0).when(F.col("confidence") >= 0.6, 1).otherwise(2) + F.when(is_additive(name), 0).otherwise(3)
     dim_rank = F.lit(9)
@@ -48,16 +61,18 @@ def ranked_columns(roles: DataFrame) -> DataFrame:
     use = F.when(measure, "measure").when(dim, "dim").when(date, "date")
     order = F.struct(F.when(measure, rank).when(dim, dim_rank).otherwise(0).alias("a"),
                      F.when(measure, F.col("position").cast("long")).otherwise(-F.col("n")).alias("b"), name.alias("c"))
-    used = roles.withColumn("use", use).filter("use IS NOT NULL").withColumn("place", F.row_number().over(
-        Window.partitionBy("table_id", "use").orderBy(order)))
-    keep = F.when(F.col("use") == "measure", V.MAX_MEASURES).when(F.col("use") == "dim", V.MAX_DIMENSIONS).otherwise(1)
-    return used.filter(F.col("place") <= keep).select("table_id", "use", "place", "column_name", is_additive(name).alias("additive"),
-                                                      F.coalesce("currency", "unit").alias("unit"))
+    used = roles.withColumn("use", use).withColumn("many", many).filter("use IS NOT NULL").withColumn("place", F.row_number().over(
+        Window.partitionBy("table_id", "use", "many").orderBy(order)))
+    keep = F.when(F.col("use") == "measure", limits.measures).when(F.col("use") == "dim", limits.dimensions).otherwise(1)
+    why = (F.when(F.col("many"), F.concat(F.lit("dimension of "), F.col("distinct_count").cast("string"), F.lit(" groups")))
+           .when(F.col("place") > keep, F.concat("use", F.lit(" number "), F.col("place").cast("string"))))
+    return used.select("table_id", "use", "place", "column_name", is_additive(name).alias("additive"), F.coalesce("currency", "unit").alias("unit"), why.alias("why"))
 
 
-def choose(tables: TableSet, roles: DataFrame, kinds: DataFrame, regions: dict[str, int] | None = None) -> list[Choice]:
+def choose(tables: TableSet, roles: DataFrame, kinds: DataFrame, regions: dict[str, int] | None = None, limits: Limits = Limits()) -> list[Choice]:
     """Column choices per table. They name a few columns each: metadata, read to the driver to build the plans."""
-    picked = ranked_columns(roles).collect()
+    ranked = ranked_columns(roles, limits).collect()
+    picked = [r for r in ranked if r.why is None]
     kind = {r.table_id: r for r in kinds.select("table_id", "table_kind", "row_count").collect()}
     out = []
     for t in tables.tables:
@@ -76,15 +91,15 @@ def choose(tables: TableSet, roles: DataFrame, kinds: DataFrame, regions: dict[s
             why = "no amount, category or date column recognised"
         else:
             why = None
-        out.append(Choice(t, measures, dims, date, why))
+        out.append(Choice(t, measures, dims, date, why, tuple(sorted(f"{r.column_name}: {r.why}" for r in ranked if r.why and r.table_id == t.table_id))))
     return out
 
 
 def choices_frame(tables: TableSet, choices: list[Choice]) -> DataFrame:
     rows = [(c.table.table_id, c.table.name, "skipped" if c.skipped else "computed", c.skipped, [m for m, _, _ in c.measures],
-             c.dims, c.date) for c in choices]
+             c.dims, c.date, list(c.left_out)) for c in choices]
     return local_frame(tables.spark, rows, "table_id string, table_name string, status string, reason string, "
-                                           "measures array<string>, dims array<string>, date_column string")
+                                           "measures array<string>, dims array<string>, date_column string, left_out array<string>")
 
 
 def sum_rows(choice: Choice, flags: DataFrame) -> DataFrame:

@@ -21,12 +21,13 @@ from ..tables import TableSet
 class Facts:
     def __init__(self, tables: TableSet, declared_keys: dict[str, list[str]] | None = None,
                  declared_relations: list[tuple[str, str, str, str]] | None = None,
-                 declared_roles: dict[tuple[str, str], str] | None = None):
+                 declared_roles: dict[tuple[str, str], str] | None = None, digest_limits: D.Limits = D.Limits()):
         self.tables = tables
         self.spark = tables.spark
         self.declared_keys = declared_keys
         self.declared_relations = declared_relations
         self.declared_roles = declared_roles
+        self.digest_limits = digest_limits
 
     @cached_property
     def frequencies(self) -> DataFrame:
@@ -88,7 +89,7 @@ class Facts:
     # ---- key numbers ----------------------------------------------------------------------------------------
     @cached_property
     def choices(self) -> list[D.Choice]:
-        return D.choose(self.tables, self.roles, self.kinds)
+        return D.choose(self.tables, self.roles, self.kinds, limits=self.digest_limits)
 
     @cached_property
     def all_flags(self) -> DataFrame:

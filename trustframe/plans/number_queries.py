@@ -86,6 +86,38 @@ def _choices(spark, sf):
                         "date_column")
 
 
+#: Columns of order lines as amounts and codes: five of one kind, five of the other.
+MANY_ROLES = {c: "quantity" for c in ("l_quantity", "l_discount", "l_tax")} | {"l_extendedprice": "money", "l_partkey": "money"} | {c: "code" for c in (
+    "l_orderkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")}
+
+
+def _left_out(spark, sf):
+    """What the limits of the digest leave out of the order lines, and that nothing is left out without limits."""
+    tables, roles = star(spark, sf, ["lineitem"]), {("lineitem", c): r for c, r in MANY_ROLES.items()}
+    limited = D.choices_frame(tables, Facts(tables, declared_roles=roles).choices).withColumn("limits", F.lit("as usual"))
+    whole = D.choices_frame(tables, Facts(tables, declared_roles=roles, digest_limits=D.Limits(None, None, (2, None))).choices).withColumn("limits", F.lit("none"))
+    both = limited.unionByName(whole)
+    return both.select("limits", F.size("measures").cast("long").alias("measures"), F.size("dims").cast("long").alias("dims"), F.array_join("left_out", "; ").alias("left_out"))
+
+
+LEFT_OUT_SQL = """WITH d AS (SELECT count(DISTINCT l_orderkey) AS o, count(DISTINCT l_suppkey) AS s FROM lineitem),
+f AS (SELECT o, s, 3 + CASE WHEN s <= 50 THEN 1 ELSE 0 END AS few FROM d)
+SELECT 'none' AS limits, 5 AS measures, 5 AS dims, '' AS left_out FROM f
+UNION ALL SELECT 'as usual', 4, 3, 'l_orderkey: dimension of ' || o || ' groups; ' || CASE WHEN few = 4 THEN 'l_suppkey: dim number 4; ' ELSE 'l_suppkey: dimension of ' || s || ' groups; ' END
+  || 'l_tax: measure number 5' FROM f"""
+
+
+def _all_measures(spark, sf):
+    """Totals of every measure of the order lines, the fifth among them."""
+    tables, roles = star(spark, sf, ["lineitem"]), {("lineitem", c): r for c, r in MANY_ROLES.items()}
+    digest = Facts(tables, declared_roles=roles, digest_limits=D.Limits(None, None, (2, 50))).digest
+    return digest.filter("section = 'total' AND key = 'sum'").select("measure", F.round("value", 2).alias("value"), "rows")
+
+
+ALL_MEASURES_SQL = " UNION ALL ".join(f"SELECT '{c}' AS measure, round(CAST(sum({c}) AS DOUBLE), 2) AS value, count({c}) AS rows FROM lineitem"
+                                      for c in ("l_quantity", "l_extendedprice", "l_partkey", "l_discount", "l_tax"))
+
+
 CHOICES_SQL = """SELECT 'orders' AS table_name, 'computed' AS status, 'amount' AS measures, 'priority,status' AS dims, 'order_date' AS date_column
 UNION ALL SELECT 'benchmark', 'skipped', '', '', NULL UNION ALL SELECT 'none', 'skipped', 'r_regionkey', '', NULL
 UNION ALL SELECT 'pivot', 'skipped', '', '', NULL"""
@@ -288,7 +320,7 @@ UNION ALL SELECT 'orders', 'client', 'customer', 'COUNT', '*', count(*), count(*
 
 QUERIES = {
     "digest_orders": _digest_orders, "digest_lineitem": _digest_lineitem, "digest_customer": _digest_customer,
-    "digest_choices": _choices, "sum_rows_planted": _sum_rows, "quantiles_lineitem": _quantiles, "outliers_events": _outliers,
+    "digest_choices": _choices, "digest_left_out": _left_out, "digest_all_measures": _all_measures, "sum_rows_planted": _sum_rows, "quantiles_lineitem": _quantiles, "outliers_events": _outliers,
     "negatives_planted": _negatives, "missing_months_planted": _missing_months, "trend_jump_planted": _trend_jump,
     "dates_out_of_range_planted": _bad_dates, "anomalies_planted": _anomalies, "aggregate_tool": _aggregate,
     "reconcile_priority_report": _reconcile, "reconcile_customer_report": _reconcile_customers,
@@ -298,7 +330,7 @@ ORACLE = {
     "digest_lineitem": _digest_sql("SELECT * FROM lineitem", [("l_extendedprice", True), ("l_quantity", True)],
                                    ["l_linestatus", "l_returnflag", "l_linenumber"], "l_shipdate", "l_extendedprice"),
     "digest_customer": _digest_sql(CUSTOMER_SQL, [("balance", True)], ["segment", "nation"], None, "balance"),
-    "digest_choices": CHOICES_SQL, "sum_rows_planted": SUM_ROWS_SQL, "quantiles_lineitem": QUANTILES_SQL,
+    "digest_choices": CHOICES_SQL, "digest_left_out": LEFT_OUT_SQL, "digest_all_measures": ALL_MEASURES_SQL, "sum_rows_planted": SUM_ROWS_SQL, "quantiles_lineitem": QUANTILES_SQL,
     "outliers_events": OUTLIERS_SQL, "negatives_planted": NEGATIVES_SQL, "missing_months_planted": MISSING_SQL,
     "trend_jump_planted": TREND_SQL, "dates_out_of_range_planted": BAD_DATES_SQL, "anomalies_planted": ANOMALIES_SQL, "aggregate_tool": AGGREGATE_SQL,
     "reconcile_priority_report": RECONCILE_SQL, "reconcile_customer_report": RECONCILE_CUSTOMERS_SQL,
