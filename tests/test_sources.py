@@ -160,6 +160,34 @@ def test_failed_run_never_replaces_the_last_good_one(spark, tmp_path):
     assert store.prune(1) == ["r1", "r2"] and store.read("f", "r3").count() == 1
 
 
+def test_rules_over_one_table_share_a_scan(spark):
+    data = spark.createDataFrame([(i, "abc"[i % 3] if i % 7 else None, i * 1.5) for i in range(60)], "id long, kind string, amount double")
+    views = Views(TableSet(spark, [Table("things", data, "id"), Table("others", spark.range(5).toDF("id"), "id")]))
+    t = "{{table:local/things}}"
+    shared = {"all": (f"SELECT count(*) FROM {t}", 60), "kinds": (f"SELECT count(DISTINCT kind) AS n FROM {t} x WHERE x.amount > 3", 3), "none": (f"SELECT sum(amount) FROM {t} WHERE id < 0", None),
+              "some": (f"SELECT count(*) FROM {t} t WHERE t.kind IN ('a', 'b') AND NOT t.kind LIKE 'b%' AND id BETWEEN 2 AND 40", 12), "top": (f"SELECT max(id) FROM {t} WHERE kind IS NULL", 56),
+              "yes": (f"SELECT bool_and(amount >= 0) FROM {t}", True), "bad": (f"SELECT count(missing) FROM {t}", "error"), "ansi": ("SELECT count(*) FROM {{table:local/others}} WHERE CAST('x' AS INT) = id", "error"),
+              "fine": ("SELECT count(*) FROM {{table:local/others}} WHERE id > 1", 3)}
+    alone = {"join": (f"SELECT count(*) FROM {t} a JOIN {t} b ON a.id = b.id", 60), "grouped": (f"SELECT count(*) FROM {t} GROUP BY kind ORDER BY 1 LIMIT 1", 9),
+             "nested": (f"SELECT count(*) FROM {t} WHERE id > (SELECT avg(id) FROM {t})", 30), "twice": (f"SELECT count(*) + 1 FROM {t}", 61), "ratio": (f"SELECT avg(amount) FROM {t} HAVING count(*) > 0", 44.25)}
+
+    def run(items, group):
+        pack = rules.Pack.parse({"pack": {"name": "p", "version": "1"}, "rule": [{"id": k, "sql": sql, "expect": "not_null"} for k, (sql, _) in items.items()]})
+        spark.sparkContext.setJobGroup(group, group)
+        results = rules.run_packs(spark, [pack], views.resolved)[0].collect()
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return {r.rule_id: "error" if r.status == "error" else r.actual for r in results}, jobs
+
+    got, _ = run(shared | alone, "pack-all")
+    assert got == {k: v if v == "error" else str(v) for k, (_, v) in (shared | alone).items()}
+    good = {k: v for k, v in shared.items() if k not in ("bad", "ansi", "fine")}
+    few, one = run({"all": shared["all"]}, "pack-one")
+    many, more = run(good | {f"again{i}": shared["all"] for i in range(10)}, "pack-many")
+    aliased = {None, "x", "t"}
+    assert more <= one * len(aliased) + 3 and len(many) == len(good) + 10
+
+
 def test_views_and_bounded_reads(spark):
     sales = Table("sales", spark.createDataFrame([(1, "N", 1), (2, "Total", 1)], "i long, r string, v long"), "i", source="a")
     other = Table("orders", spark.createDataFrame([(1,)], "i long"), "i", source="a")

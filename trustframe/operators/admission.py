@@ -187,3 +187,56 @@ def admit(sql: str, relations: Collection[str] | None = None, spark: SparkSessio
     walk = _Walk(spark, relations)
     walk.visit(plan, frozenset())
     return Admitted(text, plan, frozenset(walk.used))
+
+
+# ---- single aggregates over one relation ------------------------------------------------------------------------
+AGGREGATES = frozenset(["count", "sum", "min", "max", "avg", "count_if", "bool_and", "bool_or", "every", "any", "some", "approx_count_distinct"])
+
+
+@dataclass(frozen=True)
+class SingleAggregate:
+    """A statement that is one aggregate of one relation: the relation, its alias, and the aggregate with its filter as SQL."""
+    relation: str
+    alias: str | None
+    sql: str
+
+
+def _name(node) -> str:
+    return node.getClass().getName().rsplit(".", 1)[-1]
+
+
+def _as_sql(parser, expression) -> str | None:
+    """The expression as SQL, if that parses back to the very same expression."""
+    try:
+        text = expression.sql()
+        return text if parser.parseExpression(text).equals(expression) else None
+    except Exception:                               # expressions that have no SQL form
+        return None
+
+
+def single_aggregate(admitted: Admitted, spark: SparkSession) -> SingleAggregate | None:
+    """The statement as an aggregate that can share a scan with others over the same relation; None if it is anything else.
+
+    `SELECT f(x) FROM t WHERE c` is `f(x) FILTER (WHERE c)` of t: also over no rows both are 0 for counts and null else.
+    """
+    plan, parser = admitted.plan, spark._jsparkSession.sessionState().sqlParser()
+    if _name(plan) != "Project" or plan.projectList().size() != 1:
+        return None
+    call, source, condition = plan.projectList().apply(0), plan.child(), None
+    if _name(call) in ("UnresolvedAlias", "Alias"):
+        call = call.child()
+    if _name(source) == "Filter":
+        condition, source = source.condition(), source.child()
+    alias = source.alias() if _name(source) == "SubqueryAlias" else None
+    source = source.child() if alias else source
+    if _name(source) != "UnresolvedRelation" or _name(call) != "UnresolvedFunction":
+        return None
+    name = _strings(call.nameParts())[-1].lower()
+    if name not in AGGREGATES or call.filter().isDefined() or call.ignoreNulls() or call.orderingWithinGroup().size():
+        return None
+    arguments = [_as_sql(parser, call.arguments().apply(i)) for i in range(call.arguments().size())]
+    wanted = None if condition is None else _as_sql(parser, condition)
+    if None in arguments or (condition is not None and wanted is None):
+        return None
+    text = f"{name}({'DISTINCT ' if call.isDistinct() else ''}{', '.join(arguments)})" + (f" FILTER (WHERE {wanted})" if wanted else "")
+    return SingleAggregate(_strings(source.multipartIdentifier())[0], alias, text)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import local_frame
 from ..tables import Table
-from .admission import PackError, admit, one_statement
+from .admission import Admitted, PackError, admit, one_statement, single_aggregate
 
 TABLE_TOKEN = re.compile(r"\{\{table:([^/{}]+)/([^{}]+)\}\}")
 
@@ -91,14 +91,19 @@ def parse_packs(raws: list[dict]) -> list[Pack]:
     return packs
 
 
-def resolve_tables(sql: str, views: dict[str, str]) -> str:
-    """{{table:source/name}} -> the view that reads this table."""
+def admit_over(sql: str, views: dict[str, str]) -> Admitted:
+    """{{table:source/name}} -> the view that reads this table; the statement may read these views and no other relation."""
     def view(m: re.Match) -> str:
         key = f"{m.group(1)}/{m.group(2)}"
         if key not in views:
             raise PackError(f"unknown table in SQL: {key}")
         return f"`{views[key]}`"
-    return single_select(TABLE_TOKEN.sub(view, sql), {*views.values(), *(key.split("/", 1)[1] for key in views)})
+    return admit(TABLE_TOKEN.sub(view, sql), {*views.values(), *(key.split("/", 1)[1] for key in views)})
+
+
+def resolve_tables(sql: str, views: dict[str, str]) -> str:
+    """The statement as it will be run."""
+    return admit_over(sql, views).text
 
 
 def met(value, expect: str) -> bool:
@@ -116,29 +121,66 @@ def scalar(spark: SparkSession, sql: str):
     return None if row is None else row[0]
 
 
+def shared_scans(spark: SparkSession, statements: dict[int, Admitted]) -> dict[int, object]:
+    """Values of the statements that are single aggregates, from one job per relation however many they are.
+
+    A statement that cannot be analysed, or a scan that fails (one rule's error would be every rule's), is left out and
+    runs alone.
+    """
+    together: dict[tuple, dict[int, str]] = {}
+    for number, statement in statements.items():
+        one = single_aggregate(statement, spark)
+        if one is not None:
+            together.setdefault((one.relation, one.alias), {})[number] = one.sql
+    values: dict[int, object] = {}
+    for (relation, alias), calls in together.items():
+        table = spark.table(f"`{relation}`").alias(alias or relation)
+        usable = {}
+        for number, call in calls.items():
+            try:
+                table.agg(F.expr(call))                 # analysis only
+                usable[number] = call
+            except Exception:                           # reported where the statement runs alone
+                continue
+        try:
+            row = table.agg(*[F.expr(call).alias(f"v{number}") for number, call in usable.items()]).first() if usable else None
+            values |= {number: row[f"v{number}"] for number in usable}
+        except Exception:                               # one of them fails on the data: each runs alone
+            continue
+    return values
+
+
 def run_packs(spark: SparkSession, packs: list[Pack], views: dict[str, str]) -> tuple[DataFrame, DataFrame]:
-    """(rule results, KPI results). A statement that fails becomes a rule with status `error`, never a lost rule."""
+    """(rule results, KPI results). A statement that fails becomes a rule with status `error`, never a lost rule.
+
+    Statements that are one aggregate of one table share a scan of it; others run by themselves.
+    """
+    entries = [(p, r, False) for p in packs for r in p.rule] + [(p, k, True) for p in packs for k in p.kpi]
+    admitted, refused = {}, {}
+    for number, (_, item, _) in enumerate(entries):
+        try:
+            admitted[number] = admit_over(item["sql"], views)
+        except PackError as e:
+            refused[number] = e
+    values = shared_scans(spark, admitted)
     rules, kpis = [], []
-    for p in packs:
-        for r in p.rule:
-            expect, sql = str(r.get("expect", "zero")), None
-            try:
-                sql = resolve_tables(r["sql"], views)
-                actual = scalar(spark, sql)
-                status = "pass" if met(actual, expect) else "fail"
-            except Exception as e:                          # any engine failure is this rule's result
-                actual, status = f"{type(e).__name__}: {e}".splitlines()[0], "error"
-            rules.append((r["id"], p.name, p.version, status, expect, str(actual), str(r.get("severity", "warn")),
-                          str(r.get("message", "")), sql))
-        for k in p.kpi:
+    for number, (p, item, is_kpi) in enumerate(entries):
+        sql, value, failure = admitted[number].text if number in admitted else None, None, refused.get(number)
+        if failure is None:
             try:
-                sql = resolve_tables(k["sql"], views)
-                value = scalar(spark, sql)
-                kpis.append((k["id"], p.name, p.version, None if value is None else str(value), str(k.get("unit", "")),
-                             [(a, str(b)) for a, b in k.get("dims", {}).items()], sql))
-            except Exception as e:
-                rules.append((f"kpi:{k['id']}", p.name, p.version, "error", "", f"{type(e).__name__}: {e}".splitlines()[0],
-                              "error", f"KPI '{k['id']}' could not be computed", None))
+                value = values[number] if number in values else scalar(spark, sql)
+            except Exception as e:                          # any engine failure is this statement's result
+                failure = e
+        said = None if failure is None else f"{type(failure).__name__}: {failure}".splitlines()[0]
+        if is_kpi and said is None:
+            kpis.append((item["id"], p.name, p.version, None if value is None else str(value), str(item.get("unit", "")),
+                         [(a, str(b)) for a, b in item.get("dims", {}).items()], sql))
+        elif is_kpi:
+            rules.append((f"kpi:{item['id']}", p.name, p.version, "error", "", said, "error", f"KPI '{item['id']}' could not be computed", None))
+        else:
+            expect = str(item.get("expect", "zero"))
+            status = "error" if said is not None else "pass" if met(value, expect) else "fail"
+            rules.append((item["id"], p.name, p.version, status, expect, said if said is not None else str(value), str(item.get("severity", "warn")), str(item.get("message", "")), sql))
     return local_frame(spark, rules, RULE_SCHEMA), local_frame(spark, kpis, KPI_SCHEMA)
 
 
