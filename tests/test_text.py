@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from trustframe.operators import blocks as B, grounding as G, lineage as L, packing as P, search as S
+from trustframe.operators import blocks as B, grounding as G, lineage as L, packing as P, search as S, search_index as X
 
 
 def blocks_of(spark, texts):
@@ -55,6 +55,23 @@ def test_html_corner_cases(spark):
     assert cells == [(9, 1, "t", 1, 1, "a"), (9, 1, "t", 1, 2, "b & c"), (9, 2, "t", 1, 1, "z")]
 
 
+def test_stored_index_equals_a_scan_and_reads_only_itself(spark, tmp_path):
+    rng = random.Random(4)
+    words = ["red", "redder", "blue", "green", "bluebird", "stone", "tree", "قلم"]
+    blocks = blocks_of(spark, [" ".join(rng.choice(words) for _ in range(rng.randint(3, 30))) for _ in range(80)] + [""])
+    blocks = blocks.withColumn("kind", F.when(F.col("source_id").cast("int") % 2 == 0, "even").otherwise("odd"))
+    X.build_index(blocks, str(tmp_path / "index"))
+    for kind, document in ((None, None), ("even", None), (None, "7"), ("odd", "7")):
+        want = [(r.block_id, r.snippet, r.location, round(r.score, 9)) for r in S.search(blocks, "red blue", 15, kind, document).collect()]
+        for limit in (15, X.FETCH + 1):
+            got = X.search_index(spark, str(tmp_path / "index"), "red blue", limit, kind, document).collect()
+            assert [(r.block_id, r.snippet, r.location, round(r.score, 9)) for r in got][:15] == want and [r["rank"] for r in got] == list(range(1, len(got) + 1))
+    assert X.search_index(spark, str(tmp_path / "index"), "nowhere").collect() == []
+    plan = X.search_index(spark, str(tmp_path / "index"), "red", 5)._jdf.queryExecution().toString()
+    ranked = X.ranked(spark, str(tmp_path / "index"), ["red"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(block_id" in plan and "StringStartsWith(token,red)" in ranked and f"{tmp_path}/index/blocks" not in ranked
+
+
 def test_document_tables_need_two_rows_and_columns(spark):
     cells = spark.createDataFrame([("d", 1, "", 1, 1, "only"), ("d", 1, "", 2, 1, "one column"), ("d", 2, "", 1, 1, "h"), ("d", 2, "", 1, 2, "k"),
                                    ("d", 2, "", 2, 1, ""), ("d", 2, "", 2, 2, ""), ("d", 2, "", 3, 1, "v"), ("d", 2, "", 3, 2, "")], B.CELL)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import names as N, text as X
+from ..functions import fixed_values as V, names as N, text as X
 from ..functions.dates import month_key, serial_to_iso
 from ..functions.numbers import display_number, parse_number
-from ..operators import blocks as B, find as W, grounding as G, links as L, packing as P, search as S
+from ..operators import blocks as B, find as W, grounding as G, links as L, packing as P, search as S, search_index as XI
 from ..operators.frequencies import value_frequencies
+from ..session import new_folder
 from ..tables import Table, TableSet
 from .facts import Facts
 from .inputs import load, star
@@ -229,6 +230,39 @@ def _search_sql():
             f"SELECT doc_id || '#1' AS block_id, round({score}, 6) AS score, 'text' AS location FROM t, g, w WHERE {need}")
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf):
+    """The stored index of all documents, built when it is first asked for."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        path = new_folder(spark, "search-index")
+        d = load(spark, sf, "documents")
+        blocks = B.with_block_id(d.select(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("source_id"), F.lit("").alias("part"), F.col("lang").alias("kind"),
+                                          F.lit(None).cast("int").alias("page"), F.lit("").alias("section"), F.lit(None).cast("int").alias("level"), F.lit(1).alias("ord"), "text"))
+        XI.build_index(blocks, path)
+        _INDEXES[key] = path
+    return _INDEXES[key]
+
+
+def _search_stored(spark, sf):
+    """The fifty best hits of the stored index over all documents, and the ten best English ones, in order, with what they show."""
+    every = XI.search_index(spark, _index(spark, sf), " ".join(SEARCH_WORDS), 50).withColumn("asked", F.lit("all"))
+    english = XI.search_index(spark, _index(spark, sf), " ".join(SEARCH_WORDS), 10, kind="en").withColumn("asked", F.lit("en"))
+    return every.unionByName(english).select("asked", F.col("rank").cast("long").alias("rank"), "block_id", "kind", F.round("score", 6).alias("score"),
+                                             F.lower("snippet").rlike("|".join(SEARCH_WORDS)).alias("shows_word"), (F.size(F.split("snippet", " ")) <= V.SNIPPET_WORDS + 2).alias("short"))
+
+
+def _search_stored_sql():
+    base = _search_sql().replace("documents)", "documents)", 1).replace("SELECT doc_id || '#1' AS block_id, round(", "SELECT doc_id, (", 1).replace(", 6) AS score", ") AS score", 1).replace(", 'text' AS location", "", 1)
+    shown = f"regexp_matches(lower(text), '{'|'.join(SEARCH_WORDS)}')"
+    return (f"WITH hits AS ({base}), named AS (SELECT source || '/' || h.doc_id || '#1' AS block_id, lang AS kind, score, {shown} AS shows_word FROM hits h JOIN documents d ON h.doc_id = d.doc_id), "
+            "r AS (SELECT 'all' AS asked, row_number() OVER (ORDER BY round(score, 12) DESC, block_id) AS rank, * FROM named UNION ALL "
+            "SELECT 'en', row_number() OVER (ORDER BY round(score, 12) DESC, block_id), * FROM named WHERE kind = 'en') "
+            "SELECT asked, rank, block_id, kind, round(score, 6) AS score, shows_word, true AS short FROM r WHERE rank <= CASE WHEN asked = 'all' THEN 50 ELSE 10 END")
+
+
 def _scan(spark, sf):
     return S.scan_search(_document_blocks(spark, sf), " ".join(SEARCH_WORDS)).select("block_id")
 
@@ -378,7 +412,7 @@ QUERIES = {
     "text_forms_documents": _text_forms, "scalars_orders": _scalars, "line_blocks_documents": _paragraphs,
     "markdown_blocks": _markdown_blocks, "markdown_tables": _markdown_tables, "html_headings_pages": _html, "html_kinds_pages": _html_kinds,
     "emails_documents": _emails, "entity_kinds_documents": _entity_kinds, "entities_planted": _entities_planted,
-    "postings_documents": _postings, "search_bm25": _search, "search_scan": _scan, "read_window": _read, "read_around_hits": _around,
+    "postings_documents": _postings, "search_bm25": _search, "search_stored_index": _search_stored, "search_scan": _scan, "read_window": _read, "read_around_hits": _around,
     "budgeted_conversations": _budget, "budgeted_sources": _budget_sources, "grounded_rejects_planted": _grounded,
     "grounded_records_planted": _grounded_records, "mentions_planted": _mentions, "document_summary": _summary,
     "find_term": _find, "find_value": _find_value,
@@ -386,7 +420,7 @@ QUERIES = {
 ORACLE = {
     "text_forms_documents": TEXT_FORMS_SQL, "scalars_orders": SCALARS_SQL, "line_blocks_documents": PARAGRAPHS_SQL,
     "markdown_blocks": MARKDOWN_SQL, "markdown_tables": MARKDOWN_TABLES_SQL, "html_headings_pages": HTML_SQL, "html_kinds_pages": HTML_KINDS_SQL, "emails_documents": EMAILS_SQL,
-    "entities_planted": _entities_sql(), "postings_documents": POSTINGS_SQL, "search_bm25": _search_sql(), "search_scan": SCAN_SQL,
+    "entities_planted": _entities_sql(), "postings_documents": POSTINGS_SQL, "search_bm25": _search_sql(), "search_stored_index": _search_stored_sql(), "search_scan": SCAN_SQL,
     "read_window": READ_SQL, "read_around_hits": AROUND_SQL, "budgeted_conversations": BUDGET_SQL, "budgeted_sources": BUDGET_SOURCES_SQL,
     "grounded_rejects_planted": GROUNDED_SQL, "grounded_records_planted": GROUNDED_RECORDS_SQL, "mentions_planted": MENTIONS_SQL,
     "document_summary": SUMMARY_SQL, "find_term": FIND_SQL, "find_value": FIND_VALUE_SQL,
