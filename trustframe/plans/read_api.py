@@ -62,10 +62,10 @@ def _within(spark: SparkSession, seconds: float | None, read):
 
     def stop() -> None:
         late.set()
-        spark.interruptTag(tag)
+        spark.sparkContext.cancelJobGroup(tag)
 
     timer = threading.Timer(seconds, stop)
-    spark.addTag(tag)
+    spark.sparkContext.setJobGroup(tag, "bounded read", interruptOnCancel=True)
     timer.start()
     try:
         return read()
@@ -75,7 +75,8 @@ def _within(spark: SparkSession, seconds: float | None, read):
         raise
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(name, None)
 
 
 def result(tool: str, df: DataFrame, rows: int = MAX_ROWS, size: int = MAX_BYTES, hint: str = "", total: bool = False, seconds: float | None = None,
