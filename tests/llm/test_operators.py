@@ -170,7 +170,7 @@ def test_lm_scores(docs, order):
             return math.log(counts[gram] / total)
         return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 2 else math.log(0.4) + log_s(gram[1:])
     want = sorted((d or -1, len(w), round(sum(log_s(tuple(w[max(0, i - order + 1):i + 1])) for i in range(len(w))), 4) + 0.0) for d, w in words)
-    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 4) + 0.0) for r in lm_scoring.score(docs, order, buckets=5).collect())
+    got = sorted((r.doc_id or -1, r.n_words, round(r.log_score, 4) + 0.0) for r in lm_scoring.score(docs, order, unit_chars=20_000).collect())
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
 

@@ -4,19 +4,20 @@ S(w | context) = count(context w) / count(context) if the n-gram occurs at least
 `alpha` times the score with a shorter context; single words score count / N. A document's score is the sum of log S over
 its words (lower-case A-Z, split at white space). Counts are those of all documents.
 
-Documents are dealt into units of bounded text, written once. Each unit asks for the counts of its distinct n-grams, in hash
-order, as one packed row per bucket of the hash space; a bucket's rows make its count table, and each gets its counts back
-in the same order. A unit names an n-gram once, so a frequent one is no hot key: its bucket gets one entry per unit. The
-answers meet their unit's texts again and are summed per document.
-
-Null and empty texts have no words and score 0. Repeated rows count and are scored as often as they occur.
+Documents are dealt into units of bounded text, written once. `exploded` names each n-gram once per unit, with its number of
+occurrences there; these rows are dealt by the n-gram's hash. `counts` sums them to the count table, which is joined to the
+rows where they lie: one shuffle serves both. Counts of n-grams that other units name too go back to each unit, where they
+meet the texts and are summed per document. A frequent n-gram is one row per unit, so no key grows with its occurrences;
+all joins sort and spill.
+
+Null and empty texts have no words and score 0, as do very long ones without words; a text longer than a unit is a unit of
+its own. Repeated rows count and are scored as often as they occur. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
@@ -25,30 +26,16 @@ from .words import hashes, ngrams, text_slices, words
 UNIT_CHARS = 12_000_000
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Whole numbers as byte planes, compressed: high bytes of small numbers vanish."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-
-
 def _unit_grams(texts: list[str | None], order: int):
-    """Word counts per text and, per order, each position's place among the sorted distinct n-grams."""
+    """Word counts per text and, per order, the n-gram at each position."""
     each = [hashes(words(t)) for t in texts]
     sizes = np.array([len(h) for h in each])
-    grams = []
-    for n in range(1, order + 1):
-        found = [ngrams(h, n) for h in each]
-        grams.append(np.concatenate(found) if found else np.empty(0, np.uint64))
-    return sizes, grams
+    return sizes, [np.concatenate([ngrams(h, n) for h in each] or [np.empty(0, np.uint64)]) for n in range(1, order + 1)]
 
 
 def units(docs: DataFrame, unit_chars: int = UNIT_CHARS) -> DataFrame:
-    """unit, place, doc_id, text of each row, written once so that units stay the same."""
-    schema = pa.schema([("unit", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string())])
+    """unit, place, doc_id, text, n_words of each row, written once so that units stay the same."""
+    schema = pa.schema([("unit", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -57,112 +44,85 @@ def units(docs: DataFrame, unit_chars: int = UNIT_CHARS) -> DataFrame:
             if size and size + part.nbytes > unit_chars:
                 unit, place, size = unit + 1, 0, 0
             size += part.nbytes
+            texts = part.column("text").cast(pa.string())
+            n_words = pa.array([len(words(t, False)) for t in texts.to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, unit)), pa.array(np.arange(place, place + part.num_rows, dtype=np.int32)),
-                                              part.column("doc_id"), part.column("text").cast(pa.string())], schema=schema)
+                                              part.column("doc_id"), texts, n_words], schema=schema)
             place += part.num_rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "unit long, place int, doc_id long, text string"), "lm-units")
-
+    return materialize(rows.mapInArrow(run, "unit long, place int, doc_id long, text string, n_words long"), "lm-units")
 
-def requests(tagged: DataFrame, order: int, buckets: int) -> DataFrame:
-    """One row per run of a unit's documents, n-gram order and bucket: the sorted distinct n-grams with their counts in the run.
 
-    A unit that is read in two tasks makes two runs; `low` and `high` tell which places a run covers.
-    """
-    schema = pa.schema([("unit", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("grams", pa.binary()), ("times", pa.binary())])
-    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+def exploded(tagged: DataFrame, order: int) -> DataFrame:
+    """unit, gram, times: the distinct n-grams of up to `order` words of each unit. A unit that is read in two tasks may name
+    an n-gram twice."""
+    schema = pa.schema([("unit", pa.int64()), ("gram", pa.int64()), ("times", pa.int32())])
 
-    def asked(unit: int, low: int, texts: list):
-        _, grams = _unit_grams(texts, order)
-        rows = []
-        for n, found in enumerate(grams, 1):
+    def named(unit: int, texts: list):
+        for found in _unit_grams(texts, order)[1]:
             distinct, times = np.unique(found, return_counts=True)
-            at = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
-            for b in range(buckets):
-                if at[b] < at[b + 1]:
-                    own = distinct[at[b]:at[b + 1]]
-                    rows.append((unit, low, low + len(texts), n, b, _pack(np.diff(own, prepend=np.uint64(0))), _pack(times[at[b]:at[b + 1]])))
-        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema) if rows else None
+            for a in range(0, len(distinct), 100_000):
+                part = distinct[a:a + 100_000].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), unit)), pa.array(part), pa.array(times[a:a + 100_000].astype(np.int32))], schema=schema)
 
     def run(batches):
-        unit, low, texts = None, 0, []
+        unit, texts = None, []
         for batch in batches:
-            own, places = batch.column("unit").to_numpy(), batch.column("place").to_numpy()
+            own = batch.column("unit").to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(own) != 0) + 1).tolist(), len(own)]
             for a, b in zip(cuts, cuts[1:]):
-                if a == b:
-                    continue
-                if texts and (own[a] != unit or places[a] != low + len(texts)):
-                    if (out := asked(unit, low, texts)) is not None:
-                        yield out
+                if a < b and texts and own[a] != unit:
+                    yield from named(unit, texts)
                     texts = []
-                if not texts:
-                    unit, low = int(own[a]), int(places[a])
-                texts += batch.column("text").slice(a, b - a).to_pylist()
-        if texts and (out := asked(unit, low, texts)) is not None:
-            yield out
-    return tagged.select("unit", "place", "text").mapInArrow(run, "unit long, low int, high int, n int, bucket int, grams binary, times binary")
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """Each request's counts over the whole corpus, in the request's order; written once."""
-    schema = pa.schema([("unit", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("n", pa.int32()), ("bucket", pa.int32()), ("counts", pa.binary()), ("words", pa.int64())])
-
-    def run(table: pa.Table) -> pa.Table:
-        grams = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in table.column("grams")]
-        times = [_unpack(x.as_py()) for x in table.column("times")]
-        together = np.concatenate(grams)
-        distinct = np.unique(together)
-        counts = np.zeros(len(distinct), np.uint64)
-        for g, t in zip(grams, times):
-            counts[np.searchsorted(distinct, g)] += t
-        back = [_pack(counts[np.searchsorted(distinct, g)]) for g in grams]
-        n_words = [int(t.sum()) if n == 1 else 0 for t, n in zip(times, table.column("n").to_pylist())]
-        return pa.Table.from_arrays([*[table.column(c).combine_chunks() for c in ("unit", "low", "high", "n", "bucket")], pa.array(back, pa.binary()), pa.array(n_words, pa.int64())], schema=schema)
-    return materialize(asked.groupBy("n", "bucket").applyInArrow(run, "unit long, low int, high int, n int, bucket int, counts binary, words long"), "lm-answers")
-
-
-def score(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2, buckets: int | None = None) -> DataFrame:
-    """doc_id, n_words and log_score (natural logarithm) of each row. `buckets` (the session's shuffle partitions by default)
-    should keep a bucket's n-grams within a task's memory."""
-    spark = docs.sparkSession
-    buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tagged = units(docs)
-    replies = answers(requests(tagged, order, buckets))
-    total = replies.agg(F.sum("words").alias("words")).first()["words"] or 1
+                if a < b:
+                    unit = int(own[a])
+                    texts += batch.column("text").slice(a, b - a).to_pylist()
+        if texts:
+            yield from named(unit, texts)
+    return tagged.select("unit", "text").mapInArrow(run, "unit long NOT NULL, gram long NOT NULL, times int NOT NULL")
+
+
+def counts(rows: DataFrame) -> DataFrame:
+    """gram, count: the count table of the n-grams that more than one unit names, dealt as `rows` are. The others are counted
+    by their unit."""
+    return rows.groupBy("gram").agg(F.sum("times").alias("count"), F.min("unit").alias("first"), F.max("unit").alias("last")).filter("first < last").select("gram", "count")
+
+
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, min_count: int = 2, unit_chars: int = UNIT_CHARS) -> DataFrame:
+    """doc_id, n_words and log_score (natural logarithm) of each row."""
+    tagged = units(docs, unit_chars)
+    total = tagged.agg(F.sum("n_words").alias("n")).first()["n"] or 1
+    rows = exploded(tagged, order).repartition("gram")
+    # both sides read all columns of `rows`, so that Spark shuffles them once
+    answered = rows.join(counts(rows), "gram").filter("count > times").select("unit", "gram", "count")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
 
-    def run(texts: pa.Table, counted: pa.Table) -> pa.Table:
-        texts = texts.sort_by("place")
-        runs: dict[tuple[int, int], list] = {}
-        for low, high, n, bucket, data in zip(*[counted.column(c).to_pylist() for c in ("low", "high", "n", "bucket", "counts")]):
-            runs.setdefault((low, high), []).append((n, bucket, data))
-        n_words, scores = np.zeros(texts.num_rows, np.int64), np.zeros(texts.num_rows)
-        places = texts.column("place").to_numpy()
-        for (low, high), found in runs.items():
-            a, b = np.searchsorted(places, [low, high])
-            sizes, grams = _unit_grams(texts.column("text").slice(a, b - a).to_pylist(), order)
-            n_words[a:b] = sizes
-            counts = []
-            for n, own in enumerate(grams, 1):
-                known = [_unpack(data) for m, _, data in sorted(found) if m == n]
-                table = np.concatenate(known).astype(float) if known else np.empty(0)
-                counts.append(table[np.searchsorted(np.unique(own), own)])
-            scores[a:b] = _sums(sizes, counts, total, alpha, min_count)
-        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(n_words), pa.array(scores)], schema=schema)
-    return tagged.groupBy("unit").cogroup(replies.groupBy("unit")).applyInArrow(run, "doc_id long, n_words long, log_score double")
-
-
-def _sums(sizes: np.ndarray, counts: list[np.ndarray], total: int, alpha: float, min_count: int) -> np.ndarray:
-    """Per text the sum of its words' log scores. counts[n - 1]: of the n-gram that starts at each position, text by text."""
-    if not len(counts[0]):
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        sizes, grams = _unit_grams(texts.column("text").to_pylist(), order)
+        known, times = answers.column("gram").to_numpy().view(np.uint64), answers.column("count").to_numpy()
+        by_gram = np.argsort(known)
+        known, times = known[by_gram], times[by_gram]
+        found = []
+        for own in grams:
+            distinct, place, here = np.unique(own, return_inverse=True, return_counts=True)
+            at = np.minimum(np.searchsorted(known, distinct), max(len(known) - 1, 0))
+            found.append((np.where(known[at] == distinct, times[at], here) if len(known) else here).astype(float)[place])
+        scores = _sums(sizes, found, total, alpha, min_count)
+        return pa.Table.from_arrays([texts.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(scores)], schema=schema)
+    texts = tagged.select("unit", "doc_id", "text")
+    return texts.groupBy("unit").cogroup(answered.groupBy("unit")).applyInArrow(run, "doc_id long, n_words long, log_score double")
+
+
+def _sums(sizes: np.ndarray, times: list[np.ndarray], total: int, alpha: float, min_count: int) -> np.ndarray:
+    """Per text the sum of its words' log scores. times[n - 1]: in the corpus, of the n-gram that starts at each position, text by text."""
+    if not len(times[0]):
         return np.zeros(len(sizes))
     row = np.repeat(np.arange(len(sizes)), sizes)
     starts = np.cumsum(sizes) - sizes
     position = np.arange(len(row)) - starts[row]
-    log_s = np.log(counts[0] / total)
-    for n in range(2, len(counts) + 1):
-        shorter, own = counts[n - 2], counts[n - 1]
+    log_s = np.log(times[0] / total)
+    for n in range(2, len(times) + 1):
+        shorter, own = times[n - 2], times[n - 1]
         own_starts = np.cumsum(np.maximum(sizes - n + 1, 0)) - np.maximum(sizes - n + 1, 0)
         before_starts = np.cumsum(np.maximum(sizes - n + 2, 0)) - np.maximum(sizes - n + 2, 0)
         at = np.flatnonzero(position >= n - 1)
