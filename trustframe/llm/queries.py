@@ -145,4 +145,57 @@ JUMP_SQL = """CAST(list_reduce(range(0, {n}), lambda s, i: CASE WHEN s.done THEN
                'shard': floor((s.shard + 1) * (2147483648.0 / (((s.k * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT) // 8589934592 + 1)::DOUBLE))::BIGINT}}
          ELSE {{'k': s.k, 'done': true, 'shard': s.shard}} END END,
     {{'k': ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '\\N')), 1, 16))::UBIGINT::HUGEINT, 'done': false, 'shard': 0::BIGINT}}).shard AS INTEGER)"""
-ORACLE: dict[str, str] = {"op13_sharding": SHARDING_SQL.format(jump_now=JUMP_SQL.format(n=SHARDS), jump_grown=JUMP_SQL.format(n=SHARDS + 1))}
+#: Words of whole texts as lists, A-Z lower-cased; rows are told apart by a number, as ids may repeat.
+WORDS_SQL = """listed AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents)"""
+LM_SQL = f"""
+WITH {WORDS_SQL},
+placed AS (SELECT r, unnest(words) AS g1, generate_subscripts(words, 1) AS i FROM listed),
+pairs AS (SELECT r, i, g1, lag(g1) OVER x AS before, lag(g1) OVER x || ' ' || g1 AS g2 FROM placed WINDOW x AS (PARTITION BY r ORDER BY i)),
+triples AS (SELECT r, i, g1, g2, before, lag(g2) OVER x AS before2, lag(before) OVER x || ' ' || g2 AS g3 FROM pairs WINDOW x AS (PARTITION BY r ORDER BY i)),
+c1 AS (SELECT g1 AS g, count(*) AS c FROM placed GROUP BY 1),
+c2 AS (SELECT g2 AS g, count(*) AS c FROM pairs WHERE g2 IS NOT NULL GROUP BY 1),
+c3 AS (SELECT g3 AS g, count(*) AS c FROM triples WHERE g3 IS NOT NULL GROUP BY 1),
+scored AS (
+  SELECT t.r, CASE WHEN three.c >= 2 THEN ln(three.c / two_before.c)
+                   WHEN two.c >= 2 THEN ln(two.c / one_before.c) + CASE WHEN t.g3 IS NOT NULL THEN ln(0.4) ELSE 0 END
+                   ELSE ln(one.c / (SELECT count(*) FROM placed)) + CASE WHEN t.g3 IS NOT NULL THEN 2 * ln(0.4) WHEN t.g2 IS NOT NULL THEN ln(0.4) ELSE 0 END
+              END AS s
+  FROM triples t JOIN c1 one ON one.g = t.g1 LEFT JOIN c2 two ON two.g = t.g2 LEFT JOIN c3 three ON three.g = t.g3
+  LEFT JOIN c1 one_before ON one_before.g = t.before LEFT JOIN c2 two_before ON two_before.g = t.before2)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, round(coalesce(s, 0), 6) AS log_score
+FROM listed LEFT JOIN (SELECT r, fsum(s) AS s FROM scored GROUP BY r) USING (r)
+"""
+#: Inner products in double precision, summed in the order of the components.
+NEIGHBOURS_SQL = """
+WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score
+  FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+#: Links by an inverted index of the shingles; a pair's size of intersection decides.
+JACCARD_SQL = f"""
+WITH RECURSIVE {WORDS_SQL},
+shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 3 THEN [array_to_string(words, ' ')]
+                                 ELSE list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')) END) AS s
+  FROM listed),
+numbered AS (SELECT doc_id, dense_rank() OVER (ORDER BY s) AS s FROM shingled),
+sizes AS (SELECT doc_id, count(*) AS n FROM numbered GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM numbered a JOIN numbered b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 90 * (x.n + y.n - common)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reached r JOIN edges e ON e.a = r.b)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM reached GROUP BY a) m ON m.a = d.doc_id
+"""
+ORACLE: dict[str, str] = {"op7_neighbours": NEIGHBOURS_SQL, "op9_lm_scoring": LM_SQL, "op10_jaccard": JACCARD_SQL,
+                          "op13_sharding": SHARDING_SQL.format(jump_now=JUMP_SQL.format(n=SHARDS), jump_grown=JUMP_SQL.format(n=SHARDS + 1))}
