@@ -237,11 +237,49 @@ def test_prose_is_no_disguise():
         assert pii.listed(pii.spans(text)[1]) == "", text[:60]
 
 
+def test_disguised_addresses_of_any_length():
+    for name, host in (("n" * 70, "example (dot) com"), ("n" * 5_000, "h" * 300 + " dot com"), ("jane", " dot ".join("abcdefghijk") + " dot example dot com"),
+                       (".".join("abcdefghijklmnop"), "a.b.c.d.e.f.g.h.i.j.k.example.com")):
+        text = f"so {name} (at) {host}, yes"
+        assert (3, len(text) - 5) in pii.spans(text)[1]["email"], text[:80]
+    for text in ("a dot " * 60_000, "a at " * 60_000, "a (dot) " * 40_000 + "(at) b", "x" * 300_000 + " (at) y", "a" + " " * 200_000 + "at b dot c"):
+        pii.spans(text)                             # linear: minutes otherwise
+
+
 def test_pii_keeps_rows(docs):
     assert pii.find(docs).count() == docs.count()
     assert pii.redact(docs).columns == docs.columns
 
 
+def test_license_scan_by_brute_force(spark):
+    """Whole texts and lines against a plain version of the canonical form, over long and repeated rows and clashing columns."""
+    def canonical(text):
+        text = " " + re.sub(license_scan.PUNCTUATION, " ", re.sub(license_scan.COPYRIGHT_LINE, " ", text or "").lower()) + " "
+        tokens = text.split(" ")
+        for old, new in license_scan.EQUIVALENT:
+            old, out, i = old.split(" "), [], 0
+            while i < len(tokens):
+                hit = tokens[i:i + len(old)] == old
+                out += new.split(" ") if hit else [tokens[i]]
+                i += len(old) if hit else 1
+            tokens = out
+        return " ".join(tokens).strip(" ")
+    known = {canonical(t): n for n, t in license_scan.KNOWN}
+    rng = random.Random(8)
+    parts = [t for _, t in license_scan.KNOWN] + ["MIT licence licence licences", "Copyright (c) 2020 Someone", "prose about a licence", "", "more prose", "SPDX-License-Identifier:  mit"]
+    texts = ["\n".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(120)] + [t.upper() for _, t in license_scan.KNOWN]
+    texts += [None, "", "Released under the MIT licence.\n" * 3_000, "word " * 60_000 + "\nLicensed under CC BY 4.0.", texts[0], texts[0]]
+    rows = [(i if i % 7 else None, t, "x", 1, "y", 2) for i, t in enumerate(texts)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string, digest string, row int, license_id string, t int"), license_scan.known_digests(spark)).collect()
+    want = []
+    for doc, text, *_ in rows:
+        hits = [known[c] for line in (text or "").split("\n") if re.search(license_scan.NOTICE, line) and (c := canonical(line)) in known]
+        want.append((doc, known.get(canonical(text)), ",".join(sorted(set(hits))), len(hits)))
+    same_rows([(r.doc_id, r.license_id, r.notices, r.n_notice_lines) for r in got], want)
+    twice = spark.createDataFrame([("MIT licence licence licences licences",)], "t string").select(license_scan.canonical(F.col("t")).alias("c")).first().c
+    assert twice == "mit license license licenses licenses"
+
+
 def test_license_scan(spark):
     body = license_scan.MIT_BODY.replace('"', "”").upper()
     rows = [(1, "Copyright (c) 2020 Someone\n\n" + body), (2, "prose\nReleased  under the MIT Licence!\nmore"), (3, None), (4, ""), (5, license_scan.MIT_BODY + " extra"), (2, "prose")]

@@ -3,7 +3,8 @@
 A text's canonical form drops copyright notices and "All rights reserved." lines, turns punctuation and white space into single spaces, folds case and writes
 equivalent spellings one way. Its SHA-256 is joined with the digests of known licence texts, which pass through the same
 form. Whole texts are looked up; so is each line that mentions a licence, as notices such as "Released under the MIT
-License." stand alone in a document. Null and empty texts match nothing; repeated rows are each looked up.
+License." stand alone in a document. Null and empty texts match nothing; repeated rows are each looked up. Very long texts are hashed whole. Other columns of any
+name are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -78,7 +79,8 @@ def canonical(text: Column) -> Column:
     x = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), COPYRIGHT_LINE, " ")
     x = F.concat(F.lit(" "), F.regexp_replace(F.lower(x), PUNCTUATION, " "), F.lit(" "))
     for old, new in EQUIVALENT:
-        x = F.replace(x, F.lit(f" {old} "), F.lit(f" {new} "))
+        for _ in range(2):                          # neighbours share a blank: the second pass meets every other one
+            x = F.replace(x, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.btrim(x)
 
 

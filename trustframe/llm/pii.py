@@ -47,15 +47,17 @@ _DOT_SIGN = rf"\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*"
 
 
 def _mail(at: str, dot: str) -> re.Pattern:
-    """Addresses with the given words beside the bracketed and spaced signs."""
+    """Chains of parts joined by the given words and the bracketed and spaced signs; where an address starts with the chain,
+    the groups `at` and `host` too. Every step is possessive and a chain is never entered again, so parts of any length and
+    number are read once."""
     at, local = rf"(?:{_AT}|[ \t]+{at}[ \t]+|[ \t]*@[ \t]*)", rf"(?:{_DOT_SIGN}|[ \t]+{dot}[ \t]+|\.)"
-    return re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]{{1,64}}(?:{local}[A-Za-z0-9_%+-]{{1,64}}){{0,8}})(?P<at>{at})"
-                      rf"(?P<host>[A-Za-z0-9-]{{1,63}}(?:(?:{local}|[ \t]+\.[ \t]+)[A-Za-z0-9-]{{1,63}}){{1,8}})", re.I)
+    return re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9_%+-]++(?:{local}[A-Za-z0-9_%+-]++)*+)(?:(?P<at>{at})"
+                      rf"(?P<host>[A-Za-z0-9-]++(?:(?:{local}|[ \t]+\.[ \t]+)[A-Za-z0-9-]++)++))?+", re.I)
 
 
 # "point" is a word of English prose ("at this point in"): it is a dot only beside the French word for the sign, or in brackets.
 MAIL, MAIL_FR = _mail("(?:at|ät|arroba|klammeraffe)", "(?:dot|punkt|punto)"), _mail("arobase?", _DOT_WORDS)
-MAIL_HINT = re.compile(rf"[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]|[ \t](?:dot|punkt|punto)[ \t]|(?:[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|[ \t](?:at|ät|arroba|klammeraffe)[ \t]+|[ \t]@[ \t]*|@[ \t]+)[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9]|[ \t]+\.)|@[A-Za-z0-9-]{{1,63}}[ \t]+\.", re.I)
+MAIL_HINT = re.compile(rf"[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]|[ \t](?:dot|punkt|punto)[ \t]|(?:[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*|[ \t](?:at|ät|arroba|klammeraffe)[ \t]+|[ \t]@[ \t]*|@[ \t]+)[A-Za-z0-9-]++(?:\.[A-Za-z0-9]|[ \t]+\.)|@[A-Za-z0-9-]++[ \t]+\.", re.I)
 MAIL_DOT = re.compile(rf"{_DOT_SIGN}|[ \t]+{_DOT_WORDS}[ \t]+|[ \t]+\.[ \t]+", re.I)
 _NUMBER_WORD = r"(?>" + "|".join(sorted(SPELLED, key=len, reverse=True)) + r")"
 _ENDS = rf"(?={_NUMBER_WORD}|[\W\d_]|\Z|{_DOT_WORDS})"
@@ -223,7 +225,7 @@ def disguised_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     low = plain.lower()
     for pattern, hinted in ((MAIL, MAIL_HINT.search(plain)), (MAIL_FR, "arobas" in low)):
         for m in pattern.finditer(plain) if hinted else ():
-            form = _mail_form(plain, m)
+            form = _mail_form(plain, m) if m["host"] else None
             if form:
                 found["email"] += [back(*form.back(*s)) for s in _emails(form.text)]
     for m in NUMBERS.finditer(plain):
