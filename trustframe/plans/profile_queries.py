@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dates, numbers
 from ..operators import profile as P, quality as Q, relations as R, rows, semantics as S
 from ..operators.frequencies import value_frequencies
 from ..tables import Table, TableSet
@@ -430,10 +431,67 @@ def _long_values(spark, sf):
 LONG_VALUES_SQL = """SELECT min(doc_id) AS first_row, count(*) AS cnt, text FROM documents WHERE length(text) > 256
   GROUP BY text HAVING count(*) > 1"""
 
+SHEET_CODES = ["DQ_HEADER_UNDETECTED", "DQ_VERY_WIDE", "DQ_FORMULAS_VALUE_ONLY", "DQ_PIVOT_OUTPUT_ONLY", "DQ_MERGED_IN_DATA",
+               "DQ_HEADER_LOW_CONFIDENCE", "DQ_EXCEL_ERRORS", "DQ_MIXED_TYPE"]
+
+
+def _sheet_findings(spark, sf):
+    """What a sheet scan counts beside the cells: headers, formulas, pivots, merged areas, error cells, width, mixed columns."""
+    orders, suppliers = load(spark, sf, "orders"), load(spark, sf, "supplier")
+    thirds = F.col("o_orderkey") % 3 == 0
+    mixed = F.struct(F.when(thirds, F.col("o_totalprice").cast("double")).alias("num"), F.when(~thirds, F.col("o_orderpriority")).alias("txt"))
+    broken = F.col("o_custkey") % 10 == 0
+    ledger = orders.select("o_orderkey", F.when(~broken, F.col("o_custkey")).alias("customer"), "o_orderstatus", mixed.alias("amount"))
+    seen = orders.agg(F.count_if(broken).alias("errors"), F.count_if(F.col("o_totalprice") > 1000).alias("formulas"),
+                      F.countDistinct("o_orderstatus").alias("pivots"), F.count_if(F.col("o_orderstatus") == "P").alias("merged")).first()
+    wide = suppliers.select("s_suppkey", *[(F.col("s_suppkey") % (i + 2)).alias(f"c{i}") for i in range(499)])
+    tables = TableSet(spark, [
+        Table("ledger", ledger, "o_orderkey", headers={"customer": None, "o_orderstatus": None}, errors={"customer": seen["errors"]}, header_row=None,
+              formula_cells=seen["formulas"], pivot_tables=seen["pivots"], merged_in_data=seen["merged"]),
+        Table("Wide Sheet", wide, "s_suppkey")])
+    found = Q.findings(tables).filter(F.col("code").isin(SHEET_CODES)).join(tables.catalog().select("table_id", "table_name"), "table_id")
+    return found.join(tables.columns().select("column_id", "column_name"), "column_id", "left").select(
+        "finding_id", "code", "severity", "table_name", "column_name", "count")
+
+
+SHEET_FINDINGS_SQL = """
+WITH f(code, severity, table_name, column_name, count) AS (
+  SELECT 'DQ_HEADER_UNDETECTED', 'info', 'ledger', NULL::VARCHAR, CAST(1 AS BIGINT)
+  UNION ALL SELECT 'DQ_VERY_WIDE', 'warn', 'Wide Sheet', NULL, 500
+  UNION ALL SELECT 'DQ_FORMULAS_VALUE_ONLY', 'warn', 'ledger', NULL, count(*) FROM orders WHERE o_totalprice > 1000 HAVING count(*) > 0
+  UNION ALL SELECT 'DQ_PIVOT_OUTPUT_ONLY', 'warn', 'ledger', NULL, count(DISTINCT o_orderstatus) FROM orders
+  UNION ALL SELECT 'DQ_MERGED_IN_DATA', 'warn', 'ledger', NULL, 1 FROM orders WHERE o_orderstatus = 'P' HAVING count(*) > 0
+  UNION ALL SELECT 'DQ_HEADER_LOW_CONFIDENCE', 'warn', 'ledger', NULL, 2
+  UNION ALL SELECT 'DQ_EXCEL_ERRORS', 'warn', 'ledger', 'customer', count(*) FROM orders WHERE o_custkey % 10 = 0 HAVING count(*) > 0
+  UNION ALL SELECT 'DQ_MIXED_TYPE', 'warn', 'ledger', 'amount', count(CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice::VARCHAR ELSE o_orderpriority END) FROM orders),
+ids AS (SELECT *, 'local/sheet-' || sha256(lower(table_name))[1:12] AS table_id FROM f)
+SELECT sha1(code || '|' || table_id || coalesce('/col-' || sha256(column_name)[1:12], ''))[1:20] AS finding_id, code, severity, table_name, column_name, count
+FROM ids"""
+
+
+def _printed(spark, sf):
+    """Values as they are shown: times of day, dates and stamps; numbers with NaN and infinities."""
+    events = load(spark, sf, "events")
+    ts, v = F.col("ts").cast("timestamp_ntz"), F.col("value").cast("double")
+    third, kind = F.pmod("event_id", F.lit(3)), F.pmod("event_id", F.lit(5))
+    zero_day = F.make_timestamp_ntz(F.lit(1899), F.lit(12), F.lit(30), F.hour(ts), F.minute(ts), F.second(ts))
+    stamp = F.when(third == 0, zero_day).when(third == 1, F.date_trunc("day", ts).cast("timestamp_ntz")).otherwise(F.date_trunc("second", ts).cast("timestamp_ntz"))
+    number = F.when(kind == 0, F.lit(float("nan"))).when(kind == 1, F.lit(float("inf"))).when(kind == 2, F.lit(float("-inf"))).otherwise(F.floor(v).cast("double"))
+    return events.select("event_id", dates.stamp_to_iso(stamp).alias("shown_at"), numbers.printable(number).alias("shown_value"))
+
+
+PRINTED_SQL = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%H:%M:%S') WHEN event_id % 3 = 1 OR date_trunc('second', ts) = date_trunc('day', ts) THEN strftime(ts, '%Y-%m-%d')
+                      ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS shown_at,
+  CASE event_id % 5 WHEN 0 THEN 'nan' WHEN 1 THEN 'inf' WHEN 2 THEN '-inf' ELSE CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS shown_value
+FROM events"""
+
+
 QUERIES = {
     "profile_all": _profile(CORE), "profile_orders": _profile(["orders"]), "profile_lineitem": _profile(["lineitem"]),
     "topk_all": _topk(CORE[:7]), "samples": _samples, "profile_approximate": _approximate, "long_values_documents": _long_values,
     "row_hash_multiset_orders": _hash_orders, "table_fingerprints": _fingerprints,
+    "sheet_findings_planted": _sheet_findings, "printed_events": _printed,
     "dq_planted": _findings, "totals_rows_planted": _totals, "clean_sums_planted": _clean_sums,
     "keys_all": _keys, "composite_keys": _composite, "composite_keys_late": _composite_late, "relationships_all": _relations, "join_recipes": _recipes,
     "roles_renamed": _roles, "grain": _grain, "time_coverage": _coverage, "duplicates_split_orders": _duplicates,
@@ -443,6 +501,7 @@ ORACLE = {
     "profile_all": _profile_sql(CORE), "profile_orders": _profile_sql(["orders"]), "profile_lineitem": _profile_sql(["lineitem"]),
     "topk_all": _topk_sql(CORE[:7]), "samples": _samples_sql(), "profile_approximate": APPROXIMATE_SQL,
     "long_values_documents": LONG_VALUES_SQL, "row_hash_multiset_orders": HASH_ORDERS_SQL, "table_fingerprints": _fingerprint_sql(),
+    "sheet_findings_planted": SHEET_FINDINGS_SQL, "printed_events": PRINTED_SQL,
     "dq_planted": _findings_sql(), "totals_rows_planted": TOTALS_SQL, "clean_sums_planted": CLEAN_SUMS_SQL,
     "keys_all": _keys_sql(), "composite_keys": COMPOSITE_SQL, "composite_keys_late": COMPOSITE_LATE_SQL, "relationships_all": _relations_sql(), "join_recipes": RECIPES_SQL,
     "roles_renamed": _roles_sql(), "grain": GRAIN_SQL, "time_coverage": COVERAGE_SQL, "duplicates_split_orders": DUPLICATES_SQL,
