@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +123,12 @@ def test_sql_functions_equal_the_columns(spark):
     frame = spark.createDataFrame([("Order_ID  ـ القَاهرة ٣",), (None,)], "t string")
     got = frame.select(F.expr("fold(t)").alias("a"), X.fold(F.col("t")).alias("b"), F.expr("search_form(t)").alias("c"), X.search_form(F.col("t")).alias("d"))
     assert all(r.a == r.b and r.c == r.d for r in got.collect())
+
+
+def test_case_folding_is_unicode_s(spark):
+    """Every letter alone, and words with several foldings, against Python's case folding."""
+    letters = [chr(c) for c in range(0x20, 0x20000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c))[0] == "L"]
+    texts = [f"a{x}b" for x in letters] + ["STRASSE Straße ẞ", "ﬃ ŉ ΐ ᾳ ᏸ", "ΟΔΥΣΣΕΥΣ", "", "İstanbul"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.casefold(F.col("t")).alias("f")).collect()
+    assert {r.t: r.f for r in got if r.f != r.t.casefold()} == {}
+    assert spark.range(1).select(X.casefold(F.lit(None).cast("string")).alias("f")).first().f is None

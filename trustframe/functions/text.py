@@ -28,8 +28,31 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def _foldings() -> tuple[dict[str, str], dict[str, str]]:
+    """Lower-case letters whose folding is another letter, and those whose folding is several; without the two common ones."""
+    lower = [chr(c) for c in range(0x80, 0x110000) if chr(c).lower() == chr(c) != chr(c).casefold() and chr(c) not in "ßς"]
+    return {x: x.casefold() for x in lower if len(x.casefold()) == 1}, {x: x.casefold() for x in lower if len(x.casefold()) > 1}
+
+
+def _ranges(letters, gap: int = 16) -> str:
+    """A character class of few ranges that holds the letters, and maybe some between them."""
+    codes = sorted(map(ord, letters))
+    cuts = [i for i in range(1, len(codes)) if codes[i] - codes[i - 1] > gap]
+    return "[" + "".join(f"{chr(codes[i])}-{chr(codes[j - 1])}" for i, j in zip([0, *cuts], [*cuts, len(codes)])) + "]"
+
+
+FOLDED, SPREAD = _foldings()
+
+
 def casefold(c: Column) -> Column:
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    """Full Unicode case folding. Beside the German and the Greek s, letters that fold further are rare: only texts with one of
+    them are translated, and read letter by letter where one letter becomes several."""
+    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    single = F.translate(low, "".join(FOLDED), "".join(FOLDED.values()))
+    known = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])
+    letters = F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x))
+    further = F.when(low.rlike(_ranges(SPREAD)), F.array_join(letters, "")).otherwise(single)
+    return F.when(low.rlike(_ranges([*SPREAD, *FOLDED])), further).otherwise(low)
 
 
 def fold(c: Column) -> Column:

@@ -105,10 +105,11 @@ def envelopes(spark: SparkSession, results: list[Result]) -> DataFrame:
 
 
 class Reader:
-    """Read tools over the facts of one set of tables."""
+    """Read tools over the facts of one set of tables. `origins` (source_id, table_name, path, sheet) tells what file and sheet
+    each table came from."""
 
-    def __init__(self, facts: Facts, views: Views | None = None, extra: dict[str, DataFrame] | None = None):
-        self.facts, self.views, self.extra = facts, views, extra or {}
+    def __init__(self, facts: Facts, views: Views | None = None, extra: dict[str, DataFrame] | None = None, origins: DataFrame | None = None):
+        self.facts, self.views, self.extra, self.origins = facts, views, extra or {}, origins
 
     def schema(self) -> DataFrame:
         cols = self.facts.tables.columns().groupBy("table_id").agg(
@@ -130,8 +131,13 @@ class Reader:
         return D.aggregate(self.facts.tables.table(name), column, op, group_by)
 
     def trace(self, name: str, row: int) -> DataFrame:
+        """One stored row with its source and table, and with its file and sheet where they are known."""
         t = self.facts.tables.table(name)
-        return t.df.filter(t.row_column == row).select("*", F.lit(t.source).alias("_source"), F.lit(t.table_id).alias("_table_id"))
+        found = t.df.filter(t.row_column == row).select("*", F.lit(t.source).alias("_source"), F.lit(t.table_id).alias("_table_id"))
+        if self.origins is None:
+            return found
+        mine = self.origins.filter((F.col("source_id") == t.source) & (F.col("table_name") == t.name))
+        return found.join(mine.select(F.col("source_id").alias("_of"), F.col("path").alias("_path"), F.col("sheet").alias("_sheet")), F.col("_source") == F.col("_of"), "left").drop("_of")
 
     def repaired(self, name: str) -> DataFrame:
         t = self.facts.tables.table(name)
