@@ -175,6 +175,14 @@ def test_lm_scores(docs, order):
     assert [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-3)
 
 
+def test_count_table_of_units_read_in_parts(docs):
+    """Units that many tasks read in pieces give the same count table."""
+    tagged = lm_scoring.units(docs, 3_000)
+    whole, cut = (lm_scoring.counts(lm_scoring.exploded(t, 3)).collect() for t in (tagged, tagged.repartition(7)))
+    assert len(whole) > 100
+    same_rows([tuple(r) for r in cut], [tuple(r) for r in whole])
+
+
 def test_neighbours_exact_with_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=6).tolist()) for i in range(600)] + [(i, [0.5] * 6) for i in range(600, 900)]
