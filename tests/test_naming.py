@@ -50,3 +50,12 @@ def test_five_thousand_repeats_take_seconds(spark):
     assert time.time() - started < 10
     assert [got[1][i] for i in sorted(got[1])] == in_order(["value" if i % 2 else f"value_{i}" for i in range(5000)])
     assert got[2][1] == "Same" and got[2][5000] == "Same_5000" and got[3][7] == "col_7"
+
+
+def test_names_of_one_table_are_shuffled_once(spark):
+    rows = [(g, i, h) for g in (1, 2, None) for i, h in enumerate(["a", "A", "a_2", "the", "b", "b", None, None, "The", ""])]
+    named = unique_names(spark.createDataFrame(rows, "g int, col int, header string"), ["g"], "the")
+    exchanges = {line.split("Exchange ")[1].split("#")[0] for line in named._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line}
+    assert exchanges == {"hashpartitioning(g"}                    # the same one for the simple and the mixed stems
+    expected = in_order(["a", "A", "a_2", "the", "b", "b", "col_7", "col_8", "The", "col_10"], "the")
+    assert {(r.g, r.position): r.name for r in named.collect()} == {(g, i): n for g in (1, 2, None) for i, n in enumerate(expected, 1)}

@@ -33,18 +33,21 @@ def unique_identifiers(rows: DataFrame, keys: list[str], order: str, base: Colum
     stem = F.regexp_replace(F.col("_folded"), "(_[0-9]+)+$", "")
     based = rows.withColumn("_base", base).withColumn("_folded", F.lower("_base")).withColumn("_order", F.col(order).cast("long"))
     based = based.withColumn("_stem", stem).withColumn("_reserved", F.lit(reserved.lower()))
-    group = [*keys, "_stem"]
-    shapes = based.groupBy(*[F.col(f"`{c}`").alias(f"_by{i}") for i, c in enumerate(group)]).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_distinct("_folded").alias("_spellings"), F.bool_or(F.col("_folded") == F.col("_reserved")).alias("_meets"))
+    # one shuffle and one sort by stem: a row's place in its stem gives its number among rows of its spelling, and the counts
+    by_stem, by_spelling = Window.partitionBy(*keys, "_stem"), Window.partitionBy(*keys, "_stem", "_folded")
+    placed = based.withColumn("_place", F.row_number().over(by_stem.orderBy("_folded", "_order")))
+    placed = placed.withColumn("_nth", F.col("_place") - F.min("_place").over(by_spelling) + 1)
+    shaped = placed.withColumns({
+        "_rows": F.count(F.lit(1)).over(by_stem),
+        "_spellings": F.count_if(F.col("_folded").isNotNull() & (F.col("_nth") == 1)).over(by_stem),
+        "_meets": F.bool_or(F.col("_folded") == F.col("_reserved")).over(by_stem)})
     simple = (F.col("_spellings") == 1) | ((F.col("_spellings") == F.col("_rows")) & ~F.col("_meets"))
-    shapes = shapes.select(*[f"_by{i}" for i in range(len(group))], simple.alias("_simple"))
-    same = [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(group)]
-    shaped = based.join(shapes, same).drop(*[f"_by{i}" for i in range(len(group))])
-    number = F.row_number().over(Window.partitionBy(*keys, "_folded").orderBy("_order")) + (F.col("_folded") == F.col("_reserved")).cast("int")
+    shaped = shaped.withColumn("_simple", simple).drop("_place", "_rows", "_spellings", "_meets")
+    number = F.col("_nth") + (F.col("_folded") == F.col("_reserved")).cast("int")
     name = F.when(number == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), number.cast("string")))
     easy = shaped.filter("_simple").withColumn("name", name)
     rest = shaped.filter("NOT _simple").groupBy(*keys, "_stem").applyInPandas(_walk, easy.schema)
-    return easy.unionByName(rest).drop("_base", "_folded", "_order", "_stem", "_reserved", "_simple")
+    return easy.unionByName(rest).drop("_base", "_folded", "_order", "_stem", "_reserved", "_simple", "_nth")
 
 
 def unique_names(headers: DataFrame, keys: list[str], reserved: str) -> DataFrame:
