@@ -233,7 +233,7 @@ def _stream_stages(spark, sf):
 
 
 def _stream_late_files(spark, sf):
-    """Run logs in four files, a batch each; the last one, which holds the ends of every seventh stage, comes when the stream has
+    """Run logs in four parts, a batch each; the last one, which holds the ends of every seventh stage, comes when the stream has
     long read the others. The merged records equal those of one batch."""
     folder, checkpoint, out = new_folder(spark, "journal"), new_folder(spark, "stream-checkpoint"), new_folder(spark, "stages")
     order = F.floor(F.col("t") / 100)
@@ -243,10 +243,9 @@ def _stream_late_files(spark, sf):
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    for numbers in ([0, 1, 2], [3]):
-        for n in numbers:
-            events.filter(F.col("part") == n).drop("part").coalesce(1).select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
-        ingest.follow_runs(J.stream_events(spark, folder, files_per_batch=1), sink, checkpoint)
+    for n in range(4):
+        events.filter(F.col("part") == n).drop("part").select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+        ingest.follow_runs(J.stream_events(spark, folder), sink, checkpoint)
     return ingest.merge_records(spark.read.parquet(out)).select("run_id", "stage", "started", "seconds", "status")
 
 
