@@ -250,7 +250,7 @@ def _stream_late_files(spark, sf):
 
 
 def _stream_all_columns(spark, sf):
-    """Frequencies of all columns of orders, kept over three files of which the last comes late: equal to one pass."""
+    """Frequencies of all columns of orders, kept over three parts that arrive one after another, a batch each: equal to one pass."""
     folder, store, checkpoint = new_folder(spark, "arriving"), new_folder(spark, "stream-store"), new_folder(spark, "stream-checkpoint")
     orders = load(spark, sf, "orders")
 
@@ -258,9 +258,8 @@ def _stream_all_columns(spark, sf):
         return Table("orders", df, "o_orderkey")
 
     for n in range(3):
-        orders.filter(F.col("o_orderkey") % 3 == n).coalesce(1).write.mode("append").parquet(folder)
-        if n:
-            ingest.keep_frequencies(ingest.watch_parquet(spark, folder, orders.schema, files_per_batch=1), make, store, checkpoint)
+        orders.filter(F.col("o_orderkey") % 3 == n).write.mode("append").parquet(folder)
+        ingest.keep_frequencies(ingest.watch_parquet(spark, folder, orders.schema), make, store, checkpoint)
     named = TableSet(spark, [make(orders)]).columns().select("column_no", "column_name", "kind")
     f = ingest.stored_frequencies(spark, store).join(named, "column_no")
     day = F.when(F.col("kind").isin("date", "datetime"), F.substring(value_text(F.col("kind")), 1, 10))
