@@ -372,3 +372,12 @@ def test_arriving_orders_are_counted_by_all_tasks(spark, tmp_path, monkeypatch):
     assert len([f for f in os.listdir(made["stream-store"]) if f.startswith("batch=")]) == 3
     assert {(r.value_num, r.cnt, r.first_row) for r in got if r.column_name == "o_custkey"} == {(float(k), len(range(k or 9, 201, 9)), k or 9) for k in range(9)}
     assert sorted((r.value_num, r.cnt) for r in got if r.column_name == "o_orderkey") == [(float(k), 1) for k in range(1, 201)]
+
+
+def test_regions_are_read_from_row_masks(spark):
+    wide = [[f"h{j}" for j in range(70)]] + [list(range(70)) for _ in range(3)] + [[N], [N]] + [["a", "b"], [1, 2]]
+    c = cells(spark, {"wide": wide})
+    got = [(r.kind, r.first_row, r.first_col, r.last_row, r.last_col, r.header_row, r.cells) for r in R.regions(c).orderBy("region_no").collect()]
+    assert got == [("table", 1, 1, 4, 70, 1, 280), ("table", 7, 1, 8, 2, 7, 4)]
+    lines = R.row_masks(c, G.S)
+    assert lines.count() == 4 * 2 + 2 and lines.agg(F.sum(F.bit_count("mask")).alias("m"), F.sum("n").alias("n")).first() == (284, 284)

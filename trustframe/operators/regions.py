@@ -71,18 +71,19 @@ def regions(cells: DataFrame, min_gap_rows: int = V.MIN_GAP_ROWS) -> DataFrame:
 
     A new block starts after at least two blank rows, and only if its first row looks like a header; otherwise the
     table continues. A block of one row or one column is a note. `cells` is read several times: hand over a stored cell
-    table; what is written in between (bands, segments, boxes) is a few rows per sheet.
+    table; what is written in between is a few rows per sheet (bands, segments, boxes) and a row of bits per sheet row.
     """
     here = cells.filter("kind <> 'error' AND (kind <> 'text' OR trim(txt) <> '')")
     bands = materialize(column_bands(here), "bands")
     of_column = bands.select(*S, "band", F.explode(F.sequence("lo", "hi")).alias("col"))
     placed = here.select(*S, "row", "col", "kind", "txt").join(of_column, [*S, "col"])
     keys = [*S, "band"]
-    segments = materialize(runs(placed.select(*keys, "row").distinct(), keys, "row", min_gap_rows), "segments")
+    lines = materialize(row_masks(placed, keys), "row-masks")
+    segments = materialize(runs(lines.select(*keys, "row").distinct(), keys, "row", min_gap_rows), "segments")
 
-    in_segment = _within(placed, segments.withColumn("segment", F.col("start")), keys, "segment")
-    width = in_segment.groupBy(*keys, "segment").agg(F.count_distinct("col").alias("width"))
-    first = in_segment.filter(F.col("row") == F.col("segment"))
+    in_segment = _within(lines, segments.withColumn("segment", F.col("start")), keys, "segment")
+    width = _outline(in_segment, [*keys, "segment"]).select(*keys, "segment", "width")
+    first = placed.join(segments.select(*keys, F.col("start").alias("row"), F.col("start").alias("segment")), [*keys, "row"])
     opens = row_shape(first, [*keys, "segment"]).join(width, [*keys, "segment"]).withColumn("opens", header_like(F.col("width")))
     by_start = Window.partitionBy(*keys).orderBy("start")
     starts = segments.join(opens.select(*keys, F.col("segment").alias("start"), "opens"), [*keys, "start"])
@@ -92,17 +93,32 @@ def regions(cells: DataFrame, min_gap_rows: int = V.MIN_GAP_ROWS) -> DataFrame:
     block_of = materialize(starts.select(*keys, F.col("start").alias("segment"), "block"), "row-blocks")
     inside = in_segment.join(block_of, [*keys, "segment"])
     key = [*keys, "block"]
-    boxes = inside.groupBy(*key).agg(
-        F.min("row").alias("first_row"), F.max("row").alias("last_row"), F.min("col").alias("first_col"), F.max("col").alias("last_col"),
-        F.count(F.lit(1)).alias("cells"), F.count_distinct("col").alias("width"), F.count_distinct("row").alias("used_rows"))
-    boxes = materialize(boxes, "region-boxes")
-    found = boxes.join(find_headers(inside.drop("segment"), boxes, key), key, "left")
+    boxes = materialize(_outline(inside, key), "region-boxes")
+    last = F.least("last_row", F.col("first_row") + V.HEADER_SCAN_ROWS)
+    heads = placed.join(boxes.select(*key, F.explode(F.sequence("first_row", last)).alias("row")), [*keys, "row"])
+    found = boxes.join(find_headers(heads, boxes, key), key, "left")
     order = Window.partitionBy(*S).orderBy("first_row", "first_col")
-    kind = F.when((F.col("used_rows") >= 2) & (F.col("width") >= 2), "table").otherwise("note")
+    kind = F.when((F.col("first_row") < F.col("last_row")) & (F.col("width") >= 2), "table").otherwise("note")
     return found.select(*S, F.row_number().over(order).alias("region_no"), kind.alias("kind"), "first_row", "first_col", "last_row",
                         "last_col", "header_row", "cells")
 
 
+def row_masks(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, row, word, mask, lo, hi, n): the used columns of each row as bits, 64 columns a word. What regions are made of is
+    read from these, a row for many cells."""
+    bit = F.expr("shiftleft(1L, CAST(pmod(col, 64) AS INT))")
+    return cells.groupBy(*keys, "row", F.floor(F.col("col") / 64).alias("word")).agg(
+        F.bit_or(bit).alias("mask"), F.min("col").alias("lo"), F.max("col").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
+def _outline(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_row, last_row, first_col, last_col, cells, width) of groups of row masks."""
+    words = lines.groupBy(*keys, "word").agg(F.bit_or("mask").alias("mask"), F.min("row").alias("first_row"), F.max("row").alias("last_row"),
+                                             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+    return words.groupBy(*keys).agg(F.min("first_row").alias("first_row"), F.max("last_row").alias("last_row"), F.min("lo").alias("first_col"),
+                                    F.max("hi").alias("last_col"), F.sum("n").alias("cells"), F.sum(F.bit_count("mask")).alias("width"))
+
+
 def _within(cells: DataFrame, spans: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Range join cells.row between spans.start and spans.end: both meet on buckets of 1,024 rows."""
     pieces = spans.select(*keys, label, "start", "end", F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor(F.col("end") / SPAN))).alias("_at"))
