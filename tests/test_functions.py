@@ -132,3 +132,13 @@ def test_case_folding_is_unicode_s(spark):
     got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.casefold(F.col("t")).alias("f")).collect()
     assert {r.t: r.f for r in got if r.f != r.t.casefold()} == {}
     assert spark.range(1).select(X.casefold(F.lit(None).cast("string")).alias("f")).first().f is None
+
+
+def test_entities_are_found_in_one_pass(spark):
+    """No cut by a pattern, which would be compiled for every text, but for texts that hold the mark; digits are read once."""
+    text = "pay $1,250.5 by 2024-03-05, INV-000123"
+    plain, marked = found_in(spark, text, text.replace(", ", ",\x00"))
+    assert [(k, n) for k, _, n, _, _ in plain] == [(k, n) for k, _, n, _, _ in marked] == [("money", "1250.50 USD"), ("date", "2024-03-05"), ("code", "INV-000123")]
+    assert [(text[s:e], v) for _, v, _, s, e in plain] == [(v, v) for _, v, _, _, _ in plain] and marked[-1][3:] == plain[-1][3:]
+    shown = spark.createDataFrame([(text,)], "text string").select(entities_of(F.col("text")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("translate(") == 1

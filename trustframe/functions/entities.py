@@ -49,24 +49,32 @@ FINDERS: list[tuple[str, str, Callable[[Column], Column]]] = [
     ("phone", V.PHONE_PATTERN, lambda v: F.regexp_replace(v, r"(?U)[\s-]", "")), ("code", V.CODE_PATTERN, F.upper)]
 
 
+#: Stands around matches while a text is cut at them.
+CUT = "\x00"
+
+
 def _matches(text: Column, kind: str, pattern: str, normal: Callable[[Column], Column]) -> Column:
-    """All matches of one pattern: each starts where the piece before it ends."""
-    pattern = "(?U)" + pattern
-    pieces = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(ENTITY).alias("found"))
+    """All matches of one pattern, found in one pass: they are cut out, and each starts where the piece before it ends.
 
-    def step(done: Column, piece: Column) -> Column:
-        start, value = done["at"] + F.length(piece["0"]), piece["1"]
+    A cut by the pattern itself would compile it anew for every text; it is left to the texts that hold the mark.
+    """
+    pattern = "(?U)" + pattern
+    cut = F.split(F.regexp_replace(text, pattern, f"{CUT}$0{CUT}"), CUT, -1)
+    pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    paired = F.filter(F.flatten(F.transform(pairs, lambda p: F.array(p["0"], p["1"]))), lambda p: p.isNotNull())
+    pieces = F.when(F.contains(text, F.lit(CUT)), paired).otherwise(cut)
+    empty = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), F.array().cast(ENTITY).alias("found"))
+
+    def step(done: Column, value: Column) -> Column:
+        start = done["at"]
         end = start + F.length(value)
         one = F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), value.alias("value"), normal(value).alias("normalized"))
-        return F.when(value.isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["found"], F.array(one)).alias("found")))
+        return F.struct(end.alias("at"), (~done["inside"]).alias("inside"), F.when(done["inside"], F.concat(done["found"], F.array(one))).otherwise(done["found"]).alias("found"))
 
     return F.aggregate(pieces, empty, step, lambda done: done["found"])
 
 
-def entities_of(text: Column) -> Column:
-    """[(start, end, kind, value as written, normalized)] of a text in text order; Arabic-Indic digits are read as digits."""
-    plain = F.translate(text, *V.ARABIC_DIGITS)
+def _entities_of_plain(plain: Column) -> Column:
     by_kind = F.array(*[_matches(plain, *finder) for finder in FINDERS])
 
     def add(found: Column, more: Column) -> Column:
@@ -76,6 +84,11 @@ def entities_of(text: Column) -> Column:
     return F.array_sort(F.aggregate(by_kind, F.array().cast(ENTITY), add))
 
 
+def entities_of(text: Column) -> Column:
+    """[(start, end, kind, value as written, normalized)] of a text in text order; Arabic-Indic digits are read as digits, once."""
+    return F.get(F.transform(F.array(F.translate(text, *V.ARABIC_DIGITS)), _entities_of_plain), F.lit(0))
+
+
 def stated_values(text: Column) -> Column:
     """Dates and amounts of a text in normal form, amounts also without their currency."""
     norms = F.transform(F.filter(entities_of(text), lambda e: e["kind"].isin("date", "money")), lambda e: e["normalized"])
