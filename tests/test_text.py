@@ -167,3 +167,11 @@ def test_formula_references(spark):
     frame = spark.createDataFrame([(i, f) for i, f in enumerate(cases)], "i int, f string")
     got = [[tuple(x) for x in r.r] for r in frame.select("i", L.formula_refs(F.col("f")).alias("r")).orderBy("i").collect()]
     assert got == list(cases.values())
+
+
+def test_accepted_fields_are_checked_once(spark):
+    blocks = spark.createDataFrame([("b", "s", "paid 12.50 EGP")], "block_id string, source_id string, text string")
+    rows = [(1, "amount", "12.50", "b", "paid 12.50 EGP"), (2, "amount", "9", "b", "paid 12.50 EGP"), (2, "unit", "EGP", "b", "12.50 EGP"), (None, "amount", "12.50", "b", "paid 12.50")]
+    taken = G.accepted(G.check_fields(spark.createDataFrame(rows, "record_no long, field string, value string, block_id string, quote string"), blocks))
+    assert "translate(" not in taken._jdf.queryExecution().optimizedPlan().toString()      # read back, not checked anew
+    assert sorted((r.record_no or 0, r.field, r.value) for r in taken.collect()) == [(0, "amount", "12.50"), (1, "amount", "12.50")]

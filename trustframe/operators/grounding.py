@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.entities import stated_values
 from ..functions.text import normalize_digits, search_form
-from ..session import spread
+from ..session import materialize, spread
 
 FIELD_NAME = r"^[A-Za-z؀-ۿ][\w؀-ۿ]{0,59}$"
 
@@ -45,7 +45,8 @@ def check_fields(fields: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def accepted(checked: DataFrame) -> DataFrame:
-    """Fields of records in which every field is proven."""
+    """Fields of records in which every field is proven. The checks are read twice, so they are made once and stored."""
+    checked = materialize(checked, "checked-fields")
     bad = checked.filter("reason IS NOT NULL").select("record_no").distinct()
     return checked.filter("reason IS NULL").join(bad, "record_no", "left_anti")
 
