@@ -96,7 +96,7 @@ def mail_parts(files: DataFrame) -> DataFrame:
             rows = []
             for sid, part, data in zip(batch["source_id"], batch["part"], batch["content"]):
                 message = email.message_from_bytes(data, policy=email.policy.default)
-                headers = {h: str(message[h.replace("_", "-")]) for h in HEADERS if message[h.replace("_", "-")]}
+                headers = {h: str(value) for h in HEADERS if (value := message[h.replace("_", "-")])}      # each look parses anew
                 rows.append((sid, part, headers, [_part(*leaf) for leaf in _leaves(message)]))
             yield pd.DataFrame(rows, columns=["source_id", "part", "headers", "parts"])
 
