@@ -351,3 +351,20 @@ def test_gap_before_the_newest_sixty_months(spark):
     assert facts.digest.filter("section = 'by_month'").count() == 60
     gone = facts.anomalies(dt.date(2024, 6, 30)).filter("kind = 'missing_period'").collect()
     assert [(r["count"], r.examples) for r in gone] == [(1, ["2011-09"])]
+
+
+def test_row_hashes_are_not_shuffled_by_table(spark):
+    from trustframe.operators import changes as H
+    frames = [("source_id string, sha256 string", [("s", "x")]),
+              ("table_id string, source_id string, table_name string, row_count long, schema_fingerprint string, fingerprint string", [("t", "s", "orders", 2, "f", "g")]),
+              ("table_id string, row_hash string, n long", [("t", "h1", 1), ("t", "h2", 1)]),
+              ("table_id string, column_name string, distinct_count long, top_k array<struct<value: string, cnt: long>>", []),
+              ("pack string, kpi_id string, value string", [])]
+    one, two = (H.Snapshot(*[spark.createDataFrame(rows[:keep], schema) for schema, rows in frames]) for keep in (2, 1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = H.changes(one, two)
+        assert "BroadcastExchange" in found._jdf.queryExecution().executedPlan().toString()
+        assert [(r.before, r.after) for r in found.filter("kind = 'row'").collect()] == [("removed=1", "added=0")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

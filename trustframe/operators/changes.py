@@ -96,7 +96,8 @@ def changes(before: Snapshot, after: Snapshot) -> DataFrame:
                          F.col("new_fingerprint"), "row contents differ"))
 
     def by_subject(frame: DataFrame, side: str) -> DataFrame:
-        return pairs.select("subject", F.col(f"{side}_id").alias("table_id")).join(frame, "table_id").drop("table_id")
+        # a row per table goes to the rows: shuffled by table, all rows of the largest one would meet in a task
+        return F.broadcast(pairs.select("subject", F.col(f"{side}_id").alias("table_id"))).join(frame, "table_id").drop("table_id")
 
     diff = multiset_difference(by_subject(before.hash_counts, "old"), by_subject(after.hash_counts, "new"), ["subject"])
     parts.append(_change(diff.filter("removed > 0 OR added > 0"), "row", "info", F.col("subject"),
