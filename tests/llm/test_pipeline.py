@@ -72,3 +72,38 @@ def test_classifiers_train_beside_columns_named_label(spark):
     labels = queries.table(spark, SF, "labels")
     assert quality.score(docs.limit(3), quality.train(docs, labels)).count() == 3
     assert toxicity.score(docs.limit(3), toxicity.train(docs, labels)).count() == 3
+
+
+def test_near_duplicates_leave_no_bulk_behind(spark, tmp_path, monkeypatch):
+    """What the join writes for itself goes when it is no longer read, and so do the shuffle files of each write."""
+    from trustframe import session
+    from trustframe.llm import jaccard
+
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:-1])), (3, "other words of a text"), (4, " ".join(words))], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.groups(docs, 5, 80).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 1}
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert not left & {"jaccard-signatures", "jaccard-share", "jaccard-lists", "jaccard-facts", "jaccard-sets", "jaccard-across", "jaccard-needed"}
+
+
+def test_materialize_removes_its_shuffle_files(spark, tmp_path, monkeypatch):
+    import pathlib
+    import time
+
+    from pyspark.sql import functions as F
+    from trustframe import session
+
+    monkeypatch.setattr(session, "work_dir", lambda _: str(tmp_path))
+    tops = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {str(f) for top in tops for f in pathlib.Path(top).rglob("shuffle_*")}
+    before = files()
+    rows = session.materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    for _ in range(20):
+        if files() <= before:
+            break
+        time.sleep(0.25)
+    assert files() <= before and rows.count() == 7

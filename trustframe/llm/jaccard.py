@@ -41,8 +41,11 @@ TRIPLES_FROM = 1000
 WIDE_FROM = 800
 WIDE = 4096
 ROUNDS = 3
+SHARES = 8
+KEPT_BITS = 48
 BITMAP = 1024
 BITS = [f"bits{i}" for i in range(BITMAP // 64)]
+SIGNATURES = [f"signatures{i}" for i in range(SHARES)]
 
 
 class Scheme:
@@ -93,7 +96,8 @@ class Scheme:
         return self.classes[c]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """s: sorted distinct hashes. As int64."""
+        """s: sorted distinct hashes. Of KEPT_BITS bits, in order, as int64: what is equal stays equal, and the few that fall
+        together by chance only make candidates more."""
         n = len(s)
         if not n:
             return np.empty(0, np.int64)
@@ -121,7 +125,7 @@ class Scheme:
                     enough = int(full.sum()) > differ
                 # empty parts say little; they are needed only where so many are empty that they may be all a pair agrees on
                 out.append(content[full] if enough else content)
-        return np.unique(np.concatenate(out)).view(np.int64)
+        return np.unique(np.concatenate(out) >> np.uint64(64 - KEPT_BITS)).view(np.int64)
 
 
 @functools.cache
@@ -145,8 +149,14 @@ def may_link(percent: int):
 
 def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, same (an earlier document of the task with the same set, or null), the parity bitmap and the
-    signatures, written once."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.list_(pa.int64())), ("signatures", pa.list_(pa.int64()))])
+    signatures, by their highest bits in SHARES columns, written once."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("same", pa.int64()), *[(b, pa.int64()) for b in BITS], ("wide", pa.list_(pa.int64())), *[(c, pa.list_(pa.int64())) for c in SIGNATURES]])
+    cuts = np.array([(i << KEPT_BITS) // SHARES for i in range(1, SHARES)], np.int64)
+
+    def dealt(found: list[np.ndarray]) -> list[pa.Array]:
+        """A column per share of the range; the signatures of a set are in order."""
+        ends = [[0, *np.searchsorted(f, cuts).tolist(), len(f)] for f in found]
+        return [pa.array([f[e[i]:e[i + 1]] for f, e in zip(found, ends)], pa.list_(pa.int64())) for i in range(SHARES)]
 
     def run(batches):
         seen: dict[tuple, int] = {}
@@ -171,10 +181,10 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                         seen.clear()
                     seen[key] = doc_id
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()), *[pa.array(b, pa.int64()) for b in np.array(bits).T],
-                                              pa.array(wide, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64()))], schema=schema)
+                                              pa.array(wide, pa.list_(pa.int64())), *dealt(found)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, signatures array<long>"), "jaccard-signatures")
+    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, {', '.join(f'{c} array<long>' for c in SIGNATURES)}"), "jaccard-signatures")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -210,16 +220,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, itself included), one row per row."""
     table = signature_table(docs, words, percent)
-    entries = table.select("doc_id", F.explode("signatures").alias("signature"))
-    own = Window.partitionBy("signature")
-    # lists of the same documents are one list from here on, with a weight; should two others fall together, they only grow
-    ends = [F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high"), F.bit_xor(F.xxhash64("doc_id")).over(own).alias("mark")]
-    shared = entries.select("doc_id", *ends).filter("low < high")
-    lists = materialize(shared.groupBy(F.xxhash64("low", "high", "mark").alias("signature"), "doc_id").agg(F.count(F.lit(1)).alias("weight")), "jaccard-lists")
+    # one share of the signatures after the other is dealt out, so that no more than a share of them lies in shuffle files
+    shares = [materialize(_shared(table.select("doc_id", F.explode(c).alias("signature"))), "jaccard-share") for c in SIGNATURES]
+    lists = materialize(functools.reduce(DataFrame.unionByName, shares).groupBy("signature", "doc_id").agg(F.sum("weight").alias("weight")), "jaccard-lists")
     members = lists.select("doc_id").distinct()
     facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
     signed, table = table, materialize(table.select("doc_id", "n_shingles", "same"), "jaccard-sizes")
     discard(signed)                                     # the signatures are the bulk of all that is written
+    for share in shares:
+        discard(share)
 
     # groups by the bitmaps alone say whose shingles are needed: two documents that link are in one such group or meet across two
     likely = materialize(stars(lists, None, facts, percent, 0), "jaccard-likely")
@@ -238,7 +247,8 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     # a doc_id with several texts has several sets; each may link. Kept by doc_id, the sets are dealt out once for all rounds
     mine = docs.join(needed, docs["doc_id"].cast("long") == needed["doc_id"], "left_semi")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = materialize(shingle_sets(mine, words), "jaccard-sets").repartition(n_parts, "doc_id").persist(StorageLevel.DISK_ONLY)
+    stored = materialize(shingle_sets(mine, words), "jaccard-sets")
+    sets = stored.repartition(n_parts, "doc_id").persist(StorageLevel.DISK_ONLY)
 
     links = materialize(verified(pairs.distinct(), sets, percent), "jaccard-links")
     parts = materialize(connected_components(links), "jaccard-parts")
@@ -250,12 +260,23 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         parts = materialize(connected_components(links), "jaccard-parts")
     rest = materialize(verified(crossing(lists, parts, facts, percent).join(across, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
     sets.unpersist()
+    for done in (stored, lists, facts, across, needed):
+        discard(done)
     copies = table.filter(F.col("same").isNotNull()).select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
     final = connected_components(links.unionByName(rest).unionByName(copies))
     joined = table.join(final, table["doc_id"] == final["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _shared(entries: DataFrame) -> DataFrame:
+    """signature, doc_id and weight of the lists of several documents. Lists of the same documents are one list from here on,
+    with a weight; should two others fall together, they only grow."""
+    own = Window.partitionBy("signature")
+    ends = [F.min("doc_id").over(own).alias("low"), F.max("doc_id").over(own).alias("high"), F.bit_xor(F.xxhash64("doc_id")).over(own).alias("mark")]
+    shared = entries.select("doc_id", *ends).filter("low < high")
+    return shared.groupBy(F.xxhash64("low", "high", "mark").alias("signature"), "doc_id").agg(F.count(F.lit(1)).alias("weight"))
+
+
 def stars(lists: DataFrame, parts: DataFrame | None, facts: DataFrame, percent: int, turn: int) -> DataFrame:
     """The star pairs (a, b) of the lists that may link."""
     pairs = star_pairs(spanning(lists, parts), turn)

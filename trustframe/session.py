@@ -56,10 +56,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+#: Shuffle files of an execution go when it ends; else they lie on disk until the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write a frame once and read it back: lineage is cut and the rows survive lost executors."""
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write a frame once and read it back: lineage is cut and the rows survive lost executors. The shuffle files of the write
+    are removed with its end: nothing reads them again."""
+    path, conf = new_folder(df.sparkSession, label), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
