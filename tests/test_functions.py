@@ -142,3 +142,15 @@ def test_entities_are_found_in_one_pass(spark):
     assert [(text[s:e], v) for _, v, _, s, e in plain] == [(v, v) for _, v, _, _, _ in plain] and marked[-1][3:] == plain[-1][3:]
     shown = spark.createDataFrame([(text,)], "text string").select(entities_of(F.col("text")).alias("e"))._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("translate(") == 1
+
+
+def test_index_tokens_of_plain_texts_are_those_of_the_search_form(spark):
+    texts = ["Thé_Straße-x İs ﬁne ŉ ΌΣΟΣ ½ Ⅷ", "aًb ٣۴ والكتاب_x", "café “B”  KÅ", "", None]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    form = F.array_remove(F.split(X.strip_accents(X.index_text(F.col("t"))), r"[^\p{L}\p{N}\p{Co}]+"), "")
+    assert d.filter(~X.index_tokens(F.col("t")).eqNullSafe(form)).count() == 0
+
+
+def test_once_computes_a_column_once(spark):
+    r = spark.range(5).select(F.explode(X.once(F.rand(), lambda x: F.array(F.struct(x.alias("a"), x.alias("b"))))).alias("s")).select("s.*")
+    assert r.filter("a != b").count() == 0 and r.count() == 5

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, SparkSession, functions as F
 
@@ -47,7 +48,14 @@ FOLDED, SPREAD = _foldings()
 def casefold(c: Column) -> Column:
     """Full Unicode case folding. Beside the German and the Greek s, letters that fold further are rare: only texts with one of
     them are translated, and read letter by letter where one letter becomes several."""
-    low = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return _further_folded(_lower(c))
+
+
+def _lower(c: Column) -> Column:
+    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+def _further_folded(low: Column) -> Column:
     single = F.translate(low, "".join(FOLDED), "".join(FOLDED.values()))
     known = F.create_map(*[F.lit(x) for pair in SPREAD.items() for x in pair])
     letters = F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(known, x), x))
@@ -103,8 +111,22 @@ def index_text(c: Column) -> Column:
 
 
 def index_tokens(c: Column) -> Column:
-    """Letter and digit runs of the index text without accents: what a full-text index stores."""
-    return F.array_remove(F.split(strip_accents(index_text(c)), r"[^\p{L}\p{N}\p{Co}]+"), "")
+    """Letter and digit runs of the index text without accents: what a full-text index stores.
+
+    Digits, marks and letter forms are unified, and stems added, only in texts with a letter of the Arabic block. Spaces,
+    `_` and `-` part words anyway, so other texts are case-folded and cut. Each step reads its text once.
+    """
+    def bare(text: Column) -> Column:
+        return once(_lower(text), lambda low: F.when(F.octet_length(low) == F.char_length(low), low).otherwise(strip_accents(_further_folded(low))))
+
+    form = once(F.coalesce(c.cast("string"), F.lit("")), lambda text: F.when(
+        text.rlike("[\u0600-\u06FF]"), strip_accents(index_text(text))).otherwise(bare(text)))
+    return F.array_remove(F.split(form, r"[^\p{L}\p{N}\p{Co}]+"), "")
+
+
+def once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a column that is computed once a row, however often `use` names it, also where Spark does not see to that."""
+    return F.transform(F.array(c), use)[0]
 
 
 def is_null_token(c: Column) -> Column:
