@@ -175,3 +175,12 @@ def test_accepted_fields_are_checked_once(spark):
     taken = G.accepted(G.check_fields(spark.createDataFrame(rows, "record_no long, field string, value string, block_id string, quote string"), blocks))
     assert "translate(" not in taken._jdf.queryExecution().optimizedPlan().toString()      # read back, not checked anew
     assert sorted((r.record_no or 0, r.field, r.value) for r in taken.collect()) == [(0, "amount", "12.50"), (1, "amount", "12.50")]
+
+
+def test_index_totals_count_blocks_without_words(spark, tmp_path):
+    from trustframe.operators import search_index as X
+
+    rows = [("a#1", "a", "text", "", 1, "", "one two two"), ("b#1", "b", "text", "", 1, "", None), ("c#1", "c", "text", "", 1, "", "..."), ("a#1", "a", "text", "", 1, "", "one two two")]
+    blocks = spark.createDataFrame(rows, "block_id string, source_id string, kind string, part string, page int, section string, text string")
+    X.build_index(blocks, str(tmp_path / "index"))
+    assert tuple(spark.read.parquet(str(tmp_path / "index" / "totals")).first()) == (4, 6)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as V
-from ..functions.text import index_tokens, location, snippet
+from ..functions.text import index_tokens, location, once, snippet
 from .search import _searched, query_tokens
 
 #: Hits whose texts are fetched by a list of ids; more are joined.
@@ -22,12 +22,17 @@ SHOWN = ["block_id", "source_id", "kind", "part", "page", "section", "text"]
 def build_index(blocks: DataFrame, path: str) -> None:
     """Write the index of `blocks`. Counting combines before the shuffle; the postings of a word that is everywhere are spread
     over many files, as the block id takes part in the ranges."""
-    words = blocks.select("block_id", "source_id", "kind", index_tokens(_searched(blocks)).alias("w"))
-    tokens = words.select("block_id", "source_id", "kind", F.size("w").alias("length"), F.explode("w").alias("token"))
+    # the length goes beside each word of its text, so that no row of a word holds, or cuts again, the whole text
+    words = once(index_tokens(_searched(blocks)), lambda w: F.transform(w, lambda t: F.struct(F.size(w).alias("length"), t.alias("token"))))
+    tokens = blocks.select("block_id", "source_id", "kind", F.inline(words))
     postings = tokens.groupBy("token", "block_id", "source_id", "kind", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
     postings.repartitionByRange("token", "block_id").sortWithinPartitions("token", "block_id").write.mode("overwrite").parquet(f"{path}/postings")
     blocks.select(*SHOWN).repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(f"{path}/blocks")
-    words.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum(F.size("w")), F.lit(0)).cast("long").alias("words")).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    # the stored postings hold every word, so texts are not cut into words again
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    held = blocks.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings").select(none.alias("blocks"), F.col("tf").cast("long").alias("words"))
+    totals = held.unionByName(blocks.select(one.alias("blocks"), none.alias("words"))).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("blocks", "words")])
+    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def _ranges(tokens: list[str]) -> Column:
