@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from trustframe import Table, TableSet
 from trustframe.operators import grid as G, regions as R, rules, runlog as L
 from trustframe.plans import source_queries as SQ
-from trustframe.plans.grid_queries import make_workbook
+from trustframe.plans.grid_queries import _blocks, make_workbook
 from trustframe.plans.read_api import Reader, TimedOut, envelopes, result
 from trustframe.plans.facts import Facts
 from trustframe.sources import documents as D, inventory as I, journal as J, workbook as W
@@ -381,3 +381,25 @@ def test_regions_are_read_from_row_masks(spark):
     assert got == [("table", 1, 1, 4, 70, 1, 280), ("table", 7, 1, 8, 2, 7, 4)]
     lines = R.row_masks(c, G.S)
     assert lines.count() == 4 * 2 + 2 and lines.agg(F.sum(F.bit_count("mask")).alias("m"), F.sum("n").alias("n")).first() == (284, 284)
+
+
+def test_column_types_read_formats_once_and_clean_headers_only(spark, monkeypatch, tmp_path):
+    rows = [("s", "t", 1, 1, "text", N, "when", N, N), ("s", "t", 1, 2, "text", N, "hour", N, N), ("s", "t", 1, 3, "text", N, "any", N, N)]
+    for i in range(2, 5):
+        rows += [("s", "t", i, 1, "date", 45000.0 + i + (0.5 if i == 3 else 0), N, "yyyy-mm-dd", N), ("s", "t", i, 2, "date", 0.25, N, ["hh:mm", "h:mm"][i % 2], N),
+                 ("s", "t", i, 3, ["num", "text", "error"][i - 2], float(i) if i == 2 else N, N if i == 2 else "x", N, N)]
+    plans, stored = {}, G.materialize
+
+    def noted(df, label):
+        plans[label] = df._jdf.queryExecution().optimizedPlan().toString()
+        return stored(df, label)
+
+    monkeypatch.setattr(G, "materialize", noted)
+    got = {r.name: (r.column_kind, r.date_kind, r.non_null, r.error_cells) for r in G.build(spark.createDataFrame(rows, G.CELL)).columns.collect()}
+    assert got == {"when": ("date", "datetime", 3, 0), "hour": ("date", "time", 3, 0), "any": ("mixed", N, 2, 1)}
+    assert "date_format" not in plans["column-types"] and "date_format" in plans["heads"]
+    # the cells of a customer table in one file are dealt out by sheet
+    spark.range(250).selectExpr("id AS c_custkey", "'n' AS c_name", "1.5D AS c_acctbal", "'m' AS c_mktsegment", "1 AS c_nationkey").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    dealt = _blocks(spark, str(tmp_path))
+    assert "RepartitionByExpression [sheet" in dealt._jdf.queryExecution().optimizedPlan().toString() and dealt.count() == 250

@@ -115,17 +115,23 @@ class Built:
 
 
 def column_types(body: DataFrame) -> DataFrame:
-    """Per column: which kinds occur, whole numbers only, dates, errors."""
-    kind, num = F.col("kind"), F.col("num")
+    """Per column: which kinds occur, whole numbers only, dates, errors. A format is read once per column and kind, not per cell."""
+    kind, num, n = F.col("kind"), F.col("num"), F.col("n")
     numeric = kind.isin("num", "date")
+    alike = body.groupBy(*S, "col", "kind", "format").agg(
+        F.bool_and(F.when(numeric, (num == F.floor(num)) & (F.abs(num) < V.MAX_EXACT_INTEGER))).alias("whole"),
+        F.bool_or(num != F.floor(num)).alias("fraction"), F.count(F.lit(1)).alias("n"))
     fmt = format_class(F.col("format"))
-    timed = (kind == "date") & ((fmt == "time") | (num != F.floor(num)))
-    stats = body.groupBy(*S, "col").agg(
+    timed = (kind == "date") & ((fmt == "time") | F.col("fraction"))
+
+    def cells_where(test: Column) -> Column:
+        return F.coalesce(F.sum(F.when(test, n)), F.lit(0))
+
+    stats = alike.groupBy(*S, "col").agg(
         F.bool_or(numeric).alias("has_num"), F.bool_or(kind == "text").alias("has_text"), F.bool_or(kind == "bool").alias("has_bool"),
-        F.bool_and(F.when(numeric, (num == F.floor(num)) & (F.abs(num) < V.MAX_EXACT_INTEGER))).alias("all_int"),
-        F.count_if(kind == "date").alias("dates"), F.bool_or(timed).alias("has_time"),
+        F.bool_and("whole").alias("all_int"), cells_where(kind == "date").alias("dates"), F.bool_or(timed).alias("has_time"),
         F.bool_and(F.when(kind == "date", fmt == "time")).alias("all_time"),
-        F.count_if(kind == "error").alias("error_cells"), F.count_if(kind != "error").alias("non_null"))
+        cells_where(kind == "error").alias("error_cells"), cells_where(kind != "error").alias("non_null"))
     n, t, b = F.col("has_num"), F.col("has_text"), F.col("has_bool")
     decided = (F.when(F.col("dates") > 0, "date").when(n & ~t & ~b, F.when(F.col("all_int"), "int").otherwise("real"))
                .when(t & ~n & ~b, "text").when(b & ~n & ~t, "bool").when(n | t | b, "mixed").otherwise("text"))
@@ -143,7 +149,8 @@ def build(cells: DataFrame) -> Built:
     placed = cells.join(sheet_rows.select(*S, "header_row", "data_first"), S)
     body = placed.filter(F.col("row") >= F.col("data_first")).drop("header_row", "data_first")
     shown = shown_text(F.col("kind"), F.col("num"), F.col("txt"), F.col("format"))
-    heads = placed.filter("row = header_row AND kind <> 'error'").select(*S, "col", shown.alias("header"))
+    # written apart: a test of the cleaned header would be pushed below the join and clean every cell
+    heads = materialize(placed.filter("row = header_row AND kind <> 'error'").select(*S, "col", shown.alias("header")), "heads")
     types = column_types(body)
     named = heads.filter(clean_header(F.col("header")) != "")
     kept = types.join(heads, [*S, "col"], "left").unionByName(

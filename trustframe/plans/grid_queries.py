@@ -26,8 +26,10 @@ def _spread(df, cells):
 
 
 def _blocks(spark, sf):
+    """Customers with their sheet, dealt by it: a narrow customer table is few files, and so would be the cells."""
     key = F.col("c_custkey")
-    return load(spark, sf, "customer").withColumn("sheet", F.concat(F.lit("block-"), F.floor(key / 100).cast("string")))
+    named = load(spark, sf, "customer").withColumn("sheet", F.concat(F.lit("block-"), F.floor(key / 100).cast("string")))
+    return named.repartition("sheet")
 
 
 HEADERS = {2: "customer id", 3: "name", 4: "balance (EGP)", 5: "name", 6: "overdrawn", 7: "opened"}
