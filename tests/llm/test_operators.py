@@ -13,6 +13,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from trustframe import session
 from trustframe.llm import bpe, components, jaccard, license_scan, lm_scoring, neighbours, packing, pii, quality, quality_rules, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, ids int, part int, kept boolean"
@@ -347,3 +348,23 @@ def test_score_identity():
     assert fm.score([ids])[0] == pytest.approx(1 / (1 + math.exp(-raw)))
 
 
+
+
+def test_packing_holds_one_vocabulary_and_few_rows(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = packing._Tokenizer(path)
+    assert tokenizer.ids("plain words") and "library" not in vars(tokenizer)    # the library's copy waits for a text that needs it
+    special = tokenizer.special[0]
+    assert list(np.frombuffer(tokenizer.ids(f"a {special} b"), np.uint32)) == tokenizer.library.encode(f"a {special} b", add_special_tokens=False).ids
+    kept, given = spark.conf.get(session.BATCH, None), {}
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    for rows in (None, 100):
+        got = session.materialize(spark.range(3000).coalesce(1).mapInArrow(sizes, "n long"), "batches", rows)
+        given[rows] = [r.n for r in got.collect()]
+    assert sum(given[100]) == 3000 and max(given[100]) == 100 and len(given[None]) == 1
+    assert spark.conf.get(session.BATCH, None) == kept

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import TEXT_ROWS, materialize
 from .components import connected_components
 from .stored import discard
 from .words import mix, shingles, text_slices
@@ -184,7 +184,7 @@ def signature_table(docs: DataFrame, words: int, percent: int) -> DataFrame:
                                               pa.array(wide, pa.list_(pa.int64())), *dealt(found)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, {', '.join(f'{c} array<long>' for c in SIGNATURES)}"), "jaccard-signatures")
+    return materialize(rows.mapInArrow(run, f"doc_id long, n_shingles long, same long, {', '.join(f'{b} long' for b in BITS)}, wide array<long>, {', '.join(f'{c} array<long>' for c in SIGNATURES)}"), "jaccard-signatures", TEXT_ROWS)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -247,7 +247,7 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     # a doc_id with several texts has several sets; each may link. Kept by doc_id, the sets are dealt out once for all rounds
     mine = docs.join(needed, docs["doc_id"].cast("long") == needed["doc_id"], "left_semi")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = materialize(shingle_sets(mine, words), "jaccard-sets")
+    stored = materialize(shingle_sets(mine, words), "jaccard-sets", TEXT_ROWS)
     sets = stored.repartition(n_parts, "doc_id").persist(StorageLevel.DISK_ONLY)
 
     links = materialize(verified(pairs.distinct(), sets, percent), "jaccard-links")

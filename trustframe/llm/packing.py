@@ -18,13 +18,16 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import materialize
+from ..session import TEXT_ROWS, materialize
 from .bpe import Encoder
 from .words import text_slices
 
 # Fixed value: the split pattern of byte-level BPE vocabularies.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Fixed value: texts that are held as ids at a time; a longer text is held whole.
+SLICE_CHARS = 1_000_000
+
 
 class _Tokenizer:
     """Little-endian 32-bit ids of whole texts.
@@ -35,16 +38,22 @@ class _Tokenizer:
     """
 
     def __init__(self, tokenizer_file: str):
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.file = tokenizer_file
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.core = _merge_core(spec)
+
+    @functools.cached_property
+    def library(self):
+        """The library's tokenizer, loaded when a text needs it: it holds the vocabulary a second time."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        with open(tokenizer_file, encoding="utf-8") as f:
-            self.core = _merge_core(json.load(f))
+        return Tokenizer.from_file(self.file)
 
     def ids(self, text: str) -> bytes:
         if self.core is None or any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.core.encode(text)).tobytes()
 
 
@@ -84,7 +93,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame
     def run(batches):
         from pyspark import TaskContext
         part, before = TaskContext.get().partitionId(), 0
-        for rows in text_slices(batches):
+        for rows in text_slices(batches, SLICE_CHARS):
             raw = [token_bytes(t, tokenizer_file, end_id) for t in rows.column("text").to_pylist()]
             counts = [len(x) // 4 for x in raw]
             starts = []
@@ -95,7 +104,7 @@ def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int = 0) -> DataFrame
                                               pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(raw, pa.binary())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return materialize(rows.mapInArrow(run, "doc_id long, part int, before long, n long, ids binary"), "pack-tokens")
+    return materialize(rows.mapInArrow(run, "doc_id long, part int, before long, n long, ids binary"), "pack-tokens", TEXT_ROWS)
 
 
 def pack(docs: DataFrame, tokenizer_file: str, window: int = 1024, end_id: int = 0) -> DataFrame:

@@ -60,16 +60,25 @@ def new_folder(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows that Spark hands to Python at a time; its default makes batches of tens of MB out of texts, in both processes.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1000
+
+
+def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write a frame once and read it back: lineage is cut and the rows survive lost executors. The shuffle files of the write
-    are removed with its end: nothing reads them again."""
+    are removed with its end: nothing reads them again. Compression is of the lowest level, whose native buffers are small;
+    `batch_rows` bounds the rows that Python functions of the frame get at a time."""
     path, conf = new_folder(df.sparkSession, label), df.sparkSession.conf
-    before = conf.get(CLEANUP, None)
-    conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     finally:
-        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
+        for k, v in before.items():
+            conf.unset(k) if v is None else conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
