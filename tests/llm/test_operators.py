@@ -160,6 +160,48 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
 
 
+def test_lists_that_share_a_hub_are_merged(spark):
+    """Near texts that share hundreds of lists meet once; lists that share their hub alone stay as they are."""
+    near = [(s, d, d) for s in range(300) for d in (1, 2, 3)]
+    apart = [(1000 + s, d, d) for s in range(20) for d in (50, *range(100 + 30 * s, 130 + 30 * s))]
+    lists = spark.createDataFrame(near + apart, "signature long, doc_id long, part long")
+    rows = jaccard.merged(lists).collect()
+
+    def met(entries):
+        by = collections.defaultdict(set)
+        for signature, doc_id, part in entries:
+            assert doc_id == part
+            by[signature].add(doc_id)
+        return collections.Counter((a, b) for ids in by.values() for a in ids for b in ids if a < b)
+    before, after = met(near + apart), met(map(tuple, rows))
+    assert set(before) <= set(after) and len(rows) == 3 + len(apart)
+    assert before[1, 2] == 300 and after[1, 2] == 1 and sum(after.values()) <= sum(before.values())
+
+
+def test_components_grow_by_edges(spark):
+    known = components.connected_components(spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "a long, b long"))
+    got = components.grown(known, spark.createDataFrame([(3, 8), (20, 21)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 20: 20, 21: 20} and len(got) == 7
+
+
+def test_joins_without_broadcasts(spark):
+    """Many small joins leave no relations with the driver, and the setting is put back."""
+    before = {k: spark.conf.get(k, None) for k in session.NO_BROADCASTS}
+    small = spark.range(50)
+    seen = []
+
+    class Probe:
+        def __init__(self, frame):
+            self.frame, self.sparkSession, self.schema = frame, frame.sparkSession, frame.schema
+
+        @property
+        def write(self):
+            seen.append(self.frame.join(small, "id")._jdf.queryExecution().executedPlan().toString())
+            return self.frame.write
+    assert session.materialize(Probe(small), "probe", broadcasts=False).count() == 50
+    assert "BroadcastExchange" not in seen[0] and before == {k: spark.conf.get(k, None) for k in session.NO_BROADCASTS}
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(docs, order):
     words = [(d, t.encode().lower().split()) for d, t in texts_of(docs)]

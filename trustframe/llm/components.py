@@ -15,7 +15,7 @@ from .stored import discard
 def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
     """The edges, written, and their number and a sum of their hashes, observed on the way."""
     seen = Observation()
-    stored = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    stored = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges", broadcasts=False)
     return stored, (seen.get["n"], seen.get["h"])
 
 
@@ -40,3 +40,8 @@ def connected_components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
             raise RuntimeError(f"components did not settle in {most_steps} steps")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def grown(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components that `known` ones make with further edges: their stars stand for the edges they came of, so few steps are left."""
+    return connected_components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(edges.select("a", "b")))

@@ -31,7 +31,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import TEXT_ROWS, materialize
-from .components import connected_components
+from .components import connected_components, grown
 from .stored import discard
 from .words import mix, shingles, text_slices
 
@@ -221,53 +221,57 @@ def groups(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to, itself included), one row per row."""
     table = signature_table(docs, words, percent)
     # one share of the signatures after the other is dealt out, so that no more than a share of them lies in shuffle files
-    shares = [materialize(_shared(table.select("doc_id", F.explode(c).alias("signature"))), "jaccard-share") for c in SIGNATURES]
-    lists = materialize(functools.reduce(DataFrame.unionByName, shares).groupBy("signature", "doc_id").agg(F.sum("weight").alias("weight")), "jaccard-lists")
+    shares = [_written(_shared(table.select("doc_id", F.explode(c).alias("signature"))), "jaccard-share") for c in SIGNATURES]
+    lists = _written(functools.reduce(DataFrame.unionByName, shares).groupBy("signature", "doc_id").agg(F.sum("weight").alias("weight")), "jaccard-lists")
     members = lists.select("doc_id").distinct()
-    facts = materialize(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
-    signed, table = table, materialize(table.select("doc_id", "n_shingles", "same"), "jaccard-sizes")
+    facts = _written(table.join(members, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").alias("n"), "wide", *BITS), "jaccard-facts")
+    signed, table = table, _written(table.select("doc_id", "n_shingles", "same"), "jaccard-sizes")
     discard(signed)                                     # the signatures are the bulk of all that is written
     for share in shares:
         discard(share)
 
     # groups by the bitmaps alone say whose shingles are needed: two documents that link are in one such group or meet across two
-    likely = materialize(stars(lists, None, facts, percent, 0), "jaccard-likely")
-    guess = materialize(connected_components(likely), "jaccard-guess")
+    likely = _written(stars(lists, None, facts, percent, 0), "jaccard-likely")
+    guess = _written(connected_components(likely), "jaccard-guess")
     for turn in range(1, ROUNDS):
-        more = materialize(stars(lists, guess, facts, percent, turn), "jaccard-likely")
+        more = _written(stars(lists, guess, facts, percent, turn), "jaccard-likely")
         if more.isEmpty():
             break
         likely = likely.unionByName(more)
-        old, guess = guess, materialize(connected_components(likely), "jaccard-guess")
+        old, guess = guess, _written(grown(guess, more), "jaccard-guess")
         discard(old)
-    across = materialize(crossing(lists, guess, facts, percent), "jaccard-across")
+    across = crossing(lists, guess, facts, percent)
     discard(guess)
     pairs = likely.unionByName(across)
-    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-needed")
+    needed = _written(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "jaccard-needed")
     # a doc_id with several texts has several sets; each may link. Kept by doc_id, the sets are dealt out once for all rounds
     mine = docs.join(needed, docs["doc_id"].cast("long") == needed["doc_id"], "left_semi")
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    stored = materialize(shingle_sets(mine, words), "jaccard-sets", TEXT_ROWS)
+    stored = materialize(shingle_sets(mine, words), "jaccard-sets", TEXT_ROWS, broadcasts=False)
     sets = stored.repartition(n_parts, "doc_id").persist(StorageLevel.DISK_ONLY)
 
-    links = materialize(verified(pairs.distinct(), sets, percent), "jaccard-links")
-    parts = materialize(connected_components(links), "jaccard-parts")
+    links = _written(verified(pairs.distinct(), sets, percent), "jaccard-links")
+    parts = _written(connected_components(links), "jaccard-parts")
     for turn in range(1, ROUNDS):
-        found = materialize(verified(stars(lists, parts, facts, percent, turn), sets, percent), "jaccard-links")
+        found = _written(verified(stars(lists, parts, facts, percent, turn), sets, percent), "jaccard-links")
         if found.isEmpty():
             break
-        links = links.unionByName(found)
-        parts = materialize(connected_components(links), "jaccard-parts")
-    rest = materialize(verified(crossing(lists, parts, facts, percent).join(across, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
+        parts = _written(grown(parts, found), "jaccard-parts")
+    late = crossing(lists, parts, facts, percent)
+    rest = _written(verified(late.join(across, ["a", "b"], "left_anti"), sets, percent), "jaccard-links")
     sets.unpersist()
-    for done in (stored, lists, facts, across, needed):
+    for done in (stored, lists, facts, across, late, needed):
         discard(done)
     copies = table.filter(F.col("same").isNotNull()).select(F.col("same").alias("a"), F.col("doc_id").alias("b"))
-    final = connected_components(links.unionByName(rest).unionByName(copies))
+    final = grown(parts, rest.unionByName(copies))
     joined = table.join(final, table["doc_id"] == final["node"], "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _written(frame: DataFrame, label: str) -> DataFrame:
+    return materialize(frame, label, broadcasts=False)
+
+
 def _shared(entries: DataFrame) -> DataFrame:
     """signature, doc_id and weight of the lists of several documents. Lists of the same documents are one list from here on,
     with a weight; should two others fall together, they only grow."""
@@ -285,12 +289,31 @@ def stars(lists: DataFrame, parts: DataFrame | None, facts: DataFrame, percent:
 
 
 def crossing(lists: DataFrame, parts: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of one list and of two groups that may link."""
-    open_lists = spanning(lists, parts).select("signature", F.col("doc_id").alias("a"), "part")
-    one = open_lists.join(_facts_of(facts, "x", "a"), "a").withColumnRenamed("part", "part_a")
-    two = open_lists.withColumnRenamed("a", "b").join(_facts_of(facts, "y", "b"), "b").withColumnRenamed("part", "part_b")
+    """All pairs (a, b) of one list and of two groups that may link, written."""
+    open_lists = _written(merged(spanning(lists, parts)), "jaccard-open")
+    sides = open_lists.withColumnRenamed("doc_id", "a")
+    one = sides.join(_facts_of(facts, "x", "a"), "a").withColumnRenamed("part", "part_a")
+    two = sides.withColumnRenamed("a", "b").join(_facts_of(facts, "y", "b"), "b").withColumnRenamed("part", "part_b")
     test = (one["signature"] == two["signature"]) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & may_link(percent)
-    return wide_test(one.join(two, test).select("a", "b").distinct(), facts, percent)
+    near = _written(wide_test(one.join(two, test).select("a", "b").distinct(), facts, percent), "jaccard-across")
+    discard(open_lists)
+    return near
+
+
+def merged(named: DataFrame) -> DataFrame:
+    """signature, doc_id and part of fewer lists in which all documents meet that met before. Near texts share hundreds of lists, and
+    each would name their pair again; lists with the same hub become one where that makes no more pairs than they make alone."""
+    own = Window.partitionBy("signature")
+    hub = F.min(F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("hub"))).over(own)["hub"]
+    hubbed = _written(named.select("signature", "doc_id", "part", hub.alias("hub"), F.count(F.lit(1)).over(own).alias("size")), "jaccard-hubs")
+    once = hubbed.groupBy("hub", "doc_id", "part").agg(F.sum("size").alias("tests"))
+    # a list of n documents makes n * n tests: each of its rows brings n
+    paying = _written(once.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.sum("tests").alias("tests")).filter("n * n <= tests").select("hub"), "jaccard-paying")
+    together = once.join(paying, "hub", "left_semi").select(F.xxhash64("hub", F.lit("hub")).alias("signature"), "doc_id", "part")
+    alone = hubbed.join(paying, "hub", "left_anti").select("signature", "doc_id", "part")
+    found = _written(together.unionByName(alone), "jaccard-merged")
+    discard(hubbed)
+    return found
 
 
 def wide_test(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:

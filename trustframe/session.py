@@ -65,12 +65,17 @@ BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 TEXT_ROWS = 1000
 
 
-def materialize(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
+#: Each broadcast is built, stored and served by the driver, until its garbage is collected.
+NO_BROADCASTS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+
+
+def materialize(df: DataFrame, label: str, batch_rows: int | None = None, broadcasts: bool = True) -> DataFrame:
     """Write a frame once and read it back: lineage is cut and the rows survive lost executors. The shuffle files of the write
     are removed with its end: nothing reads them again. Compression is of the lowest level, whose native buffers are small;
-    `batch_rows` bounds the rows that Python functions of the frame get at a time."""
+    `batch_rows` bounds the rows that Python functions of the frame get at a time; without `broadcasts`, joins meet by shuffles
+    only, which spares the driver of a job with very many small joins."""
     path, conf = new_folder(df.sparkSession, label), df.sparkSession.conf
-    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {}) | ({} if broadcasts else NO_BROADCASTS)
     before = {k: conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, v)
