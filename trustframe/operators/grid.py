@@ -54,7 +54,11 @@ def find_headers(cells: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFra
     Only the head of each box is looked at, so the shuffle holds thirty rows per sheet or region.
     """
     head = cells.join(boxes.select(*keys, "first_row", "width"), keys).filter(F.col("row") <= F.col("first_row") + V.HEADER_SCAN_ROWS)
-    shape = row_shape(head, [*keys, "first_row", "width"])
+    return first_headers(row_shape(head, [*keys, "first_row", "width"]), keys)
+
+
+def first_headers(shape: DataFrame, keys: list[str]) -> DataFrame:
+    """The same from the shapes of the head rows, which carry `first_row` and `width` of their box."""
     below = shape.select(*keys, (F.col("row") - 1).alias("row")).distinct()
     good = shape.filter(header_like(F.col("width")) & (F.col("row") < F.col("first_row") + V.HEADER_SCAN_ROWS))
     return good.join(below, [*keys, "row"], "left_semi").groupBy(*keys).agg(F.min("row").alias("header_row"))

@@ -238,16 +238,18 @@ def _large_sheet(spark, sf):
     """One sheet with every order line, a row apart for each line number, and the orders beside them: bands, blocks and boxes."""
     lines, orders = load(spark, sf, "lineitem"), load(spark, sf, "orders")
     at = 2 + F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    left = lines.select(at.alias("at"), *[F.pmod(F.col("l_partkey") * (i + 1) + F.col("l_orderkey"), F.lit(97 + i)).alias(f"v{i}") for i in range(WIDE)])
-    one = left.select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"),
-                      F.explode(F.array(*[_cell(F.col("at"), i + 1, "num", num=F.col(f"v{i}")) for i in range(WIDE)])).alias("c")).select("source_id", "sheet", "c.*")
+    values = [F.pmod(F.col("l_partkey") * (i + 1) + F.col("l_orderkey"), F.lit(97 + i)).cast("double") for i in range(WIDE)]
+    left = lines.select(at.cast("int").alias("row"), F.posexplode(F.array(*values)).alias("pos", "num"))
+    none = F.lit(None).cast("string")
+    one = left.select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"), "row", (F.col("pos") + 1).alias("col"), F.lit("num").alias("kind"), "num",
+                      none.alias("txt"), none.alias("format"), none.alias("formula"))
     row = 3 + F.col("o_orderkey") * 8
     two = orders.select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"), F.explode(F.array(
         _cell(row, 20, "num", num=F.col("o_orderkey")), _cell(row, 21, "text", txt=F.col("o_orderpriority")), _cell(row, 22, "num", num=F.col("o_totalprice")))).alias("c")).select("source_id", "sheet", "c.*")
     names = [(i + 1, f"measure {i}") for i in range(WIDE)] + [(20, "order"), (21, "priority"), (22, "price")]
     head = spark.range(1).select(F.lit("book").alias("source_id"), F.lit("all").alias("sheet"),
                                  F.explode(F.array(*[_cell(F.lit(2), c, "text", txt=F.lit(n)) for c, n in names])).alias("c")).select("source_id", "sheet", "c.*")
-    cells = materialize(one.unionByName(two).unionByName(head), "large-sheet")
+    cells = one.unionByName(two).unionByName(head)                  # laid out faster than read back, and read twice
     return R.regions(cells).select("sheet", "kind", *[F.col(c).cast("long").alias(c) for c in ("region_no", "first_row", "first_col", "last_row", "last_col", "header_row", "cells")])
 
 
