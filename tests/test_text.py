@@ -184,3 +184,34 @@ def test_index_totals_count_blocks_without_words(spark, tmp_path):
     blocks = spark.createDataFrame(rows, "block_id string, source_id string, kind string, part string, page int, section string, text string")
     X.build_index(blocks, str(tmp_path / "index"))
     assert tuple(spark.read.parquet(str(tmp_path / "index" / "totals")).first()) == (4, 6)
+
+
+def test_index_postings_are_counted_in_their_row_and_never_shuffled(spark, tmp_path, monkeypatch):
+    import glob
+    import os
+    from collections import Counter
+
+    import pyarrow.parquet as pq
+    from trustframe.operators import search_index as X
+
+    plans, stored = {}, X.store
+
+    def noted(df, path, **options):
+        plans[os.path.basename(path)] = df._jdf.queryExecution().executedPlan().toString()
+        stored(df, path, **options)
+
+    monkeypatch.setattr(X, "store", noted)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["one", "two", "Two", "three3", "ÉTÉ", "قلم", "--"]) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", None, "...", "x " * 500]
+    blocks = blocks_of(spark, texts)
+    X.build_index(blocks.union(blocks.filter("source_id = '7'")), str(tmp_path / "index"))
+    assert "Exchange" not in plans["postings"] and "Exchange" in plans["blocks"]
+    words = {r.block_id: r.w for r in blocks.select("block_id", X.index_tokens(X._searched(blocks)).alias("w")).collect()}
+    got = Counter()
+    for r in spark.read.parquet(str(tmp_path / "index" / "postings")).collect():
+        got[r.token, r.block_id] += r.tf
+        assert r.length == len(words[r.block_id]) and (r.source_id, r.kind) != (None, None)
+    twice = {r.block_id for r in blocks.filter("source_id = '7'").collect()}
+    assert got == Counter({(t, b): n * (2 if b in twice else 1) for b, w in words.items() for t, n in Counter(w).items()})
+    files = [pq.read_table(f, columns=["token", "block_id"]).to_pylist() for f in glob.glob(str(tmp_path / "index" / "postings" / "*.parquet"))]
+    assert all([(r["token"].encode(), r["block_id"]) for r in f] == sorted((r["token"].encode(), r["block_id"]) for r in f) for f in files)

@@ -1,7 +1,7 @@
 """A stored search index that is never rebuilt on read.
 
-Below one folder: `postings` (token, block_id, tf, length, source_id, kind) in token order, `blocks` (what a hit shows) in the order
-of their ids, and `totals` (blocks and words of the corpus, one row). A search reads the token ranges of its words, ranks
+Below one folder: `postings` (token, block_id, tf, length, source_id, kind), each file in token order, `blocks` (what a hit shows) in
+the order of their ids, and `totals` (blocks and words of the corpus, one row). A search reads the token ranges of its words, ranks
 by what the postings themselves hold, and fetches the texts of the best hits by their ids; the corpus is not read and
 nothing is written.
 """
@@ -12,27 +12,41 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed_values as V
 from ..functions.text import index_tokens, location, once, snippet
+from ..session import store
 from .search import _searched, query_tokens
 
 #: Hits whose texts are fetched by a list of ids; more are joined.
 FETCH = 1_000
+#: Bytes of a dictionary of a column; the ids of a file's blocks fit.
+DICTIONARY = 8 << 20
 SHOWN = ["block_id", "source_id", "kind", "part", "page", "section", "text"]
 
 
 def build_index(blocks: DataFrame, path: str) -> None:
-    """Write the index of `blocks`. Counting combines before the shuffle; the postings of a word that is everywhere are spread
-    over many files, as the block id takes part in the ranges."""
-    # the length goes beside each word of its text, so that no row of a word holds, or cuts again, the whole text
-    words = once(index_tokens(_searched(blocks)), lambda w: F.transform(w, lambda t: F.struct(F.size(w).alias("length"), t.alias("token"))))
-    tokens = blocks.select("block_id", "source_id", "kind", F.inline(words))
-    postings = tokens.groupBy("token", "block_id", "source_id", "kind", "length").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    postings.repartitionByRange("token", "block_id").sortWithinPartitions("token", "block_id").write.mode("overwrite").parquet(f"{path}/postings")
-    blocks.select(*SHOWN).repartitionByRange("block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(f"{path}/blocks")
+    """Write the index of `blocks`. The words of a block are counted where it lies and each task sorts those of its blocks into its own
+    files: postings are never shuffled, and the word that is everywhere is spread over all files. A block id that comes twice has
+    its postings twice; a search adds them up."""
+    shown = blocks.select(*SHOWN).repartitionByRange("block_id").sortWithinPartitions("block_id")
+    store(shown, f"{path}/blocks", mode="overwrite")
+    postings = blocks.select("block_id", "source_id", "kind", F.inline(_counted(index_tokens(_searched(blocks)))))
+    postings = postings.select("token", "block_id", "source_id", "kind", "length", "tf").sortWithinPartitions("token", "block_id")
+    store(postings, f"{path}/postings", mode="overwrite", **{"parquet.dictionary.page.size": str(DICTIONARY)})
     # the stored postings hold every word, so texts are not cut into words again
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     held = blocks.sparkSession.read.schema(postings.schema).parquet(f"{path}/postings").select(none.alias("blocks"), F.col("tf").cast("long").alias("words"))
     totals = held.unionByName(blocks.select(one.alias("blocks"), none.alias("words"))).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("blocks", "words")])
-    totals.coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+    store(totals.coalesce(1), f"{path}/totals", mode="overwrite")
+
+
+def _counted(words: Column) -> Column:
+    """The different words of an array with their number: array<struct<length, token, tf>>; `length` is that of the array."""
+    def firsts(w: Column) -> Column:
+        return F.filter(F.transform(w, lambda t, i: F.when((i == 0) | (F.get(w, i - 1) != t), i)), lambda i: i.isNotNull())
+
+    def counts(w: Column, at: Column) -> Column:
+        return F.transform(at, lambda i, j: F.struct(F.size(w).alias("length"), F.get(w, i).alias("token"), (F.coalesce(F.get(at, j + 1), F.size(w)) - i).alias("tf")))
+
+    return once(F.sort_array(words), lambda w: once(firsts(w), lambda at: counts(w, at)))
 
 
 def _ranges(tokens: list[str]) -> Column:

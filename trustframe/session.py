@@ -70,21 +70,27 @@ NO_BROADCASTS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adapti
 
 
 def materialize(df: DataFrame, label: str, batch_rows: int | None = None, broadcasts: bool = True) -> DataFrame:
-    """Write a frame once and read it back: lineage is cut and the rows survive lost executors. The shuffle files of the write
-    are removed with its end: nothing reads them again. Compression is of the lowest level, whose native buffers are small;
-    `batch_rows` bounds the rows that Python functions of the frame get at a time; without `broadcasts`, joins meet by shuffles
-    only, which spares the driver of a job with very many small joins."""
-    path, conf = new_folder(df.sparkSession, label), df.sparkSession.conf
-    wanted = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {}) | ({} if broadcasts else NO_BROADCASTS)
+    """Write a frame once and read it back: lineage is cut and the rows survive lost executors. `batch_rows` bounds the rows that
+    Python functions of the frame get at a time; without `broadcasts`, joins meet by shuffles only, which spares the driver of a
+    job with very many small joins."""
+    path = new_folder(df.sparkSession, label)
+    store(df, path, ({BATCH: str(batch_rows)} if batch_rows else {}) | ({} if broadcasts else NO_BROADCASTS))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def store(df: DataFrame, path: str, settings: dict[str, str] | None = None, mode: str = "errorifexists", **options: str) -> None:
+    """Write a frame, under session settings that hold for this write. The shuffle files of the write are removed with its end:
+    nothing reads them again. Compression is of the lowest level, whose native buffers are small."""
+    conf, wanted = df.sparkSession.conf, {CLEANUP: "true"} | (settings or {})
     before = {k: conf.get(k, None) for k in wanted}
     for k, v in wanted.items():
         conf.set(k, v)
     try:
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
+        options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "1"} | options
+        df.write.mode(mode).options(**options).parquet(path)
     finally:
         for k, v in before.items():
             conf.unset(k) if v is None else conf.set(k, v)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _CLAIMS = threading.Lock()
